@@ -89,6 +89,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_removed_lines", F.length("text").cast("long").alias("n_chars_kept"), F.md5("text").alias("kept_md5"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelattice.llm.license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelattice.llm.sketches import fingerprint_documents
+
+    return fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codelattice.llm.toxicity import score_toxicity
 
@@ -113,8 +125,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_simhash": op3_simhash,
     "op5_mixing": op5_mixing,
+    "op6_license_scan": op6_license_scan,
     "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
+    "op9_fingerprints": op9_fingerprints,
     "op10_line_dedup": op10_line_dedup,
 }
 
