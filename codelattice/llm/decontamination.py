@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import cut
+from codelattice.llm.common import cut, row_key
 
 #: Words to a window; every shared run of so many words is found.
 WINDOW = 10
@@ -93,7 +93,7 @@ def benchmark_windows(items: DataFrame, *, item_col: str = "item_id", text_col:
                 out["n"] += [n] * len(fps)
                 out["fp"] += _signed(fps)
                 out["digest"] += _spans(words, np.arange(len(fps)), n)
-            yield pd.DataFrame(out)
+            yield pd.DataFrame({c: pd.Series(x, dtype=object if c in ("item", "digest") else "int64") for c, x in out.items()})
 
     rows = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, "item string, n int, fp long, digest binary")
@@ -138,7 +138,7 @@ def decontaminate(
     winnowed at their own length.
 
     Returns ``id_col``, n_words, n_hit (words inside any occurrence), n_items, items (sorted as
-    strings), contaminated, spans (merged [start, end) of words): one row per input row. Null texts
+    strings), contaminated, spans (merged [start, end) of words), row_key: one row per input row. Null texts
     have no words; items without words never occur; item ids are compared as strings, repeated
     items count once and null item ids not at all; an empty benchmark hits nothing.
     """
@@ -170,12 +170,12 @@ def decontaminate(
                     at = at[has(two[at]).astype(bool)]
                     hits += [{"start": i, "n": n, "fp": f, "digest": d} for i, f, d in zip(at.tolist(), _signed(fps[at]), _spans(words, at, n), strict=True)]
                 found.append(hits)
-            yield pd.DataFrame({"id": rows["id"], "n_words": pd.Series(sizes, dtype="int64", index=rows.index), "hits": pd.Series(found, dtype=object, index=rows.index)})
+            yield pd.DataFrame({"id": rows["id"], "key": rows["key"], "n_words": pd.Series(sizes, dtype="int64", index=rows.index), "hits": pd.Series(found, dtype=object, index=rows.index)})
 
     kind = dict(docs.dtypes)[id_col]
     marked = cut(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInPandas(candidates, f"id {kind}, n_words long, hits array<struct<start: int, n: int, fp: long, digest: binary>>")
+        docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+        .mapInPandas(candidates, f"id {kind}, key binary, n_words long, hits array<struct<start: int, n: int, fp: long, digest: binary>>")
         .withColumn("row", F.monotonically_increasing_id()),
         "candidates",
     )
@@ -197,5 +197,5 @@ def decontaminate(
         F.col("id").alias(id_col), "n_words",
         F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items", empty).alias("items"), F.col("spans").isNotNull().alias("contaminated"), "spans",
+        F.coalesce("items", empty).alias("items"), F.col("spans").isNotNull().alias("contaminated"), "spans", F.col("key").alias("row_key"),
     )

@@ -133,8 +133,8 @@ def mix_sources(
     of the id, then the row's digest, orders documents; classes are dealt into ``PARTS`` by that
     hash, so that a class with a third of all rows is ranked by many tasks.
 
-    Returns ``id_col``, size, source (as ``source_name``), source_size, target, taken, copies: one
-    row per input row. Rows equal in id and text share a place in the order: ties are broken at
+    Returns ``id_col``, size, source (as ``source_name``), source_size, target, taken, copies,
+    row_key: one row per input row. Rows equal in id and text share a place in the order: ties are broken at
     random but stay the same while the input files do. Null sources form a source of their own;
     empty tables give no rows.
     """
@@ -168,5 +168,5 @@ def mix_sources(
         parts.alias("q"), same("r", "q") & (F.col("r.size") == F.col("q.size")) & (F.col("r.part") == F.col("q.part")),
     ).select(
         F.col("id").alias(id_col), F.col("r.size").alias("size"), F.col("r.source").alias("source_name"), "source_size", "target",
-        (copies * F.col("r.size")).alias("taken"), copies.alias("copies"),
+        (copies * F.col("r.size")).alias("taken"), copies.alias("copies"), F.col("r.key").alias("row_key"),
     )

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import connected_components, cut
+from codelattice.llm.common import connected_components, cut, row_key
 
 #: Words to a shingle, and the largest number of differing bits of a link.
 SHINGLE, BITS = 4, 4
@@ -119,7 +119,8 @@ def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS,
     blocks: int = BLOCKS, chunk: int = CHUNK,
 ) -> DataFrame:
-    """One row per document: ``id_col``, fingerprint (16 hex digits), component_id.
+    """One row per document: ``id_col``, fingerprint (16 hex digits), component_id, row_key, kept (the
+    component's first document by id and key).
 
     Documents whose fingerprints differ in at most ``bits`` bits are linked; component_id is the
     smallest id that links reach, the document's own included. Equal fingerprints are joined before
@@ -129,17 +130,19 @@ def near_duplicates(
     """
     def fingerprint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"id": rows["id"], "fp": pd.Series([simhash(x, shingle) for x in rows["text"]], dtype="int64", index=rows.index)})
+            yield pd.DataFrame({"id": rows["id"], "key": rows["key"], "fp": pd.Series([simhash(x, shingle) for x in rows["text"]], dtype="int64", index=rows.index)})
 
     kind = dict(docs.dtypes)[id_col]
     marked = cut(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(fingerprint, f"id {kind}, fp long"),
+        docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+        .mapInPandas(fingerprint, f"id {kind}, key binary, fp long"),
         "fingerprints",
     )
-    classes = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    classes = marked.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
     labels = connected_components(close_pairs(classes.select("fp"), bits=bits, blocks=blocks, chunk=chunk))
-    labelled = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labelled.join(smallest, "label").select("fp", "component_id")
-    return marked.join(named, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labelled = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "first", F.coalesce("label", "fp").alias("label"))
+    smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.min("first").alias("kept"))
+    named = labelled.join(smallest, "label").select("fp", "component_id", "kept.key")
+    return marked.alias("m").join(named.withColumnRenamed("key", "kept_key"), "fp").select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("key").alias("row_key"),
+        (F.col("key") == F.col("kept_key")).alias("kept"))

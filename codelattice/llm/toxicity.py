@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import cut
+from codelattice.llm.common import cut, row_key
 from codelattice.llm.decontamination import words_of
 
 #: The classifier and the learned lexicon see at most so many labelled rows (those with the smallest hash of the id).
@@ -57,7 +57,7 @@ def _votes(text: str, words: list[bytes], found: list[int]) -> int:
 
 
 def _reader(vocabulary: dict[bytes, int]):
-    """Rows (id, text, ...) to (id, votes, at, value): votes, and counts of the known stems."""
+    """Rows (id, key, text, ...) to (id, key, votes, at, value): votes, and counts of the known stems."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, tuple[int, ...]] = {}
         for rows in batches:
@@ -78,7 +78,7 @@ def _reader(vocabulary: dict[bytes, int]):
                 votes.append(_votes(text, words, found))
                 ats.append(found)
                 values.append([float(np.log1p(counts[i])) for i in found])
-            out = {"id": rows["id"], "votes": pd.Series(votes, dtype="int64", index=rows.index)}
+            out = {"id": rows["id"], "key": rows["key"], "votes": pd.Series(votes, dtype="int64", index=rows.index)}
             yield pd.DataFrame(out | {"at": pd.Series(ats, dtype=object, index=rows.index), "value": pd.Series(values, dtype=object, index=rows.index)})
 
     return read
@@ -123,11 +123,10 @@ def label_model(votes: np.ndarray, unknown: np.ndarray, toxic: np.ndarray, clean
     ``unknown``, ``toxic`` and ``clean`` are the numbers of rows with each pattern, without a
     label to learn from and with one. A voter has a rate of voting in either class (its accuracy);
     votes that are correlated within the classes share their weight. Without labels it starts from
-    the belief that a vote means toxic.
+    the share of voters that vote.
     """
     v = votes.astype(float)
-    has = v.any(axis=1)
-    prior = np.where(has, 0.7, 0.05)
+    prior = np.clip(v.sum(axis=1) / max(v.sum(axis=1).max(initial=0), 1), 0.02, 0.95)
     if toxic.sum() and clean.sum():
         prior = (toxic + prior) / (toxic + clean + 1)
     post, logit = prior, np.zeros(len(v))
@@ -181,7 +180,7 @@ def score_toxicity(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     sample: int = SAMPLE, stems: int = STEMS, threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """Score every whole text for toxicity: ``id_col``, held_out, score, predicted, votes.
+    """Score every whole text for toxicity: ``id_col``, held_out, score, predicted, votes, row_key.
 
     Voters are English lexicons, patterns (several insults, a dense share of them, insults aimed
     at somebody, exclamation marks) and word stems learned from at most ``sample`` labelled rows.
@@ -199,11 +198,11 @@ def score_toxicity(
         .where(f"label_id is not null and toxic is not null").where(~held_out("label_id"))
         .groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
     chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)  # a proven bound: at most ``sample`` small rows
-    labelled = cut(texts.join(F.broadcast(chosen), texts["id"] == chosen["label_id"]).select("id", "text", "toxic").limit(2 * sample), "labelled")
+    labelled = cut(texts.join(F.broadcast(chosen), texts["id"] == chosen["label_id"]).select("id", "key", "text", "toxic").limit(2 * sample), "labelled")
     vocabulary = learn_stems(labelled, stems)
-    schema = f"id {kind}, votes long, at array<int>, value array<double>"
+    schema = f"id {kind}, key binary, votes long, at array<int>, value array<double>"
     read = cut(texts.mapInPandas(_reader(vocabulary), schema), "votes")
 
     voted = read.select("id", "votes").join(known, F.col("id") == F.col("label_id"), "left")
@@ -214,7 +213,7 @@ def score_toxicity(
     logits = label_model(bits(patterns["votes"]), *(patterns[c].to_numpy(float) for c in ("unknown", "toxic", "clean"))) if len(patterns) else np.zeros(0)
     logit_of = dict(zip(patterns["votes"].tolist(), logits.tolist(), strict=True))
 
-    rows = labelled.select("id", "text", "toxic").mapInPandas(
+    rows = labelled.mapInPandas(
         lambda batches: (
             out.assign(toxic=part["toxic"]) for part in batches for out in _reader(vocabulary)(iter([part]))
         ), schema + ", toxic int").toPandas()
@@ -235,8 +234,8 @@ def score_toxicity(
             z = bias + bits(rows["votes"]) @ w[n_stems:]
             z += np.array([np.dot(w[np.asarray(a, np.int64)], v) if len(a) else 0.0 for a, v in zip(rows["at"], rows["value"], strict=True)])
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pd.DataFrame({"id": rows["id"], "votes": rows["votes"], "score": p})
+            yield pd.DataFrame({"id": rows["id"], "key": rows["key"], "votes": rows["votes"], "score": p})
 
-    scored = read.mapInPandas(score, f"id {kind}, votes long, score double")
+    scored = read.mapInPandas(score, f"id {kind}, key binary, votes long, score double")
     return scored.select(
-        F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "votes")
+        F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "votes", F.col("key").alias("row_key"))

@@ -1,0 +1,290 @@
+"""Every operator against a brute-force version on a small corpus, and on an empty one."""
+
+import collections
+import hashlib
+import re
+
+import pytest
+
+from codelattice.llm import decontamination, license_scan, line_dedup, mixing, simhash, sketches, suffix_dedup, token_counts
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def rows_of(df):
+    return df.collect()
+
+
+def texts_of(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
+def bag(items):
+    return collections.Counter(items)
+
+
+def test_decontamination(spark, docs, empty):
+    own = dict(texts_of(docs))
+    some = own[3].split()
+    bench = [("a", " ".join(some[2:16])), ("b", "two words"), ("c", None), ("d", "!!"), ("e", "Two WORDS"), ("f", " ".join(own[96].split()[50:75])),
+             ("a", " ".join(some[2:16])), (None, "one"), ("g", "a b c d e f g h i j"), ("h", "never stands there at all")]
+    items = spark.createDataFrame(bench, "item_id string, text string")
+
+    def expected(text):
+        w = WORD.findall((text or "").translate(LOW))
+        hit, found = set(), set()
+        for item, t in bench:
+            b = WORD.findall((t or "").translate(LOW))
+            n = min(10, len(b))
+            for s in range(len(b) - n + 1) if n else ():
+                for i in range(len(w) - n + 1):
+                    if w[i : i + n] == b[s : s + n]:
+                        hit.update(range(i, i + n))
+                        if item:
+                            found.add(item)
+        return len(w), len(hit), tuple(sorted(found)), bool(hit)
+
+    got = bag((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in rows_of(decontamination.decontaminate(docs, items)))
+    assert got == bag((i, *expected(t)) for i, t in texts_of(docs))
+    assert decontamination.decontaminate(empty, items).count() == 0
+    assert decontamination.decontaminate(docs, items.limit(0)).where("contaminated").count() == 0
+
+
+def test_every_shared_window_shares_a_fingerprint():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    a = decontamination.window_fingerprints(h, 10, 5)
+    b = decontamination.window_fingerprints(h[137:], 10, 5)
+    assert (a[137:] == b).all()
+
+
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json"])
+def test_token_counts(docs, empty, tmp_path, name):
+    import public_tokenizers
+
+    path = str(public_tokenizers.path(name))
+    with open(path, "rb") as f:
+        count = token_counts._load("sentencepiece" if name.endswith(".model") else "tokenizers", f.read())
+    want = bag((i, len((t or "").encode()), count([t or ""])[0], count([t or ""])[0] > 50) for i, t in texts_of(docs))
+    cache = f"file://{tmp_path}/cache"
+    for _ in range(2):  # the second time from the cache
+        got = bag(tuple(r) for r in rows_of(token_counts.count_tokens(docs, path, cache=cache, limit=50)))
+        assert got == want
+    stored = docs.sparkSession.read.parquet(f"{cache}/*")
+    assert stored.count() == stored.distinct().count() == docs.selectExpr("coalesce(text, '')").distinct().count()
+    assert token_counts.count_tokens(empty, path).count() == 0
+
+
+def brute_simhash(text):
+    from xxhash import xxh64_intdigest
+
+    w = TOKEN.findall((text or "").translate(LOW))
+    if not w:
+        return 0
+    parts = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or [" ".join(w)]
+    h = [xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def brute_components(pairs):
+    """(id, fingerprint) to the smallest id that links reach, by position."""
+    label = list(range(len(pairs)))
+    changed = True
+    while changed:
+        changed = False
+        for i, (_, a) in enumerate(pairs):
+            for j, (_, b) in enumerate(pairs):
+                if (a ^ b).bit_count() <= 4 and label[j] < label[i]:
+                    label[i] = label[j]
+                    changed = True
+    ids = collections.defaultdict(list)
+    for at, (i, _) in zip(label, pairs, strict=True):
+        ids[at] += [i] if i is not None else []
+    return [min(ids[at], default=None) for at in label]
+
+
+@pytest.mark.parametrize("chunk", [2, 1024])
+def test_simhash(docs, empty, chunk):
+    pairs = [(i, brute_simhash(t)) for i, t in texts_of(docs)]
+    want = bag((i, f"{fp:016x}", c) for (i, fp), c in zip(pairs, brute_components(pairs), strict=True))
+    assert bag(tuple(r) for r in rows_of(simhash.near_duplicates(docs, chunk=chunk).select("doc_id", "fingerprint", "component_id"))) == want
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [3, 1024])
+def test_close_fingerprints_with_large_buckets(spark, chunk):
+    import random
+
+    rng = random.Random(1)
+    center, fps = rng.getrandbits(64), set()
+    for _ in range(150):
+        x = center
+        for _ in range(rng.randint(0, 9)):
+            x ^= 1 << rng.randrange(64)
+        fps.add(x)
+    fps = sorted(fps)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    edges = simhash.close_pairs(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), chunk=chunk)
+    from codelattice.llm.common import connected_components
+
+    got = collections.defaultdict(set)
+    for r in connected_components(edges).collect():
+        got[r.label].add(r.node)
+    want = collections.defaultdict(set)
+    for c, x in zip(brute_components(list(enumerate(fps))), fps, strict=True):
+        want[c].add(signed(x))
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+def test_mixing(docs, empty):
+    got = rows_of(mixing.mix_sources(docs))
+    size = lambda t: len(TOKEN.findall(t or ""))
+    assert bag((r.doc_id, r.size) for r in got) == bag((i, size(t)) for i, t in texts_of(docs))
+    words = collections.Counter()
+    for r in docs.select("source", "text").collect():
+        words[r.source] += size(r.text)
+    order = sorted((s for s in words if s is not None), key=lambda s: s.encode()) + [None]
+    weight = dict(zip(order, [5, 2, 1] * len(order), strict=False))
+    target, free, left = {}, set(order), sum(words.values())
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * words[s]]
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 3 * words[s]
+            left -= target[s]
+            free.discard(s)
+    taken = collections.Counter()
+    for r in got:
+        assert r.source_size == words[r.source_name]
+        assert r.target == pytest.approx(target[r.source_name])
+        assert r.taken in (0, r.size, 2 * r.size, 3 * r.size)
+        taken[r.source_name] += r.taken
+    for s in order:
+        assert abs(taken[s] - target[s]) <= max(5, target[s] / 100)
+    again = rows_of(mixing.mix_sources(docs))
+    key = lambda rows: bag((r.doc_id, r.taken) for r in rows)
+    assert key(again) == key(got)
+    assert mixing.mix_sources(empty).count() == 0
+
+
+def test_budget_is_met_where_a_subset_sum_exists():
+    import itertools
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    for _ in range(60):
+        lengths = sorted(rng.sample(range(0, 30), 4))
+        counts = [rng.randint(1, 3) for _ in lengths]
+        total = sum(a * b for a, b in zip(lengths, counts, strict=True))
+        budget = rng.randint(0, total)
+        take = mixing.fit_budget(np.array(lengths), np.array(counts), budget)
+        assert all(0 <= a <= b for a, b in zip(take, counts, strict=True))
+        got = int((take * np.array(lengths)).sum())
+        even = [b * budget // total if total else 0 for b in counts]
+        best = max(
+            s for x in itertools.product(*(range(a, b + 1) for a, b in zip(even, counts, strict=True)))
+            if (s := sum(a * b for a, b in zip(lengths, x, strict=True))) <= budget
+        )
+        assert got == best
+
+
+def test_licenses(spark, docs, empty):
+    more = spark.createDataFrame([
+        (201, "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+        (202, "GNU General Public License; gnu general PUBLIC license"), (203, "cc by cc by-sa"), (204, "by cc"), (205, "Permission is hereby granted free of"), (206, "Redistribution and use in source and binary forms"),
+        (207, "under the Apache License, Version 2.0"), (208, None), (209, "é cc by"),
+    ], "doc_id long, text string")
+    got = {r.doc_id: r for r in rows_of(license_scan.scan_licenses(docs.select("doc_id", "text").where("doc_id < 90").union(more)))}
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    for i, t in texts_of(docs.where("doc_id < 90")) + [(r.doc_id, r.text) for r in more.collect()]:
+        w = WORD.findall((t or "").translate(LOW))
+        places = [(k, label) for p, label in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        r = got[i]
+        at = [k for k, _ in places]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (
+            len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})))
+        assert 0 <= r.score <= 1
+    assert got[201].labels == "mit" and got[201].score == pytest.approx(1.0)
+    assert got[205].labels == "" and got[206].labels == "bsd" and 0 < got[206].score < 1 and got[207].labels == "apache"
+    assert license_scan.scan_licenses(empty).count() == 0
+
+
+def test_sketches(docs, empty):
+    def units(t):
+        out = set()
+        for line in t.split("\n"):
+            out |= set(re.split(r"(?<=[.!?])\s+", line)) if len(line) > sketches.LINE else {line}
+        return out - {""}
+
+    def near(a, b):
+        a, b = units(a), units(b)
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    own = sorted(((i, t or "") for i, t in texts_of(docs)), key=lambda x: (x[0] is not None, x[0] or 0, x[1]), reverse=True)
+    want = []
+    for (i, t), (_, n) in zip(own, own[1:] + own[:1], strict=True):
+        e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), round(near(t, e), 9), round(near(t, n), 9)))
+    got = rows_of(sketches.fingerprint_documents(docs))
+    assert bag((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == bag(want)
+    prints = collections.defaultdict(set)
+    for r in got:
+        prints[r.doc_id].add(r.fingerprint)
+    assert prints[0] == prints[60]
+    assert sketches.fingerprint_documents(empty).count() == 0
+    one = rows_of(sketches.fingerprint_documents(docs.where("doc_id = 7")))
+    assert [r.near_next for r in one] == [1.0]
+
+
+def test_line_dedup(docs, empty):
+    texts = sorted({(i, t) for i, t in texts_of(docs) if t is not None and i is not None})
+    first, gone = {}, collections.defaultdict(set)
+    for i, t in texts:
+        lines = [(n, x) for n, x in enumerate(t.split("\n")) if re.search(r"\S", x)]
+        for k in range(len(lines) - 2):
+            w = lines[k : k + 3]
+            if first.setdefault(tuple(x for _, x in w), (i, w[0][0])) != (i, w[0][0]):
+                gone[i, t].update(n for n, _ in w)
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_removed_lines"]
+    for r in rows_of(got):
+        if r.doc_id is None:
+            continue
+        assert r.n_hit == 7 and r.key == "own"
+        options = {"\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i, t]): len(gone[i, t]) for i, t in texts if i == r.doc_id} or {None: 0}
+        assert r.text in options and options[r.text] == r.n_removed_lines
+    assert got.count() == docs.count()
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_the_cover_has_every_difference():
+    d, v = suffix_dedup.COVER, suffix_dedup.PERIOD
+    assert {(a - b) % v for a in d for b in d} == set(range(v))
+
+
+@pytest.mark.parametrize("block", [2000, 1 << 22])
+def test_suffix_dedup(docs, empty, block):
+    texts = [(i, (t or "").encode()) for i, t in texts_of(docs)]
+    seen = collections.Counter(t[k : k + 200] for _, t in texts for k in range(len(t) - 199))
+    want = []
+    for i, t in texts:
+        gone = [False] * len(t)
+        for k in range(len(t) - 199):
+            if seen[t[k : k + 200]] > 1:
+                gone[k : k + 200] = [True] * 200
+        kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
+        spans = sum(g and not (n and gone[n - 1]) for n, g in enumerate(gone))
+        want.append((i, len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
+    got = rows_of(suffix_dedup.remove_repeats(docs, block=block, bucket=20_000))
+    assert sum(r.n_removed > 0 for r in got) > 20
+    assert bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got) == bag(want)
+    assert suffix_dedup.remove_repeats(empty).count() == 0
