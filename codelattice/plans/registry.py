@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from codelattice.plans import graph_queries
+
+_PARTS = (graph_queries,)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for p in _PARTS for k, v in p.ORACLES.items()}
