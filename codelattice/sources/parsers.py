@@ -228,7 +228,7 @@ def web_flow(files: DataFrame) -> DataFrame:
     attr = lambda c, a: F.nullif(F.regexp_extract(c, rf"\b{a}\s*=\s*\"([^\"]*)\"", 1), F.lit(""))
     head = F.regexp_extract("s", r"^(<[^>]*>)", 1)
     rows = one.select("path", attr(head, "id").alias("state"), F.regexp_extract("s", r"^<([\w-]+)", 1).alias("kind"), attr(head, "view").alias("view"),
-                      F.explode_outer(F.regexp_extract_all("s", F.lit(r"(<(?:transition|if)\b[^>]*>)"), F.lit(1))).alias("t"))
+                      F.explode_outer(F.regexp_extract_all("s", F.lit(r"(<(?:transition|if)\b(?:[^>\"]|\"[^\"]*\")*>)"), F.lit(1))).alias("t"))
     event = F.coalesce(attr("t", "on"), attr("t", "test"))
     return rows.select("path", "state", "kind", "view", event.alias("event"), F.coalesce(attr("t", "to"), attr("t", "then")).alias("target"), attr("t", "else").alias("otherwise"))
 
