@@ -12,7 +12,7 @@ GROUP = 16
 RETRIES = 6
 ROUNDS = 14
 #: A longer line is cut into its sentences.
-LINE = 1000
+LINE = 500
 
 
 def paragraph_digests(text: Column) -> Column:
