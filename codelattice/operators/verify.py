@@ -27,7 +27,8 @@ def claim_scores(claims: DataFrame, evidence: DataFrame, weight: Column | None =
     j = claims.join(s, "claim_id", "left")
     mean = F.coalesce(F.try_divide("cw", "w"), F.lit(0.0))
     confidence = F.coalesce(mean * (1 - 0.5 * F.try_divide(F.col("contra").cast("double"), (F.col("pro") + F.col("contra")).cast("double"))), F.lit(0.0))
-    j = j.withColumn("confidence", confidence)
+    # Rounded, so that the order in which evidence is summed never moves a claim across a threshold.
+    j = j.withColumn("confidence", F.round(confidence, 9))
     only_contra = (F.col("contra") > 0) & (F.col("pro") == 0)
     none, c = F.col("pro").isNull(), F.col("confidence")
     status = F.when(only_contra, "contradicted").when(~none & (c >= 0.7), "verified").when(~none & (c >= 0.4), "partially_verified").otherwise("unverified")

@@ -481,7 +481,7 @@ def _(t):
 
 _CLAIMS = """e AS (SELECT l_orderkey AS claim_id, l_quantity / 50 AS c, CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.8 ELSE 0.6 END AS w, l_linestatus = 'O' AS pro FROM lineitem),
 g AS (SELECT claim_id, sum(CASE WHEN pro THEN c * w END) / sum(CASE WHEN pro THEN w END) AS m, count(*) FILTER (pro) AS p, count(*) FILTER (NOT pro) AS k FROM e GROUP BY claim_id),
-s AS (SELECT o.o_orderkey AS claim_id, o.o_custkey AS section, coalesce(g.m * (1 - 0.5 * g.k / (g.p + g.k)), 0) AS confidence, g.p, g.k FROM orders o LEFT JOIN g ON o.o_orderkey = g.claim_id),
+s AS (SELECT o.o_orderkey AS claim_id, o.o_custkey AS section, round(coalesce(g.m * (1 - 0.5 * g.k / (g.p + g.k)), 0), 9) AS confidence, g.p, g.k FROM orders o LEFT JOIN g ON o.o_orderkey = g.claim_id),
 f AS (SELECT *, CASE WHEN k > 0 AND p = 0 THEN 'contradicted' WHEN p IS NOT NULL AND confidence >= 0.7 THEN 'verified' WHEN p IS NOT NULL AND confidence >= 0.4 THEN 'partially_verified' ELSE 'unverified' END AS status FROM s)"""
 
 
