@@ -52,10 +52,14 @@ STEREOTYPES = (
 )
 
 
-def _any_contains(values: Column, wanted: Sequence[str], exact: bool = False) -> Column:
-    low = F.array(*(F.lit(w.lower()) for w in wanted))
+def _words(text: str) -> Column:
+    return F.array(*(F.lit(w.lower()) for w in text.split())) if text else F.array().cast("array<string>")
+
+
+def _has(values: Column, wanted: Column, exact: bool = False) -> Column:
+    """Whether any value contains (or is) one of the wanted lower-case words."""
     test = (lambda v, w: F.lower(v) == w) if exact else (lambda v, w: F.contains(F.lower(v), w))
-    return F.exists(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.exists(low, lambda w: test(v, w)))
+    return F.exists(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.exists(wanted, lambda w: test(v, w)))
 
 
 def stereotype_of(
@@ -64,29 +68,28 @@ def stereotype_of(
     """struct(stereotype, confidence): the best stereotype with at least ``least``, else Unknown.
 
     The confidences of the kinds of evidence that match are averaged and raised by a tenth for each
-    kind beyond the first, to 1 at most; the first of equals wins.
+    kind beyond the first, to 1 at most; the first of equals wins. The rule table is one literal that
+    a single expression runs over.
     """
-    rows = []
-    for n, s in enumerate(table):
-        has = [(_any_contains(annotations, s.annotations.split()), s.annotation_confidence)]
-        ends = name.rlike("(" + "|".join(s.suffixes.split()) + ")$")
-        for p in s.patterns:
-            ends = ends | name.rlike(p)
-        has.append((ends, s.suffix_confidence))
-        shape = F.lit(False)
-        if s.interfaces:
-            shape = shape | _any_contains(interfaces, s.interfaces.split())
-        if s.methods:
-            shape = shape | _any_contains(methods, s.methods.split())
-        if s.fields:
-            shape = shape | _any_contains(fields, s.fields.split(), exact=True)
-        has.append((shape, s.structure_confidence))
-        hits = sum((F.coalesce(m, F.lit(False)).cast("int") for m, _ in has), F.lit(0))
-        total = sum((F.when(m, F.lit(c)).otherwise(0.0) for m, c in has), F.lit(0.0))
-        mean = F.try_divide(total, hits)
-        confidence = F.coalesce(F.when(hits > 1, F.least(mean * (1 + (hits - 1) * 0.1), F.lit(1.0))).otherwise(mean), F.lit(0.0))
-        rows.append(F.struct(confidence.alias("confidence"), F.lit(-n).alias("order"), F.lit(s.name).alias("stereotype")))
-    best = F.array_max(F.array(*rows))
+    rules = F.array(*(
+        F.struct(
+            F.lit(-n).alias("order"), F.lit(s.name).alias("stereotype"), _words(s.annotations).alias("annotations"), F.lit(s.annotation_confidence).alias("by_annotation"),
+            F.lit("|".join([f"({x})$" for x in s.suffixes.split()] + [f"({x})" for x in s.patterns])).alias("names"), F.lit(s.suffix_confidence).alias("by_name"),
+            _words(s.interfaces).alias("interfaces"), _words(s.methods).alias("methods"), _words(s.fields).alias("fields"), F.lit(s.structure_confidence).alias("by_structure"),
+        ) for n, s in enumerate(table)
+    ))
+
+    def evidence(s: Column) -> Column:
+        shape = _has(interfaces, s["interfaces"]) | _has(methods, s["methods"]) | _has(fields, s["fields"], exact=True)
+        return F.filter(F.array(
+            F.when(_has(annotations, s["annotations"]), s["by_annotation"]), F.when(F.rlike(name, s["names"]), s["by_name"]), F.when(shape, s["by_structure"]),
+        ), lambda x: x.isNotNull())
+
+    scored = F.transform(rules, lambda s: F.struct(evidence(s).alias("found"), s["order"].alias("order"), s["stereotype"].alias("stereotype")))
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b) / F.size(x) * (1 + (F.size(x) - 1) * 0.1)
+    ranked = F.transform(scored, lambda r: F.struct(
+        F.when(F.size(r["found"]) > 0, F.least(F.lit(1.0), mean(r["found"]))).otherwise(0.0).alias("confidence"), r["order"].alias("order"), r["stereotype"].alias("stereotype")))
+    best = F.array_max(ranked)
     return F.struct(
         F.when(best["confidence"] >= least, best["stereotype"]).otherwise("Unknown").alias("stereotype"),
         F.when(best["confidence"] >= least, best["confidence"]).otherwise(0.0).alias("confidence"),
