@@ -184,7 +184,7 @@ def _(t):
     return n.select("l_orderkey", "l_linenumber", F.size(smells.violations(F.lit("Function"))).cast("long").alias("n"))
 
 
-@on_tables("d_overview", """SELECT (SELECT count(*) FROM documents) AS files, (SELECT sum(n_chars) FROM documents) AS loc, (SELECT count(*) FROM part) AS classes, (SELECT count(*) FROM orders) AS functions, (SELECT round(avg(quality), 9) FROM labels) AS documented""")
+@on_tables("d_overview", """SELECT (SELECT count(*) FROM documents) AS files, (SELECT CAST(sum(n_chars) AS BIGINT) FROM documents) AS loc, (SELECT count(*) FROM part) AS classes, (SELECT count(*) FROM orders) AS functions, (SELECT round(avg(quality), 9) FROM labels) AS documented""")
 def _(t):
     one = t("documents").agg(F.count("*").alias("files"), F.sum("n_chars").alias("loc"))
     for d, name in (("part", "classes"), ("orders", "functions")):

@@ -78,18 +78,18 @@ def _(t):
 # Aggregates
 
 
-@query("a4_summary", "SELECT count(DISTINCT doc_id) AS files, count(DISTINCT source) AS sources, sum(n_chars) AS loc, (SELECT count(DISTINCT doc_id) FROM labels) AS labelled FROM documents")
+@query("a4_summary", "SELECT count(DISTINCT doc_id) AS files, count(DISTINCT source) AS sources, CAST(sum(n_chars) AS BIGINT) AS loc, (SELECT count(DISTINCT doc_id) FROM labels) AS labelled FROM documents")
 def _(t):
     one = t("documents").agg(F.count_distinct("doc_id").alias("files"), F.count_distinct("source").alias("sources"), F.sum("n_chars").alias("loc"))
     return one.join(F.broadcast(t("labels").agg(F.count_distinct("doc_id").alias("labelled"))))
 
 
-@query("a5_language_distribution", "SELECT lang, count(*) AS n, sum(n_chars) AS loc FROM documents GROUP BY lang ORDER BY n DESC, lang")
+@query("a5_language_distribution", "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS loc FROM documents GROUP BY lang ORDER BY n DESC, lang")
 def _(t):
     return t("documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("loc")).orderBy(F.desc("n"), "lang")
 
 
-@query("a6_language_share", "SELECT lang, count(*) AS n, sum(n_chars) AS total, round(100.0 * sum(n_chars) / (SELECT sum(n_chars) FROM documents), 1) AS percent FROM documents GROUP BY lang")
+@query("a6_language_share", "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total, round(100.0 * sum(n_chars) / (SELECT sum(n_chars) FROM documents), 1) AS percent FROM documents GROUP BY lang")
 def _(t):
     return reports.share_of_total(t("documents"), "lang", "n_chars")
 
@@ -112,7 +112,7 @@ def _(t):
     return t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-@query("a9_conditional_counts", "SELECT count(*) AS n, count(*) FILTER (quality = 1) AS good, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic, round(avg(quality), 6) AS ratio FROM labels")
+@query("a9_conditional_counts", "SELECT count(*) AS n, count(*) FILTER (quality = 1) AS good, CAST(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS toxic, round(avg(quality), 6) AS ratio FROM labels")
 def _(t):
     return t("labels").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"), F.round(F.avg("quality"), 6).alias("ratio"))
 
@@ -126,7 +126,7 @@ def _(t):
     return smells.smells(parts, (("large", "loc", 10, (1.5, 2.0, 3.0), "size"),)).groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@query("a22_debt_rollup", f"WITH {_SMELL_SQL}, d AS (SELECT severity, count(*) AS n, sum(CASE severity WHEN 'low' THEN 15 WHEN 'medium' THEN 30 WHEN 'high' THEN 60 ELSE 120 END) AS minutes FROM s GROUP BY severity) SELECT severity, n, minutes, round(minutes / 60.0, 1) AS hours FROM d")
+@query("a22_debt_rollup", f"WITH {_SMELL_SQL}, d AS (SELECT severity, count(*) AS n, CAST(sum(CASE severity WHEN 'low' THEN 15 WHEN 'medium' THEN 30 WHEN 'high' THEN 60 ELSE 120 END) AS BIGINT) AS minutes FROM s GROUP BY severity) SELECT severity, n, minutes, round(minutes / 60.0, 1) AS hours FROM d")
 def _(t):
     parts = t("part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("loc"))
     return smells.smell_rollup(smells.smells(parts, (("large", "loc", 10, (1.5, 2.0, 3.0), "size"),)))
@@ -137,7 +137,7 @@ def _(t):
     return t("part").groupBy(F.coalesce(F.nullif("p_brand", F.lit("Brand#1")), F.lit("Unknown")).alias("stereotype")).agg(F.count("*").alias("n"))
 
 
-@query("a12_test_stats", "SELECT count(*) AS n, list_sort(list(DISTINCT role)) AS roles, sum(turn) AS turns FROM conversations")
+@query("a12_test_stats", "SELECT count(*) AS n, list_sort(list(DISTINCT role)) AS roles, CAST(sum(turn) AS BIGINT) AS turns FROM conversations")
 def _(t):
     return t("conversations").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("role")).alias("roles"), F.sum("turn").alias("turns"))
 
@@ -148,7 +148,7 @@ def _(t):
     return t("pages").agg(hit("page=").alias("paged"), hit("(?i)utm_").alias("tracked"), hit("[.]html$").alias("plain"))
 
 
-@query("a16_statistics", """SELECT count(*) AS files, sum(n_chars) AS loc, round(avg(n_chars), 4) AS mean_loc, count(*) FILTER (lang = 'en') AS english, count(*) FILTER (n_chars > 5000) AS large, max(n_chars) AS largest, count(DISTINCT source) AS sources FROM documents""")
+@query("a16_statistics", """SELECT count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS loc, round(avg(n_chars), 4) AS mean_loc, count(*) FILTER (lang = 'en') AS english, count(*) FILTER (n_chars > 5000) AS large, max(n_chars) AS largest, count(DISTINCT source) AS sources FROM documents""")
 def _(t):
     return t("documents").agg(F.count("*").alias("files"), F.sum("n_chars").alias("loc"), F.round(F.avg("n_chars"), 4).alias("mean_loc"), F.count_if(F.col("lang") == "en").alias("english"),
                               F.count_if(F.col("n_chars") > 5000).alias("large"), F.max("n_chars").alias("largest"), F.count_distinct("source").alias("sources"))
@@ -405,7 +405,7 @@ def _(t):
     return t("part").select("p_partkey", ladders.business_category(F.col("p_type")).alias("category"))
 
 
-@query("f_json_props", "SELECT event_type, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS total FROM events GROUP BY event_type")
+@query("f_json_props", "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type")
 def _(t):
     return t("events").select("event_type", F.from_json("props", "k long")["k"].alias("k")).groupBy("event_type").agg(F.sum("k").alias("total"))
 
