@@ -45,6 +45,14 @@ def row_key(id_col: str, text_col: str) -> Column:
     )))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until ``df`` has no such column (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; every other letter stays."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

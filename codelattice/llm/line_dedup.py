@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import cut, row_key
+from codelattice.llm.common import cut, free_name, row_key
 
 #: A window's size in lines.
 WINDOW = 3
@@ -49,17 +49,17 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with the later places of repeated windows taken out of the text.
 
-    All columns come back, the text replaced, and ``n_removed_lines`` added: one row per input
+    All columns come back, the text replaced, and ``n_removed_lines`` added (in place of a column of
+    that name): one row per input
     row. Rows equal in id and text count as one document and get the same result. Null texts
     stay null, a text without a kept line becomes empty, line order never changes.
     """
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, window=window).select(
-        F.col("key").alias("_gone_key"), F.map_from_entries(F.transform("removed", lambda i: F.struct(i, F.lit(True)))).alias("_gone"))
-    names = docs.columns
-    joined = docs.withColumn("_gone_row", row_key(id_col, text_col)).join(gone, F.col("_gone_row") == F.col("_gone_key"), "left")
-    kept = F.array_join(
-        F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.map_contains_key("_gone", i)), "\n")
+    row, key, gone = (free_name(docs, x) for x in ("line_row", "line_key", "line_gone"))
+    found = repeated_lines(docs, id_col=id_col, text_col=text_col, window=window).select(
+        F.col("key").alias(key), F.map_from_entries(F.transform("removed", lambda i: F.struct(i, F.lit(True)))).alias(gone))
+    joined = docs.withColumn(row, row_key(id_col, text_col)).join(found, F.col(row) == F.col(key), "left")
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.map_contains_key(gone, i)), "\n")
     return joined.select(
-        *(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in names if c != "n_removed_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed_lines"),
+        *(F.when(F.col(gone).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "n_removed_lines"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed_lines"),
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import cut, row_key
+from codelattice.llm.common import cut, free_name, row_key
 from codelattice.llm.decontamination import decontaminate
 from codelattice.llm.line_dedup import dedup_lines
 from codelattice.llm.mixing import mix_sources
@@ -20,7 +20,8 @@ from codelattice.llm.toxicity import score_toxicity
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows whose key is not in ``keys`` (row_key)."""
-    return docs.withColumn("_key", row_key("doc_id", "text")).join(keys.select(F.col("row_key").alias("_key")).distinct(), "_key", "left_anti").select(docs.columns)
+    key = free_name(docs, "key")
+    return docs.withColumn(key, row_key("doc_id", "text")).join(keys.select(F.col("row_key").alias(key)).distinct(), key, "left_anti").select(docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +39,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays, once."""
-    kept = near_duplicates(docs).where("kept").select(F.col("row_key").alias("_key")).distinct()
-    return docs.withColumn("_key", row_key("doc_id", "text")).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    key = free_name(docs, "key")
+    kept = near_duplicates(docs).where("kept").select(F.col("row_key").alias(key)).distinct()
+    return docs.withColumn(key, row_key("doc_id", "text")).join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +52,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, numbered in ``copy``; rows equal in id and
-    text share their number of copies."""
-    copies = mix_sources(docs).groupBy("row_key").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    once = docs.withColumn("row_key", row_key("doc_id", "text")).dropDuplicates(["row_key"])
-    return once.join(copies, "row_key").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+    text share their number of copies. Where documents have a column ``copy`` the number's is ``copy_``."""
+    key, n = free_name(docs, "key"), free_name(docs, "copies")
+    copies = mix_sources(docs).groupBy(F.col("row_key").alias(key)).agg(F.sum("copies").cast("int").alias(n)).where(F.col(n) > 0)
+    once = docs.withColumn(key, row_key("doc_id", "text")).dropDuplicates([key])
+    return once.join(copies, key).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(free_name(docs, "copy")))
 
 
 STAGES = [

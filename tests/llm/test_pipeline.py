@@ -79,3 +79,14 @@ def test_pipeline(spark, folder):
     assert set(ids[5]) <= set(ids[4]) and all(n <= 3 for n in ids[5].values())
     again = sorted((r.doc_id is None, r.doc_id or 0, r["copy"]) for r in cp.run(spark, folder).collect())
     assert again == sorted((r.doc_id is None, r.doc_id or 0, r["copy"]) for r in kept[5].collect())
+
+
+def test_stages_on_empty_tables_and_clashing_names(spark, folder, empty):
+    clash = spark.read.parquet(f"{folder}/documents.parquet").limit(30)
+    for name in ("key", "copies", "copy", "row_key", "line_gone", "id", "row", "fp", "votes", "n_removed_lines", "size", "part"):
+        clash = clash.withColumn(name, F.lit("own"))
+    for name, stage in cp.STAGES:
+        assert stage(spark, empty, folder).count() == 0
+        out = cut(stage(spark, clash, folder), name)
+        assert set(clash.columns) <= set(out.columns)
+        assert out.where("key <> 'own' or copies <> 'own' or copy <> 'own' or row_key <> 'own' or line_gone <> 'own'").count() == 0
