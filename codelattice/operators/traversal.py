@@ -43,26 +43,22 @@ def count_walks(edges: DataFrame, seeds: DataFrame, low: int, high: int, *, type
     return out.groupBy("seed", "id").agg(F.sum("n").alias("n"))
 
 
-def depths(edges: DataFrame, seeds: DataFrame, limit: int, *, types: Sequence[str] = (), reverse: bool = False, every: int = 3) -> DataFrame:
+def depths(edges: DataFrame, seeds: DataFrame, limit: int, *, types: Sequence[str] = (), reverse: bool = False) -> DataFrame:
     """(id, depth): the fewest edges from any seed, up to ``limit``; seeds have depth 0.
 
-    A frontier loop: each round extends only the newly found nodes and drops known ones; lineage
-    is cut every few rounds and the loop ends early once the frontier is empty.
+    A frontier loop: the edges are written once, each round extends only the newly found nodes and
+    drops known ones, its frontier is written, and the loop ends once that is empty.
     """
     e = of_type(edges, *types).select(F.col("src").alias("at"), F.col("dst").alias("to"))
-    e = e.select(F.col("to").alias("at"), F.col("at").alias("to")).distinct() if reverse else e.distinct()
-    found = seeds.select("id", F.lit(0).alias("depth")).distinct()
-    frontier = found
+    e = e.select(F.col("to").alias("at"), F.col("at").alias("to")) if reverse else e
+    e = cut(e.distinct(), "edges")
+    found = frontier = cut(seeds.select("id", F.lit(0).alias("depth")).distinct(), "frontier")
     for n in range(1, limit + 1):
         new = frontier.join(e, F.col("id") == F.col("at")).select(F.col("to").alias("id")).distinct().join(found, "id", "left_anti")
-        frontier = new.select("id", F.lit(n).alias("depth"))
-        if n % every == 0:
-            frontier = cut(frontier, "frontier")
-            if frontier.isEmpty():
-                break
+        frontier = cut(new.select("id", F.lit(n).alias("depth")), "frontier")
+        if frontier.isEmpty():
+            break
         found = found.unionByName(frontier)
-        if n % every == 0:
-            found = cut(found, "found")
     return found
 
 
