@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,6 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     ``shingle`` words joined by spaces (fewer words: all of them). A bit is 1 if it is set in over
     half of the shingles' XXH64 hashes (seed 42). No words, or null: zero.
     """
-    from xxhash import xxh64_intdigest
-
     words = text.encode().lower().split() if text else []
     if not words:
         return 0
@@ -39,7 +38,7 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(parts), 65536):
         some = parts[at : at + 65536]
-        h = np.fromiter((xxh64_intdigest(x, 42) for x in some), ">u8", len(some))
+        h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in some), ">u8", len(some))
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(parts)).view(">i8")[0])
 
@@ -146,3 +145,125 @@ def near_duplicates(
     return marked.alias("m").join(named.withColumnRenamed("key", "kept_key"), "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("key").alias("row_key"),
         (F.col("key") == F.col("kept_key")).alias("kept"))
+
+
+#: Similarity search: words to a shingle of the compared fingerprint and of the blocks' fingerprint.
+SIMILAR_SHINGLE, BLOCK_SHINGLE = 5, 2
+#: Words of 64 bits in the compared fingerprint; blocks of the other, and bits in each (whole bytes).
+LONGS, SIMILAR_BLOCKS, BLOCK_BITS = 8, 32, 24
+_NAMES = [f"f{i}" for i in range(LONGS)]
+
+
+def allowed_bits(similarity: float, bits: int = 64 * LONGS) -> int:
+    """The largest distance taken for sets of this Jaccard similarity: a bit of two sets differs with
+    probability acos(cosine) / pi; one standard deviation is added, so that most pairs at the bound pass."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+
+
+def wide_simhash(words: list[bytes], shingle: int, longs: int) -> np.ndarray:
+    """``8 * longs`` bytes: the SimHash of the set of shingles, each hash stretched by SplitMix64 steps."""
+    n = max(1, len(words) - shingle + 1) if words else 0
+    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n))
+    steps = np.arange(1, longs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * longs, np.int64)
+    for at in range(0, len(h), 4096):
+        z = h[at : at + 4096, None] + steps
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        ones += np.unpackbits(z.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint32)
+    return np.packbits(ones * 2 > len(h))
+
+
+def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    tags = np.arange(SIMILAR_BLOCKS, dtype=np.int64) << BLOCK_BITS
+    scale = 256 ** np.arange(BLOCK_BITS // 8)
+    for rows in batches:
+        node, fps, blocks = [], [], []
+        for text in rows["text"]:
+            words = text.encode().lower().split() if text else []
+            node.append(xxhash.xxh64_intdigest(b" ".join(words), 0) - (1 << 63))
+            fps.append(wide_simhash(words, SIMILAR_SHINGLE, LONGS).view(np.int64))
+            cells = wide_simhash(words, BLOCK_SHINGLE, SIMILAR_BLOCKS * BLOCK_BITS // 64).reshape(SIMILAR_BLOCKS, -1)
+            blocks.append(tags + (cells * scale).sum(axis=1))
+        fp = np.array(fps, np.int64).reshape(-1, LONGS)
+        yield pd.DataFrame({"id": rows["id"], "key": rows["key"], "node": np.array(node, np.int64), **dict(zip(_NAMES, fp.T, strict=True)), "blocks": blocks})
+
+
+def _spanning(limit: int):
+    """Edges of a spanning forest of each cell: a search from node to node over those not yet reached."""
+
+    def spanning(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            edges: list[tuple[int, int]] = []
+            for cell in rows["cell"]:
+                node = np.array([x["node"] for x in cell], np.int64)
+                fp = np.array([[x[f] for f in _NAMES] for x in cell], np.int64).view(np.uint64)
+                left = np.arange(len(node))
+                while len(left):
+                    todo, left = [left[0]], left[1:]
+                    while todo and len(left):
+                        at = todo.pop()
+                        near = np.bitwise_count(fp[left] ^ fp[at]).sum(axis=1, dtype=np.int32) <= limit
+                        todo += left[near].tolist()
+                        edges += [(int(node[at]), int(x)) for x in node[left[near]]]
+                        left = left[~near]
+            yield pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+
+    return spanning
+
+
+def similar_pairs(nodes: DataFrame, *, limit: int, chunk: int = 4 * CHUNK) -> DataFrame:
+    """Edges (a, b) that connect nodes as all pairs do that share a block and differ in at most ``limit`` bits.
+
+    ``nodes`` has one row for each ``node``, with its fingerprint f0, f1, ... and its ``blocks``. In each
+    bucket the nodes close to its smallest node are linked to that; they need no comparison with
+    each other. The rest is compared with all of the bucket, chunk against chunk, so a cell holds
+    about ``2 * chunk`` rows however large the bucket.
+    """
+    rows = nodes.select("node", F.explode("blocks").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
+    first = nodes.select(F.col("node").alias("leader"), *(F.col(f).alias(f"l{f}") for f in _NAMES))
+    apart = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"l{f}"))) for f in _NAMES), F.lit(0))
+    met = rows.join(shared, "bucket").join(nodes.drop("blocks"), "node").join(first, "leader")
+    met = cut(met.select("bucket", "leader", "node", *_NAMES, (apart <= limit).alias("near")), "buckets")
+    chunks = lambda c: F.ceil(F.count_if(c) / F.lit(chunk)).cast("int")
+    sizes = met.groupBy("bucket").agg(chunks(F.col("near")).alias("nears"), chunks(~F.col("near")).alias("fars")).where("fars > 0")
+    dealt = met.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("near"), F.col("nears")).otherwise(F.col("fars"))).cast("int"))
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda c, d: F.struct(c.alias("c"), d.alias("d"))
+    cells = F.when(F.col("near"), F.transform(to("fars"), lambda x: cell(x, -1 - F.col("own")))).otherwise(F.concat(
+        F.transform(to("fars"), lambda x: cell(F.least(x, F.col("own")), F.greatest(x, F.col("own")))),
+        F.transform(to("nears"), lambda x: cell(F.col("own"), -1 - x))))
+    met_cells = dealt.select("bucket", "node", *_NAMES, F.explode(cells).alias("at")).groupBy("bucket", "at").agg(
+        F.collect_list(F.struct("node", *_NAMES)).alias("cell")).where("size(cell) > 1").select("cell")
+    linked = met.where("near and node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    return linked.union(met_cells.mapInPandas(_spanning(limit), "a long, b long")).distinct()
+
+
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, chunk: int = 4 * CHUNK) -> DataFrame:
+    """One row per document: ``id_col``, component_id, row_key, kept (the component's first document by
+    id and key), for documents whose sets of five-word shingles have about ``similarity`` or more.
+
+    Two SimHash fingerprints are made of each text. That of two-word shingles, which an edit disturbs
+    less, is cut into 32 blocks of 24 bits; documents that share a block are candidates. That of five-word
+    shingles (512 bits) is compared: at most ``allowed_bits(similarity)`` differing bits are a link.
+    Texts of equal words are one node (XXH64), joined before any search. Null and empty texts
+    are copies of each other; null ids come last; repeated rows stay repeated.
+    """
+    kind = dict(docs.dtypes)[id_col]
+    marked = cut(
+        docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+        .mapInPandas(_signatures, f"id {kind}, key binary, node long, {', '.join(f'{f} long' for f in _NAMES)}, blocks array<long>"),
+        "signatures",
+    )
+    nodes = marked.groupBy("node").agg(*(F.any_value(f).alias(f) for f in (*_NAMES, "blocks")))
+    order = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    classes = marked.groupBy("node").agg(order)
+    labels = connected_components(similar_pairs(cut(nodes, "nodes"), limit=allowed_bits(similarity), chunk=chunk))
+    labelled = classes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
+    kept = labelled.groupBy("label").agg(F.min("first").alias("kept"))
+    named = labelled.join(kept, "label").select("node", "kept")
+    return marked.select("id", "key", "node").join(named, "node").select(
+        F.col("id").alias(id_col), F.col("kept.id").alias("component_id"), F.col("key").alias("row_key"), (F.col("key") == F.col("kept.key")).alias("kept"))

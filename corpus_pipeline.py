@@ -14,7 +14,7 @@ from codelattice.llm.common import cut, free_name, row_key
 from codelattice.llm.decontamination import decontaminate
 from codelattice.llm.line_dedup import dedup_lines
 from codelattice.llm.mixing import mix_sources
-from codelattice.llm.simhash import near_duplicates
+from codelattice.llm.simhash import similar_documents
 from codelattice.llm.toxicity import score_toxicity
 
 
@@ -38,9 +38,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, once."""
+    """Of each group of documents linked by a five-word shingle similarity of 0.8 or more the one with
+    the smallest id stays, once."""
     key = free_name(docs, "key")
-    kept = near_duplicates(docs).where("kept").select(F.col("row_key").alias(key)).distinct()
+    kept = similar_documents(docs).where("kept").select(F.col("row_key").alias(key)).distinct()
     return docs.withColumn(key, row_key("doc_id", "text")).join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns)
 
 

@@ -140,6 +140,56 @@ def test_close_fingerprints_with_large_buckets(spark, chunk):
     assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
 
 
+@pytest.mark.parametrize("chunk", [3, 4096])
+def test_similar_pairs_connect_as_all_pairs_do(spark, chunk):
+    """One crowded bucket, and nodes that only reach the leader over others."""
+    import random
+
+    from codelattice.llm.common import connected_components
+
+    rng = random.Random(2)
+    fps = []
+    for i in range(120):
+        x = rng.getrandbits(64) if i % 4 == 0 or not fps else rng.choice(fps)
+        for _ in range(rng.randint(1, 7)):
+            x ^= 1 << rng.randrange(64)
+        fps.append(x)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(n, *[signed(x)] * simhash.LONGS, [1, 2 + n % 5]) for n, x in enumerate(fps)]
+    names = ", ".join(f"f{i} long" for i in range(simhash.LONGS))
+    edges = simhash.similar_pairs(spark.createDataFrame(rows, f"node long, {names}, blocks array<long>"), limit=4 * simhash.LONGS, chunk=chunk)
+    got = {r.node: r.label for r in connected_components(edges).collect()}
+    assert [got.get(n, n) for n in range(len(fps))] == brute_components(list(enumerate(fps)))
+
+
+def test_similar_documents(spark, docs, empty):
+    import random
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    texts = [[rng.choice(words) for _ in range(rng.choice([60, 200, 700]))] for _ in range(150)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    similar = []
+    for i, t in enumerate(texts[:100]):
+        near = list(t)
+        for _ in range(max(1, len(t) // 60)):
+            near[rng.randrange(len(near))] = "changed"
+        rows.append((1000 + i, " ".join(near)))
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t, near))
+        if len(a & b) >= 0.8 * len(a | b):
+            similar.append(i)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[1000 + i] == i for i in similar) >= 0.95 * len(similar) > 60
+    assert all(got[i] == i for i in range(150)) and all(c in (d, d - 1000) for d, c in got.items())
+    small = rows_of(simhash.similar_documents(docs, chunk=2))
+    at = collections.Counter((r.doc_id, r.component_id) for r in small)
+    assert len(small) == docs.count() and at[(96, 96)] == 1 and at[(5, 5)] == 3 and at[(90, 90)] == at[(91, 90)] == at[(94, 90)] == at[(None, 90)] == 1
+    assert all(at[(60 + i, i)] for i in range(10))
+    kept = [r.component_id for r in small if r.kept]
+    assert set(kept) == {r.component_id for r in small}
+    assert simhash.similar_documents(empty).count() == 0
+
+
 def test_mixing(docs, empty):
     got = rows_of(mixing.mix_sources(docs))
     size = lambda t: len(TOKEN.findall(t or ""))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as cp
 from codelattice.llm.common import cut
 from codelattice.llm.decontamination import decontaminate
-from codelattice.llm.simhash import near_duplicates
+from codelattice.llm.simhash import similar_documents
 from codelattice.llm.toxicity import label_model, score_toxicity
 
 
@@ -69,10 +69,7 @@ def test_pipeline(spark, folder):
     ids = [collections.Counter(r.doc_id for r in df.select("doc_id").collect()) for df in kept]
     assert ids[1] == collections.Counter({i: n for i, n in ids[0].items() if i is None or i < 1000})
     assert ids[2] == ids[1]
-    components = near_duplicates(kept[2]).collect()
-    first = {}
-    for r in components:
-        first.setdefault(r.component_id, r.component_id)
+    first = {r.component_id for r in similar_documents(kept[2]).collect()}
     assert ids[3] == collections.Counter(list(first))
     bad = {r.doc_id for r in decontaminate(kept[3], spark.read.parquet(f"{folder}/benchmark.parquet")).where("contaminated").collect()}
     assert 12 in bad and ids[4] == collections.Counter({i: n for i, n in ids[3].items() if i not in bad})
