@@ -147,10 +147,11 @@ def near_duplicates(
         (F.col("key") == F.col("kept_key")).alias("kept"))
 
 
-#: Similarity search: words to a shingle of the compared fingerprint and of the blocks' fingerprint.
-SIMILAR_SHINGLE, BLOCK_SHINGLE = 5, 2
-#: Words of 64 bits in the compared fingerprint; blocks of the other, and bits in each (whole bytes).
-LONGS, SIMILAR_BLOCKS, BLOCK_BITS = 8, 32, 24
+#: Similarity search: words to a shingle, and words of 64 bits in a fingerprint.
+SIMILAR_SHINGLE, LONGS = 5, 8
+#: Blocks of a text, and minima in each: sets of similarity s share a block with probability 1 - (1 - s ** 4) ** 25,
+#: however the differences lie in the text.
+SIMILAR_BLOCKS, MINIMA = 25, 4
 _NAMES = [f"f{i}" for i in range(LONGS)]
 
 
@@ -161,32 +162,62 @@ def allowed_bits(similarity: float, bits: int = 64 * LONGS) -> int:
     return int(bits * p + np.sqrt(bits * p * (1 - p)))
 
 
-def wide_simhash(words: list[bytes], shingle: int, longs: int) -> np.ndarray:
-    """``8 * longs`` bytes: the SimHash of the set of shingles, each hash stretched by SplitMix64 steps."""
-    n = max(1, len(words) - shingle + 1) if words else 0
-    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n))
+def _mix(z: np.ndarray) -> np.ndarray:
+    """The finishing steps of SplitMix64."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def shingle_set(words: list[bytes], shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """The sorted distinct XXH64 hashes of a text's shingles (fewer words: all of them); none without words."""
+    parts = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words] if words else []
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(x), 42) for x in parts], np.uint64))
+
+
+def wide_simhash(h: np.ndarray, longs: int = LONGS) -> np.ndarray:
+    """``longs`` words of 64 bits: the SimHash of a set of hashes, each stretched by SplitMix64 steps."""
     steps = np.arange(1, longs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     ones = np.zeros(64 * longs, np.int64)
     for at in range(0, len(h), 4096):
-        z = h[at : at + 4096, None] + steps
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
+        z = _mix(h[at : at + 4096, None] + steps)
         ones += np.unpackbits(z.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint32)
-    return np.packbits(ones * 2 > len(h))
+    return np.packbits(ones * 2 > len(h)).view(np.int64)
+
+
+_FACTORS = _mix(np.arange(1, SIMILAR_BLOCKS * MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def min_blocks(h: np.ndarray) -> np.ndarray:
+    """The blocks of a set of hashes: each a hash of the set's minima under MINIMA orders. An empty set has none."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_FACTORS), ~np.uint64(0))
+    for at in range(0, len(h), 1024):
+        least = np.minimum(least, (h[at : at + 1024, None] * _FACTORS).min(axis=0))
+    block = np.arange(1, SIMILAR_BLOCKS + 1, dtype=np.uint64)
+    for x in least.reshape(SIMILAR_BLOCKS, MINIMA).T:
+        block = _mix(block ^ x) + np.uint64(0x9E3779B97F4A7C15)
+    return block.view(np.int64)
+
+
+def _words(text: str | None) -> list[bytes]:
+    return text.encode().lower().split() if text else []
+
+
+def _node(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words), 0) - (1 << 63)
 
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    tags = np.arange(SIMILAR_BLOCKS, dtype=np.int64) << BLOCK_BITS
-    scale = 256 ** np.arange(BLOCK_BITS // 8)
     for rows in batches:
         node, fps, blocks = [], [], []
         for text in rows["text"]:
-            words = text.encode().lower().split() if text else []
-            node.append(xxhash.xxh64_intdigest(b" ".join(words), 0) - (1 << 63))
-            fps.append(wide_simhash(words, SIMILAR_SHINGLE, LONGS).view(np.int64))
-            cells = wide_simhash(words, BLOCK_SHINGLE, SIMILAR_BLOCKS * BLOCK_BITS // 64).reshape(SIMILAR_BLOCKS, -1)
-            blocks.append(tags + (cells * scale).sum(axis=1))
+            words = _words(text)
+            h = shingle_set(words)
+            node.append(_node(words))
+            fps.append(wide_simhash(h))
+            blocks.append(min_blocks(h))
         fp = np.array(fps, np.int64).reshape(-1, LONGS)
         yield pd.DataFrame({"id": rows["id"], "key": rows["key"], "node": np.array(node, np.int64), **dict(zip(_NAMES, fp.T, strict=True)), "blocks": blocks})
 
@@ -246,9 +277,9 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """One row per document: ``id_col``, component_id, row_key, kept (the component's first document by
     id and key), for documents whose sets of five-word shingles have about ``similarity`` or more.
 
-    Two SimHash fingerprints are made of each text. That of two-word shingles, which an edit disturbs
-    less, is cut into 32 blocks of 24 bits; documents that share a block are candidates. That of five-word
-    shingles (512 bits) is compared: at most ``allowed_bits(similarity)`` differing bits are a link.
+    The set of five-word shingles of each text gives 25 blocks, each of four minima of the set under
+    hashed orders; documents that share a block are candidates. The set's SimHash fingerprint (512
+    bits) is compared: at most ``allowed_bits(similarity)`` differing bits are a link.
     Texts of equal words are one node (XXH64), joined before any search. Null and empty texts
     are copies of each other; null ids come last; repeated rows stay repeated.
     """

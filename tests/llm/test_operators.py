@@ -190,6 +190,35 @@ def test_similar_documents(spark, docs, empty):
     assert simhash.similar_documents(empty).count() == 0
 
 
+def edited_pairs(n=60, length=700):
+    """(kind, text, edited text, similarity of their five-word shingles) for pairs of 0.8 to 0.9 whose difference is one run of words."""
+    import random
+
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    some = lambda k: [rng.choice(words) for _ in range(k)]
+    for i in range(n):
+        t = some(length)
+        k = rng.randrange(length // 9 + 5, length // 4 - 5)
+        m = rng.randrange(length // 19 + 5, length // 9 - 5)
+        at = rng.randrange(length - m)
+        for kind, near in (("appended", t + some(k)), ("replaced", t[:at] + some(m) + t[at + m :])):
+            a, b = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t, near))
+            yield kind, " ".join(t), " ".join(near), len(a & b) / len(a | b)
+
+
+def test_texts_with_one_changed_run_share_a_block():
+    import pandas as pd
+
+    pairs = list(edited_pairs())
+    assert all(0.8 <= s <= 0.9 for *_, s in pairs)
+    for kind in ("appended", "replaced"):
+        own = [x for x in pairs if x[0] == kind]
+        blocks = lambda texts: next(simhash._signatures(iter([pd.DataFrame({"id": 0, "key": b"", "text": texts})])))["blocks"]
+        found = [bool(set(a) & set(b)) for a, b in zip(blocks([x[1] for x in own]), blocks([x[2] for x in own]), strict=True)]
+        assert all(found), (kind, sum(found), len(found))
+
+
 def test_mixing(docs, empty):
     got = rows_of(mixing.mix_sources(docs))
     size = lambda t: len(TOKEN.findall(t or ""))
