@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -155,11 +155,11 @@ SIMILAR_BLOCKS, MINIMA = 25, 4
 _NAMES = [f"f{i}" for i in range(LONGS)]
 
 
-def allowed_bits(similarity: float, bits: int = 64 * LONGS) -> int:
-    """The largest distance taken for sets of this Jaccard similarity: a bit of two sets differs with
-    probability acos(cosine) / pi; one standard deviation is added, so that most pairs at the bound pass."""
+def allowed_bits(similarity: float, bits: int = 64 * LONGS, deviations: float = 5) -> int:
+    """The largest distance taken for a candidate at this Jaccard similarity: a bit of two sets differs with
+    probability acos(cosine) / pi; five standard deviations are added, so that fewer than one in a million pairs at the bound are lost."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + deviations * np.sqrt(bits * p * (1 - p)))
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -222,43 +222,109 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": rows["id"], "key": rows["key"], "node": np.array(node, np.int64), **dict(zip(_NAMES, fp.T, strict=True)), "blocks": blocks})
 
 
-def _spanning(limit: int):
-    """Edges of a spanning forest of each cell: a search from node to node over those not yet reached."""
+def _shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        words = [_words(x) for x in rows["text"]]
+        yield pd.DataFrame({"node": np.array([_node(w) for w in words], np.int64), "shingles": [shingle_set(w).view(np.int64) for w in words]})
+
+
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) * (1 - 1e-9):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both) >= similarity
+
+
+def _spanning(limit: int, similarity: float | None):
+    """Edges of a spanning forest of each cell: a search from node to node over those not yet reached.
+
+    With a similarity, nodes of one label are connected already, and a close fingerprint is only a
+    candidate: the two sets of shingles decide.
+    """
+
+    def hits(cell, at: int, close: np.ndarray, label: np.ndarray) -> Iterator[int]:
+        found = set()
+        for x in close.tolist():
+            if similarity is None or (label[x] not in found and _alike(cell[at]["shingles"], cell[x]["shingles"], similarity)):
+                found.add(label[x])
+                yield x
 
     def spanning(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             edges: list[tuple[int, int]] = []
             for cell in rows["cell"]:
                 node = np.array([x["node"] for x in cell], np.int64)
+                label = node if similarity is None else np.array([x["label"] for x in cell], np.int64)
                 fp = np.array([[x[f] for f in _NAMES] for x in cell], np.int64).view(np.uint64)
                 left = np.arange(len(node))
                 while len(left):
-                    todo, left = [left[0]], left[1:]
+                    own = label[left] == label[left[0]]
+                    todo, left = left[own].tolist(), left[~own]
                     while todo and len(left):
                         at = todo.pop()
                         near = np.bitwise_count(fp[left] ^ fp[at]).sum(axis=1, dtype=np.int32) <= limit
-                        todo += left[near].tolist()
-                        edges += [(int(node[at]), int(x)) for x in node[left[near]]]
-                        left = left[~near]
+                        if not near.any():
+                            continue
+                        linked = list(hits(cell, at, left[near], label))
+                        edges += [(int(node[at]), int(node[x])) for x in linked]
+                        reached = np.isin(label[left], label[linked])
+                        todo += left[reached].tolist()
+                        left = left[~reached]
             yield pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
     return spanning
 
 
-def similar_pairs(nodes: DataFrame, *, limit: int, chunk: int = 4 * CHUNK) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have the similarity."""
+    both = F.size(F.array_intersect("x", "y"))
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return joined.where(both / (F.size("x") + F.size("y") - both) >= similarity).select("a", "b")
+
+
+def similar_pairs(
+    nodes: DataFrame, *, limit: int, chunk: int = 4 * CHUNK, sets: Callable[[DataFrame], DataFrame] | None = None,
+    similarity: float | None = None, leaders: int = 2,
+) -> DataFrame:
     """Edges (a, b) that connect nodes as all pairs do that share a block and differ in at most ``limit`` bits.
 
     ``nodes`` has one row for each ``node``, with its fingerprint f0, f1, ... and its ``blocks``. In each
     bucket the nodes close to its smallest node are linked to that; they need no comparison with
     each other. The rest is compared with all of the bucket, chunk against chunk, so a cell holds
     about ``2 * chunk`` rows however large the bucket.
+
+    With a ``similarity``, ``sets`` gives the ``shingles`` of the nodes asked for, and only pairs whose sets
+    have it are linked. In ``leaders`` rounds every node is held against one leader of each of its buckets;
+    the components of these links take the place of closeness to the leader.
     """
     rows = nodes.select("node", F.explode("blocks").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    first = nodes.select(F.col("node").alias("leader"), *(F.col(f).alias(f"l{f}") for f in _NAMES))
-    apart = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"l{f}"))) for f in _NAMES), F.lit(0))
-    met = rows.join(shared, "bucket").join(nodes.drop("blocks"), "node").join(first, "leader")
-    met = cut(met.select("bucket", "leader", "node", *_NAMES, (apart <= limit).alias("near")), "buckets")
+    if similarity is None:
+        first = nodes.select(F.col("node").alias("leader"), *(F.col(f).alias(f"l{f}") for f in _NAMES))
+        apart = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"l{f}"))) for f in _NAMES), F.lit(0))
+        met = rows.join(shared, "bucket").join(nodes.drop("blocks"), "node").join(first, "leader")
+        met = cut(met.select("bucket", "leader", "node", *_NAMES, (apart <= limit).alias("near")), "buckets")
+        linked, carried = met.where("near and node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")), _NAMES
+    else:
+        met = cut(rows.join(shared, "bucket").select("bucket", "leader", "node", F.col("node").alias("label"), F.col("leader").alias("leader_label")), "buckets")
+        found = cut(sets(met.select("node").distinct()), "shingles")
+        linked = None
+        for k in range(leaders):
+            if k:
+                other = met.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), F.xxhash64("label", "node", F.lit(k))).alias("to"))
+                met = met.join(other, "bucket").select("bucket", F.col("to.node").alias("leader"), "node", "label", F.col("to.label").alias("leader_label"))
+            pairs = met.where("label <> leader_label").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+            new = cut(_verified(pairs, found, similarity), "links")
+            linked = new if linked is None else linked.union(new)
+            labels = connected_components(linked)
+            split = met.select("bucket", "leader", "node").join(labels, "node", "left").join(
+                labels.select(F.col("node").alias("leader"), F.col("label").alias("leader_label")), "leader", "left")
+            split = cut(split.select("bucket", "leader", "node", F.coalesce("label", "node").alias("label"), F.coalesce("leader_label", "leader").alias("leader_label")), "buckets")
+            open_ = split.where("label <> leader_label").select("bucket").distinct()
+            met = cut(split.join(open_, "bucket"), "buckets")
+        met = met.withColumn("near", F.col("label") == F.col("leader_label")).join(nodes.drop("blocks"), "node").join(found, "node")
+        carried = [*_NAMES, "label", "shingles"]
     chunks = lambda c: F.ceil(F.count_if(c) / F.lit(chunk)).cast("int")
     sizes = met.groupBy("bucket").agg(chunks(F.col("near")).alias("nears"), chunks(~F.col("near")).alias("fars")).where("fars > 0")
     dealt = met.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("near"), F.col("nears")).otherwise(F.col("fars"))).cast("int"))
@@ -267,19 +333,19 @@ def similar_pairs(nodes: DataFrame, *, limit: int, chunk: int = 4 * CHUNK) -> Da
     cells = F.when(F.col("near"), F.transform(to("fars"), lambda x: cell(x, -1 - F.col("own")))).otherwise(F.concat(
         F.transform(to("fars"), lambda x: cell(F.least(x, F.col("own")), F.greatest(x, F.col("own")))),
         F.transform(to("nears"), lambda x: cell(F.col("own"), -1 - x))))
-    met_cells = dealt.select("bucket", "node", *_NAMES, F.explode(cells).alias("at")).groupBy("bucket", "at").agg(
-        F.collect_list(F.struct("node", *_NAMES)).alias("cell")).where("size(cell) > 1").select("cell")
-    linked = met.where("near and node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    return linked.union(met_cells.mapInPandas(_spanning(limit), "a long, b long")).distinct()
+    met_cells = dealt.select("bucket", "node", *carried, F.explode(cells).alias("at")).groupBy("bucket", "at").agg(
+        F.collect_list(F.struct("node", *carried)).alias("cell")).where("size(cell) > 1").select("cell")
+    return linked.union(met_cells.mapInPandas(_spanning(limit, similarity), "a long, b long")).distinct()
 
 
-def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, chunk: int = 4 * CHUNK) -> DataFrame:
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, chunk: int = CHUNK // 2) -> DataFrame:
     """One row per document: ``id_col``, component_id, row_key, kept (the component's first document by
-    id and key), for documents whose sets of five-word shingles have about ``similarity`` or more.
+    id and key), for documents whose sets of five-word shingles have a Jaccard ``similarity`` or more.
 
     The set of five-word shingles of each text gives 25 blocks, each of four minima of the set under
-    hashed orders; documents that share a block are candidates. The set's SimHash fingerprint (512
-    bits) is compared: at most ``allowed_bits(similarity)`` differing bits are a link.
+    hashed orders; documents that share a block are candidates. A link is made only where the exact
+    similarity of the two sets of 64-bit hashes is high enough; before that, the sets' SimHash
+    fingerprints (512 bits, ``allowed_bits(similarity)``) spare most comparisons.
     Texts of equal words are one node (XXH64), joined before any search. Null and empty texts
     are copies of each other; null ids come last; repeated rows stay repeated.
     """
@@ -289,10 +355,16 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         .mapInPandas(_signatures, f"id {kind}, key binary, node long, {', '.join(f'{f} long' for f in _NAMES)}, blocks array<long>"),
         "signatures",
     )
-    nodes = marked.groupBy("node").agg(*(F.any_value(f).alias(f) for f in (*_NAMES, "blocks")))
+    every = cut(marked.groupBy("node").agg(F.min("key").alias("key"), *(F.any_value(f).alias(f) for f in (*_NAMES, "blocks"))), "nodes")
+
+    def sets(asked: DataFrame) -> DataFrame:
+        keys = every.select("node", "key").join(asked, "node", "left_semi").select("key")
+        texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+        return texts.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("text").mapInPandas(_shingle_sets, "node long, shingles array<long>")
+
     order = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     classes = marked.groupBy("node").agg(order)
-    labels = connected_components(similar_pairs(cut(nodes, "nodes"), limit=allowed_bits(similarity), chunk=chunk))
+    labels = connected_components(similar_pairs(every.drop("key"), limit=allowed_bits(similarity), chunk=chunk, sets=sets, similarity=similarity))
     labelled = classes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     kept = labelled.groupBy("label").agg(F.min("first").alias("kept"))
     named = labelled.join(kept, "label").select("node", "kept")

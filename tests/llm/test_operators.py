@@ -219,6 +219,36 @@ def test_texts_with_one_changed_run_share_a_block():
         assert all(found), (kind, sum(found), len(found))
 
 
+@pytest.mark.parametrize("chunk", [2, 512])
+def test_only_documents_of_the_similarity_are_linked(spark, chunk):
+    """Groups of versions of 0.6 to 1 to each other, one changed run each: components as all pairs of 0.8 make them."""
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    texts = []
+    for _ in range(30):
+        base = [rng.choice(words) for _ in range(rng.choice([30, 120, 500]))]
+        for _ in range(8):
+            t = list(base)
+            at, k = rng.randrange(len(t)), rng.randrange(1, max(2, len(t) // 6))
+            t[at : at + k] = [rng.choice(words) for _ in range(rng.choice([0, k]))]
+            texts.append(t)
+    sets = [{tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in texts]
+    label, changed = list(range(len(texts))), True
+    alike = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i in range(len(texts)) for j in range(i) if i // 8 == j // 8]
+    assert sum(s >= 0.8 for *_, s in alike) > 100 and sum(0.7 <= s < 0.8 for *_, s in alike) > 100
+    while changed:
+        changed = False
+        for i, j, s in alike:
+            if s >= 0.8 and label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df, chunk=chunk).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+
+
 def test_mixing(docs, empty):
     got = rows_of(mixing.mix_sources(docs))
     size = lambda t: len(TOKEN.findall(t or ""))
