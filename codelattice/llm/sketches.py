@@ -11,12 +11,12 @@ CELLS = 16
 GROUP = 16
 RETRIES = 6
 ROUNDS = 14
-#: A longer line is cut into its sentences.
-LINE = 500
+#: A longer line is cut into its sentences: every line is.
+LINE = 0
 
 
 def paragraph_digests(text: Column) -> Column:
-    """The distinct 64-bit digests of a text's paragraphs: its lines, of long lines their sentences."""
+    """The distinct 64-bit digests of a text's paragraphs: the sentences of its lines."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
     parts = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > LINE, F.split(x, r"(?<=[.!?])\s+")).otherwise(F.array(x))))
     return F.array_distinct(F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.xxhash64(x)))

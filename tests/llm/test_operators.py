@@ -354,6 +354,13 @@ def test_sketches(docs, empty):
     assert [r.near_next for r in one] == [1.0]
 
 
+def test_half_of_a_short_line_stays_alike(spark):
+    own = "One short line here. It has four sentences. The third stands here. And this is the last."
+    df = spark.createDataFrame([(2, own), (1, "Another text altogether. Nothing is shared.")], "doc_id long, text string")
+    got = {r.doc_id: r for r in sketches.fingerprint_documents(df).collect()}
+    assert got[2].near_edited > 0 == got[2].near_next
+
+
 def test_line_dedup(docs, empty):
     texts = sorted({(i, t) for i, t in texts_of(docs) if t is not None and i is not None})
     first, gone = {}, collections.defaultdict(set)
