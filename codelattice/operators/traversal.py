@@ -116,7 +116,8 @@ def strong_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     Nodes without an edge in or out are trimmed until none is left; forward and backward minimum
     labels then split what remains, round by round, until every node's two labels agree within
-    its component and settled components are taken out. Lineage is cut each round.
+    its component and settled components are taken out. Lineage is cut each round. Where ``rounds``
+    do not settle all components it raises.
     """
     e = cut(edges.select("src", "dst").distinct(), "cycle-edges")
     done = e.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component"))
@@ -129,9 +130,11 @@ def strong_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         size = n
         e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
             e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"), "cycle-edges")
-    for _ in range(rounds):
-        if e.isEmpty():
-            break
+    used = 0
+    while not e.isEmpty():
+        if used == rounds:
+            raise RuntimeError(f"cycles did not settle in {rounds} rounds")
+        used += 1
         ids = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
         ahead = _min_labels(ids, e, "src", "dst")
         back = _min_labels(ids, e, "dst", "src")

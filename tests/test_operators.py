@@ -31,6 +31,13 @@ def test_cycles(spark, pairs, want):
     assert all(r.severity == ("critical" if len(r.members) > 3 else "high") for r in found)
 
 
+def test_cycles_that_do_not_settle_raise(spark):
+    e = graph(spark, [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c")]).select("src", "dst")
+    with pytest.raises(RuntimeError):
+        traversal.strong_components(e, rounds=1).collect()
+    assert traversal.strong_components(e, rounds=2).count() == 4
+
+
 def test_depths_and_chains(spark):
     e = graph(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "a"), ("x", "y")])
     seed = nodes_of(spark, ["a"])
