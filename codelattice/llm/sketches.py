@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,14 +13,14 @@ CELLS = 16
 GROUP = 16
 RETRIES = 6
 ROUNDS = 14
-#: A longer line is cut into its sentences: every line is.
-LINE = 0
+#: Bytes of text to a range of ids.
+PART = 1 << 27
 
 
 def paragraph_digests(text: Column) -> Column:
     """The distinct 64-bit digests of a text's paragraphs: the sentences of its lines."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    parts = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > LINE, F.split(x, r"(?<=[.!?])\s+")).otherwise(F.array(x))))
+    parts = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?])\s+")))
     return F.array_distinct(F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.xxhash64(x)))
 
 
@@ -27,8 +29,13 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(1)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+def _cells_of(key: Column, cells: int) -> list[Column]:
+    """The key's cell in each of the three subtables, numbered through them."""
+    return [F.shiftrightunsigned(key, 16 * t).bitwiseAND(F.lit(cells - 1)).cast("int") + F.lit(t * cells) for t in range(3)]
+
+
 def _in_cell(key: Column, cell: Column, cells: int) -> Column:
-    """Whether the key belongs to the cell, numbered through the three subtables."""
+    """Whether the key belongs to the cell."""
     at = cell % cells
     bits = lambda s: F.shiftrightunsigned(key, s).bitwiseAND(F.lit(cells - 1)) == at
     return F.when(cell < cells, bits(0)).when(cell < 2 * cells, bits(16)).otherwise(bits(32))
@@ -42,20 +49,26 @@ def _merge(acc: Column, n: Column, key: Column, check: Column) -> Column:
     return F.struct((acc["n"] + n).alias("n"), acc["k"].bitwiseXOR(key).alias("k"), acc["h"].bitwiseXOR(check).alias("h"))
 
 
-def sketch(keys: Column, cells: int = CELLS) -> Column:
-    """The sketch of a set of digests: per cell how many, the XOR of the keys and of their checks."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(3 * cells - 1)),
-        lambda c: F.aggregate(F.filter(keys, lambda k: _in_cell(k, c, cells)), _empty(), lambda a, k: _merge(a, F.lit(1), k, _check(k))),
-    )
+def _runs(rows: Column, same: str) -> Column:
+    """Sorted rows as slices of equal ``same``: two passes over the rows, however many slices there are."""
+    starts = F.filter(F.transform(rows, lambda x, i: F.when((i == 0) | (x[same] != F.get(rows, i - 1)[same]), i)), lambda i: i.isNotNull())
+    return _let(starts, lambda at: F.transform(at, lambda i, j: F.slice(rows, i + 1, F.coalesce(F.get(at, j + 1), F.size(rows)) - i)))
 
 
 def _signed_sketch(keys: Column, cells: int) -> Column:
-    """The difference of two sketches, from signed digests (n: 1 or -1)."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(3 * cells - 1)),
-        lambda c: F.aggregate(F.filter(keys, lambda x: _in_cell(x["k"], c, cells)), _empty(), lambda a, x: _merge(a, x["n"], x["k"], _check(x["k"]))),
-    )
+    """The sketch of signed digests (k; n: 1 or -1). Each key goes to its three cells by one sort; an
+    empty entry for each cell makes every cell a run of its own."""
+    entry = lambda c, x, h: F.struct(c.alias("c"), x["k"].alias("k"), h.alias("h"), x["n"].alias("n"))
+    spread = F.flatten(F.transform(keys, lambda x: _let(_check(x["k"]), lambda h: F.array(*(entry(c, x, h) for c in _cells_of(x["k"], cells))))))
+    blank = F.transform(F.sequence(F.lit(0), F.lit(3 * cells - 1)), lambda c: F.struct(
+        c.alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("n")))
+    return _let(F.sort_array(F.concat(spread, blank)), lambda rows: F.transform(
+        _runs(rows, "c"), lambda run: F.aggregate(run, _empty(), lambda a, x: _merge(a, x["n"], x["k"], x["h"]))))
+
+
+def sketch(keys: Column, cells: int = CELLS) -> Column:
+    """The sketch of a set of digests: per cell how many, the XOR of the keys and of their checks."""
+    return _signed_sketch(F.transform(keys, lambda k: F.struct(k.alias("k"), F.lit(1).alias("n"))), cells)
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -110,22 +123,19 @@ def _recovered(peeled: Column) -> Column:
 
 
 def _retry(a_keys: Column, b_keys: Column, r: int) -> Column:
-    """The number of differing digests from grouped sketches of retry ``r``; null if one does not peel."""
-    size = GROUP << (r - 1)
+    """The number of differing digests from grouped sketches of retry ``r``; null if one does not peel.
 
-    def signed(keys: Column, sign: int) -> Column:
-        return F.transform(keys, lambda k: F.struct(F.xxhash64(k, F.lit(r)).alias("k"), F.lit(sign).alias("n")))
+    One sort brings each group's digests together, so the work grows with their number, not with its square.
+    """
+    size = GROUP << (r - 1)
 
-    def group(s: Column, g: Column) -> Column:
-        own = F.filter(s["x"], lambda x: F.pmod(F.shiftrightunsigned(x["k"], 48), s["groups"]) == g)
-        return _let(own, lambda x: _let(peel(_signed_sketch(x, size), size), _recovered))
+    def signed(keys: Column, sign: int, groups: Column) -> Column:
+        return F.transform(keys, lambda k: _let(F.xxhash64(k, F.lit(r)), lambda h: F.struct(
+            F.pmod(F.shiftrightunsigned(h, 20), groups).alias("g"), h.alias("k"), F.lit(sign).alias("n"))))
 
-    groups = F.ceil((F.size(a_keys) + F.size(b_keys)) / F.lit(GROUP)).cast("int")
-    return _let(
-        F.struct(F.concat(signed(a_keys, 1), signed(b_keys, -1)).alias("x"), groups.alias("groups")),
-        lambda s: F.aggregate(
-            F.sequence(F.lit(0), s["groups"] - 1), F.lit(0), lambda acc, g: F.when(acc.isNotNull(), acc + group(s, g))),
-    )
+    groups = F.ceil((F.size(a_keys) + F.size(b_keys)) / F.lit(GROUP))
+    return _let(groups, lambda n: _let(F.sort_array(F.concat(signed(a_keys, 1, n), signed(b_keys, -1, n))), lambda rows: F.aggregate(
+        _runs(rows, "g"), F.lit(0), lambda acc, x: F.when(acc.isNotNull(), acc + _let(peel(_signed_sketch(x, size), size), _recovered)))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -146,31 +156,47 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """(id, text, next_text): each document with the next one's text by descending id; after the
     last comes the first.
 
-    Ids are dealt into ``parts`` ranges by their quantiles (a number per part reaches the driver)
-    and each range is ordered by itself. A range also gets the first document of the range below
-    as its last row, so no range needs another one's rows. Equal ids are ordered by text, null ids
-    come last. Ids are numbers.
+    Rows are dealt into ``parts`` ranges (by default of about PART bytes of text) by the quantiles of
+    the ids, of which a number per range reaches the driver, and each range is ordered by itself. An
+    id that several quantiles fall on, and null ids, are dealt on by a hash of the text, so that no
+    id with many texts makes one range. A range also gets the first document of the range below as its
+    last row, so no range needs another one's rows. Equal ids are ordered by that hash and then by
+    text, null ids come last. Ids are numbers.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else None
-    cuts = sorted(set(cuts or []))
-    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("id"))), F.lit(0)) if cuts else F.lit(0)
-    rows = rows.withColumn("part", F.when(F.col("id").isNull(), F.lit(0)).otherwise(part))
-    tops = {r.part: r.top for r in rows.groupBy("part").agg(F.max("id").alias("top")).collect()}
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.shiftrightunsigned(F.xxhash64(text), 11).alias("spread"))
+    if parts is None:
+        n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART))
+    quantiles = [i / parts for i in range(1, parts)] or [0.5]
+    n, n_null, cuts = rows.agg(F.count("*"), F.count_if(F.col("id").isNull()), F.percentile_approx("id", quantiles, 20 * parts)).first()
+    cuts = sorted(cuts or []) if parts > 1 else []
+    nulls = max(1, -(-n_null * parts // n)) if n else 1  # ranges for rows without an id
+    share = lambda k: F.floor(F.col("spread") * (k / float(1 << 53))).cast("int")
+    if cuts:
+        step = max(1, int(len(cuts) ** 0.5))  # two short searches in place of one long one
+        every, coarse = F.array(*map(F.lit, cuts)), F.array(*map(F.lit, cuts[::step]))
+        block = F.greatest(F.size(F.filter(coarse, lambda c: c < F.col("id"))) - 1, F.lit(0)) * step
+        below = block + F.size(F.filter(F.slice(every, block + 1, step), lambda c: c < F.col("id")))
+        same = [x for c, k in Counter(cuts).items() if k > 1 for x in (F.lit(c).cast(dict(rows.dtypes)["id"]), F.lit(k))]
+        times = F.coalesce(F.try_element_at(F.create_map(*same), F.col("id")), F.lit(0)) if same else F.lit(0)
+        part = F.lit(nulls) + below + share(times + 1)
+    else:
+        part = F.lit(nulls)
+    rows = rows.withColumn("part", F.when(F.col("id").isNull(), share(F.lit(nulls))).otherwise(part))
+    first = F.struct(F.col("id").isNotNull().alias("named"), "id", "spread", "text")
+    w = Window.partitionBy("part").orderBy("borrowed", F.col("id").desc_nulls_last(), F.col("spread").desc(), F.col("text").desc())
+    top = lambda c: F.struct(F.col("id").isNotNull().alias("named"), "id", "spread").alias(c)
+    tops = {r.part: r.top for r in rows.groupBy("part").agg(F.max(top("t")).alias("top")).collect()}  # a row per range
     order = sorted(tops, reverse=True)
-    after = {tops[order[(i + 1) % len(order)]]: p for i, p in enumerate(order)}  # first id of the next range: the range it follows
-    goes_to = F.lit(None).cast("int")
-    if after:
-        named = [x for k, p in after.items() if k is not None for x in (F.lit(k).cast(dict(rows.dtypes)["id"]), F.lit(p))]
-        goes_to = F.element_at(F.create_map(*named), F.col("id")) if named else goes_to
-        if None in after:
-            goes_to = F.when(F.col("id").isNull(), F.lit(after[None])).otherwise(goes_to)
-    borrowed = rows.select("id", "text", goes_to.alias("part"), F.lit(1).alias("borrowed")).where("part is not null")
-    w = Window.partitionBy("part").orderBy("borrowed", F.col("id").desc_nulls_last(), F.col("text").desc())
-    every = rows.withColumn("borrowed", F.lit(0)).unionByName(borrowed)
-    return every.withColumn("next_text", F.lead("text").over(w)).where("borrowed = 0").select("id", "text", "next_text")
+    follows = [(p, order[i - 1]) for i, p in enumerate(order)]  # the range that borrows the first row of p
+    heads = spark.createDataFrame(
+        [(p, q, tops[p]["id"], tops[p]["spread"]) for p, q in follows], f"part int, after int, top_id {dict(rows.dtypes)['id']}, top_spread long")
+    leading = rows.join(F.broadcast(heads), "part").where(F.col("id").eqNullSafe(F.col("top_id")) & (F.col("spread") == F.col("top_spread")))
+    borrowed = leading.groupBy("after").agg(F.max(first).alias("f")).select("f.id", "f.text", "f.spread", F.col("after").alias("part"), F.lit(1).alias("borrowed"))
+    every_row = rows.withColumn("borrowed", F.lit(0)).unionByName(borrowed)
+    return every_row.withColumn("next_text", F.lead("text").over(w)).where("borrowed = 0").select("id", "text", "next_text")
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

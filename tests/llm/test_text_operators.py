@@ -331,14 +331,15 @@ def test_sketches(docs, empty):
     def units(t):
         out = set()
         for line in t.split("\n"):
-            out |= set(re.split(r"(?<=[.!?])\s+", line)) if len(line) > sketches.LINE else {line}
+            out |= set(re.split(r"(?<=[.!?])\s+", line))
         return out - {""}
 
     def near(a, b):
         a, b = units(a), units(b)
         return len(a & b) / len(a | b) if a | b else 1.0
 
-    own = sorted(((i, t or "") for i, t in texts_of(docs)), key=lambda x: (x[0] is not None, x[0] or 0, x[1]), reverse=True)
+    spread = {r.t: r.s for r in docs.selectExpr("coalesce(text, '') as t", "shiftrightunsigned(xxhash64(coalesce(text, '')), 11) as s").collect()}
+    own = sorted(((i, t or "") for i, t in texts_of(docs)), key=lambda x: (x[0] is not None, x[0] or 0, spread[x[1]], x[1]), reverse=True)
     want = []
     for (i, t), (_, n) in zip(own, own[1:] + own[:1], strict=True):
         e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
@@ -354,6 +355,29 @@ def test_sketches(docs, empty):
     assert [r.near_next for r in one] == [1.0]
 
 
+@pytest.mark.parametrize("parts", [1, 2, 7, 40])
+def test_next_documents_in_ranges(spark, parts):
+    """One id and the missing id hold many rows each, and are dealt over several ranges."""
+    rows = [(i, f"text {i}") for i in range(60)] + [(20, f"same id {i}") for i in range(50)] + [(None, f"no id {i}") for i in range(40)] + [(3, None), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spread = {r.t: r.s for r in df.selectExpr("coalesce(text, '') as t", "shiftrightunsigned(xxhash64(coalesce(text, '')), 11) as s").collect()}
+    own = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, spread[x[1]], x[1]), reverse=True)
+    want = bag((i, t, n) for (i, t), (_, n) in zip(own, own[1:] + own[:1], strict=True))
+    assert bag(tuple(r) for r in sketches.with_next(df, parts=parts).collect()) == want
+
+
+def test_sketches_of_many_paragraphs(spark):
+    """Thousands of differing paragraphs peel in retries of a few seconds: the work is not quadratic."""
+    import time
+
+    a = "\n".join(f"First text, line {i}." for i in range(12_000))
+    b = "\n".join(f"First text, line {i}." if i % 3 else f"Second text, line {i}." for i in range(12_000))
+    df = spark.createDataFrame([(2, a), (1, b)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in sketches.fingerprint_documents(df).collect()}
+    assert got[2].near_next == pytest.approx(8_000 / 16_000) and time.perf_counter() - began < 60
+
+
 def test_half_of_a_short_line_stays_alike(spark):
     own = "One short line here. It has four sentences. The third stands here. And this is the last."
     df = spark.createDataFrame([(2, own), (1, "Another text altogether. Nothing is shared.")], "doc_id long, text string")
