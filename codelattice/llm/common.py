@@ -25,7 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder's name in the shared folder; the driver deletes the folder when it ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    return path.toString()
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +40,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, *, most: int = 1024, salts: int = 32) -> DataFrame:
+    """``rows`` joined with the one row of ``facts`` for each ``key``, however many rows a key has.
+
+    A key with at least one in ``most`` of all rows is hot: there are at most ``most`` of them, so
+    they may be broadcast. Their rows are dealt over ``salts`` parts by a hash of the whole row's other
+    columns and the fact is repeated for each part; other keys have one part.
+    """
+    n = rows.count()
+    hot = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") * most >= max(n, most * most)).select(key, F.lit(True).alias("is_hot")))
+    others = [F.col(f"`{c}`") for c in rows.columns if c != key] or [F.col(key)]
+    dealt = rows.join(hot, key, "left").withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64(*others), F.lit(salts))).otherwise(0).cast("int")).drop("is_hot")
+    parts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread = facts.join(hot, key, "left").withColumn("salt", F.explode(parts)).drop("is_hot")
+    return dealt.join(spread, [key, "salt"]).drop("salt")
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """A 16-byte key of a row's id and text. Rows that agree in both are one document repeated."""
     return F.unhex(F.md5(F.concat(

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import scratch_path
+from codelattice.llm.common import join_hot, scratch_path
 
 CACHE_SCHEMA = "content_digest binary, n_tokens long"
 
@@ -78,7 +78,7 @@ def count_tokens(
 
     Returns ``id_col``, n_bytes, n_tokens, over_limit, one row per input row; equal texts have
     equal counts, repeated rows stay repeated, an empty table gives no rows, other columns are
-    left out. The model file (a few MB at most) is read by the driver and sent with the tasks.
+    left out. Copies in a large share of all rows are dealt over several tasks (``join_hot``). The model file (a few MB at most) is read by the driver and sent with the tasks.
     """
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
@@ -103,5 +103,6 @@ def count_tokens(
         .write.mode("append").parquet(folder)
     )
     counts = _cached(spark, folder)
-    return rows.select(id_col, "content_digest", F.octet_length("text").cast("long").alias("n_bytes")).join(counts, "content_digest").select(
-        id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    sized = rows.select(F.col(id_col).alias("id"), "content_digest", F.octet_length("text").cast("long").alias("n_bytes"))
+    return join_hot(sized, counts, "content_digest").select(
+        F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -428,3 +428,13 @@ def test_suffix_dedup(docs, empty, block):
     assert sum(r.n_removed > 0 for r in got) > 20
     assert bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got) == bag(want)
     assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_hot_keys_are_dealt_over_parts(spark):
+    from codelattice.llm.common import join_hot
+
+    keys = [0] * 500 + [1] * 300 + [None] * 20 + list(range(2, 60))
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    facts = spark.createDataFrame([(k, k * 10) for k in range(60)], "k long, v long")
+    got = bag(tuple(r) for r in join_hot(rows, facts, "k", most=4, salts=3).select("k", "i", "v").collect())
+    assert got == bag((k, i, k * 10) for i, k in enumerate(keys) if k is not None)
