@@ -8,10 +8,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import connected_components, cut, row_key
+from codelattice.llm.common import connected_components, cut, join_hot, row_key
 
 #: Words to a shingle, and the largest number of differing bits of a link.
 SHINGLE, BITS = 4, 4
@@ -97,21 +97,38 @@ def close_pairs(fps: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, chunk
     differing bits do: a spanning forest of each bucket, never all its pairs.
 
     Two fingerprints that differ in at most ``bits`` of 64 bits agree in ``blocks - bits`` whole
-    blocks, so they share a bucket under one of the masks. Buckets of one are dropped. A bucket of
-    more than ``chunk`` is dealt into chunks by hash and every two chunks meet in one array of at
-    most about ``2 * chunk``: exact for any size, with bounded memory.
+    blocks, so they share a bucket under one of the masks. Buckets of one are dropped. In a bucket of
+    more than ``chunk`` those close to its smallest fingerprint are linked to that and need no
+    comparison with each other; the rest is compared with all of the bucket, chunk against chunk, in
+    arrays of at most about ``2 * chunk``: exact for any size, with bounded memory.
     """
     masks = F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(blocks, bits)))
     rows = fps.select("fp", F.posexplode(masks).alias("mask", "block"))
-    shared = rows.groupBy("mask", "block").agg(F.count("*").alias("n")).where("n > 1")
+    shared = rows.groupBy("mask", "block").agg(F.count("*").alias("n"), F.min("fp").alias("leader")).where("n > 1")
     met = rows.join(shared, ["mask", "block"])
-    chunks = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
-    own = F.pmod(F.xxhash64("fp", "mask"), F.col("chunks")).cast("int")
-    cells = met.withColumn("chunks", chunks).withColumn("own", own).select(
-        "mask", "block", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    cells = cells.groupBy("mask", "block", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d")).agg(
-        F.collect_list("fp").alias("fps"))
-    return cells.where("size(fps) > 1").select("fps").mapInPandas(_forest(bits), "a long, b long").distinct()
+    small = met.where(F.col("n") <= chunk).groupBy("mask", "block").agg(F.collect_list("fp").alias("fps")).select("fps")
+    large = met.where(F.col("n") > chunk).withColumn("near", F.bit_count(F.col("fp").bitwiseXOR(F.col("leader"))) <= bits)
+    linked = large.where("near and fp <> leader").select(F.col("leader").alias("a"), F.col("fp").alias("b"))
+    sizes = large.groupBy("mask", "block").agg(_chunks(F.col("near"), chunk).alias("nears"), _chunks(~F.col("near"), chunk).alias("fars")).where("fars > 0")
+    own = F.pmod(F.xxhash64("fp", "mask"), F.when(F.col("near"), F.col("nears")).otherwise(F.col("fars"))).cast("int")
+    cells = large.join(sizes, ["mask", "block"]).withColumn("own", own).select("mask", "block", "fp", F.explode(_cells()).alias("at"))
+    cells = cells.groupBy("mask", "block", "at").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
+    return small.union(cells).mapInPandas(_forest(bits), "a long, b long").union(linked).distinct()
+
+
+def _chunks(condition: Column, chunk: int) -> Column:
+    """Into how many chunks the rows with the condition are dealt."""
+    return F.ceil(F.count_if(condition) / F.lit(chunk)).cast("int")
+
+
+def _cells() -> Column:
+    """The cells in which a row of a large bucket meets others: its chunk (``own`` of ``nears`` or ``fars``) of
+    near rows with every chunk of far ones, of far rows with every chunk."""
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda c, d: F.struct(c.alias("c"), d.alias("d"))
+    nears = F.when(F.col("nears") > 0, F.transform(to("nears"), lambda x: cell(F.col("own"), -1 - x))).otherwise(F.array().cast("array<struct<c: int, d: int>>"))
+    return F.when(F.col("near"), F.transform(to("fars"), lambda x: cell(x, -1 - F.col("own")))).otherwise(F.concat(
+        F.transform(to("fars"), lambda x: cell(F.least(x, F.col("own")), F.greatest(x, F.col("own")))), nears))
 
 
 def near_duplicates(
@@ -137,12 +154,12 @@ def near_duplicates(
         .mapInPandas(fingerprint, f"id {kind}, key binary, fp long"),
         "fingerprints",
     )
-    classes = marked.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    classes = cut(marked.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")), "classes")
     labels = connected_components(close_pairs(classes.select("fp"), bits=bits, blocks=blocks, chunk=chunk))
-    labelled = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "first", F.coalesce("label", "fp").alias("label"))
+    labelled = cut(classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "first", F.coalesce("label", "fp").alias("label")), "labels")
     smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.min("first").alias("kept"))
-    named = labelled.join(smallest, "label").select("fp", "component_id", "kept.key")
-    return marked.alias("m").join(named.withColumnRenamed("key", "kept_key"), "fp").select(
+    named = cut(join_hot(labelled.select("fp", "label"), smallest, "label").select("fp", "component_id", F.col("kept.key").alias("kept_key")), "components")
+    return join_hot(marked, named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("key").alias("row_key"),
         (F.col("key") == F.col("kept_key")).alias("kept"))
 
@@ -325,15 +342,9 @@ def similar_pairs(
             met = cut(split.join(open_, "bucket"), "buckets")
         met = met.withColumn("near", F.col("label") == F.col("leader_label")).join(nodes.drop("blocks"), "node").join(found, "node")
         carried = [*_NAMES, "label", "shingles"]
-    chunks = lambda c: F.ceil(F.count_if(c) / F.lit(chunk)).cast("int")
-    sizes = met.groupBy("bucket").agg(chunks(F.col("near")).alias("nears"), chunks(~F.col("near")).alias("fars")).where("fars > 0")
+    sizes = met.groupBy("bucket").agg(_chunks(F.col("near"), chunk).alias("nears"), _chunks(~F.col("near"), chunk).alias("fars")).where("fars > 0")
     dealt = met.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("near"), F.col("nears")).otherwise(F.col("fars"))).cast("int"))
-    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    cell = lambda c, d: F.struct(c.alias("c"), d.alias("d"))
-    cells = F.when(F.col("near"), F.transform(to("fars"), lambda x: cell(x, -1 - F.col("own")))).otherwise(F.concat(
-        F.transform(to("fars"), lambda x: cell(F.least(x, F.col("own")), F.greatest(x, F.col("own")))),
-        F.transform(to("nears"), lambda x: cell(F.col("own"), -1 - x))))
-    met_cells = dealt.select("bucket", "node", *carried, F.explode(cells).alias("at")).groupBy("bucket", "at").agg(
+    met_cells = dealt.select("bucket", "node", *carried, F.explode(_cells()).alias("at")).groupBy("bucket", "at").agg(
         F.collect_list(F.struct("node", *carried)).alias("cell")).where("size(cell) > 1").select("cell")
     return linked.union(met_cells.mapInPandas(_spanning(limit, similarity), "a long, b long")).distinct()
 
@@ -365,8 +376,8 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     order = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     classes = marked.groupBy("node").agg(order)
     labels = connected_components(similar_pairs(every.drop("key"), limit=allowed_bits(similarity), chunk=chunk, sets=sets, similarity=similarity))
-    labelled = classes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
+    labelled = cut(classes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")), "labels")
     kept = labelled.groupBy("label").agg(F.min("first").alias("kept"))
-    named = labelled.join(kept, "label").select("node", "kept")
-    return marked.select("id", "key", "node").join(named, "node").select(
+    named = cut(join_hot(labelled.select("node", "label"), kept, "label").select("node", "kept"), "components")
+    return join_hot(marked.select("id", "key", "node"), named, "node").select(
         F.col("id").alias(id_col), F.col("kept.id").alias("component_id"), F.col("key").alias("row_key"), (F.col("key") == F.col("kept.key")).alias("kept"))
