@@ -307,23 +307,30 @@ def test_budget_is_met_where_a_subset_sum_exists():
 
 
 def test_licenses(spark, docs, empty):
+    mit = " ".join(next(t for t in license_scan.TEMPLATES if t.label == "mit" and not t.base).words)
     more = spark.createDataFrame([
-        (201, "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+        (201, "MIT License\n\n" + mit.capitalize()),
         (202, "GNU General Public License; gnu general PUBLIC license"), (203, "cc by cc by-sa"), (204, "by cc"), (205, "Permission is hereby granted free of"), (206, "Redistribution and use in source and binary forms"),
-        (207, "under the Apache License, Version 2.0"), (208, None), (209, "é cc by"),
+        (207, "under the Apache License, Version 2.0"), (208, None), (209, "é cc by"), (210, ""), (211, "cc by " * 20_000), (212, "license mit " * 5_000 + mit), (207, "under the Apache License, Version 2.0"),
+        (213, "granted hereby is permission free of charge"), (214, "of charge Permission is hereby granted, free of charge"), (None, "mit license"), (215, "GNU Lesser General Public License"),
     ], "doc_id long, text string")
-    got = {r.doc_id: r for r in rows_of(license_scan.scan_licenses(docs.select("doc_id", "text").where("doc_id < 90").union(more)))}
+    every = docs.select("doc_id", "text").union(more)
+    got = rows_of(license_scan.scan_licenses(every))
     phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-    for i, t in texts_of(docs.where("doc_id < 90")) + [(r.doc_id, r.text) for r in more.collect()]:
+
+    def expected(t):
         w = WORD.findall((t or "").translate(LOW))
         places = [(k, label) for p, label in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
-        r = got[i]
         at = [k for k, _ in places]
-        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (
-            len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})))
-        assert 0 <= r.score <= 1
-    assert got[201].labels == "mit" and got[201].score == pytest.approx(1.0)
-    assert got[205].labels == "" and got[206].labels == "bsd" and 0 < got[206].score < 1 and got[207].labels == "apache"
+        longer = {t.label for t in license_scan.TEMPLATES for k in range(len(w)) if tuple(w[k : k + t.key[1] - t.key[0]]) == t.words[slice(*t.key)]}
+        return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(longer))
+
+    assert bag((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in got) == bag((i, *expected(t)) for i, t in texts_of(every))
+    assert all(0 <= r.score <= 1 for r in got)
+    at = {r.doc_id: r for r in got}
+    assert at[201].labels == "mit" and at[201].score == pytest.approx(1.0) and at[212].score == pytest.approx(1.0)
+    assert at[205].labels == at[213].labels == "" and at[206].labels == "bsd" and 0 < at[206].score < 1 and at[207].labels == "apache" and at[214].labels == "mit" and at[215].labels == "lgpl"
+    assert at[211].n_base == 20_000 and at[212].n_base == 4_999
     assert license_scan.scan_licenses(empty).count() == 0
 
 
