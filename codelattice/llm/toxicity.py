@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 from codelattice.llm.common import cut, row_key
 from codelattice.llm.decontamination import words_of
 
-#: The classifier and the learned lexicon see at most so many labelled rows (those with the smallest hash of the id).
+#: The documented bound of what is learned from: about so many labelled rows, and as many without a label (those whose hash is under
+#: the bound's share of all).
 SAMPLE = 20_000
-#: The learned lexicon keeps at most so many word stems.
+#: Labelled rows are dealt into so many folds by hash; a document's stem voters come from the other folds' rows.
+FOLDS = 5
+#: Each fold's lexicon keeps at most so many word stems.
 STEMS = 4_096
 #: Stems seen in fewer toxic rows of the sample are not kept.
 SUPPORT = 4
-#: Stems are dealt into so many voters by hash.
-STEM_VOTERS = 6
+#: The stems make voters by the strength of their log odds: each votes from so many on, as many of its stems as DENSE words have.
+STEM_ODDS = (1.5, 2.0, 2.5, 3.0, 3.5, 4.0)
+DENSE = 200
 #: A row is rejected from this score on.
 THRESHOLD = 0.3
 #: Byte lengths of the word beginnings that can be stems, beside whole words.
@@ -33,7 +37,7 @@ PROFANITY = frozenset(b"fuck fucking fucked shit shitty bitch cunt dick piss cra
 THREATS = frozenset(b"kill die hang shoot murder hurt destroy hate".split())
 _AIMED = re.compile(rb"\b(?:you|your|ur|he|she|they|these|those)\W+(?:\w+\W+){0,3}?(?:" + b"|".join(sorted(INSULTS | CONTEMPT | PROFANITY)) + rb")\b")
 
-VOTERS = ("insult", "contempt", "profanity", "threat", "several", "dense", "aimed", "shouting", *(f"stems{i}" for i in range(STEM_VOTERS)))
+VOTERS = ("insult", "contempt", "profanity", "threat", "several", "dense", "aimed", "shouting", *(f"stems{x}" for x in STEM_ODDS), "strong4", "strong12", "strong_dense")
 
 
 def _stems(word: bytes) -> list[bytes]:
@@ -41,8 +45,8 @@ def _stems(word: bytes) -> list[bytes]:
     return [word[:n] for n in PREFIXES if len(word) > n] + [word + b"$"]
 
 
-def _votes(text: str, words: list[bytes], found: list[int]) -> int:
-    """The voters' votes as bits, in the order of VOTERS. An empty text gets no vote."""
+def _votes(text: str, words: list[bytes], hits: list[int]) -> int:
+    """The voters' votes as bits, in the order of VOTERS; ``hits`` are the words with a stem of each strength. An empty text gets no vote."""
     unique = set(words)
     n_bad = sum(w in INSULTS or w in CONTEMPT or w in PROFANITY for w in words) if not unique.isdisjoint(INSULTS | CONTEMPT | PROFANITY) else 0
     votes = (
@@ -51,18 +55,20 @@ def _votes(text: str, words: list[bytes], found: list[int]) -> int:
         text.count("!") * 40 > len(words) > 0,
     )
     bits = sum(1 << i for i, v in enumerate(votes) if v)
-    for i in found:
-        bits |= 1 << (len(votes) + i % STEM_VOTERS)
-    return bits
+    strong = sum(hits[len(hits) // 2 :])
+    by_stems = (*(n * DENSE > len(words) for n in hits), strong >= 4, strong >= 12, strong * DENSE > 8 * len(words) > 0)
+    return bits | sum(1 << (len(votes) + i) for i, v in enumerate(by_stems) if v)
 
 
-def _reader(vocabulary: dict[bytes, int]):
-    """Rows (id, key, text, ...) to (id, key, votes, at, value): votes, and counts of the known stems."""
+def _reader(vocabulary: dict[bytes, int], voting: list[dict[int, int]]):
+    """Rows (id, key, fold, text) to (id, key, votes, at, value): votes, and counts of the known stems.
+
+    All stems of all folds are features; only those of ``voting[fold]`` (stem: its voter), learned from other folds' labels, vote."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, tuple[int, ...]] = {}
         for rows in batches:
             votes, ats, values = [], [], []
-            for text in rows["text"]:
+            for text, fold in zip(rows["text"], rows["fold"], strict=True):
                 text = text or ""
                 words = words_of(text.lower())
                 counts: dict[int, int] = {}
@@ -75,7 +81,11 @@ def _reader(vocabulary: dict[bytes, int]):
                     for i in hit:
                         counts[i] = counts.get(i, 0) + 1
                 found = sorted(counts)
-                votes.append(_votes(text, words, found))
+                hits = [0] * len(STEM_ODDS)
+                for i in found:
+                    if (voter := voting[fold].get(i)) is not None:
+                        hits[voter] += counts[i]
+                votes.append(_votes(text, words, hits))
                 ats.append(found)
                 values.append([float(np.log1p(counts[i])) for i in found])
             out = {"id": rows["id"], "key": rows["key"], "votes": pd.Series(votes, dtype="int64", index=rows.index)}
@@ -84,67 +94,73 @@ def _reader(vocabulary: dict[bytes, int]):
     return read
 
 
-def _stem_counts(only: set[bytes] | None):
-    """In how many rows each stem stands; only those of ``only``, if given."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            n: dict[bytes, int] = {}
-            for text in rows["text"]:
-                own = {s for w in set(words_of((text or "").lower())) for s in _stems(w)}
-                for s in own if only is None else own & only:
-                    n[s] = n.get(s, 0) + 1
-            yield pd.DataFrame({"stem": list(n), "n": list(n.values())})
-
-    return count
+def _stem_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many rows of (fold, toxic, text) each stem stands."""
+    for rows in batches:
+        n: dict[tuple[int, bytes, int], int] = {}
+        for fold, toxic, text in zip(rows["fold"], rows["toxic"], rows["text"], strict=True):
+            for x in {s for w in set(words_of((text or "").lower())) for s in _stems(w)}:
+                n[fold, x, toxic] = n.get((fold, x, toxic), 0) + 1
+        yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["fold", "stem", "toxic", "n"])
 
 
-def learn_stems(sample: DataFrame, most: int = STEMS, support: int = SUPPORT) -> dict[bytes, int]:
-    """The word stems that mark the toxic rows of a bounded sample (text, toxic), numbered.
+def learn_stems(sample: DataFrame, folds: int = FOLDS, most: int = STEMS, support: int = SUPPORT) -> list[dict[bytes, int]]:
+    """For each fold the word stems that mark the toxic rows of the *other* folds of a bounded sample (fold, text, toxic),
+    with the number of the voter that each belongs to.
 
     A stem is kept if it is in ``support`` toxic rows at least and its smoothed log odds are over 1.5;
-    at most ``most`` by their weight of evidence.
+    at most ``most`` by their weight of evidence, ties by the stem. Counting, weighing and choosing are
+    distributed; only the chosen stems reach the driver.
     """
-    n_rows = {bool(r.toxic): r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not n_rows.get(True) or not n_rows.get(False):
-        return {}
-    count = lambda df, only: df.mapInPandas(_stem_counts(only), "stem binary, n long").groupBy("stem").agg(F.sum("n").alias("n"))
-    often = count(sample.where("toxic = 1"), None).where(F.col("n") >= support).orderBy(F.desc("n"), "stem").limit(16 * most).collect()
-    pos = {bytes(r.stem): r.n for r in often}
-    neg = {bytes(r.stem): r.n for r in count(sample.where("toxic = 0"), set(pos)).collect()}
-    p, q = n_rows[True], n_rows[False]
-    odds = {s: np.log((n + 0.5) / (p + 1)) - np.log((neg.get(s, 0) + 0.5) / (q + 1)) for s, n in pos.items()}
-    best = sorted((s for s in pos if odds[s] > 1.5), key=lambda s: (-odds[s] * pos[s], s))[:most]
-    return {s: i for i, s in enumerate(sorted(best))}
-
-
-def label_model(votes: np.ndarray, unknown: np.ndarray, toxic: np.ndarray, clean: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Log odds of toxicity for each pattern of votes (rows of 0/1), by expectation maximisation.
-
-    ``unknown``, ``toxic`` and ``clean`` are the numbers of rows with each pattern, without a
-    label to learn from and with one. A voter has a rate of voting in either class (its accuracy);
-    votes that are correlated within the classes share their weight. Without labels it starts from
-    the share of voters that vote.
+    size = {(r.fold, bool(r.toxic)): r.n for r in sample.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    out = []
+    counts = cut(sample.select("fold", "toxic", "text").mapInPandas(_stem_counts, "fold int, stem binary, toxic int, n long")
+                 .groupBy("fold", "stem").agg(F.sum(F.col("n") * F.col("toxic")).alias("pos"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("neg")), "stems")
+    for fold in range(folds):
+        p, q = (sum(n for (f, t), n in size.items() if f != fold and t == toxic) for toxic in (True, False))
+        if not p or not q:
+            out.append({})
+            continue
+        g = counts.where(F.col("fold") != fold).groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") >= support)
+        odds = F.log((F.col("pos") + 0.5) / (p + 1)) - F.log((F.col("neg") + 0.5) / (q + 1))
+        best = g.withColumn("odds", odds).where(F.col("odds") > STEM_ODDS[0]).orderBy(F.desc(F.round(F.col("odds") * F.col("pos"), 9)), "stem").limit(most)
+        out.append({bytes(r.stem): sum(r.odds > x for x in STEM_ODDS) - 1 for r in best.select("stem", "odds").collect()})
+    return out
+
+
+def label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Log odds of toxicity for each pattern of votes and each state of the label, by expectation maximisation.
+
+    ``votes`` has a row of 0/1 for each pattern; ``counts`` has how many rows of that pattern have no
+    label, the label clean and the label toxic. Every voter has a rate of voting in either class,
+    which is its accuracy; the label is one more voter, which may abstain, with rates of its own.
+    Voters that are correlated within the classes share their weight. The first guess is the label
+    where there is one, else the share of voters that vote. Returns an array like ``counts``.
     """
-    v = votes.astype(float)
-    prior = np.clip(v.sum(axis=1) / max(v.sum(axis=1).max(initial=0), 1), 0.02, 0.95)
-    if toxic.sum() and clean.sum():
-        prior = (toxic + prior) / (toxic + clean + 1)
-    post, logit = prior, np.zeros(len(v))
+    v, n = votes.astype(float), counts.astype(float)
+    guess = np.clip(v.sum(axis=1) / max(v.sum(axis=1).max(initial=0), 1), 0.02, 0.95)
+    post = np.stack([guess, np.full(len(v), 0.02), np.full(len(v), 0.98)], axis=1)
+    logit = np.zeros(post.shape)
     for _ in range(rounds):
-        one, zero = toxic + unknown * post, clean + unknown * (1 - post)
-        rate1 = (one @ v + 1) / (one.sum() + 2)
-        rate0 = (zero @ v + 0.5) / (zero.sum() + 20)
+        one, zero = n * post, n * (1 - post)
+        weight_one, weight_zero = one.sum(axis=1), zero.sum(axis=1)
+        rate1 = (weight_one @ v + 1) / (weight_one.sum() + 2)
+        rate0 = (weight_zero @ v + 0.5) / (weight_zero.sum() + 20)
         rho = np.zeros((v.shape[1], v.shape[1]))
-        for w, r in ((one, rate1), (zero, rate0)):
+        for w, r in ((weight_one, rate1), (weight_zero, rate0)):
             d = v - r
             cov = (d * w[:, None]).T @ d / max(w.sum(), 1)
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             rho += np.clip(cov / np.outer(sd, sd), 0, 1) / 2
         weight = 1 / rho.sum(axis=1).clip(1)
-        share = np.clip((one.sum() + 1) / (one.sum() + zero.sum() + 2), 1e-4, 0.5)
-        logit = np.log(share / (1 - share)) + (v * np.log(rate1 / rate0) + (1 - v) * np.log((1 - rate1) / (1 - rate0))) @ weight
+        # The label's rates among labelled rows: how often it says toxic in either class.
+        said1 = (one[:, 2].sum() + 10) / (one[:, 1:].sum() + 11)
+        said0 = (zero[:, 2].sum() + 1) / (zero[:, 1:].sum() + 11)
+        share = np.clip((one.sum() + 1) / (n.sum() + 2), 1e-4, 0.5)
+        base = np.log(share / (1 - share)) + (v * np.log(rate1 / rate0) + (1 - v) * np.log((1 - rate1) / (1 - rate0))) @ weight
+        logit = base[:, None] + np.array([0.0, np.log((1 - said1) / (1 - said0)), np.log(said1 / said0)])
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - post).max() < 1e-6:
+        if np.abs(new - post).max(initial=0) < 1e-6:
             break
         post = new
     return logit
@@ -176,6 +192,21 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _patterns(votes) -> np.ndarray:
+    """Votes as rows of 0/1."""
+    return (np.asarray(votes, np.int64)[:, None] >> np.arange(len(VOTERS))) & 1
+
+
+def _under(hashed, bound: int, n: int):
+    """Whether a 64-bit hash is among about ``bound`` of ``n``: a share of the hash's range, so no sort and no limit is needed."""
+    share = 1.0 if n <= bound else bound / n
+    return hashed <= F.lit(min((1 << 63) - 1, int((share - 0.5) * (1 << 64))))
+
+
+def _target(logit: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     sample: int = SAMPLE, stems: int = STEMS, threshold: float = THRESHOLD,
@@ -183,58 +214,58 @@ def score_toxicity(
     """Score every whole text for toxicity: ``id_col``, held_out, score, predicted, votes, row_key.
 
     Voters are English lexicons, patterns (several insults, a dense share of them, insults aimed
-    at somebody, exclamation marks) and word stems learned from at most ``sample`` labelled rows.
-    The label model is fitted on the vote patterns of all documents (at most 2 ** len(VOTERS)
-    rows of counts); its posterior, joined with the label as one more voter, is what the linear
-    classifier learns for the rows of the sample. Labels count only for rows that are not held
-    out; of several labels of an id the largest counts; null labels and ids are no labels. Only
-    the text is an input of a score. Null and empty texts get the score of a text without any
-    stem; without labels the lexicons and patterns decide. One row per input row.
+    at somebody, exclamation marks) and word stems. Stems are learned from about ``sample`` labelled
+    rows in folds: a document's stem voters come from the folds it is not in, so no vote rests on
+    the document's own label. The label model is fitted on the vote patterns of all documents (at
+    most 3 * 2 ** len(VOTERS) counts), with the label as one more voter whose accuracy is estimated.
+    Its posterior is what the linear classifier learns, for the labelled rows of the sample and about
+    as many rows without a label. Labels count only for rows that are not held out; held-out rows
+    are in no sample; of several labels of an id the largest counts; null labels and ids are no
+    labels. Only the text is an input of a score. Null and empty texts get the score of a text
+    without any stem; without labels the lexicons and patterns decide. One row per input row; rows
+    equal in id and text count once in a sample; an empty table gives no rows.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
     known = (
         labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("toxic"))
-        .where(f"label_id is not null and toxic is not null").where(~held_out("label_id"))
+        .where("label_id is not null and toxic in (0, 1)").where(~held_out("label_id"))
         .groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
-    chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)  # a proven bound: at most ``sample`` small rows
-    labelled = cut(texts.join(F.broadcast(chosen), texts["id"] == chosen["label_id"]).select("id", "key", "text", "toxic").limit(2 * sample), "labelled")
-    vocabulary = learn_stems(labelled, stems)
-    schema = f"id {kind}, key binary, votes long, at array<int>, value array<double>"
-    read = cut(texts.mapInPandas(_reader(vocabulary), schema), "votes")
-
-    voted = read.select("id", "votes").join(known, F.col("id") == F.col("label_id"), "left")
+    texts = texts.withColumn("fold", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(FOLDS)).cast("int"))
+    chosen = known.where(_under(F.xxhash64("label_id"), sample, known.count()))  # about ``sample`` small rows
+    labelled = texts.join(F.broadcast(chosen), texts["id"] == chosen["label_id"]).drop("label_id").dropDuplicates(["key"])
+    labelled = cut(labelled, "labelled")
+    by_fold = learn_stems(labelled, FOLDS, stems)
+    vocabulary = {s: i for i, s in enumerate(sorted(set().union(*by_fold)))}
+    voting = [{vocabulary[s]: voter for s, voter in x.items()} for x in by_fold]
+    read = cut(texts.mapInPandas(_reader(vocabulary, voting), f"id {kind}, key binary, votes long, at array<int>, value array<double>"), "votes")
+
+    voted = read.select("id", "key", "votes").join(known.withColumnRenamed("toxic", "said"), F.col("id") == F.col("label_id"), "left")
     patterns = voted.groupBy("votes").agg(
-        F.count_if(F.col("toxic").isNull()).alias("unknown"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean"),
+        F.count_if(F.col("said").isNull()).alias("none"), F.count_if(F.col("said") == 0).alias("clean"), F.count_if(F.col("said") == 1).alias("toxic"),
     ).orderBy("votes").toPandas()
-    bits = lambda x: (np.asarray(x, np.int64)[:, None] >> np.arange(len(VOTERS))) & 1
-    logits = label_model(bits(patterns["votes"]), *(patterns[c].to_numpy(float) for c in ("unknown", "toxic", "clean"))) if len(patterns) else np.zeros(0)
-    logit_of = dict(zip(patterns["votes"].tolist(), logits.tolist(), strict=True))
-
-    rows = labelled.mapInPandas(
-        lambda batches: (
-            out.assign(toxic=part["toxic"]) for part in batches for out in _reader(vocabulary)(iter([part]))
-        ), schema + ", toxic int").toPandas()
-    if len(rows):
-        votes = bits(rows["votes"])
-        evidence = np.array([logit_of.get(x, 0.0) for x in rows["votes"]])
-        target = 1 / (1 + np.exp(-np.clip(evidence * 0.5 + np.where(rows["toxic"] == 1, 4.0, -4.0), -30, 30)))
-        w, bias = fit_classifier(list(rows["at"]), list(rows["value"]), votes.astype(float), target, len(vocabulary))
-    else:
-        patterns_votes = bits(patterns["votes"]).astype(float) if len(patterns) else np.zeros((0, len(VOTERS)))
-        w, bias = fit_classifier([[]] * len(patterns_votes), [[]] * len(patterns_votes), patterns_votes, 1 / (1 + np.exp(-logits)), 0)
-    model = spark.sparkContext.broadcast((w, bias))  # at most STEMS + len(VOTERS) numbers
-    n_stems = len(w) - len(VOTERS)
+    logits = label_model(_patterns(patterns["votes"]), patterns[["none", "clean", "toxic"]].to_numpy(float))
+    at = {x: i for i, x in enumerate(patterns["votes"].tolist())}
+
+    n_free = int(patterns["none"].sum())
+    free = read.join(known.select("label_id"), F.col("id") == F.col("label_id"), "left_anti").where(~held_out("id")).where(_under(F.xxhash64("key", F.lit(2)), sample, n_free))
+    said = labelled.select(F.col("key").alias("own"), F.col("toxic").alias("said"))
+    learned = read.join(F.broadcast(said), F.col("key") == F.col("own")).drop("own").unionByName(free.withColumn("said", F.lit(None).cast("int")))
+    rows = learned.dropDuplicates(["key"]).orderBy("key").select("votes", "at", "value", "said").toPandas()  # votes and numbers of about 2 * ``sample`` rows
+    state = rows["said"].isna().map({True: 0, False: 1}).to_numpy(int) + rows["said"].fillna(0).to_numpy(int)
+    target = _target(logits[[at[x] for x in rows["votes"]], state]) if len(rows) else np.zeros(0)
+    w, bias = fit_classifier(list(rows["at"]), list(rows["value"]), _patterns(rows["votes"]).astype(float), target, len(vocabulary))
+    model = spark.sparkContext.broadcast((w, bias))  # at most FOLDS * STEMS + len(VOTERS) numbers
+    n_stems = len(vocabulary)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, bias = model.value
         for rows in batches:
-            z = bias + bits(rows["votes"]) @ w[n_stems:]
+            z = bias + _patterns(rows["votes"]) @ w[n_stems:]
             z += np.array([np.dot(w[np.asarray(a, np.int64)], v) if len(a) else 0.0 for a, v in zip(rows["at"], rows["value"], strict=True)])
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pd.DataFrame({"id": rows["id"], "key": rows["key"], "votes": rows["votes"], "score": p})
+            yield pd.DataFrame({"id": rows["id"], "key": rows["key"], "votes": rows["votes"], "score": _target(z)})
 
     scored = read.mapInPandas(score, f"id {kind}, key binary, votes long, score double")
     return scored.select(

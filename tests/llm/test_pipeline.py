@@ -55,8 +55,86 @@ def test_label_model_tells_good_voters_from_bad():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
     v = np.stack([np.where(y, rng.random(4000) < p, rng.random(4000) < q) for p, q in ((0.9, 0.02), (0.8, 0.05), (0.7, 0.05), (0.5, 0.5))], 1).astype(int)
-    logit = label_model(v, np.ones(4000), np.zeros(4000), np.zeros(4000))
-    assert ((logit > 0) == y).mean() > 0.95
+    none = np.zeros((4000, 3))
+    none[:, 0] = 1
+    assert ((label_model(v, none)[:, 0] > 0) == y).mean() > 0.95
+    said = np.where(rng.random(4000) < 0.3, 1 + y, 0)  # a third has a label
+    logit = label_model(v, np.eye(3)[said])
+    assert ((logit[np.arange(4000), said] > 0) == y).mean() > 0.96
+
+
+def test_label_model_against_loops_over_rows():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = rng.integers(0, 2, (7, 3))
+    counts = rng.integers(0, 6, (7, 3))
+    rows = [(list(map(int, v[i])), s) for i in range(7) for s in range(3) for _ in range(counts[i, s])]
+    most = max(sum(x) for x, _ in [(list(r), 0) for r in v])
+    post = [(min(0.95, max(0.02, sum(x) / max(most, 1))), 0.02, 0.98)[s] for x, s in rows]
+    for _ in range(3):
+        w = {1: post, 0: [1 - p for p in post]}
+        rate = {c: [(sum(a * x[k] for a, (x, _) in zip(w[c], rows, strict=True)) + (1 if c else 0.5)) / (sum(w[c]) + (2 if c else 20)) for k in range(3)] for c in (0, 1)}
+        share_of = []
+        for k in range(3):
+            total = 0.0
+            for j in range(3):
+                for c in (0, 1):
+                    cov = lambda m, n, c=c: sum(a * (x[m] - rate[c][m]) * (x[n] - rate[c][n]) for a, (x, _) in zip(w[c], rows, strict=True)) / max(sum(w[c]), 1)
+                    total += min(1, max(0, cov(k, j) / math.sqrt(max(cov(k, k), 1e-9) * max(cov(j, j), 1e-9)))) / 2
+            share_of.append(1 / max(total, 1))
+        said = {c: (sum(a for a, (_, s) in zip(w[c], rows, strict=True) if s == 2) + (10 if c else 1)) / (sum(a for a, (_, s) in zip(w[c], rows, strict=True) if s) + 11) for c in (0, 1)}
+        prior = min(0.5, max(1e-4, (sum(post) + 1) / (len(rows) + 2)))
+
+        def logit(x, s, rate=rate, share_of=share_of, said=said, prior=prior):
+            out = math.log(prior / (1 - prior))
+            for k in range(3):
+                p, q = rate[1][k], rate[0][k]
+                out += share_of[k] * (math.log(p / q) if x[k] else math.log((1 - p) / (1 - q)))
+            return out + (0, math.log((1 - said[1]) / (1 - said[0])), math.log(said[1] / said[0]))[s]
+
+        post = [1 / (1 + math.exp(-max(-30, min(30, logit(x, s))))) for x, s in rows]
+    want = [[logit(list(map(int, x)), s) for s in range(3)] for x in v]
+    assert np.allclose(label_model(v, counts, rounds=3), want, atol=1e-9)
+
+
+def test_scores_against_plain_python(spark, folder, monkeypatch):
+    """Votes and scores worked out text by text from the stems and weights that were learned."""
+    import math
+    import re
+
+    from codelattice.llm import toxicity as t
+
+    seen = {}
+    keep = lambda name, f: lambda *x, **y: seen.setdefault(name, f(*x, **y))
+    monkeypatch.setattr(t, "learn_stems", keep("stems", t.learn_stems))
+    monkeypatch.setattr(t, "fit_classifier", keep("model", t.fit_classifier))
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    docs = docs.union(docs.where("doc_id in (5, 1003)")).union(spark.createDataFrame([(5000, "idiot! " * 30_000, "en", "t", 1, 7, 0.5, "own")], docs.schema))
+    got = t.score_toxicity(docs, labels).collect()
+    assert len(got) == docs.count()
+    folds = {(r.doc_id, r.text): r.fold for r in docs.withColumn("fold", F.expr(
+        f"pmod(xxhash64(unhex(md5(concat(coalesce(cast(doc_id as string), 'null'), '\n', cast(text is null as string), coalesce(text, '')))), 1), {t.FOLDS})")).collect()}
+    order = sorted(set().union(*seen["stems"]))
+    w, bias = seen["model"]
+    lexicon = [{x.decode() for x in y} for y in (t.INSULTS, t.CONTEMPT, t.PROFANITY, t.THREATS)]
+    want = collections.Counter()
+    for (i, text), fold in folds.items():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+        counts = collections.Counter(s for x in words for s in t._stems(x.encode()) if s in set(order))
+        own = seen["stems"][fold]
+        hits = [sum(n for s, n in counts.items() if own.get(s) == k) for k in range(len(t.STEM_ODDS))]
+        bad = sum(x in lexicon[0] | lexicon[1] | lexicon[2] for x in words)
+        strong = sum(hits[3:])
+        votes = [bool(set(words) & x) for x in lexicon] + [bad >= 2, bad * 200 >= len(words) > 0, bool(bad and t._AIMED.search((text or "").lower().encode())), (text or "").count("!") * 40 > len(words) > 0]
+        votes += [n * t.DENSE > len(words) for n in hits] + [strong >= 4, strong >= 12, strong * t.DENSE > 8 * len(words) > 0]
+        assert len(votes) == len(t.VOTERS)
+        z = bias + sum(w[order.index(s)] * math.log1p(n) for s, n in counts.items()) + sum(w[len(order) + k] for k, x in enumerate(votes) if x)
+        want[i, sum(1 << k for k, x in enumerate(votes) if x), round(1 / (1 + math.exp(-max(-30, min(30, z)))), 6)] += 1
+    assert {(r.doc_id, r.votes, round(r.score, 6)) for r in got} == set(want)
+    assert seen["stems"][0] and any(r.score > 0.5 for r in got if r.doc_id == 5000)
 
 
 def test_pipeline(spark, folder):
