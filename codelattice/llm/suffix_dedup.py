@@ -27,8 +27,10 @@ PERIOD = 133
 COVER = (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
 #: Texts are gathered to blocks of about so many bytes; a bucket of suffixes comes from about BUCKET bytes of text.
 BLOCK, BUCKET = 1 << 22, 1 << 25
+#: Bytes of text to one task over the blocks.
+PART = 1 << 27
 #: Hash bits: enough to leave few chance ties among cover suffixes, and next to none at full depth.
-SAMPLE_BITS, FULL_BITS = 34, 60
+SAMPLE_BITS, FULL_BITS = 34, 64
 
 _BASE = 0x9E3779B97F4A7C15
 _VALUES = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -209,12 +211,13 @@ def remove_repeats(
     ``length`` is at least PERIOD + 16.
 
     Texts are gathered to blocks and written once, bucketed by block, so that answers are joined to
-    them without shuffling text. A block sends each distinct hash of a bucket once, so that a passage
+    them without shuffling text, in tasks of about PART bytes at any size of the input. A block sends each distinct hash of a bucket once, so that a passage
     in a third of all documents is no hot group; it gets a bit for each back. A bucket holds what
     about ``bucket`` bytes of text send, at any size of the input.
 
     Returns ``id_col``, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept
-    (binary: the remaining bytes): one row per input row, repeated rows included.
+    (binary: the remaining bytes): one row per input row, repeated rows included. An empty table gives
+    no rows; texts shorter than ``length`` stay whole.
     """
     if length < PERIOD + 16:
         raise ValueError(f"length must be {PERIOD + 16} or more")
@@ -222,13 +225,13 @@ def remove_repeats(
     prefix = length - PERIOD + 1
     kind = dict(docs.dtypes)[id_col]
     name = scratch_path(spark, "blocks").rsplit("/", 1)[1].replace("-", "_")
-    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
     (
         _blocks(docs, id_col, text_col, block).write.bucketBy(n_parts, "block")
         .option("path", scratch_path(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
     )
     blocks = spark.table(name)
-    total = blocks.agg(F.sum(F.length("data").cast("long"))).first()[0] or 0
     buckets = max(4, -(-total // bucket))
     sends = "block long, bucket int, hashes binary, several binary"
 
@@ -288,4 +291,6 @@ def remove_repeats(
     repeats = answered(ranked.select("block", "sizes", "data", "ranks").mapInPandas(send_suffixes, sends), "repeats")
     done = ranked.join(repeats, "block", "left").select("ids", "sizes", "data", "ranks", "repeats").mapInPandas(
         remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return done.withColumnRenamed("id", id_col)
+    out = cut(done.withColumnRenamed("id", id_col), "kept")
+    spark.sql(f"DROP TABLE `{name}`")
+    return out
