@@ -34,13 +34,6 @@ def _cells_of(key: Column, cells: int) -> list[Column]:
     return [F.shiftrightunsigned(key, 16 * t).bitwiseAND(F.lit(cells - 1)).cast("int") + F.lit(t * cells) for t in range(3)]
 
 
-def _in_cell(key: Column, cell: Column, cells: int) -> Column:
-    """Whether the key belongs to the cell."""
-    at = cell % cells
-    bits = lambda s: F.shiftrightunsigned(key, s).bitwiseAND(F.lit(cells - 1)) == at
-    return F.when(cell < cells, bits(0)).when(cell < 2 * cells, bits(16)).otherwise(bits(32))
-
-
 def _empty() -> Column:
     return F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
 
@@ -81,9 +74,11 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _pure(cells: Column) -> Column:
+def _pure(cells: Column, size: int) -> Column:
+    """The digests that are alone in a cell, with their checks and the cells that they are in."""
     alone = F.filter(cells, lambda c: (F.abs(c["n"]) == 1) & (c["h"] == _check(c["k"])))
-    return F.array_distinct(F.transform(alone, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"))))
+    keys = F.array_distinct(F.transform(alone, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), c["h"].alias("h"))))
+    return F.transform(keys, lambda p: F.struct(p["k"].alias("k"), p["n"].alias("n"), p["h"].alias("h"), *(c.alias(f"c{t}") for t, c in enumerate(_cells_of(p["k"], size)))))
 
 
 def peel(cells: Column, size: int = CELLS) -> Column:
@@ -91,11 +86,11 @@ def peel(cells: Column, size: int = CELLS) -> Column:
 
     ``plus`` and ``minus`` are the digests of the first and of the second set only.
     """
-    keys = "array<struct<k: bigint, n: int>>"
-    state = lambda x, got: F.struct(x.alias("cells"), _pure(x).alias("pure"), got.alias("got"))
+    keys = "array<struct<k: bigint, n: int, h: bigint, c0: int, c1: int, c2: int>>"
+    state = lambda x, got: F.struct(x.alias("cells"), _pure(x, size).alias("pure"), got.alias("got"))
     step = lambda s: F.when(F.size(s["pure"]) == 0, s).otherwise(_let(
         F.transform(s["cells"], lambda c, i: F.aggregate(
-            F.filter(s["pure"], lambda p: _in_cell(p["k"], i, size)), c, lambda a, p: _merge(a, -p["n"], p["k"], _check(p["k"])))),
+            F.filter(s["pure"], lambda p: (p["c0"] == i) | (p["c1"] == i) | (p["c2"] == i)), c, lambda a, p: _merge(a, -p["n"], p["k"], p["h"]))),
         lambda x: state(x, F.concat(s["got"], s["pure"])),
     ))
     end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), _let(cells, lambda x: state(x, F.array().cast(keys))), lambda s, _: step(s))
