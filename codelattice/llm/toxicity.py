@@ -75,7 +75,7 @@ def _reader(vocabulary: dict[bytes, int], voting: list[dict[int, int]]):
                 for w in words:
                     hit = known.get(w)
                     if hit is None:
-                        if len(known) > 400_000:
+                        if len(known) > 200_000:
                             known.clear()
                         hit = known[w] = tuple(vocabulary[s] for s in _stems(w) if s in vocabulary)
                     for i in hit:
@@ -95,13 +95,17 @@ def _reader(vocabulary: dict[bytes, int], voting: list[dict[int, int]]):
 
 
 def _stem_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """In how many rows of (fold, toxic, text) each stem stands."""
+    """In how many rows of (fold, toxic, text) each stem stands, in parts of at most about 50,000 counts."""
+    columns = ["fold", "stem", "toxic", "n"]
+    n: dict[tuple[int, bytes, int], int] = {}
     for rows in batches:
-        n: dict[tuple[int, bytes, int], int] = {}
         for fold, toxic, text in zip(rows["fold"], rows["toxic"], rows["text"], strict=True):
             for x in {s for w in set(words_of((text or "").lower())) for s in _stems(w)}:
                 n[fold, x, toxic] = n.get((fold, x, toxic), 0) + 1
-        yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["fold", "stem", "toxic", "n"])
+            if len(n) > 50_000:
+                yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=columns)
+                n = {}
+    yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=columns)
 
 
 def learn_stems(sample: DataFrame, folds: int = FOLDS, most: int = STEMS, support: int = SUPPORT) -> list[dict[bytes, int]]:
