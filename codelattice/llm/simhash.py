@@ -104,15 +104,17 @@ def close_pairs(fps: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, chunk
     """
     masks = F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(blocks, bits)))
     rows = fps.select("fp", F.posexplode(masks).alias("mask", "block"))
-    shared = rows.groupBy("mask", "block").agg(F.count("*").alias("n"), F.min("fp").alias("leader")).where("n > 1")
-    met = rows.join(shared, ["mask", "block"])
-    small = met.where(F.col("n") <= chunk).groupBy("mask", "block").agg(F.collect_list("fp").alias("fps")).select("fps")
-    large = met.where(F.col("n") > chunk).withColumn("near", F.bit_count(F.col("fp").bitwiseXOR(F.col("leader"))) <= bits)
+    shared = cut(rows.groupBy("mask", "block").agg(F.count("*").alias("n"), F.min("fp").alias("leader")).where("n > 1"), "shared")
+    key = ["mask", "block"]
+    # Merged, never broadcast: the buckets are as many as the fingerprints.
+    small = rows.join(shared.where(F.col("n") <= chunk).select(key).hint("merge"), key).groupBy(key).agg(F.collect_list("fp").alias("fps")).select("fps")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("leader"))) <= bits
+    large = cut(rows.join(shared.where(F.col("n") > chunk).drop("n").hint("merge"), key).withColumn("near", near), "large")
     linked = large.where("near and fp <> leader").select(F.col("leader").alias("a"), F.col("fp").alias("b"))
-    sizes = large.groupBy("mask", "block").agg(_chunks(F.col("near"), chunk).alias("nears"), _chunks(~F.col("near"), chunk).alias("fars")).where("fars > 0")
+    sizes = large.groupBy(key).agg(_chunks(F.col("near"), chunk).alias("nears"), _chunks(~F.col("near"), chunk).alias("fars")).where("fars > 0")
     own = F.pmod(F.xxhash64("fp", "mask"), F.when(F.col("near"), F.col("nears")).otherwise(F.col("fars"))).cast("int")
-    cells = large.join(sizes, ["mask", "block"]).withColumn("own", own).select("mask", "block", "fp", F.explode(_cells()).alias("at"))
-    cells = cells.groupBy("mask", "block", "at").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
+    cells = large.join(sizes, key).withColumn("own", own).select(*key, "fp", F.explode(_cells()).alias("at"))
+    cells = cells.groupBy(*key, "at").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
     return small.union(cells).mapInPandas(_forest(bits), "a long, b long").union(linked).distinct()
 
 
