@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # The patterns that count one each for cyclomatic complexity, beside a base of 1.
 BRANCHES = (r"\bif\b", r"\belse\s+if\b", r"\bfor\b", r"\bforeach\b", r"\bwhile\b", r"\bdo\b", r"\bcase\b", r"\bcatch\b", r"\?\s*[^:]", r"&&", r"\|\|", r"\?\?")
-# Words that nest, and the severities' order.
+# Words that nest, and words of SQL.
 NESTING = r"\b(if|for|foreach|while|do|switch|try|catch)\b"
-SQL_WORDS = ("SELECT", "INSERT", "UPDATE", "DELETE", "FROM", "WHERE", "JOIN", "INTO", "VALUES", "SET", "MERGE", "CALL")
+SQL_WORDS = ("SELECT", "INSERT", "UPDATE", "DELETE", "FROM", "WHERE", "JOIN", "SET", "VALUES", "INTO", "MERGE", "CALL")
 
 
 def cyclomatic(text: Column) -> Column:
@@ -66,9 +66,13 @@ def cognitive(text: Column) -> Column:
 def parameter_count(signature: Column) -> Column:
     """Parameters between the first parentheses; commas inside ``<>`` and ``[]`` do not count."""
     inner = F.regexp_extract(signature, r"\(([^)]*)\)", 1)
-    for _ in range(3):
-        inner = F.regexp_replace(inner, r"<[^<>]*>|\[[^\[\]]*\]", "")
-    return F.when(F.trim(inner) == "", F.lit(0)).otherwise(F.size(F.split(inner, ",")))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(1).alias("n"))
+
+    def step(s: Column, c: Column) -> Column:
+        depth = s["depth"] + c.isin("<", "[").cast("int") - c.isin(">", "]").cast("int")
+        return F.struct(depth.alias("depth"), (s["n"] + ((c == ",") & (depth == 0)).cast("int")).alias("n"))
+
+    return F.when(F.trim(inner) == "", F.lit(0)).otherwise(F.aggregate(F.split(inner, ""), start, step, lambda s: s["n"]))
 
 
 def looks_like_sql(text: Column) -> Column:
@@ -76,78 +80,106 @@ def looks_like_sql(text: Column) -> Column:
     return F.exists(F.array(*map(F.lit, SQL_WORDS)), lambda w: F.contains(upper, w))
 
 
+# Kinds of SQL statements in the order in which they are tried, with the pattern that tells them inside other text.
+SQL_KINDS = (
+    ("SELECT", r"\bselect\s+(?:distinct\s+)?(.+?)\s+from\s+(\w+)"), ("INSERT", r"\binsert\s+into\s+(\w+)"), ("UPDATE", r"\bupdate\s+(\w+)\s+set"), ("DELETE", r"\bdelete\s+from\s+(\w+)"),
+    ("MERGE", r"\bmerge\s+into\s+(\w+)"), ("CALL", r"^\s*(call|exec)"),
+)
+
+
 def sql_statement(text: Column) -> Column:
-    """struct(kind, main_table, tables, columns) of a SQL string, by its first word."""
-    t = F.trim(F.regexp_replace(text, r"\s+", " "))
-    kind = F.upper(F.regexp_extract(t, r"(?i)^(select|insert|update|delete|merge|call)\b", 1))
-    name = r"([A-Za-z_][\w.$]*)"
-    one = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit(""))
-    main = (
-        F.when(kind == "SELECT", one(rf"(?i)\bfrom {name}")).when(kind == "INSERT", one(rf"(?i)\binto {name}"))
-        .when(kind == "UPDATE", one(rf"(?i)^update {name}")).when(kind == "DELETE", one(rf"(?i)\bfrom {name}"))
-        .when(kind == "MERGE", one(rf"(?i)\binto {name}")).when(kind == "CALL", one(rf"(?i)^call {name}"))
-    )
-    joined = F.regexp_extract_all(t, F.lit(rf"(?i)\bjoin {name}"), F.lit(1))
-    listed = (
-        F.when(kind == "SELECT", F.regexp_extract(t, r"(?i)^select (?:distinct )?(.*?) from\b", 1))
-        .when(kind == "INSERT", F.regexp_extract(t, r"(?i)\binto \S+ ?\(([^)]*)\)", 1))
-        .when(kind == "UPDATE", F.regexp_extract(t, r"(?i)\bset (.*?)(?: where\b|$)", 1)).otherwise(F.lit(""))
+    """struct(kind, main_table, tables, columns) of a SQL string. Tables of joins and of USING follow the
+    others, each once; a column's alias is its last word; a call has neither."""
+    kind = F.when(F.lit(False), F.lit(""))
+    for name, pattern in SQL_KINDS:
+        kind = kind.when(text.rlike(rf"(?i)^\s*{name}") | text.rlike(f"(?i){pattern}"), name)
+    kind = kind.otherwise("UNKNOWN")
+    one = lambda p, n=1: F.regexp_extract(text, f"(?is){p}", n)
+    listed = lambda c: F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
+    several = lambda p: F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(1))
+    first = lambda x: F.split(x, r"\s+")[0]
+    sources = F.transform(listed(one(r"from\s+(\w+(?:\s+\w+)?(?:\s*,\s*\w+(?:\s+\w+)?)*)")), first)
+    alone = lambda p: listed(one(p))
+    after = lambda known, more: F.concat(known, F.filter(F.array_distinct(more), lambda x: ~F.array_contains(known, x)))
+    none = F.array().cast("array<string>")
+    tables = (
+        F.when(kind == "SELECT", after(sources, several(r"join\s+(\w+)"))).when(kind == "INSERT", alone(r"insert\s+into\s+(\w+)")).when(kind == "UPDATE", alone(r"update\s+(\w+)\s+set\s"))
+        .when(kind == "DELETE", alone(r"delete\s+from\s+(\w+)")).when(kind == "MERGE", after(alone(r"merge\s+into\s+(\w+)"), alone(r"using\s+(\w+)"))).otherwise(none)
     )
-    cut_off = F.transform(F.split(listed, ","), lambda c: F.trim(F.split(c, "=")[0]))
-    columns = F.filter(F.transform(cut_off, lambda c: F.element_at(F.split(c, r"[ .]"), -1)), lambda c: c != "")
-    return F.struct(
-        F.nullif(kind, F.lit("")).alias("kind"), main.alias("main_table"),
-        F.array_distinct(F.array_compact(F.concat(F.array(main), joined))).alias("tables"), F.array_distinct(columns).alias("columns"),
+    chosen = F.transform(listed(one(r"select\s+(?:distinct\s+)?(.+?)\s+from")), lambda c: F.element_at(F.split(c, r"\s+"), -1))
+    columns = (
+        F.when(kind == "SELECT", F.filter(chosen, lambda c: c != "*")).when(kind == "INSERT", alone(r"insert\s+into\s+\w+\s*\(([^)]+)\)"))
+        .when(kind == "UPDATE", F.regexp_extract_all(one(r"update\s+\w+\s+set\s+(.+?)(?:\s+where|$)"), F.lit(r"(\w+)\s*="), F.lit(1))).otherwise(none)
     )
+    return F.struct(kind.alias("kind"), F.coalesce(F.get(tables, 0), F.lit("")).alias("main_table"), tables.alias("tables"), columns.alias("columns"))
+
+
+# Names of comparisons.
+OPERATORS = {"<": "less_than", "<=": "less_than_or_equals", ">": "greater_than", ">=": "greater_than_or_equals", "==": "equals", "!=": "not_equals"}
+
+
+def _operator(sign: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in OPERATORS.items() for x in kv)), sign), F.lit("custom"))
 
 
 def guard(condition: Column) -> Column:
-    """struct(operand, operator, value, guard_kind) of an if-condition."""
-    c = F.trim(condition)
-    part = lambda p, n: F.nullif(F.trim(F.regexp_extract(c, p, n)), F.lit(""))
-    compare = r"^(.+?)\s*(===|!==|==|!=|>=|<=|>|<)\s*(.+)$"
-    call = r"^(!?)\s*([\w.]+)\(.*\)$"
-    operator = F.when(c.rlike(compare), part(compare, 2)).when(c.rlike(r"^!"), F.lit("not")).otherwise(F.lit("truthy"))
-    value = F.when(c.rlike(compare), part(compare, 3))
-    operand = F.when(c.rlike(compare), part(compare, 1)).when(c.rlike(call), part(call, 2)).otherwise(F.regexp_replace(c, "^!", ""))
-    kind = (
-        F.when(value.isin("null", "undefined", "None"), "null_check").when(c.rlike(r"(?i)isempty|length|size\(\)"), "empty_check")
-        .when(c.rlike(r"(?i)permission|role|auth"), "permission_check").when(value.isNotNull() & value.rlike(r"^-?\d+(\.\d+)?$"), "range_check")
-        .otherwise("state_check")
+    """struct(operand, operator, value, guard_kind) of an if-condition: a null check, a check of bounds or
+    of a negated state; null for any other."""
+    get = lambda p, n: F.regexp_extract(condition, p, n)
+    of = lambda operand, operator, value, kind: F.struct(operand.alias("operand"), operator.alias("operator"), value.cast("string").alias("value"), F.lit(kind).alias("guard_kind"))
+    is_null, not_null, bounds = r"(\w+)\s*== null", r"(\w+)\s*!= null", r"(\w+)\s*([<>]=?)\s*(\d+)"
+    return (
+        F.when(condition.rlike(is_null), of(get(is_null, 1), F.lit("is_null"), F.lit(None), "null_check")).when(condition.rlike(not_null), of(get(not_null, 1), F.lit("not_null"), F.lit(None), "null_check"))
+        .when(condition.rlike(bounds), of(get(bounds, 1), _operator(get(bounds, 2)), get(bounds, 3), "bounds_check"))
+        .when(condition.startswith("!"), of(F.trim(F.substring(condition, 2, 1 << 20)), F.lit("equals"), F.lit("false"), "state_check"))
     )
-    return F.struct(operand.alias("operand"), operator.alias("operator"), value.alias("value"), kind.alias("guard_kind"))
 
 
 # Words by which a condition is business logic.
-BUSINESS_WORDS = ("amount", "balance", "status", "price", "total", "quantity", "limit", "date", "type", "role", "permission", "approved", "discount", "rate")
+BUSINESS_WORDS = (
+    "amount", "price", "total", "balance", "quantity", "count", "status", "state", "type", "category", "level", "tier", "discount", "tax", "fee", "rate", "percent", "threshold", "limit", "max", "min",
+    "premium", "standard", "active", "enabled", "approved", "pending", "expired", "valid",
+)
 
 
 def business_condition(condition: Column) -> Column:
-    """struct(words, confidence, operator, threshold); confidence is min(0.5 + 0.1 per word, 0.9)."""
+    """struct(words, confidence, variable, operator, threshold); confidence is min(0.5 + 0.1 per word, 0.9),
+    and 0 without a word, when nothing else is told either."""
     low = F.lower(condition)
     words = F.filter(F.array(*map(F.lit, BUSINESS_WORDS)), lambda w: F.contains(low, w))
-    confidence = F.when(F.size(words) > 0, F.least(F.lit(0.5) + 0.1 * F.size(words), F.lit(0.9))).otherwise(F.lit(0.0))
-    operator = F.nullif(F.regexp_extract(condition, r"(>=|<=|==|!=|>|<)", 1), F.lit(""))
-    return F.struct(words.alias("words"), confidence.alias("confidence"), operator.alias("operator"),
-                    F.try_to_number(F.nullif(F.regexp_extract(condition, r"[<>=]\s*(\d+)", 1), F.lit("")), F.lit("999999999")).cast("double").alias("threshold"))
+    confidence = F.when(F.size(words) > 0, F.least(F.round(0.5 + 0.1 * F.size(words), 9), F.lit(0.9))).otherwise(F.lit(0.0))
+    number, status = r"(\w+)\s*([<>]=?|==|!=)\s*(\d+(?:\.\d+)?)", r"(\w+)\s*==\s*[\"']?(\w+)[\"']?"
+    get = lambda p, n: F.regexp_extract(condition, p, n)
+    of = lambda v, o, t: F.struct(v.alias("variable"), o.alias("operator"), t.alias("threshold"))
+    known = F.size(words) > 0
+    told = (
+        F.when(known & condition.rlike(number), of(get(number, 1), _operator(get(number, 2)), get(number, 3)))
+        .when(known & condition.rlike(status), of(get(status, 1), F.lit("equals"), get(status, 2))).otherwise(of(F.lit(""), F.lit("custom"), F.lit(None).cast("string")))
+    )
+    return F.struct(words.alias("words"), confidence.alias("confidence"), told["variable"].alias("variable"), told["operator"].alias("operator"), told["threshold"].alias("threshold"))
 
 
-# The validation annotations and the rule that each stands for.
-VALIDATIONS = (("NotNull", "required"), ("NotBlank", "required"), ("NotEmpty", "required"), ("Size", "length"), ("Length", "length"), ("Min", "minimum"), ("Max", "maximum"),
-               ("Email", "format"), ("Pattern", "format"), ("Past", "date"), ("Future", "date"), ("Positive", "sign"), ("Valid", "nested"))
+# The validation annotations and the kind of rule that each stands for, in order.
+VALIDATIONS = (
+    ("@NotNull", "required"), ("@NotEmpty", "required"), ("@NotBlank", "required"), (r"@Size\s*\([^)]+\)", "length"), (r"@Min\s*\([^)]+\)", "range"), (r"@Max\s*\([^)]+\)", "range"),
+    (r"@Pattern\s*\([^)]+\)", "format"), ("@Email", "format"), ("@Past", "date"), ("@Future", "date"), ("@Positive", "range"), ("@PositiveOrZero", "range"), ("@Negative", "range"), ("@Valid", "nested"),
+)
 
 
 def validations(annotations: Column) -> Column:
     """Array of struct(annotation, rule) for the validation annotations in a text, in table order."""
-    found = [F.when(annotations.rlike(rf"@{a}\b"), F.struct(F.lit(a).alias("annotation"), F.lit(r).alias("rule"))) for a, r in VALIDATIONS]
+    found = [F.when(annotations.rlike(p), F.struct(F.regexp_extract(annotations, f"@({p[1:]})", 1).alias("annotation"), F.lit(r).alias("rule"))) for p, r in VALIDATIONS]
     return F.array_compact(F.array(*found))
 
 
 def markdown_sections(text: Column) -> Column:
-    """Map from heading to the text under it; of equal headings the last counts, text before the
-    first heading is left out."""
-    parts = F.filter(F.split(F.concat(F.lit("\n"), text), r"\n(?=#{1,6} )"), lambda p: p.rlike(r"^#{1,6} "))
+    """Map from heading (one to three marks; a number before it is left out) to the text under it; of equal
+    headings the last counts, text before the first heading is left out."""
+    head = r"^#{1,3}[ \t]+(?:\d+\.?[ \t]*)?([^\n]+)"
+    parts = F.filter(F.split(F.concat(F.lit("\n"), text), r"\n(?=#{1,3}[ \t]+[^\s])"), lambda p: p.rlike(head))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     pairs = F.transform(parts, lambda p: F.struct(
-        F.trim(F.regexp_extract(p, r"^#{1,6} ([^\n]*)", 1)).alias("heading"), F.trim(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("body")))
-    kept = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["heading"] == x["heading"]))
+        strip(F.regexp_extract(p, head, 1)).alias("heading"), strip(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("body")))
+    names = F.transform(pairs, lambda x: x["heading"])
+    kept = F.filter(pairs, lambda x, i: F.array_position(F.slice(names, i + 2, F.size(names)), x["heading"]) == 0)
     return F.map_from_entries(kept)

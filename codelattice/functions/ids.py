@@ -44,9 +44,8 @@ def file_extension(path: Column) -> Column:
 
 def source_type(path: Column) -> Column:
     """test, resource, main or other, from the folders of a path."""
-    p = F.concat(F.lit("/"), F.lower(path))
-    has = lambda *xs: F.greatest(*(F.contains(p, F.lit(x)) for x in xs)) if len(xs) > 1 else F.contains(p, F.lit(xs[0]))
-    return (
-        F.when(has("/src/test/", "/test/", "/tests/", "/__tests__/") | p.rlike(r"\.(test|spec)\.[a-z]+$"), "test")
-        .when(has("/resources/", "/webapp/"), "resource").when(has("/src/main/", "/src/"), "main").otherwise("other")
-    )
+    from codelattice.functions.ladders import first_match
+
+    return first_match(F.lower(F.regexp_replace(path, r"\\", "/")), (
+        (r"/src/test/|/test/|/__tests__/|\.test\.|\.spec\.|-test/", "test"), ("/resources/|/assets/|/webapp/", "resource"), ("/src/main/|/src/|/main/", "main"),
+    ), "other")

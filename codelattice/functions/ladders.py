@@ -41,6 +41,17 @@ def component_title(name: Column) -> Column:
     return F.trim(F.regexp_replace(spaced, "(?i)(Page|Component|View)$", ""))
 
 
+# Words that stay in capitals.
+ACRONYMS = ("edi", "duns", "api", "ui", "csr", "xml")
+
+
+def camel_title(name: Column) -> Column:
+    """A camelCase name as words with a capital each; known acronyms are all capitals."""
+    spaced = F.regexp_replace(F.regexp_replace(name, "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    words = F.filter(F.split(F.lower(spaced), r"\s+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.when(w.isin(*ACRONYMS), F.upper(w)).otherwise(F.initcap(w))), " ")
+
+
 def feature_name(base: Column, component: Column | None = None) -> Column:
     """struct(name, confidence) of a feature: by its path, else its component (0.7), else its last
     segment (0.5)."""
@@ -70,21 +81,46 @@ def footprint(parts: Sequence[tuple[Column, float, float]]) -> Column:
     return F.struct(score.alias("score"), F.when(score < 25, "LOW").when(score < 50, "MEDIUM").when(score < 75, "HIGH").otherwise("VERY_HIGH").alias("level"))
 
 
-# Layers by kind, then by name, for each variant.
+# The rules of each variant of layers, in order: layer, pattern of the kind, pattern of the name (either decides; "" never does).
 LAYERS = {
-    "chain": ((r"(?i)page|jsp|ui|screen|component", "UI"), (r"(?i)flow", "Flow"), (r"(?i)controller|endpoint|action", "Controller"), (r"(?i)service", "Service"),
-              (r"(?i)dao|repository|mapper", "DAO"), (r"(?i)sql|table|entity", "Database")),
-    "method": ((r"(?i)controller", "Controller"), (r"(?i)action", "Action"), (r"(?i)service", "Service"), (r"(?i)dao|repository", "DAO"), (r"(?i)validator", "Validator")),
-    "context": ((r"(?i)jsp|page|route", "ui"), (r"(?i)controller|action|flow|endpoint", "controller"), (r"(?i)service|manager", "service"), (r"(?i)dao|repository|sql", "data"), (r"(?i)entity|model|dto", "model")),
-    "implementation": ((r"(?i)controller|action", "presentation"), (r"(?i)service|manager|helper", "business"), (r"(?i)dao|repository", "persistence"), (r"(?i)entity|dto|model", "domain")),
-    "explore": ((r"(?i)jsp|uipage|uiroute", "UI"), (r"(?i)webflow|flowstate", "WebFlow"), (r"(?i)controller", "Controller"), (r"(?i)service", "Service"), (r"(?i)dao|repository", "DAO"), (r"(?i)entity|table", "Entity")),
+    "flow": (
+        ("UI", "jsp", ""), ("Flow", "webflow|flowstate", ""), ("Controller", "", "(action|controller)$"), ("DAO", "", "dao|repository"),
+        ("Service", "", "service|builder|validator"), ("Entity", "^javaclass$", ""),
+    ),
+    "chain": (
+        ("UI", "^jsppage$", ""), ("Flow", "^(webflowdefinition|flowstate)$", ""), ("Controller", "", "(action|controller)$"), ("DAO", "", "dao|repository"), ("Service", "", "service|builder"),
+    ),
+    "context": (
+        ("ui", "jsp", ""), ("flow", "webflow|flowdefinition", ""), ("controller", "", "action|controller"), ("data", "", "dao|repository"), ("service", "", "service|validator|builder"),
+    ),
+    "implementation": (
+        ("ui", "^(jsppage|jsp)$", ""), ("flow", "^webflowdefinition$", ""), ("controller", "", "(action|controller)$"), ("data", "", "dao|repository"), ("service", "", "service|builder|validator"),
+    ),
+    "explore": (
+        ("presentation", "jsp|html|view", ""), ("presentation", "webflow|flowdefinition|flowstate", ""), ("controller", "controller|action", "action"), ("service", "service", "service"),
+        ("service", "", "validator|builder"), ("data", "dao|repository|mapper|sqltable|sqlview", "dao|repository"), ("data", "", "/persistence/"),
+    ),
 }
-OTHER_LAYER = {"chain": "Other", "method": "Other", "context": "other", "implementation": "other", "explore": "Component"}
+OTHER_LAYER = {"flow": "Unknown", "chain": "Unknown", "context": "service", "implementation": "entity", "explore": "service"}
+
 
+def layer(kind: Column, name: Column, variant: str = "flow", parent: Column | None = None) -> Column:
+    """The architectural layer by the first rule of a variant that the kind or the name meets.
 
-def layer(kind: Column, name: Column, variant: str = "chain") -> Column:
-    """The architectural layer: a rule is tried on the kind first and then on the name."""
-    return first_match(kind, LAYERS[variant], first_match(name, LAYERS[variant], OTHER_LAYER[variant]))
+    A class that is named an action, but not at the end, is no entity of the flow variant; the chain
+    variant takes the parent's name, if there is one, for data access and services.
+    """
+    kind, name = F.lower(kind), F.lower(name)
+    owner = name if parent is None else F.coalesce(F.lower(parent), name)
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for what, by_kind, by_name in LAYERS[variant]:
+        hit = kind.rlike(by_kind) if by_kind else F.lit(False)
+        if by_name:
+            hit = hit | (owner if variant == "chain" and what in ("DAO", "Service") else name).rlike(by_name)
+        if (variant, what) == ("flow", "Entity"):
+            hit = hit & ~name.rlike("action|service")
+        out = out.when(F.coalesce(hit, F.lit(False)), what)
+    return out.otherwise(OTHER_LAYER[variant])
 
 
 # A stereotype's layer.
@@ -100,19 +136,34 @@ def stereotype_layer(stereotype: Column) -> Column:
 
 
 def file_category(path: Column) -> Column:
-    return first_match(path, (
-        (r"(?i)\.jspx?$", "jsp"), (r"(?i)flow.*\.xml$", "webflow"), (r"(?i)(^|/)(tests?|__tests__|spec)/|\.(test|spec)\.[a-z]+$", "test"), (r"(?i)\.(tsx|jsx|vue|css|scss|html)$", "frontend"),
-        (r"(?i)\.(xml|ya?ml|properties|json|toml|gradle)$", "config"),
+    """jsp, webflow, frontend, test, config or backend, by the path in lower case."""
+    return first_match(F.lower(path), (
+        (r"\.jsp$", "jsp"), (r"webflow|flow.*\.xml$", "webflow"), (r"\.(tsx|jsx|vue|html|css|scss)", "frontend"), (r"/(frontend|ui|web)/.*\.(ts|js)$", "frontend"),
+        (r"test|spec", "test"), (r"config|application\.|settings|properties", "config"), (r"^(?!.*src/main).*\.(yaml|yml|properties|xml|json)$", "config"),
     ), "backend")
 
 
+# Component categories in order, each by a pattern of the kind, the name or the path; "" never decides.
+COMPONENTS = (
+    ("service", "^javafield$", "service|repository|dao|validator|builder", "both"), ("other", "^javafield$", "", "kind"), ("other", "^javamethod$", "", "kind"),
+    ("jsp", "^(jsppage|jspform|jspinclude|jsptaglib)$", "", "kind"), ("jsp", "", r"\.jsp$", "path"), ("webflow", "flow", "", "kind"), ("database", "^(sqltable|sqlview|sqlcolumn)$", "", "kind"),
+    ("controller", "controller", "controller", "either"), ("controller", "^(class|javaclass|springservice)$", "action$", "both"), ("controller", "", "/actions/|/controller/", "path"),
+    ("repository", "repository|dao", "repository|dao|mapper", "either"), ("repository", "", "/persistence/|/dao/|/repository/", "path"),
+    ("service", "^springservice$", "^(?!.*action$)", "both"), ("service", "service", "", "kind"), ("service", "", "^(?!.*action$).*service", "name"),
+    ("data_model", "entity|model|dto", "", "kind"), ("data_model", "", "/model/|/dto/|/entity/", "path"), ("service", "", "validator|builder", "name"),
+    ("api", "endpoint|api|rest", "", "kind"), ("test", "", "test|spec", "name"),
+)
+
+
 def component_category(kind: Column, name: Column, path: Column) -> Column:
-    """Ten outcomes, by kind, name and path together."""
-    every = F.concat_ws(" ", kind, name, path)
-    return first_match(every, (
-        (r"(?i)test", "test"), (r"(?i)jsp|page|route|screen", "ui"), (r"(?i)flow", "flow"), (r"(?i)controller|endpoint", "controller"), (r"(?i)validator", "validator"),
-        (r"(?i)service|manager", "service"), (r"(?i)dao|repository", "dao"), (r"(?i)entity|model|dto", "entity"), (r"(?i)config|properties", "config"),
-    ), "other")
+    """The category of a component by the first rule that its kind, name or path meets."""
+    kind, name, path = (F.coalesce(F.lower(c), F.lit("")) for c in (kind, name, path))
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for what, first, second, where in COMPONENTS:
+        by_kind, by_name = kind.rlike(first), name.rlike(second)
+        hit = {"kind": by_kind, "name": by_name, "path": path.rlike(second), "both": by_kind & by_name, "either": by_kind | by_name}[where]
+        out = out.when(hit, what)
+    return out.otherwise("other")
 
 
 def grade(score: Column) -> Column:
@@ -135,35 +186,46 @@ def doc_level(score: Column) -> Column:
 
 
 def operation_type(method: Column) -> Column:
-    return first_match(method, (
-        (r"(?i)^(create|add|insert|save|register)", "create"), (r"(?i)^(update|edit|modify|set|change)", "update"), (r"(?i)^(delete|remove|clear)", "delete"),
-        (r"(?i)^(find|get|load|fetch|search|list|read)", "read"), (r"(?i)^(validate|check|verify|is|has)", "validate"),
-    ), "process")
+    """read, write, validate or transform by the verb that a method's name contains, else null."""
+    return first_match(F.lower(method), (
+        ("get|find|search|load|read", "read"), ("save|create|insert|add|persist", "write"), ("update|modify|edit", "write"), ("delete|remove", "write"),
+        ("validate|check|verify", "validate"), ("build|convert|transform|map", "transform"),
+    ))
 
 
 def triggers(action: Column) -> Column:
-    """What starts an action, from its name; several may hold."""
-    rules = ((r"(?i)save|submit", "form submit"), (r"(?i)load|init|setup", "page load"), (r"(?i)search|find", "search"), (r"(?i)delete|remove", "delete button"), (r"(?i)validate", "field change"))
-    return F.array_compact(F.array(*(F.when(action.rlike(p), F.lit(t)) for p, t in rules)))
+    """What sets off a rule, from the name of its action; several may hold, and save and update do where none does."""
+    name = F.lower(F.coalesce(action, F.lit("")))
+    rules = (("save|create|add", "save"), ("save|create|add", "create"), ("update|edit|modify", "update"), ("delete|remove", "delete"), ("validate|check", "validate"))
+    found = F.array_compact(F.array(*(F.when(name.rlike(p), F.lit(t)) for p, t in rules)))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("save"), F.lit("update")))
+
+
+# Types of screens in the order in which they are tried.
+SCREENS = ("wizard", "search", "lookup", "inquiry", "results", "maintenance", "entry")
 
 
-def screen_type(name: Column) -> Column:
-    return first_match(name, (
-        (r"(?i)entry|form|edit|create", "entry"), (r"(?i)result|list|search", "list"), (r"(?i)detail|view|summary", "detail"), (r"(?i)confirm", "confirmation"), (r"(?i)error", "error"),
-    ), "other")
+def screen_type(name: Column, pages: Column | None = None) -> Column:
+    """The first type that the screen's id or one of its pages' names contains, else unknown."""
+    text = F.lower(name) if pages is None else F.concat_ws(" ", F.lower(name), F.lower(F.array_join(pages, " ")))
+    return first_match(text, [(x, x) for x in SCREENS], "unknown")
 
 
 def humanised(name: Column) -> Column:
-    return F.trim(F.initcap(F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "[_-]+", " ")))
+    """A space before every capital, and a capital at the start."""
+    spaced = F.regexp_replace(name, "([A-Z])", " $1")
+    return F.trim(F.concat(F.upper(F.left(spaced, F.lit(1))), F.substring(spaced, 2, 1 << 20)))
 
 
-# Business categories by keyword, in order.
+# Business categories by the words that they contain, in order.
 BUSINESS_CATEGORIES = (
-    (r"(?i)user|account|profile", "User Management"), (r"(?i)login|auth|security|password", "Security"), (r"(?i)order|cart|checkout", "Orders"), (r"(?i)pay|invoice|billing", "Payments"),
-    (r"(?i)product|catalog|inventory", "Catalog"), (r"(?i)report|analytic|dashboard", "Reporting"), (r"(?i)search|find", "Search"), (r"(?i)notif|email|message", "Communication"),
-    (r"(?i)admin|config|setting", "Administration"), (r"(?i)import|export|upload", "Data Exchange"), (r"(?i)document|file", "Documents"),
+    ("auth|login|logout|session|oauth|sso|credential", "authentication"), ("user|profile|account|member|customer|register", "user_management"),
+    ("payment|billing|invoice|subscription|checkout|cart", "payment"), ("admin|manage|dashboard|console", "admin"), ("report|analytics|stats|metrics|export", "reporting"),
+    ("search|filter|find|query|lookup", "search"), ("notify|alert|email|sms|push|message", "notification"), ("config|setting|preference|option", "configuration"),
+    ("workflow|process|flow|step|wizard", "workflow"), ("integrat|api|external|webhook|sync", "integration"), ("create|update|delete|edit|save|load|data", "data_management"),
 )
 
 
-def business_category(text: Column) -> Column:
-    return first_match(text, BUSINESS_CATEGORIES, "General")
+def business_category(*texts: Column) -> Column:
+    """The first category with a word in the feature's name, controller or paths together."""
+    return first_match(F.lower(F.concat_ws(" ", *texts)), BUSINESS_CATEGORIES, "other")

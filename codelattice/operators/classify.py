@@ -1,4 +1,4 @@
-"""Rule tables against nodes: stereotypes, tests, entry points, documentation, frameworks, features."""
+"""Rule tables against nodes: stereotypes, documentation, deprecation, shared components."""
 
 from __future__ import annotations
 
@@ -16,44 +16,112 @@ class Stereotype:
     """What marks a stereotype: annotations, endings of the name, and structure, with a confidence each."""
 
     name: str
-    annotations: str
+    annotations: tuple[str, ...]
     annotation_confidence: float
-    suffixes: str
+    suffixes: tuple[str, ...]
     suffix_confidence: float
-    methods: str = ""
-    interfaces: str = ""
-    fields: str = ""
+    methods: tuple[str, ...] = ()
+    interfaces: tuple[str, ...] = ()
+    fields: tuple[str, ...] = ()
     structure_confidence: float = 0.0
     patterns: tuple[str, ...] = field(default=())
 
 
 # The stereotypes in the order in which ties are decided.
 STEREOTYPES = (
-    Stereotype("Controller", "Controller RestController RequestMapping Get Post Put Delete Patch ApiController Route HttpGet HttpPost app.route router.route api.route", 0.95,
-               "Controller Resource Endpoint Api Handler", 0.75, "get post put delete patch handle", "Controller IController", "", 0.60),
-    Stereotype("Service", "Service Injectable Component Transactional ApplicationScoped", 0.90, "Service ServiceImpl Manager Coordinator Orchestrator", 0.80, "", "Service IService", "", 0.60),
-    Stereotype("Repository", "Repository Dao Mapper PersistenceContext DataJpaTest", 0.95, "Repository Repo Dao DataAccess Store Persistence", 0.85,
-               "find findAll findById save delete update get create", "Repository CrudRepository JpaRepository IRepository", "", 0.70),
-    Stereotype("Entity", "Entity Table Document Model Id Column ManyToOne OneToMany dataclass attr.s", 0.95, "Entity Model Domain Aggregate", 0.60, "", "", "id createdAt updatedAt", 0.50),
-    Stereotype("DTO", "Data Value Builder JsonProperty Serializable", 0.70, "DTO Dto Request Response Payload Input Output View VM", 0.90, patterns=(r"^Get\w+Response$", r"^Create\w+Request$", r"^\w+DTO$")),
-    Stereotype("Configuration", "Configuration ConfigurationProperties Bean Module Settings Config EnableAutoConfiguration ComponentScan", 0.95, "Config Configuration Settings Properties Options", 0.80),
-    Stereotype("Utility", "UtilityClass NoArgsConstructor(access=AccessLevel.PRIVATE)", 0.90, "Utils Util Helper Helpers Utilities Tools", 0.90),
-    Stereotype("Factory", "Factory", 0.90, "Factory Creator Builder Maker", 0.85, "create build make getInstance newInstance", "", "", 0.70, (r"^Create\w+$", r"^\w+Factory$")),
-    Stereotype("Builder", "Builder", 0.95, "Builder", 0.90, "build with set", "", "", 0.70),
-    Stereotype("Middleware", "Middleware UseInterceptors UseGuards UseFilters Intercept", 0.90, "Middleware Interceptor Filter", 0.85, "intercept use handle invoke", "Middleware NestMiddleware Interceptor", "", 0.70),
-    Stereotype("Guard", "Guard CanActivate Authorize", 0.90, "Guard AuthGuard RoleGuard", 0.85, "canActivate authorize validate", "CanActivate Guard IAuthorizationHandler", "", 0.70),
-    Stereotype("Filter", "ExceptionHandler Catch Filter", 0.90, "Filter ExceptionFilter ExceptionHandler", 0.80, "catch filter doFilter handleException", "ExceptionFilter Filter IExceptionHandler", "", 0.70),
-    Stereotype("Validator", "Validator Valid Validated", 0.85, "Validator Validation Constraint", 0.85, "validate isValid check", "Validator ConstraintValidator IValidator", "", 0.70),
-    Stereotype("Mapper", "Mapper Mapping", 0.95, "Mapper Converter Transformer Assembler", 0.85, "map convert transform toEntity toDto from", "Mapper Converter IMapper", "", 0.70),
-    Stereotype("Client", "FeignClient WebClient HttpClient", 0.95, "Client Api Gateway Proxy Adapter", 0.80, patterns=(r"^\w+Client$", r"^\w+Api$")),
-    Stereotype("Handler", "EventHandler MessageHandler CommandHandler EventListener KafkaListener RabbitListener", 0.95, "Handler Listener Consumer Subscriber", 0.80, "handle on process consume", "", "", 0.60),
-    Stereotype("Provider", "Provider Provides Bean", 0.85, "Provider Supplier", 0.80, "provide get supply", "", "", 0.60),
-    Stereotype("Module", "Module NgModule", 0.95, "Module", 0.70),
+    Stereotype(
+        "Controller", ("@Controller", "@RestController", "@RequestMapping", "@Get", "@Post", "@Put", "@Delete", "@Patch", "@ApiController", "@Route", "@HttpGet", "@HttpPost", "@app.route", "@router.route", "@api.route"), 0.95,
+        ("Controller", "Resource", "Endpoint", "Api", "Handler"), 0.75,
+        methods=("get", "post", "put", "delete", "patch", "handle"), interfaces=("Controller", "IController"), structure_confidence=0.6,
+    ),
+    Stereotype(
+        "Service", ("@Service", "@Injectable", "@Component", "@Transactional", "@ApplicationScoped"), 0.9,
+        ("Service", "ServiceImpl", "Manager", "Coordinator", "Orchestrator"), 0.8,
+        interfaces=("Service", "IService"), structure_confidence=0.6,
+    ),
+    Stereotype(
+        "Repository", ("@Repository", "@Dao", "@Mapper", "@PersistenceContext", "@DataJpaTest"), 0.95,
+        ("Repository", "Repo", "Dao", "DataAccess", "Store", "Persistence"), 0.85,
+        methods=("find", "findAll", "findById", "save", "delete", "update", "get", "create"), interfaces=("Repository", "CrudRepository", "JpaRepository", "IRepository"), structure_confidence=0.7,
+    ),
+    Stereotype(
+        "Entity", ("@Entity", "@Table", "@Document", "@Model", "@Id", "@Column", "@ManyToOne", "@OneToMany", "@dataclass", "@attr.s"), 0.95,
+        ("Entity", "Model", "Domain", "Aggregate"), 0.6,
+        fields=("id", "createdAt", "updatedAt"), structure_confidence=0.5,
+    ),
+    Stereotype(
+        "DTO", ("@Data", "@Value", "@Builder", "@JsonProperty", "@Serializable"), 0.7,
+        ("DTO", "Dto", "Request", "Response", "Payload", "Input", "Output", "View", "VM"), 0.9,
+        patterns=(r"^Get\w+Response$", r"^Create\w+Request$", r"^\w+DTO$"),
+    ),
+    Stereotype(
+        "Configuration", ("@Configuration", "@ConfigurationProperties", "@Bean", "@Module", "@Settings", "@Config", "@EnableAutoConfiguration", "@ComponentScan"), 0.95,
+        ("Config", "Configuration", "Settings", "Properties", "Options"), 0.8,
+    ),
+    Stereotype(
+        "Utility", ("@UtilityClass", "@NoArgsConstructor(access = AccessLevel.PRIVATE)"), 0.9,
+        ("Utils", "Util", "Helper", "Helpers", "Utilities", "Tools"), 0.9,
+    ),
+    Stereotype(
+        "Factory", ("@Factory",), 0.9,
+        ("Factory", "Creator", "Builder", "Maker"), 0.85,
+        methods=("create", "build", "make", "getInstance", "newInstance"), structure_confidence=0.7, patterns=(r"^Create\w+$", r"^\w+Factory$"),
+    ),
+    Stereotype(
+        "Builder", ("@Builder",), 0.95,
+        ("Builder",), 0.9,
+        methods=("build", "with", "set"), structure_confidence=0.7,
+    ),
+    Stereotype(
+        "Middleware", ("@Middleware", "@UseInterceptors", "@UseGuards", "@UseFilters", "@Intercept"), 0.9,
+        ("Middleware", "Interceptor", "Filter"), 0.85,
+        methods=("intercept", "use", "handle", "invoke"), interfaces=("Middleware", "NestMiddleware", "Interceptor"), structure_confidence=0.7,
+    ),
+    Stereotype(
+        "Guard", ("@Guard", "@CanActivate", "@Authorize"), 0.9,
+        ("Guard", "AuthGuard", "RoleGuard"), 0.85,
+        methods=("canActivate", "authorize", "validate"), interfaces=("CanActivate", "Guard", "IAuthorizationHandler"), structure_confidence=0.7,
+    ),
+    Stereotype(
+        "Filter", ("@ExceptionHandler", "@Catch", "@Filter"), 0.9,
+        ("Filter", "ExceptionFilter", "ExceptionHandler"), 0.8,
+        methods=("catch", "filter", "doFilter", "handleException"), interfaces=("ExceptionFilter", "Filter", "IExceptionHandler"), structure_confidence=0.7,
+    ),
+    Stereotype(
+        "Validator", ("@Validator", "@Valid", "@Validated"), 0.85,
+        ("Validator", "Validation", "Constraint"), 0.85,
+        methods=("validate", "isValid", "check"), interfaces=("Validator", "ConstraintValidator", "IValidator"), structure_confidence=0.7,
+    ),
+    Stereotype(
+        "Mapper", ("@Mapper", "@Mapping"), 0.95,
+        ("Mapper", "Converter", "Transformer", "Assembler"), 0.85,
+        methods=("map", "convert", "transform", "toEntity", "toDto", "from"), interfaces=("Mapper", "Converter", "IMapper"), structure_confidence=0.7,
+    ),
+    Stereotype(
+        "Client", ("@FeignClient", "@WebClient", "@HttpClient"), 0.95,
+        ("Client", "Api", "Gateway", "Proxy", "Adapter"), 0.8,
+        patterns=(r"^\w+Client$", r"^\w+Api$"),
+    ),
+    Stereotype(
+        "Handler", ("@EventHandler", "@MessageHandler", "@CommandHandler", "@EventListener", "@KafkaListener", "@RabbitListener"), 0.95,
+        ("Handler", "Listener", "Consumer", "Subscriber"), 0.8,
+        methods=("handle", "on", "process", "consume"), structure_confidence=0.6,
+    ),
+    Stereotype(
+        "Provider", ("@Provider", "@Provides", "@Bean"), 0.85,
+        ("Provider", "Supplier"), 0.8,
+        methods=("provide", "get", "supply"), structure_confidence=0.6,
+    ),
+    Stereotype(
+        "Module", ("@Module", "@NgModule"), 0.95,
+        ("Module",), 0.7,
+    ),
 )
 
 
-def _words(text: str) -> Column:
-    return F.array(*(F.lit(w.lower()) for w in text.split())) if text else F.array().cast("array<string>")
+def _words(words: Sequence[str]) -> Column:
+    """The words in lower case; an annotation without its ``@``, for it is looked for inside others."""
+    return F.array(*(F.lit(w.lower().replace("@", "")) for w in words)) if words else F.array().cast("array<string>")
 
 
 def _has(values: Column, wanted: Column, exact: bool = False) -> Column:
@@ -74,7 +142,7 @@ def stereotype_of(
     rules = F.array(*(
         F.struct(
             F.lit(-n).alias("order"), F.lit(s.name).alias("stereotype"), _words(s.annotations).alias("annotations"), F.lit(s.annotation_confidence).alias("by_annotation"),
-            F.lit("|".join([f"({x})$" for x in s.suffixes.split()] + [f"({x})" for x in s.patterns])).alias("names"), F.lit(s.suffix_confidence).alias("by_name"),
+            F.lit("|".join([f"({x})$" for x in s.suffixes] + [f"({x})" for x in s.patterns])).alias("names"), F.lit(s.suffix_confidence).alias("by_name"),
             _words(s.interfaces).alias("interfaces"), _words(s.methods).alias("methods"), _words(s.fields).alias("fields"), F.lit(s.structure_confidence).alias("by_structure"),
         ) for n, s in enumerate(table)
     ))
@@ -96,96 +164,16 @@ def stereotype_of(
     )
 
 
-def first_rule(texts: DataFrame, rules: DataFrame, *, text: str = "text", key: str = "id") -> DataFrame:
-    """The first rule (pattern, ordinal, and whatever else) that is found in each text.
-
-    The rule table is as small as the code that states it, so it is broadcast.
-    """
-    hit = texts.join(F.broadcast(rules), F.expr(f"`{text}` rlike pattern"))
-    extra = [c for c in rules.columns if c not in ("pattern", "ordinal")]
-    best = hit.groupBy(key).agg(F.min_by(F.struct(*extra), F.col("ordinal")).alias("_rule"))
-    return best.select(key, "_rule.*")
-
-
-# Entry points by pattern, in the order in which they are tried.
-ENTRY_POINTS = (
-    ("rest", "spring", r"@(Get|Post|Put|Delete|Patch)Mapping\b"), ("rest", "spring", r"@RequestMapping\b"), ("rest", "express", r"\b(app|router)\.(get|post|put|delete|patch)\s*\("),
-    ("rest", "nest", r"@(Get|Post|Put|Delete|Patch)\("), ("rest", "fastapi", r"@(app|router)\.(get|post|put|delete|patch)\("), ("rest", "flask", r"@\w+\.route\("),
-    ("rest", "aspnet", r"\[Http(Get|Post|Put|Delete|Patch)"), ("rest", "go", r"\bhttp\.HandleFunc\("), ("rest", "jaxrs", r"@(GET|POST|PUT|DELETE)\b"),
-    ("graphql", "decorator", r"@(Query|Mutation|Subscription|Resolver)\b"), ("graphql", "schema", r"\btype\s+(Query|Mutation|Subscription)\b"),
-    ("event", "kafka", r"@KafkaListener\b"), ("event", "rabbit", r"@RabbitListener\b"), ("event", "spring", r"@EventListener\b"), ("event", "nest", r"@(EventPattern|MessagePattern)\b"), ("event", "node", r"\.on\(['\"]\w+"),
-    ("scheduled", "spring", r"@Scheduled\b"), ("scheduled", "nest", r"@Cron\b"), ("scheduled", "python", r"\bschedule\.every\("), ("scheduled", "celery", r"@(app|celery|shared)[._]?task\b"),
-    ("cli", "click", r"@click\.command\b"), ("cli", "argparse", r"\bArgumentParser\("), ("cli", "commander", r"\.command\(['\"]"), ("cli", "cobra", r"&cobra\.Command"), ("cli", "main", r"\b(public static void main|if __name__ ==|func main\(\))"),
-)
-
-# Test frameworks by pattern (framework, priority, pattern).
-TEST_FRAMEWORKS = (
-    ("jest", 10, r"from ['\"]@jest/|\bjest\.(fn|mock|spyOn)\("), ("vitest", 12, r"from ['\"]vitest['\"]"), ("mocha", 8, r"from ['\"](mocha|chai)['\"]"), ("cypress", 11, r"\bcy\.\w+\("), ("playwright", 11, r"@playwright/test"),
-    ("pytest", 10, r"\bimport pytest\b|\bdef test_\w+"), ("unittest", 9, r"\bunittest\.TestCase\b"), ("junit", 10, r"\borg\.junit\b|@Test\b"), ("testng", 11, r"\borg\.testng\b"), ("go", 10, r"\bfunc Test\w+\(t \*testing\.T\)"),
-    ("nunit", 10, r"\[Test(Case)?\]"), ("xunit", 10, r"\[(Fact|Theory)\]"), ("gtest", 10, r"\bTEST(_F)?\("), ("generic", 1, r"\b(describe|it|test)\("),
-)
-TEST_PATH = r"(?i)(^|/)(__tests__|tests?|spec|e2e|cypress)/|\.(test|spec|e2e|cy)\.[jt]sx?$|(^|/)test_\w+\.py$|_test\.(py|go)$|Tests?\.(java|cs)$"
-
-
-def rule_table(spark, rules: Sequence[tuple], columns: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame([(*r, n) for n, r in enumerate(rules)], [*columns, "ordinal"])
-
-
-def entry_points(spark, texts: DataFrame, key: str = "id") -> DataFrame:
-    """(key, kind, framework) of the first entry-point pattern in each text."""
-    return first_rule(texts, rule_table(spark, ENTRY_POINTS, ["entry_kind", "framework", "pattern"]), key=key)
-
-
-def test_framework(spark, texts: DataFrame, key: str = "id") -> DataFrame:
-    """(key, framework) with the highest priority; the first of equals."""
-    rules = rule_table(spark, TEST_FRAMEWORKS, ["framework", "priority", "pattern"])
-    return first_rule(texts, rules.withColumn("ordinal", F.struct((-F.col("priority")).alias("p"), F.col("ordinal"))), key=key).drop("priority")
-
-
-def test_kind(path: Column) -> Column:
-    return F.when(path.rlike("(?i)e2e|cypress|playwright"), "e2e").when(path.rlike("(?i)integration"), "integration").otherwise("unit")
-
-
-def tested_path(path: Column) -> Column:
-    """The source path that a test's path stands for."""
-    out = F.regexp_replace(path, r"\.(test|spec)(\.[jt]sx?)$", "$2")
-    out = F.regexp_replace(out, r"(^|/)__tests__/", "$1")
-    out = F.regexp_replace(out, r"(^|/)test_(\w+\.py)$", "$1$2")
-    out = F.regexp_replace(out, r"_test\.(py|go)$", ".$1")
-    out = F.regexp_replace(out, r"Tests?\.(java|cs)$", ".$1")
-    return F.regexp_replace(F.regexp_replace(out, "(^|/)src/test/", "$1src/main/"), "(^|/)tests/", "$1src/")
-
-
-def test_lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """(path, line, suite, case, skipped, focused): the test cases of each file with the suite that
-    is open where they stand. A fold over a file's lines carries the suite: no file is cut across rows."""
-    zero = F.struct(F.lit(None).cast("string").alias("suite"), F.lit("").alias("before"), F.array().cast(
-        "array<struct<line: int, suite: string, case: string, skipped: boolean, focused: boolean>>").alias("cases"))
-    lines = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    quoted = r"\s*\(\s*['\"`](.*?)['\"`]"
-
-    def step(s: Column, line: Column) -> Column:
-        x = line["x"]
-        suite = F.coalesce(F.nullif(F.regexp_extract(x, r"\b(?:describe|suite|context)(?:\.\w+)?" + quoted, 1), F.lit("")),
-                           F.nullif(F.regexp_extract(x, r"^\s*(?:public\s+)?class\s+(\w*Test\w*)", 1), F.lit("")))
-        case = F.coalesce(F.nullif(F.regexp_extract(x, r"\b[fx]?(?:it|test)(?:\.\w+)?" + quoted, 1), F.lit("")),
-                          F.nullif(F.regexp_extract(x, r"\bdef (test_\w+)", 1), F.lit("")), F.nullif(F.regexp_extract(x, r"\bfunc (Test\w+)\(", 1), F.lit("")),
-                          F.when(s["before"].rlike(r"@Test\b|\[(Test|Fact|Theory)"), F.nullif(F.regexp_extract(x, r"\bvoid (\w+)\s*\(", 1), F.lit(""))))
-        skipped = x.rlike(r"\b(xit|xtest|it\.skip|test\.skip|t\.Skip)\b") | s["before"].rlike(r"@(Disabled|Ignore|pytest\.mark\.skip|unittest\.skip)")
-        focused = x.rlike(r"\b(fit|it\.only|test\.only)\b")
-        now = F.coalesce(suite, s["suite"])
-        row = F.struct((line["i"] + 1).alias("line"), now.alias("suite"), case.alias("case"), skipped.alias("skipped"), focused.alias("focused"))
-        return F.struct(now.alias("suite"), F.when(F.trim(x) == "", s["before"]).otherwise(x).alias("before"),
-                        F.when(case.isNotNull(), F.array_append(s["cases"], row)).otherwise(s["cases"]).alias("cases"))
-
-    return files.select(F.col(path), F.inline(F.aggregate(lines, zero, step, lambda s: s["cases"])))
+# Descriptions that a tool wrote.
+AUTOMATIC = (r"^TODO:?\s*$", r"^FIXME:?\s*$", r"^Gets?\s+the\s+\w+\.?$", r"^Sets?\s+the\s+\w+\.?$", r"^The\s+\w+\.?$", r"^Returns?\s+the\s+\w+\.?$", r"^Constructor\.?$", r"^Default\s+constructor\.?$",
+             r"^Creates?\s+a\s+new\s+instance\.?$", r"^Auto-generated", r"^Generated\s+by")
 
 
 def doc_score(has_doc: Column, description: Column, is_function: Column, params: Column, documented: Column, returns: Column, documents_return: Column, shortest: int = 10) -> Column:
     """struct(score, level, documented): hits over three checks, four or five for functions with
     parameters or a result."""
     empty = F.coalesce(F.length(description), F.lit(0)) == 0
-    auto = F.coalesce(description.rlike(r"(?i)^(todo|fixme|auto-?generated|\w+\.?)$"), F.lit(False))
+    auto = F.coalesce(F.trim(description).rlike("(?i)" + "|".join(AUTOMATIC)), F.lit(False))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     hits = flag(has_doc) + flag(F.length(description) >= shortest) + flag(~empty & ~auto)
     with_params, with_result = F.coalesce(is_function & (params > 0), F.lit(False)), F.coalesce(is_function & ~returns.isin("void", "None"), F.lit(False))
@@ -197,50 +185,43 @@ def doc_score(has_doc: Column, description: Column, is_function: Column, params:
 
 # Deprecation marks by language.
 DEPRECATION = {
-    "typescript": r"(?i)@deprecated", "javascript": r"(?i)@deprecated", "java": r"(?i)@deprecated",
-    "python": r"(?i)warnings\.warn\s*\([^)]*DeprecationWarning|@deprecated|\.\.\s*deprecated::|:deprecated:", "go": r"(?i)//\s*Deprecated:|Deprecated:",
-    "csharp": r"\[Obsolete|\[Deprecated|(?i)///\s*<remarks>\s*Deprecated", "cpp": r"(?i)\[\[deprecated|__attribute__\s*\(\s*\(\s*deprecated|@deprecated|\\deprecated",
+    "typescript": r"(?i:@deprecated)", "javascript": r"(?i:@deprecated)", "java": r"(?i:@deprecated)",
+    "python": r"warnings\.warn\s*\([^)]*DeprecationWarning|(?i:@deprecated|\.\.\s*deprecated::|:deprecated:)", "go": r"(?i://\s*Deprecated:)|Deprecated:",
+    "csharp": r"\[Obsolete|\[Deprecated|(?i:///\s*<remarks>\s*Deprecated)", "cpp": r"\[\[deprecated|__attribute__\s*\(\s*\(\s*deprecated|(?i:@deprecated)|\\deprecated",
 }
 
 
-def is_deprecated(flag: Column, tags: Column, text: Column, language: Column) -> Column:
-    """By the flag, else a tag, else the language's marks in the text."""
+def is_deprecated(flag: Column, tags: Column, text: Column, language: Column, modifiers: Column | None = None) -> Column:
+    """By the flag, else a tag, else the language's marks in the comment, else a modifier that says deprecated or obsolete."""
     marks = F.lit(False)
     for name, pattern in DEPRECATION.items():
         marks = marks | ((F.lower(language) == name) & text.rlike(pattern))
-    return F.coalesce(flag, F.lit(False)) | F.coalesce(F.array_contains(tags, "deprecated"), F.lit(False)) | F.coalesce(marks, F.lit(False))
-
-
-# Frameworks by manifest package, and by code pattern with a confidence.
-PACKAGES = (("react", "React", "frontend"), ("vue", "Vue", "frontend"), ("@angular/core", "Angular", "frontend"), ("next", "Next.js", "frontend"), ("express", "Express", "backend"), ("@nestjs/core", "NestJS", "backend"),
-            ("fastapi", "FastAPI", "backend"), ("django", "Django", "backend"), ("flask", "Flask", "backend"), ("spring-boot-starter", "Spring Boot", "backend"), ("jest", "Jest", "testing"), ("pytest", "pytest", "testing"),
-            ("typeorm", "TypeORM", "orm"), ("sqlalchemy", "SQLAlchemy", "orm"), ("hibernate-core", "Hibernate", "orm"))
-CODE_PATTERNS = ((r"from ['\"]react['\"]", "React", 0.8), (r"@RestController|@SpringBootApplication", "Spring Boot", 0.9), (r"@Controller\(|@Injectable\(", "NestJS", 0.8), (r"\bFastAPI\(", "FastAPI", 0.9),
-                 (r"from django\b", "Django", 0.9), (r"from flask\b|\bFlask\(__name__", "Flask", 0.9), (r"\bexpress\(\)", "Express", 0.85), (r"from sqlalchemy\b", "SQLAlchemy", 0.85))
+    said = F.lit(False) if modifiers is None else F.exists(modifiers, lambda m: F.lower(m).rlike("deprecated|obsolete"))
+    tagged = F.exists(tags, lambda t: F.lower(t) == "deprecated")
+    return F.coalesce(flag, F.lit(False)) | F.coalesce(tagged, F.lit(False)) | F.coalesce(marks, F.lit(False)) | F.coalesce(said, F.lit(False))
 
 
-def frameworks(spark, packages: DataFrame, texts: DataFrame) -> DataFrame:
-    """(framework, confidence, evidence) from manifest packages (name) and source texts (text).
-
-    A package is certain; patterns have their confidence plus 0.05 for each further one that is
-    found, to 1 at most; the larger confidence and all evidence are kept.
-    """
-    known = spark.createDataFrame(PACKAGES, ["package", "framework", "category"])
-    by_package = packages.join(F.broadcast(known), F.lower("name") == F.col("package")).select("framework", F.lit(1.0).alias("confidence"), F.concat(F.lit("package:"), "package").alias("evidence"))
-    rules = spark.createDataFrame(CODE_PATTERNS, ["pattern", "framework", "confidence"])
-    hits = texts.join(F.broadcast(rules), F.expr("text rlike pattern")).groupBy("framework", "pattern", "confidence").agg(F.count("*").alias("n"))
-    by_code = hits.groupBy("framework").agg(F.least(F.lit(1.0), F.max("confidence") + 0.05 * (F.count("*") - 1)).alias("confidence"), F.collect_set(F.concat(F.lit("pattern:"), "pattern")).alias("e"))
-    every = by_package.groupBy("framework").agg(F.max("confidence").alias("confidence"), F.collect_set("evidence").alias("e")).unionByName(by_code)
-    return every.groupBy("framework").agg(F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("e")))).alias("evidence"))
-
-
-# Names of shared components and the kind of each.
-SHARED_NAMES = (("Base", "base"), ("Abstract", "base"), ("Common", "common"), ("Shared", "common"), ("Util", "utility"), ("Helper", "utility"), ("Validator", "validator"), ("Constants", "constants"), ("Config", "configuration"),
-                ("Exception", "error"), ("Interceptor", "cross-cutting"), ("Filter", "cross-cutting"), ("Logger", "cross-cutting"), ("Cache", "cross-cutting"), ("Security", "cross-cutting"))
+# Names that mark a shared component, the types by what a name contains, words of business domains, and names of cross-cutting concerns.
+SHARED_NAMES = (
+    r"(?i)Util(s)?$", r"(?i)Helper$", r"(?i)Converter$", r"(?i)Formatter$", r"(?i)Constants?$", r"(?i)Config(uration)?$", r"(?i)Common", r"^Base[A-Z]", r"^Abstract[A-Z]",
+    r"(?i)Builder$", r"(?i)Factory$", r"(?i)Provider$", r"(?i)Adapter$", r"(?i)Handler$", r"(?i)Wrapper$",
+)
+SHARED_TYPES = (("(?i)util", "utility"), ("(?i)helper", "helper"), ("(?i)validator|validation", "validator"), ("(?i)converter", "converter"), ("(?i)formatter", "formatter"),
+                ("(?i)constant", "constants"), ("^Base", "base"), ("^Abstract", "abstract"))
+DOMAINS = {
+    "point": ("point", "poi", "location", "coordinate"), "legalEntity": ("legalentity", "legal", "entity", "party", "company"), "meter": ("meter", "station", "measurement"),
+    "contact": ("contact", "address", "phone", "email"), "survey": ("survey", "questionnaire", "form"), "edi": ("edi", "trading", "partner", "dataset"), "farmtap": ("farmtap", "farm", "tap", "region"),
+}
+CROSS_CUTTING = ("logger", "logging", "audit", "security", "auth", "cache", "transaction", "exception", "error", "message", "notification", "email", "validation")
 
 
-def shared_component(name: Column) -> Column:
-    """The kind of shared component that a class name tells of, or null."""
+def shared_component(name: Column, path: Column) -> Column:
+    """struct(type, domains, cross_cutting) of a class whose name marks it as shared, else null. Domains
+    are those with a word in the name or the path."""
     from codelattice.functions.ladders import first_match
 
-    return first_match(name, SHARED_NAMES)
+    where = F.lower(F.concat_ws(" ", name, path))
+    domains = F.array_compact(F.array(*(F.when(where.rlike("|".join(w)), F.lit(d)) for d, w in DOMAINS.items())))
+    shared = name.rlike("|".join(f"({p})" for p in SHARED_NAMES))
+    return F.when(shared, F.struct(
+        first_match(name, SHARED_TYPES, "utility").alias("type"), domains.alias("domains"), F.lower(name).rlike("|".join(CROSS_CUTTING)).alias("cross_cutting")))

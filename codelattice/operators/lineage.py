@@ -5,20 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share. Only a session on one machine may lack the setting; it
+    gets a local folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
+    if not _own_folder:
+        _own_folder.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return _own_folder[0]
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the folder in ``spark.checkpoint.dir``, which driver and executors share, and
-    read it back. Only where the setting is absent is a local folder made."""
+    """Write ``df`` to the shared folder and read it back. The driver deletes the folder when it ends."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _own_folder:
-            _own_folder.append("file://" + tempfile.mkdtemp(prefix="codelattice-"))
-        folder = _own_folder[0]
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    df.write.parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString())

@@ -34,6 +34,16 @@ def link_containing(left: DataFrame, right: DataFrame, kind: str, *, shortest: i
     return left.join(r, F.lower(name) == F.col("_w")).select(F.lit(kind).alias("type"), F.col("id").alias("src"), "dst").distinct()
 
 
+def containing(rows: DataFrame, needles: DataFrame, length: int) -> DataFrame:
+    """(id, w): the distinct needles (w, all of ``length`` characters) inside each row's text.
+
+    A text is cut into its distinct pieces of that length, so the join is on equal pieces and no
+    row is compared with a needle that it does not hold.
+    """
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - (length - 1))), lambda i: F.substring("text", i, F.lit(length))))
+    return rows.select("id", F.explode(pieces).alias("w")).join(needles, "w").select("id", "w")
+
+
 def resolve_symbols(uses: DataFrame, symbols: DataFrame) -> DataFrame:
     """(id, name, module, target, placeholder): a use of a name of a module to the symbol that the
     module declares; a use without one gets a placeholder of its own."""

@@ -56,3 +56,12 @@ def top_ranked(ranks: DataFrame, n: int = 10, key: str = "id") -> DataFrame:
 def share_of_largest(df: DataFrame, value: str, within: str, out: str) -> DataFrame:
     """``value`` over the largest of its group."""
     return df.withColumn(out, F.try_divide(F.col(value), F.max(value).over(Window.partitionBy(within))))
+
+
+#: Ranks by name; each takes nodes and edges.
+STRATEGIES = {"native": native_rank, "pagerank": pagerank}
+
+
+def rank(nodes: DataFrame, edges: DataFrame, strategy: str = "pagerank", fallback: str = "native") -> DataFrame:
+    """The rank of a strategy or, where there is none of that name, of ``fallback``."""
+    return STRATEGIES.get(strategy, STRATEGIES[fallback])(nodes, edges)

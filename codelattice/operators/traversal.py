@@ -111,52 +111,56 @@ def tree(nodes: DataFrame, levels: int, *, key: str = "id", parent: str = "paren
     return nodes.join(rows, key).withColumn("sort_path", F.array_join("path", "/"))
 
 
-def strong_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component): the strongly connected components of two nodes or more, and self-loops.
-
-    Nodes without an edge in or out are trimmed until none is left; forward and backward minimum
-    labels then split what remains, round by round, until every node's two labels agree within
-    its component and settled components are taken out. Lineage is cut each round. Where ``rounds``
-    do not settle all components it raises.
+def strong_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(id, component): the strongly connected components of two nodes or more, and self-loops; a
+    component is named by its smallest node.
+
+    In each round every node gets the smallest node that reaches it and the smallest that it reaches
+    (``_min_labels``). Where both are one node, it names the component. Of the rest only edges between nodes
+    that agree in both stay, for a component's nodes always agree; what is left falls apart quickly.
+    Where ``rounds`` do not settle all components it raises.
     """
     e = cut(edges.select("src", "dst").distinct(), "cycle-edges")
-    done = e.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component"))
-    e = e.where("src <> dst")
-    size = None
-    while True:  # trim
-        n = e.count()
-        if n == size:
+    loops = e.where("src = dst").select(F.col("src").alias("id"))
+    rest, done = e.where("src <> dst"), None
+    for n in range(rounds + 1):
+        # A node without an edge in or out is in no cycle.
+        rest = cut(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
+            rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"), "cycle-edges")
+        if rest.isEmpty():
             break
-        size = n
-        e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
-            e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"), "cycle-edges")
-    used = 0
-    while not e.isEmpty():
-        if used == rounds:
+        if n == rounds:
             raise RuntimeError(f"cycles did not settle in {rounds} rounds")
-        used += 1
-        ids = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-        ahead = _min_labels(ids, e, "src", "dst")
-        back = _min_labels(ids, e, "dst", "src")
-        both = cut(ahead.join(back.withColumnRenamed("label", "back"), "id"), "labels")
-        settled = both.where("label = back").select("id", F.col("label").alias("component"))
-        done = done.unionByName(settled)
-        rest = both.where("label <> back").select("id", F.concat_ws("|", "label", "back").alias("part"))
-        e = cut(e.join(rest.select(F.col("id").alias("src"), F.col("part").alias("a")), "src").join(
-            rest.select(F.col("id").alias("dst"), F.col("part").alias("b")), "dst").where("a = b").select("src", "dst"), "cycle-edges")
-    grown = done.groupBy("component").agg(F.count("*").alias("n"))
-    loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct()
-    keep = done.join(grown.where("n > 1"), "component").select("id", "component")
-    return keep.unionByName(done.join(loops, "id", "left_semi").join(keep.select("id"), "id", "left_anti").select("id", "component")).distinct()
-
-
-def _min_labels(ids: DataFrame, edges: DataFrame, at: str, to: str) -> DataFrame:
-    """The smallest node that reaches each node over edges from ``at`` to ``to``."""
-    labels = ids.withColumn("label", F.col("id"))
-    changed = None
-    while changed != 0:
-        sent = edges.join(labels, F.col(at) == F.col("id")).select(F.col(to).alias("id"), "label")
-        new = cut(labels.unionByName(sent).groupBy("id").agg(F.min("label").alias("label")), "labels")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").count()
-        labels = new
-    return labels
+        labels = _min_labels(rest)
+        settled = labels.where("ahead = back").select("id", F.col("ahead").alias("component"))
+        done = settled if done is None else done.unionByName(settled)
+        part = labels.where("ahead <> back").select("id", F.struct("ahead", "back").alias("part"))
+        rest = rest.join(part.select(F.col("id").alias("src"), F.col("part").alias("a")), "src").join(
+            part.select(F.col("id").alias("dst"), F.col("part").alias("b")), "dst").where("a = b").select("src", "dst")
+    alone = loops.withColumn("component", F.col("id"))
+    if done is None:
+        return alone
+    grown = done.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+    found = done.join(grown, "component", "left_semi").select("id", "component")
+    return found.unionByName(alone.join(found, "id", "left_anti").select("id", "component"))
+
+
+def _min_labels(edges: DataFrame) -> DataFrame:
+    """(id, ahead, back): the smallest node that reaches each node, and the smallest that it reaches.
+
+    Both ways go in one table. Labels pass over the edges, and a node also takes the label of its label, which
+    reaches it too; so a chain of n nodes takes about log n rounds, not n.
+    """
+    both = edges.select(F.lit("ahead").alias("way"), F.col("src").alias("at"), F.col("dst").alias("to"))
+    both = cut(both.unionByName(edges.select(F.lit("back").alias("way"), F.col("dst").alias("at"), F.col("src").alias("to"))), "ways")
+    labels = cut(both.select("way", F.col("at").alias("id")).union(both.select("way", F.col("to").alias("id"))).distinct().select("way", "id", F.col("id").alias("label")), "labels")
+    while True:
+        sent = both.join(labels, (both["way"] == labels["way"]) & (both["at"] == labels["id"])).select(both["way"], F.col("to").alias("id"), "label", F.lit(None).cast("string").alias("own"))
+        new = labels.withColumn("own", F.col("label")).unionByName(sent).groupBy("way", "id").agg(F.min("label").alias("label"), F.max("own").alias("own"))
+        jump = labels.select("way", F.col("id").alias("label"), F.col("label").alias("further"))
+        new = new.join(jump, ["way", "label"]).select("way", "id", F.least("label", "further").alias("label"), "own")
+        new = cut(new, "labels")
+        labels = new.drop("own")
+        if new.where("label <> own").isEmpty():
+            break
+    return labels.groupBy("id").pivot("way", ["ahead", "back"]).agg(F.first("label"))

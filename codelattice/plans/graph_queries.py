@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.functions import ladders
-from codelattice.operators import hops, keep, ranking, search, smells, traversal
+from codelattice.operators import hops, keep, links, ranking, search, smells, traversal
 from codelattice.plans.sample_graph import edges, nodes, with_graph
 
 QUERIES: dict = {}
@@ -149,18 +148,17 @@ def _(n, e):
     return hops.having(hops.of_kind(n, "Customer"), e, ("CALLS",), incoming=True).select("id", "name")
 
 
-@query("j6_not_exists", "SELECT id, name FROM nodes a WHERE kind IN ('Customer', 'Part') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = a.id AND e.type = 'CALLS') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = a.id AND e.type = 'USES')")
+@query("j6_not_exists", """, c AS (SELECT DISTINCT dst FROM edges WHERE type = 'CALLS'), u AS (SELECT DISTINCT dst FROM edges WHERE type = 'USES')
+SELECT a.id, a.name FROM nodes a LEFT JOIN c ON a.id = c.dst LEFT JOIN u ON a.id = u.dst WHERE a.kind IN ('Customer', 'Supplier', 'Nation') AND c.dst IS NULL AND u.dst IS NULL""")
 def _(n, e):
-    left = hops.having(hops.of_kind(n, "Customer", "Part"), e, ("CALLS",), incoming=True, negate=True)
+    left = hops.having(hops.of_kind(n, "Customer", "Supplier", "Nation"), e, ("CALLS",), incoming=True, negate=True)
     return hops.having(left, e, ("USES",), incoming=True, negate=True).select("id", "name")
 
 
-@query("j7_substring_join", """SELECT p.id, count(*) AS n FROM nodes p JOIN (SELECT DISTINCT lower(name) AS w FROM nodes WHERE kind = 'Region') r ON contains(lower(p.name), substr(r.w, 1, 2)) WHERE p.kind = 'Part' GROUP BY p.id""")
+@query("j7_substring_join", """SELECT p.id, count(*) AS n FROM nodes p JOIN (SELECT DISTINCT left(lower(name), 3) AS w FROM nodes WHERE kind = 'Nation') r ON contains(lower(p.name), r.w) WHERE p.kind IN ('Part', 'Region', 'Nation') GROUP BY p.id""")
 def _(n, e):
-    # The needles are as many as there are regions; they are cut to two letters and tried on each name once.
-    needles = hops.of_kind(n, "Region").select(F.substring(F.lower("name"), 1, 2).alias("w"))
-    hit = hops.of_kind(n, "Part").join(F.broadcast(needles), F.contains(F.lower("name"), F.col("w")))
-    return hit.groupBy("id").agg(F.count("*").alias("n"))
+    needles = hops.of_kind(n, "Nation").select(F.left(F.lower("name"), F.lit(3)).alias("w")).distinct()
+    return links.containing(hops.of_kind(n, "Part", "Region", "Nation").select("id", F.lower("name").alias("text")), needles, 3).groupBy("id").agg(F.count("*").alias("n"))
 
 
 @query("j8_name_equality", "SELECT a.id AS a_id, b.id AS b_id FROM nodes a JOIN nodes b ON lower(replace(a.name, 'Customer', 'Supplier')) = lower(b.name) WHERE a.kind = 'Customer' AND b.kind = 'Supplier'")
@@ -170,11 +168,12 @@ def _(n, e):
     return a.join(b, "k").select("a_id", "b_id")
 
 
-@query("j10_shared_dimension", """, l AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'DEPENDS_ON'), k AS (SELECT dst FROM l GROUP BY dst HAVING count(*) <= 200)
-SELECT a.dst AS shared, count(*) AS n FROM l a JOIN l b ON a.dst = b.dst AND a.src <> b.src WHERE a.dst IN (SELECT dst FROM k) GROUP BY a.dst""")
+@query("j10_shared_dimension", """, l AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'DEPENDS_ON'), c AS (SELECT dst, count(*) AS c FROM l GROUP BY dst)
+SELECT dst AS shared, c * (c - 1) AS n FROM c WHERE c > 1""")
 def _(n, e):
+    """Ordered pairs of different users of each supplier, counted from the users, never made."""
     c = hops.of_type(e, "DEPENDS_ON").select("src", "dst").distinct().groupBy("dst").agg(F.count("*").alias("c"))
-    return c.where("c > 1 and c <= 200").select(F.col("dst").alias("shared"), (F.col("c") * (F.col("c") - 1)).alias("n"))
+    return c.where("c > 1").select(F.col("dst").alias("shared"), (F.col("c") * (F.col("c") - 1)).alias("n"))
 
 
 @query("j11_pairs_in_group", """, l AS (SELECT DISTINCT b.parent_id AS nation, s.src AS part FROM edges s JOIN nodes b ON s.dst = b.id WHERE s.type = 'DEPENDS_ON')
@@ -231,10 +230,13 @@ def _(n, e):
     return traversal.count_walks(e, hops.of_kind(n, "Order"), 1, 2)
 
 
-@query("r2_min_depth", """/*RECURSIVE*/, d(id, depth) AS (SELECT 'o:1', 0 UNION SELECT e.dst, d.depth + 1 FROM d JOIN edges e ON e.src = d.id WHERE d.depth < 10)
-SELECT id, min(depth) AS depth FROM d GROUP BY id""")
+@query("r2_min_depth", """, a AS (SELECT id, 0 AS depth FROM nodes WHERE kind = 'Order'), b AS (SELECT DISTINCT e.dst AS id, 1 AS depth FROM edges e JOIN a ON e.src = a.id), c AS (SELECT DISTINCT e.dst AS id, 2 AS depth FROM edges e JOIN b ON e.src = b.id),
+d AS (SELECT DISTINCT e.dst AS id, 3 AS depth FROM edges e JOIN c ON e.src = c.id), x AS (SELECT DISTINCT e.dst AS id, 4 AS depth FROM edges e JOIN d ON e.src = d.id)
+SELECT id, min(depth) AS depth, greatest(0, 100 - 10 * min(depth)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d UNION ALL SELECT * FROM x) GROUP BY id""")
 def _(n, e):
-    return traversal.depths(e, n.where("id = 'o:1'"), 10)
+    """Depth from all entry points together: here every order is one."""
+    found = traversal.depths(e, hops.of_kind(n, "Order"), 10)
+    return found.select("id", "depth", F.greatest(F.lit(0), 100 - 10 * F.col("depth")).alias("score"))
 
 
 @query("r3_call_chain_layers", """, z AS (SELECT dst AS id, min(src) AS via FROM edges WHERE src = 'o:3' GROUP BY dst), y AS (SELECT e.dst AS id, min(e.src) AS via FROM edges e JOIN z ON e.src = z.id GROUP BY e.dst),
@@ -285,14 +287,17 @@ def _(n, e):
     return e.join(near, "src", "left_semi").distinct().select("type", "src", "dst")
 
 
-@query("r10_impact_level", """, a AS (SELECT dst AS id, count(DISTINCT src) AS n FROM edges WHERE type = 'CALLS' GROUP BY dst)
-SELECT n.id, coalesce(a.n, 0) AS reached, CASE WHEN coalesce(a.n, 0) = 0 THEN 'none' WHEN a.n <= 2 THEN 'low' WHEN a.n <= 5 THEN 'medium' WHEN a.n <= 10 THEN 'high' ELSE 'critical' END AS level FROM nodes n LEFT JOIN a ON n.id = a.id WHERE n.kind = 'Customer'""")
+@query("r10_impact_level", """, a AS (SELECT DISTINCT dst AS seed, src AS id FROM edges), b AS (SELECT DISTINCT a.seed, e.src AS id FROM a JOIN edges e ON e.dst = a.id), c AS (SELECT DISTINCT b.seed, e.src AS id FROM b JOIN edges e ON e.dst = b.id),
+r AS (SELECT seed, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b UNION SELECT * FROM c) GROUP BY seed)
+SELECT n.id, coalesce(r.n, 0) AS reached, CASE WHEN coalesce(r.n, 0) = 0 THEN 'none' WHEN r.n <= 2 THEN 'low' WHEN r.n <= 5 THEN 'medium' WHEN r.n <= 10 THEN 'high' ELSE 'critical' END AS level FROM nodes n LEFT JOIN r ON n.id = r.seed WHERE n.kind IN ('Customer', 'Part', 'Nation')""")
 def _(n, e):
+    """Who depends on a node, over three hops of any type against the edges."""
+    some = hops.of_kind(n, "Customer", "Part", "Nation")
     back = e.select("type", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    count = traversal.reach(back, hops.of_kind(n, "Customer"), 1, 5).groupBy("seed").agg(F.count("*").alias("c"))
+    count = traversal.reach(back, some, 1, 3).groupBy("seed").agg(F.count("*").alias("c"))
     k = F.coalesce("c", F.lit(0).cast("long"))
     level = F.when(k == 0, "none").when(k <= 2, "low").when(k <= 5, "medium").when(k <= 10, "high").otherwise("critical")
-    return hops.of_kind(n, "Customer").join(count, F.col("id") == F.col("seed"), "left").select("id", k.alias("reached"), level.alias("level"))
+    return some.join(count, F.col("id") == F.col("seed"), "left").select("id", k.alias("reached"), level.alias("level"))
 
 
 @query("r11_context_by_priority", """, a AS (SELECT DISTINCT e.dst AS id, 1 AS priority FROM edges e WHERE e.src = 'o:5'), b AS (SELECT DISTINCT e.dst AS id, 2 AS priority FROM edges e JOIN a ON e.src = a.id),
@@ -305,16 +310,21 @@ def _(n, e):
     return keep.keep_first(every, ["name"], [F.col("priority"), F.col("id")]).select("id", "name", "priority")
 
 
-@query("r13_feature_trace", """SELECT c.dst AS customer, count(DISTINCT c.src) AS n_orders, count(DISTINCT u.dst) AS n_parts, count(DISTINCT d.dst) AS n_suppliers FROM edges c
-JOIN edges u ON u.src = c.src AND u.type = 'USES' JOIN edges d ON d.src = u.dst AND d.type = 'DEPENDS_ON' WHERE c.type = 'CALLS' GROUP BY c.dst""")
+@query("r13_feature_trace", """, u AS (SELECT DISTINCT c.dst AS customer, u.dst AS part FROM edges c JOIN edges u ON u.src = c.src AND u.type = 'USES' WHERE c.type = 'CALLS'),
+o AS (SELECT c.dst AS customer, count(DISTINCT c.src) AS n_orders FROM edges c WHERE c.type = 'CALLS' AND c.src IN (SELECT src FROM edges WHERE type = 'USES') GROUP BY c.dst),
+d AS (SELECT u.customer, count(DISTINCT u.part) AS n_parts, count(DISTINCT e.dst) AS n_suppliers FROM u JOIN edges e ON e.src = u.part AND e.type = 'DEPENDS_ON' GROUP BY u.customer)
+SELECT o.customer, o.n_orders, d.n_parts, d.n_suppliers FROM o JOIN d ON o.customer = d.customer""")
 def _(n, e):
-    # Each stage keeps distinct pairs, so the last stages do not multiply.
+    """Orders of a customer that use parts, those parts, and the suppliers that they depend on. Parts keep a
+    set of their few suppliers, so customers and parts are joined once."""
     calls = hops.of_type(e, "CALLS").select(F.col("dst").alias("customer"), F.col("src").alias("o"))
-    parts = calls.join(hops.of_type(e, "USES").select(F.col("src").alias("o"), F.col("dst").alias("part")), "o")
-    used = parts.select("customer", "part").distinct()
-    sup = used.join(hops.of_type(e, "DEPENDS_ON").select(F.col("src").alias("part"), F.col("dst").alias("s")), "part").groupBy("customer").agg(F.count_distinct("s").alias("n_suppliers"))
-    a = parts.groupBy("customer").agg(F.count_distinct("o").alias("n_orders"), F.count_distinct("part").alias("n_parts"))
-    return a.join(sup, "customer")
+    uses = hops.of_type(e, "USES").select(F.col("src").alias("o"), F.col("dst").alias("part"))
+    orders = calls.join(uses.select("o"), "o", "left_semi").groupBy("customer").agg(F.count("*").alias("n_orders"))
+    suppliers = hops.of_type(e, "DEPENDS_ON").groupBy(F.col("src").alias("part")).agg(F.collect_set("dst").alias("s"))
+    used = calls.join(uses, "o").select("customer", "part").distinct().join(suppliers, "part")
+    found = used.select("customer", "part", F.explode("s").alias("s")).groupBy("customer", "s").agg(F.count("*").alias("_n")).groupBy("customer").agg(F.count("*").alias("n_suppliers"))
+    parts = used.groupBy("customer").agg(F.count("*").alias("n_parts"))
+    return orders.join(parts, "customer").join(found, "customer")
 
 
 @query("r16_breadcrumbs", """, a AS (SELECT id, name, parent_id FROM nodes)
@@ -337,10 +347,27 @@ def _(n, e):
     return one.join(size, "parent_id").where("siblings > 0").select(F.col("id").alias("a"), "siblings")
 
 
-@query("d_cyc_no_cycles", "SELECT CAST(NULL AS VARCHAR) AS component, CAST(NULL AS BIGINT) AS n WHERE 1 = 0")
+# Edges with cycles by rule: parts in groups of ten by key; in a group of even number parts 0, 1, 2 import in a circle, in one that is
+# a multiple of four parts 3 to 9 do too, and part 0 imports itself in one that is a multiple of five. Groups import their successor.
+_CYCLES = """, p AS (SELECT CAST(substr(id, 3) AS BIGINT) AS k FROM nodes WHERE kind = 'Part'), m AS (SELECT max(k) AS m FROM p),
+g AS (SELECT k // 10 AS g, k % 10 AS r, k FROM p WHERE k // 10 < (SELECT m // 10 FROM m) AND k // 10 > 0)"""
+
+
+@query("d_cyc_no_cycles", _CYCLES + """ SELECT 'p:' || CAST(g * 10 AS VARCHAR) AS component, CAST(3 AS BIGINT) AS n, 'high' AS severity FROM g WHERE r = 0 AND g % 2 = 0
+UNION ALL SELECT 'p:' || CAST(g * 10 + 3 AS VARCHAR), 7, 'critical' FROM g WHERE r = 3 AND g % 4 = 0 UNION ALL SELECT 'p:' || CAST(g * 10 AS VARCHAR), 1, 'high' FROM g WHERE r = 0 AND g % 5 = 0 AND g % 2 = 1""")
 def _(n, e):
-    """The sample graph has no cycle of dependencies."""
-    return smells.import_cycles(e).select("component", F.size("members").cast("long").alias("n"))
+    """Circles of imports, made by rule from the parts' keys, with chains between them; a component is named by its smallest part."""
+    p = hops.of_kind(n, "Part").select(F.substring("id", 3, 20).cast("long").alias("k"))
+    top = p.agg(F.floor(F.max("k") / 10).alias("top"))
+    rows = p.join(F.broadcast(top)).select("k", F.floor(F.col("k") / 10).alias("g"), (F.col("k") % 10).alias("r"), "top").where("g > 0 and g < top")
+    g, r = F.col("g"), F.col("r")
+    first = F.when((g % 2 == 0) & (r < 3), g * 10 + (r + 1) % 3).when((g % 4 == 0) & (r >= 3), g * 10 + 3 + (r - 2) % 7)
+    own, chain = F.when((g % 5 == 0) & (r == 0), F.col("k")), F.when((r == 0) & (g + 1 < F.col("top")), (g + 1) * 10)
+    to = rows.select("k", F.explode(F.array_compact(F.array(first, own, chain))).alias("to"))
+    edges_ = to.select(F.lit("IMPORTS").alias("type"), F.concat(F.lit("p:"), F.col("k").cast("string")).alias("src"), F.concat(F.lit("p:"), F.col("to").cast("string")).alias("dst"))
+    found = smells.import_cycles(edges_).select("members", "severity")
+    least = F.array_min(F.transform("members", lambda x: F.substring(x, 3, 20).cast("long")))
+    return found.select(F.concat(F.lit("p:"), least.cast("string")).alias("component"), F.size("members").cast("long").alias("n"), "severity")
 
 
 # Aggregates
@@ -449,9 +476,11 @@ def _(n, e):
     return search.exact_then_partial(n, "Order 12").select("id", "name")
 
 
-@query("t14_undocumented_public", "SELECT id, name FROM nodes n WHERE kind = 'Part' AND weight > 1500 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.id) ORDER BY id LIMIT 100")
+@query("t14_undocumented_public", """, u AS (SELECT dst, count(*) AS c FROM edges WHERE type IN ('CALLS', 'DEPENDS_ON') GROUP BY dst)
+SELECT n.id, n.name, u.c AS callers FROM nodes n JOIN u ON u.dst = n.id WHERE n.kind IN ('Customer', 'Supplier') AND n.weight < 0 ORDER BY callers DESC, id LIMIT 100""")
 def _(n, e):
-    return hops.having(hops.of_kind(n, "Part").where("weight > 1500"), e, incoming=True, negate=True).select("id", "name").orderBy("id").limit(100)
+    """Public nodes without documentation (here: a weight below 0) that others call, most called first."""
+    return search.undocumented(hops.of_kind(n, "Customer", "Supplier").withColumn("documented", F.col("weight") >= 0), e, ("CALLS", "DEPENDS_ON")).select("id", "name", "callers")
 
 
 @query("t16_existence", "SELECT type, count(*) > 0 AS present, count(*) AS n FROM edges GROUP BY type")
@@ -479,15 +508,12 @@ def _(n, e):
     return a.join(hops.of_type(e, "USES").select("src", F.col("dst").alias("target")), "src").select("source", "target").distinct()
 
 
-@query("d_dead_code", "SELECT id, name FROM nodes n WHERE kind IN ('Customer', 'Part') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.id AND e.type IN ('CALLS', 'USES'))")
-def _(n, e):
-    exported = n.withColumn("is_exported", F.col("kind").isin("Customer", "Part"))
-    return smells.dead_code(exported, e).select("id", "name")
-
-
-@query("f_layer_variants", """SELECT id, CASE WHEN regexp_matches(kind, '(?i)order') THEN 'x' ELSE 'Other' END AS plain FROM nodes WHERE kind = 'Region'""")
+@query("d_dead_code", """, u AS (SELECT DISTINCT dst FROM edges WHERE type = 'CALLS'), x AS (SELECT id, kind, weight, CASE WHEN kind = 'Supplier' AND weight > 5000 THEN 'CacheHandler' WHEN kind = 'Supplier' AND weight < 0 THEN 'main' ELSE name END AS name FROM nodes)
+SELECT x.id, x.name FROM x LEFT JOIN u ON u.dst = x.id WHERE x.kind IN ('Customer', 'Supplier') AND u.dst IS NULL AND NOT regexp_matches(lower(x.name), '^main$|^index$|controller$|handler$|endpoint$|^app$|^server$|^bootstrap$')""")
 def _(n, e):
-    return hops.of_kind(n, "Region").select("id", ladders.layer(F.col("kind"), F.col("name"), "chain").alias("plain"))
+    """Customers and suppliers are exported; some suppliers get the names of entry points, which are never dead. Dependencies do not count as use here, calls do."""
+    named = F.when((F.col("kind") == "Supplier") & (F.col("weight") > 5000), "CacheHandler").when((F.col("kind") == "Supplier") & (F.col("weight") < 0), "main").otherwise(F.col("name"))
+    return smells.dead_code(n.withColumn("name", named).withColumn("is_exported", F.col("kind").isin("Customer", "Supplier")), e).select("id", "name")
 
 
 @query("u1_union_scored", """, u AS (SELECT id, 1.0 AS score, 'region' AS layer FROM nodes WHERE kind = 'Region' UNION SELECT id, 0.8, 'nation' FROM nodes WHERE kind = 'Nation' AND name LIKE '%A%' UNION SELECT id, 0.6, 'supplier' FROM nodes WHERE kind = 'Supplier' AND weight > 0)
@@ -498,15 +524,16 @@ def _(n, e):
     return every.orderBy(F.desc("score"), "id").limit(60)
 
 
-@query("u4_union_of_sets", """, a AS (SELECT dst AS cust, list(DISTINCT src) AS x FROM edges WHERE type = 'CALLS' GROUP BY dst) SELECT cust AS id, len(list_distinct(list_concat(x, [cust]))) AS n FROM a""")
+@query("u4_union_of_sets", """, a AS (SELECT dst AS id, src AS x FROM edges WHERE type = 'CALLS' UNION SELECT dst, dst FROM edges WHERE type = 'CALLS') SELECT id, count(*) AS n FROM a GROUP BY id""")
 def _(n, e):
-    a = hops.of_type(e, "CALLS").groupBy(F.col("dst").alias("id")).agg(F.collect_set("src").alias("x"))
-    return a.select("id", F.size(F.array_union("x", F.array("id"))).cast("long").alias("n"))
+    """Callers of a node and the node itself, counted as rows: no set is collected for its size."""
+    calls = hops.of_type(e, "CALLS")
+    return calls.select(F.col("dst").alias("id"), F.col("src").alias("x")).union(calls.select("dst", "dst")).distinct().groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query("u6_unmapped", "SELECT id FROM nodes WHERE kind = 'Customer' EXCEPT SELECT dst FROM edges WHERE type = 'CALLS'")
+@query("u6_unmapped", "SELECT id FROM nodes WHERE kind IN ('Customer', 'Nation') EXCEPT SELECT dst FROM edges WHERE type = 'CALLS'")
 def _(n, e):
-    return hops.of_kind(n, "Customer").select("id").exceptAll(hops.of_type(e, "CALLS").select(F.col("dst").alias("id")).distinct())
+    return hops.of_kind(n, "Customer", "Nation").select("id").exceptAll(hops.of_type(e, "CALLS").select(F.col("dst").alias("id")).distinct())
 
 
 @query("l4_expression_sort", "SELECT id, length(name) - length(id) AS span FROM nodes WHERE kind = 'Part' ORDER BY span DESC, id LIMIT 25")
@@ -514,7 +541,7 @@ def _(n, e):
     return hops.of_kind(n, "Part").select("id", (F.length("name") - F.length("id")).alias("span")).orderBy(F.desc("span"), "id").limit(25)
 
 
-@query("l5_order_by_size", "SELECT src AS id, len(list(dst)) AS n FROM edges WHERE type = 'USES' GROUP BY src ORDER BY n DESC, id LIMIT 20")
+@query("l5_order_by_size", "SELECT src AS id, count(*) AS n FROM edges WHERE type = 'USES' GROUP BY src ORDER BY n DESC, id LIMIT 20")
 def _(n, e):
-    g = hops.of_type(e, "USES").groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("x"))
-    return g.select("id", F.size("x").cast("long").alias("n")).orderBy(F.desc("n"), "id").limit(20)
+    """By the size of a list that is only counted."""
+    return hops.of_type(e, "USES").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(20)

@@ -82,15 +82,6 @@ def _(t):
     return t("labels").agg(F.count_if(q).alias("documented"), F.count_if(~q).alias("undocumented"), F.count_if((F.col("toxic") == 1) & ~q).alias("deprecated"), F.round(reports.ratio(q, 1.0), 9).alias("coverage"))
 
 
-@on_tables("a25_coverage_by_inferred_path", r"""WITH p AS (SELECT page_id, 'src/m' || (page_id % 20) || '.ts' AS path FROM pages WHERE page_id % 2 = 0), x AS (SELECT DISTINCT regexp_replace('src/m' || (page_id % 20) || '.test.ts', '\.test\.ts$', '.ts') AS path FROM pages WHERE page_id % 3 = 0)
-SELECT count(*) AS files, count(x.path) AS tested, round(coalesce(avg(CASE WHEN x.path IS NULL THEN 0.0 ELSE 1.0 END), 0), 9) AS ratio FROM p LEFT JOIN x ON p.path = x.path""")
-def _(t):
-    name = lambda end: F.concat(F.lit("src/m"), (F.col("page_id") % 20).cast("string"), F.lit(end))
-    tests = t("pages").where("page_id % 3 = 0").select(classify.tested_path(name(".test.ts")).alias("path")).distinct().withColumn("has", F.lit(True))
-    j = t("pages").where("page_id % 2 = 0").select(name(".ts").alias("path")).join(tests, "path", "left")
-    return j.agg(F.count("*").alias("files"), F.count("has").alias("tested"), F.round(reports.ratio(F.col("has"), 0.0), 9).alias("ratio"))
-
-
 @on_tables("a28_mean_dependencies", "SELECT round(avg(n), 9) AS independence FROM (SELECT l_suppkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_suppkey)")
 def _(t):
     g = t("lineitem").groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("n"))
@@ -121,18 +112,6 @@ def _(n, e):
     return n.where(hits[0] | hits[1]).select("id", score.cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(40)
 
 
-@on_graph("t8_call_graph", "SELECT e.src, a.name AS caller, e.dst, b.name AS callee FROM edges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id WHERE e.type = 'CALLS' ORDER BY e.src, e.dst LIMIT 100")
-def _(n, e):
-    x = hops.hop(hops.prefixed(n, "a"), e, n, types=("CALLS",))
-    return x.select(F.col("a_id").alias("src"), F.col("a_name").alias("caller"), F.col("b_id").alias("dst"), F.col("b_name").alias("callee")).orderBy("src", "dst").limit(100)
-
-
-@on_tables("t10_evidence_lookup", "SELECT o_orderkey AS id, 'constraint' AS rule FROM orders WHERE contains(lower(o_orderpriority), 'urgent') UNION ALL SELECT p_partkey, 'guard' FROM part WHERE contains(lower(p_type), 'tin')")
-def _(t):
-    find = lambda d, key, text, word, rule: t(d).where(F.contains(F.lower(text), F.lit(word))).select(F.col(key).alias("id"), F.lit(rule).alias("rule"))
-    return find("orders", "o_orderkey", "o_orderpriority", "urgent", "constraint").unionByName(find("part", "p_partkey", "p_type", "tin", "guard"))
-
-
 @on_graph("t11_data_flow_mapping", "SELECT u.dst AS part, count(DISTINCT u.src) AS orders, min(u.src) AS first_order, coalesce(max(d.n), 0) AS suppliers FROM edges u LEFT JOIN (SELECT src, count(*) AS n FROM edges WHERE type = 'DEPENDS_ON' GROUP BY src) d ON u.dst = d.src WHERE u.type = 'USES' GROUP BY u.dst")
 def _(n, e):
     use = hops.of_type(e, "USES").groupBy(F.col("dst").alias("part")).agg(F.count_distinct("src").alias("orders"), F.min("src").alias("first_order"))
@@ -173,11 +152,6 @@ def _(t):
     return links.validation_chain(s).select("action", "n_rules", "fields", F.array_join(F.transform("steps", lambda x: x["step"].cast("string")), ",").alias("steps"))
 
 
-@on_tables("d_shared_components", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, 'Base|Abstract|Common|Shared|Util|Helper|Validator|Constants|Config|Exception|Interceptor|Filter|Logger|Cache|Security')")
-def _(t):
-    return t("part").where(classify.shared_component(F.col("p_name")).isNotNull()).select("p_partkey")
-
-
 @on_tables("d_metric_violations", "SELECT l_orderkey, l_linenumber, len(list_filter([l_quantity > 15, l_linenumber > 4, l_extendedprice > 50000], lambda x: x)) AS n FROM lineitem")
 def _(t):
     n = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("complexity"), F.lit(0).alias("cognitive"), F.col("l_linenumber").alias("nesting"), (F.col("l_extendedprice") / 1000).alias("loc"), F.lit(0).alias("param_count"))

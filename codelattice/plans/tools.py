@@ -10,15 +10,31 @@ from pyspark.sql import functions as F
 from codelattice.operators import hops, search, traversal
 
 
+# Words that no ad-hoc query may hold, wherever they stand.
+WRITING = ("CREATE", "MERGE", "DELETE", "SET", "REMOVE", "DROP")
+
+
 def read_only(views: Mapping[str, DataFrame], text: str, args: Mapping[str, object] | None = None) -> DataFrame:
-    """Run a query over temporary views with named parameters. Views are read-only by nature; only
-    a query may be given."""
-    if not text.lstrip().lower().startswith(("select", "with")):
-        raise ValueError("only SELECT and WITH are allowed")
+    """Run a query over the given frames by name, with named parameters.
+
+    A text that holds one of the words in WRITING is refused, whatever it means there, and so is one that
+    begins with neither SELECT nor WITH. The names are views only while the query is analysed; a
+    name that the session already uses is refused too.
+    """
+    found = [w for w in WRITING if w in text.upper()]
+    if found or not text.lstrip().lower().startswith(("select", "with")):
+        raise ValueError(f"only queries are allowed{': ' + ', '.join(found) if found else ''}")
     spark = next(iter(views.values())).sparkSession
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(text, args=dict(args or {}))
+    taken = [n for n in views if spark.catalog.tableExists(n)]
+    if taken:
+        raise ValueError(f"the session has these names already: {', '.join(taken)}")
+    try:
+        for name, df in views.items():
+            df.createTempView(name)
+        return spark.sql(text, args=dict(args or {}))
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(name)
 
 
 def _callers(nodes: DataFrame, edges: DataFrame, name: str, depth: int = 2) -> DataFrame:

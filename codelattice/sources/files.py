@@ -85,3 +85,28 @@ def module_structure(modules: DataFrame, dependencies: DataFrame, files: DataFra
         edge(own, "DEPENDS_ON_MODULE", "module", "target").unionByName(edge(outside, "HAS_DEPENDENCY", "module", "gav"))
         .unionByName(edge(files, "CONTAINS_FILE", "module", "path")).unionByName(edge(files, "DEFINED_IN_MODULE", "path", "module")).distinct()
     )
+
+
+def without(df: DataFrame, column: str, value: str) -> DataFrame:
+    """What is left of a store when a repository (or any other value of a column) is deleted; nulls stay."""
+    return df.where(~F.col(column).eqNullSafe(F.lit(value)))
+
+
+def delete_repository(spark: SparkSession, path: str, repo: str) -> int:
+    """Delete a repository from a store that is partitioned by repo_id: its folder goes, nothing is rewritten. Returns how many rows it had."""
+    rows = spark.read.parquet(path)
+    n = rows.where(F.col("repo_id") == repo).count()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/repo_id={repo}")
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    return n
+
+
+def find(spark: SparkSession, root: str, glob: str, most: int = 100) -> DataFrame:
+    """(path, size, mtime) of at most ``most`` files below ``root`` that a glob fits, by path; their content is not read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    return raw.where(F.col("path").rlike(glob_to_regex(glob))).orderBy("path").limit(most)
+
+
+def read_batch(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, text) of the named files, read in tasks."""
+    return spark.read.format("binaryFile").load(list(paths)).select("path", F.decode("content", "UTF-8").alias("text"))

@@ -64,19 +64,19 @@ CONTAINERS = ("JavaClass", "JavaInterface", "JavaEnum", "CSharpClass", "CSharpIn
 
 
 def lines_of(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """(path, line, code): numbered lines without those inside block comments or after ``//``."""
-    blank = F.regexp_replace(F.col(text), r"(?m)(?<![:\"'])//.*$", "")
-    numbered = F.transform(F.split(blank, "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("code")))
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<line: int, code: string>>").alias("kept"))
+    """(path, language, line, code): numbered lines without those inside block comments or after ``//``.
 
-    def step(s, row):
-        code = row["code"]
-        opens = code.rlike(r"^\s*/\*")
-        inside = s["inside"] | opens
-        return F.struct((inside & ~code.rlike(r"\*/")).alias("inside"),
-                        F.when(inside, s["kept"]).otherwise(F.array_append(s["kept"], row)).alias("kept"))
-
-    return files.select(path, "language", F.inline(F.aggregate(numbered, start, step, lambda s: s["kept"])))
+    Lines become rows; whether a comment is open where a line begins is the last mark before it, by a
+    window over the file, so the work grows with the lines.
+    """
+    bare = F.regexp_replace(F.col(text), r"(?m)(?<![:\"'])//.*$", "")
+    rows = files.select(path, "language", F.posexplode(F.split(bare, "\n")).alias("at", "code"))
+    closes = F.col("code").rlike(r"\*/")
+    mark = F.when(closes, F.lit(False)).when(F.col("code").rlike(r"^\s*/\*"), F.lit(True))
+    before = Window.partitionBy(path).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = F.coalesce(F.last(mark, ignorenulls=True).over(before), F.lit(False))
+    inside = F.col("_open") | F.col("code").rlike(r"^\s*/\*")
+    return rows.withColumn("_open", open_).where(~inside).select(path, "language", (F.col("at") + 1).alias("line"), "code")
 
 
 def declarations(files: DataFrame, repo: str) -> DataFrame:
@@ -252,11 +252,17 @@ def menu_items(files: DataFrame) -> DataFrame:
 
 
 def menu_target(url):
-    """struct(flow, view, mode) of a menu URL: the flow is ``_flowId`` or the last path segment."""
-    pairs = F.str_to_map(F.regexp_extract(url, r"\?(.*)$", 1), F.lit("&"), F.lit("="))
-    last = F.regexp_extract(url, r"([^/?]+?)(?:\.\w+)?(?:\?.*)?$", 1)
-    get = lambda k: F.try_element_at(pairs, F.lit(k))
-    return F.struct(F.coalesce(get("_flowId"), get("flowId"), F.nullif(last, F.lit(""))).alias("flow"), F.coalesce(get("viewState"), get("_viewState")).alias("view"), get("mode").alias("mode"))
+    """struct(flow, view, mode, source) of a menu URL: the flow is its page, the view its ``pageSelect``
+    and the mode its ``mode`` or what the view's name ends with."""
+    from codelattice.functions.ladders import first_match
+
+    query = F.replace(F.regexp_extract(url, r"\?([^?]*)", 1), F.lit("&amp;"), F.lit("&"))
+    get = lambda k: F.nullif(F.regexp_extract(query, rf"(?:^|&){k}=([^&]*)", 1), F.lit(""))
+    flow, view, mode = F.regexp_extract(F.split(url, r"\?")[0], r"^(\w+)(?:\.html)?$", 1), get("pageSelect"), F.lower(get("mode"))
+    said = F.when(mode.isin("true", "maintenance"), "maintenance").when(mode.isin("false", "inquiry", "view", "embedded"), "inquiry").when(mode.isin("create", "edit", "clone", "approve", "delete"), mode)
+    shown = first_match(F.lower(view), (("maintenance$", "maintenance"), ("inquiry$", "inquiry"), ("wizard|minsetup$", "create")))
+    return F.struct(flow.alias("flow"), view.alias("view"), F.coalesce(said, shown).alias("mode"),
+                    F.when(said.isNotNull(), "url-param").when(shown.isNotNull(), "pageSelect-suffix").alias("source"))
 
 
 def code_routes(files: DataFrame) -> DataFrame:
@@ -305,7 +311,7 @@ def business_rules(files: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<kind: string, rule: string, detail: string>>")
     found = F.concat(
         F.transform(code_text.validations(F.col("code")), lambda v: F.struct(F.lit("ValidationConstraint").alias("kind"), v["rule"].alias("rule"), v["annotation"].alias("detail"))),
-        F.when((condition != "") & leaves, F.array(row("GuardClause", guard["guard_kind"], condition))).otherwise(none),
+        F.when((condition != "") & leaves & guard.isNotNull(), F.array(row("GuardClause", guard["guard_kind"], condition))).otherwise(none),
         F.when((condition != "") & ~leaves & (business["confidence"] > 0), F.array(row("ConditionalBusinessLogic", F.array_join(business["words"], ","), condition))).otherwise(none),
         F.when(F.col("code").rlike(r"\bassert\w*\s*\("), F.array(row("TestAssertion", F.regexp_extract("code", r"\b(assert\w*)", 1), F.trim("code")))).otherwise(none),
     )

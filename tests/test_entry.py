@@ -4,6 +4,8 @@ import os
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -13,10 +15,11 @@ def test_names_match():
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_without_the_text_operators(tmp_path):
+@pytest.mark.parametrize("left_out", [(), ("corpus_pipeline.py",)])
+def test_without_the_text_operators(tmp_path, left_out):
     import shutil
 
     copy = tmp_path / "copy"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__", ".tmp"))
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns("llm", ".git", *left_out, "__pycache__", ".tmp"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True)

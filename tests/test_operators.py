@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelattice.functions import code_text, ids, ladders, words
-from codelattice.operators import classify, hops, keep, ranking, reports, search, smells, traversal, verify
+from codelattice.operators import classify, detect, hops, keep, ranking, reports, search, smells, traversal, verify
 from codelattice.plans import tools
 from codelattice.schema import dangling_edges, duplicates
+from codelattice.sources import parsers
 
 
 def value(spark, column):
@@ -96,20 +97,20 @@ def test_text_metrics(spark):
 
 def test_sql_text(spark):
     s = value(spark, code_text.sql_statement(F.lit("select a.id, b.name from orders a join items b on a.id = b.oid where 1=1")))
-    assert (s.kind, s.main_table, s.tables, s.columns) == ("SELECT", "orders", ["orders", "items"], ["id", "name"])
+    assert (s.kind, s.main_table, s.tables, s.columns) == ("SELECT", "orders", ["orders", "items"], ["a.id", "b.name"])
     s = value(spark, code_text.sql_statement(F.lit("INSERT INTO t (x, y) VALUES (1, 2)")))
     assert (s.kind, s.main_table, s.columns) == ("INSERT", "t", ["x", "y"])
     s = value(spark, code_text.sql_statement(F.lit("update t set x = 1, y = 2 where z = 3")))
     assert (s.kind, s.main_table, s.columns) == ("UPDATE", "t", ["x", "y"])
-    assert value(spark, code_text.sql_statement(F.lit("drop it"))).kind is None
+    assert value(spark, code_text.sql_statement(F.lit("drop it"))).kind == "UNKNOWN"
 
 
 def test_guards_and_rules(spark):
     g = value(spark, code_text.guard(F.lit("user == null")))
-    assert (g.operand, g.operator, g.value, g.guard_kind) == ("user", "==", "null", "null_check")
-    assert value(spark, code_text.guard(F.lit("!isValid(x)"))).operator == "not"
+    assert (g.operand, g.operator, g.value, g.guard_kind) == ("user", "is_null", None, "null_check")
+    assert value(spark, code_text.guard(F.lit("!isValid(x)"))).guard_kind == "state_check"
     b = value(spark, code_text.business_condition(F.lit("order.amount > 100")))
-    assert b.words == ["amount"] and b.confidence == pytest.approx(0.6) and b.operator == ">" and b.threshold == 100.0
+    assert b.words == ["amount"] and b.confidence == pytest.approx(0.6) and (b.variable, b.operator, b.threshold) == ("amount", "greater_than", "100")
     assert [v.rule for v in value(spark, code_text.validations(F.lit("@NotNull @Size(max=3) String x")))] == ["required", "length"]
     assert value(spark, code_text.markdown_sections(F.lit("intro\n# A\none\n\n## B\ntwo\n# A\nlast"))) == {"A": "last", "B": "two"}
 
@@ -129,14 +130,15 @@ def test_ladders(spark):
     assert name("/zebra", F.lit("UserProfilePage")).name == "User Profile"
     assert value(spark, ladders.feature_category(F.lit("/admin/x"))) == "admin"
     assert value(spark, ladders.severity(F.lit(90.0), F.lit(50.0), (1.5, 2.0, 3.0))) == "medium"
-    assert [value(spark, ladders.layer(F.lit(k), F.lit(n))) for k, n in (("JSPPage", "x"), ("JavaClass", "OrderDao"), ("Thing", "y"))] == ["UI", "DAO", "Other"]
+    assert [value(spark, ladders.layer(F.lit(k), F.lit(n))) for k, n in (("JSPPage", "x"), ("JavaClass", "OrderDao"), ("Thing", "y"))] == ["UI", "DAO", "Unknown"]
+    assert value(spark, ladders.layer(F.lit("JavaMethod"), F.lit("save"), "chain", F.lit("OrderDao"))) == "DAO"
 
 
 def test_words(spark):
-    assert value(spark, words.keywords(F.lit("Where should the order total and ORDER date go?"))) == ["order", "total", "date"]
-    assert value(spark, words.compound(F.array(F.lit("add"), F.lit("order"), F.lit("note")))).asDict() == {"subject": "ordernote", "actions": ["add"]}
+    assert value(spark, words.keywords(F.lit("Where should the order total and ORDER date go?"))) == ["where", "order", "total", "date"]
+    assert value(spark, words.compound(F.array(F.lit("add"), F.lit("Order"), F.lit("note")))).asDict() == {"subject": "ordernote", "actions": ["add"]}
     assert value(spark, words.question_type(F.lit("Where is it?"))) == "locational"
-    assert value(spark, words.identifiers(F.lit("see OrderService and order_id in 'the cart'"))) == ["OrderService", "order_id", "the cart"]
+    assert value(spark, words.identifiers(F.lit("see OrderService and order_id in 'the cart'"))) == ["the cart", "OrderService", "order_id"]
 
 
 def test_stereotypes(spark):
@@ -152,21 +154,30 @@ def test_stereotypes(spark):
 
 
 def test_tests_in_text(spark):
-    text = "describe('cart', () => {\n  it('adds', () => {});\n  it.skip('later', () => {});\n});\ntest.only('alone', () => {});"
-    rows = classify.test_lines(spark.createDataFrame([("a.test.ts", text)], "path string, text string")).orderBy("line").collect()
-    assert [(r.line, r.suite, r.case, r.skipped, r.focused) for r in rows] == [(2, "cart", "adds", False, False), (3, "cart", "later", True, False), (5, "cart", "alone", False, True)]
-    path = lambda p: value(spark, classify.tested_path(F.lit(p)))
-    assert [path(p) for p in ("src/a.test.ts", "x_test.go", "src/test/java/FooTest.java")] == ["src/a.ts", "x.go", "src/main/java/Foo.java"]
-    t = spark.createDataFrame([("1", "import pytest\ndef test_x(): pass"), ("2", "nothing")], "id string, text string")
-    assert [(r.id, r.framework) for r in classify.test_framework(spark, t).collect()] == [("1", "pytest")]
-    assert {(r.id, r.entry_kind, r.framework) for r in classify.entry_points(spark, spark.createDataFrame([("1", "@GetMapping x; @Scheduled"), ("2", "@KafkaListener"), ("3", "-")], "id string, text string")).collect()} == {("1", "rest", "spring"), ("2", "event", "kafka")}
+    text = "describe('cart', () => {\n  it('adds', () => {});\n  xit('later', () => {});\n\n});\nfit('alone', () => {});"
+    rows = detect.test_cases(spark.createDataFrame([("a.test.ts", text)], "path string, text string")).where("case is not null and rule = 5").orderBy("line").collect()
+    assert [(r.line, r.suite, r.case, r.skipped, r.focused) for r in rows] == [(2, "cart", "adds", False, False), (3, "cart", "later", True, False), (6, "cart", "alone", False, True)]
+    path = lambda p: value(spark, detect.tested_path(F.lit(p)))
+    assert [path(p) for p in ("src/a.test.ts", "x_test.go", "src/test/java/FooTest.java", "x.ts")] == ["src/a.ts", "x.go", "src/main/java/Foo.java", None]
+    kind = lambda p, t: value(spark, detect.test_framework(F.lit(p), F.lit(t)))
+    assert [kind("a.py", "import pytest\ndef test_x(): pass"), kind("a.py", "nothing"), kind("ATest.java", "@Test(groups = 1)"), kind("ATest.java", "@Nested")] == ["pytest", None, "TestNG", "JUnit5"]
+
+
+def test_long_files_are_linear(spark):
+    import time
+
+    text = "\n".join(f"it('case {i}', f)" if i % 3 else "/* note\n*/ int x;" for i in range(40_000))
+    began = time.perf_counter()
+    files = spark.createDataFrame([("a.test.ts", text, "typescript")], "path string, text string, language string")
+    assert detect.test_cases(files).where("rule = 5").count() == sum(1 for i in range(40_000) if i % 3)
+    assert parsers.lines_of(files).count() > 20_000 and time.perf_counter() - began < 60
 
 
 def test_frameworks(spark):
-    packages = spark.createDataFrame([("react",), ("left-pad",)], "name string")
-    texts = spark.createDataFrame([("app = FastAPI()",), ("@RestController class X",)], "text string")
-    got = {r.framework: (r.confidence, len(r.evidence)) for r in classify.frameworks(spark, packages, texts).collect()}
-    assert got == {"React": (1.0, 1), "FastAPI": (0.9, 1), "Spring Boot": (0.9, 1)}
+    manifests = spark.createDataFrame([("package.json", '{"dependencies": {"react": "1", "left-pad": "2"}}'), ("x/requirements.txt", "Flask==1\n"), ("package.json", "no json")], "path string, text string")
+    texts = spark.createDataFrame([("from fastapi import FastAPI",), ("@RestController class X",), (None,)], "text string")
+    got = {r.framework: (r.confidence, len(r.evidence)) for r in detect.frameworks(manifests, texts).collect()}
+    assert got == {"React": (0.95, 1), "Flask": (0.95, 1), "FastAPI": (0.9, 1), "Spring Boot": (0.9, 1)}
 
 
 def test_documentation(spark):

@@ -93,7 +93,7 @@ def test_flows_menus_and_routes(spark):
     assert rows == {("a", "view-state", "next", "b", None), ("a", "view-state", "back", "c", None), ("b", "decision-state", "x.total > 5", "c", "a"), ("c", "end-state", None, None, None)}
     c = spark.range(1).select(parsers.flow_condition(F.lit("x.total > 5")).alias("c")).first().c
     assert (c.left, c.operator, c.right) == ("x.total", "greater", "5")
-    menu = parsers.menu_items(source(spark, m__xml='<item id="1" label="Top"/><item id="2" parent="1" label="Sub" url="/go?_flowId=f1&amp;mode=edit"/>'))
+    menu = parsers.menu_items(source(spark, m__xml='<item id="1" label="Top"/><item id="2" parent="1" label="Sub" url="f1.html?x=1&amp;mode=edit"/>'))
     target = menu.where("id = '2'").select(parsers.menu_target(F.col("url")).alias("t")).first().t
     assert (target.flow, target.mode) == ("f1", "edit") and menu.where("parent_id is null").count() == 1
     code = source(spark, **{"App__tsx": '<Route path="/users" element={<Users />}/><Route path="/users/:id" element={<User />}/>'}).union(spark.createDataFrame([("src/pages/blog/[slug].tsx", "x"), ("src/pages/index.tsx", "x")], "path string, text string"))
