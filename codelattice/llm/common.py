@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_folder: list[str] = []
+from codelattice.operators.lineage import cut, shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which the driver and all executors share.
-
-    Only where that setting is absent (a local session, as in tests) is a local folder made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="codelattice-"))
-    return _own_folder[0]
+__all__ = ["connected_components", "cut", "free_name", "join_hot", "lower_ascii", "row_key", "scratch_path"]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -31,15 +19,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path.toString()
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that later steps do not depend on
-    any executor's memory or local disk and nothing is computed twice."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def join_hot(rows: DataFrame, facts: DataFrame, key: str, *, most: int = 1024, salts: int = 32) -> DataFrame:
     """``rows`` joined with the one row of ``facts`` for each ``key``, however many rows a key has.
 

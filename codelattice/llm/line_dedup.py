@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import cut, free_name, row_key
+from codelattice.llm.common import cut, free_name, join_hot, row_key
 
 #: A window's size in lines.
 WINDOW = 3
@@ -18,8 +18,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     consecutive other lines of one document make a window, known by the MD5 of its exact lines.
     Of the places of a window in the whole corpus the first by (id, row key, line) stays; the
     lines that any later place covers are removed. Texts with fewer non-blank lines have no
-    window and stay as they are. One place per window is kept after partial aggregation, so a
-    window in a third of all documents is no hot group.
+    window and stay as they are. One place per window is kept after partial aggregation, and the
+    places of a window in a large share of all documents are dealt over several tasks (``join_hot``).
     """
     lines = F.filter(
         F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line"))),
@@ -42,7 +42,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         "windows",
     )
     first = places.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "at")).alias("first")).where("n > 1").select("hash", "first")
-    later = places.join(first, "hash").where(~F.struct("id", "key", "at").eqNullSafe(F.col("first")))
+    later = join_hot(places, first, "hash").where(~F.struct("id", "key", "at").eqNullSafe(F.col("first")))
     return later.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("covers"))).alias("removed"))
 
 

@@ -413,6 +413,15 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_with_null_ids_ties_and_repeated_rows(spark):
+    text, longer = "one\ntwo\nthree", "zero\n" * 30_000 + "one\ntwo\nthree"
+    rows = [(None, text), (None, text), (1, text), (1, text), (2, "a\none\ntwo\nthree\nb"), (3, None), (4, ""), (5, longer)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    at = bag((r.doc_id, r.text, r.n_removed_lines) for r in got)
+    # A null id comes first, so its text stays; rows equal in id and text are one document. Windows overlap, so one zero stays.
+    assert at == bag([(None, text, 0), (None, text, 0), (1, "", 3), (1, "", 3), (2, "a\nb", 2 + 1), (3, None, 0), (4, "", 0), (5, "zero", 30_002)])
+
+
 def test_the_cover_has_every_difference():
     d, v = suffix_dedup.COVER, suffix_dedup.PERIOD
     assert {(a - b) % v for a in d for b in d} == set(range(v))
