@@ -1,12 +1,13 @@
 import collections
+import hashlib
+import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from codelattice.llm.common import cut
-from codelattice.llm.decontamination import decontaminate
-from codelattice.llm.simhash import similar_documents
 from codelattice.llm.toxicity import label_model, score_toxicity
 
 
@@ -137,21 +138,75 @@ def test_scores_against_plain_python(spark, folder, monkeypatch):
     assert seen["stems"][0] and any(r.score > 0.5 for r in got if r.doc_id == 5000)
 
 
+def key_of(i, text):
+    return hashlib.md5(f"{'null' if i is None else i}\n{'true' if text is None else 'false'}{text or ''}".encode()).digest()
+
+
+def brute_lines(rows):
+    """Later places of three-line windows go; the order is null ids first, then id, then key."""
+    once = sorted({x for x in rows if x[1] is not None}, key=lambda x: (x[0] is not None, x[0] or 0, key_of(*x)))
+    seen, gone = set(), collections.defaultdict(set)
+    for i, text in once:
+        lines = [(n, x) for n, x in enumerate(text.split("\n")) if x.strip()]
+        for k in range(len(lines) - 2):
+            w = tuple(x for _, x in lines[k : k + 3])
+            if w in seen:
+                gone[i, text].update(n for n, _ in lines[k : k + 3])
+            seen.add(w)
+    return [(i, t if (i, t) not in gone else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i, t])) for i, t in rows]
+
+
+def brute_near(rows):
+    """All pairs: five-word shingles at 0.8; of each component the smallest id (null last, then key) stays, once."""
+    once = sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0, key_of(*x)))
+    words = [(t or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)).encode().split() for _, t in once]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for w in words]
+    label = list(range(len(once)))
+    find = lambda x: x if label[x] == x else find(label[x])
+    for i in range(len(once)):
+        for j in range(i):
+            if words[i] == words[j] or (words[i] and words[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                a, b = sorted((find(i), find(j)))
+                label[b] = a
+    return [x for n, x in enumerate(once) if find(n) == n]
+
+
+def brute_clean(rows, items):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    cut_up = lambda t: word.findall((t or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+    bad = set()
+    for t in items:
+        w = cut_up(t)
+        bad |= {tuple(w[k : k + min(10, len(w))]) for k in range(len(w) - min(10, len(w)) + 1)} if w else set()
+    sizes = {len(x) for x in bad}
+    return [(i, t) for i, t in rows if not any(tuple(w[k : k + n]) in bad for w in [cut_up(t)] for n in sizes for k in range(len(w) - n + 1))]
+
+
 def test_pipeline(spark, folder):
+    """Each stage against plain Python over its predecessor's rows, and the whole run against the stages."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = [docs]
     for name, stage in cp.STAGES:
         kept.append(cut(stage(spark, kept[-1], folder), name))
     for df in kept[1:-1]:
         assert df.dtypes == docs.dtypes
-    ids = [collections.Counter(r.doc_id for r in df.select("doc_id").collect()) for df in kept]
-    assert ids[1] == collections.Counter({i: n for i, n in ids[0].items() if i is None or i < 1000})
-    assert ids[2] == ids[1]
-    first = {r.component_id for r in similar_documents(kept[2]).collect()}
-    assert ids[3] == collections.Counter(list(first))
-    bad = {r.doc_id for r in decontaminate(kept[3], spark.read.parquet(f"{folder}/benchmark.parquet")).where("contaminated").collect()}
-    assert 12 in bad and ids[4] == collections.Counter({i: n for i, n in ids[3].items() if i not in bad})
-    assert set(ids[5]) <= set(ids[4]) and all(n <= 3 for n in ids[5].values())
+    rows = [[(r.doc_id, r.text) for r in df.collect()] for df in kept]
+    count = collections.Counter
+    rejected = {(r.doc_id, bytes(r.row_key)) for r in score_toxicity(docs, spark.read.parquet(f"{folder}/labels.parquet")).where("predicted = 1").collect()}
+    assert count(rows[1]) == count((i, t) for i, t in rows[0] if (i, key_of(i, t)) not in rejected) == count((i, t) for i, t in rows[0] if i is None or i < 1000)
+    assert count(rows[2]) == count(brute_lines(rows[1])) and rows[2] != rows[1]
+    assert count(rows[3]) == count(brute_near(rows[2])) and len(rows[3]) < len(set(rows[2]))
+    items = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    assert count(rows[4]) == count(brute_clean(rows[3], items)) and 12 in {i for i, _ in rows[3]} - {i for i, _ in rows[4]}
+    source = {(r.doc_id, r.text): r.source for r in kept[4].collect()}
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    had, got = count(), count()
+    for x in rows[4]:
+        had[source[x]] += words(x[1])
+    for x in rows[5]:
+        got[source[x]] += words(x[1])
+    assert set(rows[5]) <= set(rows[4]) and max(count(rows[5]).values()) <= 3 and all(got[s] <= 3 * had[s] for s in had)
+    assert abs(sum(got.values()) - sum(had.values())) <= 0.05 * sum(had.values())
     again = sorted((r.doc_id is None, r.doc_id or 0, r["copy"]) for r in cp.run(spark, folder).collect())
     assert again == sorted((r.doc_id is None, r.doc_id or 0, r["copy"]) for r in kept[5].collect())
 
