@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,20 +28,24 @@ def text_metrics(text: Column) -> Column:
     """struct(loc, nesting): lines that are neither blank nor comment, and the deepest surplus of
     opening over closing brackets on them. One fold over the lines carries the block comment state."""
     start = F.struct(F.lit(0).alias("loc"), F.lit(0).alias("open"), F.lit(0).alias("deepest"), F.lit(False).alias("block"))
-    quotes = r"\"{3}|'{3}"
+    quotes = ('"' * 3, "'" * 3)
+    some = lambda *tests: functools.reduce(operator.or_, tests)
+    count = lambda line, marks: F.length(line) - F.length(F.translate(line, marks, ""))
 
     def step(s: Column, line: Column) -> Column:
-        t = F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
-        opens = t.rlike(rf"^(/\*|{quotes})")
-        closed = t.rlike(r"\*/$") | ((F.length(t) > 3) & t.rlike(rf"({quotes})$"))
-        ends = t.rlike(rf"\*/|{quotes}")
-        code = ~s["block"] & (t != "") & ~t.rlike(r"^(//|#|--)") & ~opens
-        now = s["open"] + F.regexp_count(line, F.lit(r"[{(]")) - F.regexp_count(line, F.lit(r"[})]"))
+        # Plain string tests: regular expressions would cost several times as much for each line.
+        t = F.trim(line, F.lit(" \t\r\x0b\x0c"))
+        comment = some(*(t.startswith(x) for x in ("//", "#", "--")))
+        opens = some(*(t.startswith(x) for x in ("/*", *quotes)))
+        closed = t.endswith("*/") | ((F.length(t) > 3) & some(*(t.endswith(x) for x in quotes)))
+        ends = some(*(t.contains(x) for x in ("*/", *quotes)))
+        code = ~s["block"] & (t != "") & ~comment & ~opens
+        now = s["open"] + count(line, "{(") - count(line, "})")
         return F.struct(
             (s["loc"] + code.cast("int")).alias("loc"),
             F.when(code, now).otherwise(s["open"]).alias("open"),
             F.when(code, F.greatest(s["deepest"], now)).otherwise(s["deepest"]).alias("deepest"),
-            F.when(s["block"], ~ends).otherwise(opens & ~t.rlike(r"^(//|#|--)") & ~closed).alias("block"),
+            F.when(s["block"], ~ends).otherwise(opens & ~comment & ~closed).alias("block"),
         )
 
     return F.aggregate(_lines(text), start, step, lambda s: F.struct(s["loc"].alias("loc"), s["deepest"].alias("nesting")))
@@ -60,7 +67,8 @@ def cognitive(text: Column) -> Column:
         after = F.struct(cost.alias("cost"), F.when(t.contains("}"), F.greatest(F.lit(0), deeper - 1)).otherwise(deeper).alias("depth"))
         return F.when(t.rlike(r"^(//|#|\*)"), s).otherwise(after)
 
-    return F.aggregate(_lines(text), start, step, lambda s: s["cost"])
+    # Words end at any letter that is not ASCII, as they do in the rule.
+    return F.aggregate(_lines(F.regexp_replace(text, r"[^\x00-\x7F]", " ")), start, step, lambda s: s["cost"])
 
 
 def parameter_count(signature: Column) -> Column:

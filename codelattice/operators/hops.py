@@ -78,8 +78,7 @@ def longest_prefix(items: DataFrame, places: DataFrame, *, item: str = "path", p
     """
     parts = F.split(F.col(item), "/")
     folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    own = items.select(F.col(item).alias("_item")).distinct().select("_item", F.explode(folders.alias("f")).alias("_folder")) if item == "_item" else (
-        items.select(F.col(item)).distinct().select(F.col(item).alias("_item"), F.explode(folders).alias("_folder")))
+    own = items.select(F.col(item)).distinct().select(F.col(item).alias("_item"), F.explode(folders).alias("_folder"))
     best = own.join(places.select(F.col(place).alias("_place")).distinct(), F.col("_folder") == F.col("_place")).groupBy("_item").agg(
         F.max_by("_place", F.length("_place")).alias(place))
     out = items.join(best, F.col(item) == F.col("_item"), "left").drop("_item")

@@ -23,15 +23,15 @@ def link_composite(left: DataFrame, right: DataFrame, keys: list[str], kind: str
 
 
 def link_containing(left: DataFrame, right: DataFrame, kind: str, *, shortest: int = 3, name: str = "name") -> DataFrame:
-    """Each left row to the first right row whose name contains the left name as one of its words.
+    """Each left row to the first (smallest id) right row whose name contains the left name, ignoring case.
 
-    Names are cut into words (at case changes and separators), so the join is on equal words and
-    never compares every pair.
+    Right names are cut into their pieces of ``shortest`` characters and joined with how the left names
+    begin, so only pairs that share that piece are compared; shorter left names link nowhere.
     """
-    spaced = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2")
-    tokens = F.array_distinct(F.filter(F.split(F.lower(spaced), r"[^a-z0-9]+"), lambda w: F.length(w) >= shortest))
-    r = right.select(F.col("id").alias("dst"), F.explode(tokens).alias("_w")).groupBy("_w").agg(F.min("dst").alias("dst"))
-    return left.join(r, F.lower(name) == F.col("_w")).select(F.lit(kind).alias("type"), F.col("id").alias("src"), "dst").distinct()
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_r") - (shortest - 1))), lambda i: F.substring("_r", i, F.lit(shortest))))
+    r = right.select(F.col("id").alias("dst"), F.lower(name).alias("_r")).select("dst", "_r", F.explode(pieces).alias("_w"))
+    own = left.select(F.col("id").alias("src"), F.lower(name).alias("_l")).where(F.length("_l") >= shortest).withColumn("_w", F.left("_l", F.lit(shortest)))
+    return own.join(r, "_w").where(F.contains("_r", F.col("_l"))).groupBy("src").agg(F.min("dst").alias("dst")).select(F.lit(kind).alias("type"), "src", "dst")
 
 
 def containing(rows: DataFrame, needles: DataFrame, length: int) -> DataFrame:

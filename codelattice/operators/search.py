@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,14 @@ def similar_by_keyword(nodes: DataFrame, words: list[str], limit: int) -> DataFr
     return keep_first(hits, ["name"], [F.col("priority"), F.col("id")]).orderBy("priority", "name").limit(limit)
 
 
+def fuzzy(nodes: DataFrame, question: str, most: int) -> DataFrame:
+    """Nodes whose name contains the question, or its words in their order with anything between; an exact name comes first."""
+    low = question.lower()
+    words = [w for w in re.split(r"[\s_]+", low) if w]
+    hit = F.contains(F.lower("name"), F.lit(low)) | F.lower("name").rlike(".*".join(map(re.escape, words)))
+    return nodes.where(hit).orderBy(F.when(F.lower("name") == low, 0).otherwise(1), "name", "id").limit(most)
+
+
 def exact_then_partial(nodes: DataFrame, name: str) -> DataFrame:
     """Nodes of that name or, if there are none, those that contain it."""
     low = name.lower()

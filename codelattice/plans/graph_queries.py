@@ -348,7 +348,7 @@ def _(n, e):
 
 
 # Edges with cycles by rule: parts in groups of ten by key; in a group of even number parts 0, 1, 2 import in a circle, in one that is
-# a multiple of four parts 3 to 9 do too, and part 0 imports itself in one that is a multiple of five. Groups import their successor.
+# a multiple of four parts 3 to 9 do too, which part 0 imports, and part 0 imports itself in one that is a multiple of five.
 _CYCLES = """, p AS (SELECT CAST(substr(id, 3) AS BIGINT) AS k FROM nodes WHERE kind = 'Part'), m AS (SELECT max(k) AS m FROM p),
 g AS (SELECT k // 10 AS g, k % 10 AS r, k FROM p WHERE k // 10 < (SELECT m // 10 FROM m) AND k // 10 > 0)"""
 
@@ -356,14 +356,14 @@ g AS (SELECT k // 10 AS g, k % 10 AS r, k FROM p WHERE k // 10 < (SELECT m // 10
 @query("d_cyc_no_cycles", _CYCLES + """ SELECT 'p:' || CAST(g * 10 AS VARCHAR) AS component, CAST(3 AS BIGINT) AS n, 'high' AS severity FROM g WHERE r = 0 AND g % 2 = 0
 UNION ALL SELECT 'p:' || CAST(g * 10 + 3 AS VARCHAR), 7, 'critical' FROM g WHERE r = 3 AND g % 4 = 0 UNION ALL SELECT 'p:' || CAST(g * 10 AS VARCHAR), 1, 'high' FROM g WHERE r = 0 AND g % 5 = 0 AND g % 2 = 1""")
 def _(n, e):
-    """Circles of imports, made by rule from the parts' keys, with chains between them; a component is named by its smallest part."""
+    """Circles of imports, made by rule from the parts' keys, and imports between them; a component is named by its smallest part."""
     p = hops.of_kind(n, "Part").select(F.substring("id", 3, 20).cast("long").alias("k"))
     top = p.agg(F.floor(F.max("k") / 10).alias("top"))
     rows = p.join(F.broadcast(top)).select("k", F.floor(F.col("k") / 10).alias("g"), (F.col("k") % 10).alias("r"), "top").where("g > 0 and g < top")
     g, r = F.col("g"), F.col("r")
     first = F.when((g % 2 == 0) & (r < 3), g * 10 + (r + 1) % 3).when((g % 4 == 0) & (r >= 3), g * 10 + 3 + (r - 2) % 7)
-    own, chain = F.when((g % 5 == 0) & (r == 0), F.col("k")), F.when((r == 0) & (g + 1 < F.col("top")), (g + 1) * 10)
-    to = rows.select("k", F.explode(F.array_compact(F.array(first, own, chain))).alias("to"))
+    own, out = F.when((g % 5 == 0) & (r == 0), F.col("k")), F.when((g % 4 == 0) & (r == 0), F.col("k") + 5)
+    to = rows.select("k", F.explode(F.array_compact(F.array(first, own, out))).alias("to"))
     edges_ = to.select(F.lit("IMPORTS").alias("type"), F.concat(F.lit("p:"), F.col("k").cast("string")).alias("src"), F.concat(F.lit("p:"), F.col("to").cast("string")).alias("dst"))
     found = smells.import_cycles(edges_).select("members", "severity")
     least = F.array_min(F.transform("members", lambda x: F.substring(x, 3, 20).cast("long")))

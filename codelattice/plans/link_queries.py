@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelattice.operators import classify, hops, links, reports, smells, traversal
+from codelattice.operators import hops, links, reports, search, smells, traversal
 from codelattice.plans import graph_queries, table_queries
 from codelattice.sources import parsers
 
@@ -94,15 +94,15 @@ def _(t):
     return reports.screen_groups(t("part").select(F.replace("p_name", F.lit(" "), F.lit("")).alias("name"))).select("prefix", "n_screens")
 
 
-@on_graph("a40_feature_candidates", """, g AS (SELECT lower(name) AS w, min(id) AS ctl FROM nodes WHERE kind = 'Region' GROUP BY 1) SELECT n.id AS src, g.ctl AS dst FROM nodes n JOIN g ON lower(n.name) = g.w WHERE n.kind IN ('Nation', 'Region') AND n.name NOT LIKE '% %'""")
+@on_graph("a40_feature_candidates", """SELECT n.id AS src, min(g.id) AS dst FROM nodes n JOIN nodes g ON contains(lower(g.name), lower(n.name)) WHERE n.kind IN ('Nation', 'Region') AND g.kind IN ('Nation', 'Region') AND length(n.name) >= 3 GROUP BY n.id""")
 def _(n, e):
-    return links.link_containing(hops.of_kind(n, "Nation", "Region"), hops.of_kind(n, "Region"), "FEATURE_OF").select("src", "dst")
+    some = hops.of_kind(n, "Nation", "Region")
+    return links.link_containing(some, some, "FEATURE_OF").select("src", "dst")
 
 
-@on_graph("t4_fuzzy_lookup", "SELECT id, name FROM nodes WHERE kind = 'Nation' AND (contains(lower(name), 'united') OR regexp_matches(lower(name), 'united.*states')) ORDER BY CASE WHEN lower(name) = 'united states' THEN 0 ELSE 1 END, name LIMIT 5")
+@on_graph("t4_fuzzy_lookup", "SELECT id, name FROM nodes WHERE kind = 'Nation' AND (contains(lower(name), 'nation_1') OR regexp_matches(lower(name), '.*nation.*1.*')) ORDER BY CASE WHEN lower(name) = 'nation_1' THEN 0 ELSE 1 END, name, id LIMIT 5")
 def _(n, e):
-    hit = F.contains(F.lower("name"), F.lit("united")) | F.lower("name").rlike("united.*states")
-    return hops.of_kind(n, "Nation").where(hit).orderBy(F.when(F.lower("name") == "united states", 0).otherwise(1), "name").limit(5).select("id", "name")
+    return search.fuzzy(hops.of_kind(n, "Nation"), "Nation_1", 5).select("id", "name")
 
 
 @on_graph("t5_scored_entry_points", """SELECT id, CAST((CASE WHEN contains(lower(name), 'order') THEN 10 ELSE 0 END) + (CASE WHEN contains(lower(name), '12') THEN 10 ELSE 0 END) + round(10 * least(1.0, abs(weight) / 100000), 6) AS DOUBLE) AS score FROM nodes WHERE contains(lower(name), 'order') OR contains(lower(name), '12') ORDER BY score DESC, id LIMIT 40""")

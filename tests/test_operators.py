@@ -39,6 +39,17 @@ def test_cycles_that_do_not_settle_raise(spark):
     assert traversal.strong_components(e, rounds=2).count() == 4
 
 
+def test_cycles_at_the_ends_of_a_long_chain(spark):
+    """A chain in no order of its names, between two circles: its length is not the number of rounds."""
+    import random
+
+    names = [f"n{i:03}" for i in range(120)]
+    random.Random(1).shuffle(names)
+    pairs = list(zip(names, names[1:], strict=False)) + [(names[1], names[0]), (names[-1], names[-3])]
+    found = {frozenset(r.members) for r in smells.import_cycles(graph(spark, pairs)).collect()}
+    assert found == {frozenset(names[:2]), frozenset(names[-3:])}
+
+
 def test_depths_and_chains(spark):
     e = graph(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "a"), ("x", "y")])
     seed = nodes_of(spark, ["a"])

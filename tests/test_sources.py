@@ -1,5 +1,6 @@
 """Scanning, parsing, storing and incremental indexing."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from codelattice.sources import files, parsers
@@ -167,3 +168,39 @@ def test_stream_resumes_and_repeats_no_batch(spark, tmp_path):
 def test_run_progress(spark):
     log = spark.createDataFrame([("r", "scanning", 0), ("r", "parsing", 5), ("r", "parsing", 7), ("q", "failed", None)], "run_id string, phase string, files int")
     assert {r.run_id: (r.phase, r.files, r.failed) for r in incremental.run_progress(log).collect()}["r"] == ("parsing", 12, False)
+
+
+def test_files_are_found_read_and_deleted(spark, tmp_path):
+    from codelattice.sources import files as stores
+
+    (tmp_path / "src" / "deep").mkdir(parents=True)
+    for name in ("src/a.ts", "src/deep/b.ts", "src/c.py"):
+        (tmp_path / name).write_text(f"text of {name}")
+    found = stores.find(spark, f"file://{tmp_path}", "src/**/*.ts").collect()
+    assert [r.path.rsplit("/", 1)[1] for r in found] == ["a.ts", "b.ts"] and all(r.size > 0 for r in found)
+    assert [r.text for r in stores.read_batch(spark, [found[0].path]).collect()] == ["text of src/a.ts"]
+    path = f"file://{tmp_path}/store"
+    stores.store(spark.createDataFrame([("r1", 1), ("r1", 2), ("r2", 3)], "repo_id string, id long"), path, "repo_id")
+    assert stores.delete_repository(spark, path, "r1") == 2
+    assert [r.id for r in spark.read.parquet(path).collect()] == [3]
+    rows = spark.createDataFrame([("a", 1), (None, 2)], "repo_id string, id long")
+    assert [r.id for r in stores.without(rows, "repo_id", "a").collect()] == [2]
+
+
+def test_retrievals(spark):
+    from codelattice.operators import retrieval
+
+    nodes = spark.createDataFrame([
+        ("m1", "JavaMethod", "save", "c1", "f1"), ("m2", "JavaMethod", "load", "c2", "f1"), ("m3", "JavaMethod", "find", "c3", "f2"), ("m4", "JavaMethod", "lone", None, None),
+        ("c1", "SpringController", "OrderController", "f1", "f1"), ("c2", "JavaClass", "OrderDao", "f1", "f1"), ("c3", "JavaClass", "StringUtil", "f2", "f2"), ("t1", "SQLTable", "orders", None, None), ("f1", "File", "a.java", None, "f1"),
+    ], "id string, kind string, name string, parent_id string, file string")
+    edges = spark.createDataFrame([("CALLS", "m1", "m2", 4), ("CALLS", "m1", "m2", 2), ("CALLS", "m2", "m3", 7), ("CALLS", "m3", "m1", 1), ("USES_TABLE", "c2", "t1", None)], "type string, src string, dst string, line int")
+    chain = retrieval.method_chain(nodes, edges, nodes.where("id = 'm1'"), 5)
+    assert {(r.id, r.parent, r.depth, r.via, r.line) for r in chain.collect()} == {("m2", "OrderDao", 1, "m1", 2), ("m3", "StringUtil", 2, "m2", 7)}
+    assert [(r.seed, r.holder, r.table) for r in retrieval.statements_of_chain(nodes, edges, chain).collect()] == [("m1", "c2", "t1")]
+    found = {r.name: r.relationship for r in retrieval.context(nodes, edges, nodes.where("id = 'm1'"), ["lone"], beans=spark.createDataFrame([("OrderDao.x",)], "bean string")).collect()}
+    assert found["OrderDao"] == "BEAN" and found["load"] == "CALLS_1" and found["find"] == "CALLS_2" and found["save"] == "CALLS_3" and found["lone"] == "NAME" and found["orders"] == "TABLE" and found["StringUtil"] == "HOLDER"
+    scored = spark.createDataFrame([("q", "a", 0.9), ("q", "b", 0.4), ("r", "c", 0.3)], "question string, id string, score double")
+    assert {(r.question, r.id, r.role) for r in retrieval.lookup(scored).collect()} == {("q", "a", "match"), ("q", "b", "suggestion"), ("r", "c", "suggestion")}
+    with pytest.raises(KeyError):
+        retrieval.query_repository(nodes, edges, "nothing")
