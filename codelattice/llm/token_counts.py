@@ -96,9 +96,9 @@ def count_tokens(
     rows = docs.select(F.col(id_col), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("content_digest"))
     known = _cached(spark, folder)
     (
-        rows.select("content_digest", "text")
+        # One copy of each text leaves a task, so copies are no hot group; then those that are known drop out.
+        rows.groupBy("content_digest").agg(F.first("text").alias("text"))
         .join(known, "content_digest", "left_anti")
-        .groupBy("content_digest").agg(F.first("text").alias("text"))
         .mapInPandas(_encoder(kind, model, batch_chars), CACHE_SCHEMA)
         .write.mode("append").parquet(folder)
     )
