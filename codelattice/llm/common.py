@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codelattice.operators.lineage import cut, shared_folder
 
-__all__ = ["connected_components", "cut", "free_name", "join_hot", "lower_ascii", "row_key", "scratch_path"]
+__all__ = ["connected_components", "cut", "drop_scratch", "free_name", "join_hot", "lower_ascii", "row_key", "scratch_path"]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -19,6 +19,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path.toString()
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``scratch_path`` that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def join_hot(rows: DataFrame, facts: DataFrame, key: str, *, most: int = 1024, salts: int = 32) -> DataFrame:
     """``rows`` joined with the one row of ``facts`` for each ``key``, however many rows a key has.
 

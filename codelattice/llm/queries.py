@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelattice.llm.clustering import cluster_vectors
 from codelattice.llm.decontamination import decontaminate
+from codelattice.llm.divergence import divergence
 from codelattice.llm.license_scan import scan_licenses
 from codelattice.llm.line_dedup import dedup_lines
 from codelattice.llm.mixing import mix_sources
+from codelattice.llm.sharding import _A, _B, round_keys, shard_places
 from codelattice.llm.simhash import near_duplicates
 from codelattice.llm.sketches import fingerprint_documents
 from codelattice.llm.suffix_dedup import remove_repeats
@@ -132,6 +135,95 @@ SELECT d.doc_id, coalesce(k.gone, 0) AS n_removed_lines, length(k.kept) AS n_cha
 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
+
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n_lang FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(n_lang) AS total_lang FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, k.term, k.n_lang, coalesce(x.n, 0) AS n FROM g JOIN k ON g.lang = k.lang
+      LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL) x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term),
+p AS (SELECT c.lang, c.source, c.term, c.n,
+             1 + (1000000000 * (c.n + 5)::HUGEINT) // (sum(c.n) OVER (PARTITION BY c.lang, c.source) + 5 * v.v) AS p,
+             1 + (1000000000 * (c.n_lang + 5)::HUGEINT) // (v.total_lang + 5 * v.v) AS q
+      FROM c JOIN v ON c.lang = v.lang),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.f, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q),
+u AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM u) WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The law is ``rows``: the permutation deals them out one by one."""
+    places = shard_places(_table(spark, sf_dir, "documents"), 24)
+    return places.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
+def _op12_sql(shards: int = 24, seed: int = 42) -> str:
+    """Row numbers and the network's rounds as a recursive query; the CRC byte by byte."""
+    keys = "[" + ", ".join(f"{k}::HUGEINT" for k in round_keys(seed)) + "]"
+    whole = 1 << 64
+    return f"""
+WITH RECURSIVE crc(b, i, x) AS (
+  SELECT b, 0, b::UBIGINT FROM range(256) t(b)
+  UNION ALL SELECT b, i + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END FROM crc WHERE i < 8),
+tab AS (SELECT list(x ORDER BY b) AS tab FROM crc WHERE i = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || chr(10) || (text IS NULL)::VARCHAR || coalesce(text, ''))) - 1 AS row_number FROM documents),
+m AS (SELECT count(*) AS n, greatest(2, length(ltrim(bin(count(*) - 1), '0'))) AS bits FROM documents),
+walk AS (
+  SELECT row_number, n, bits // 2 AS lb, bits - bits // 2 AS rb, row_number::HUGEINT AS x, 0 AS r FROM d, m
+  UNION ALL
+  SELECT row_number, n, lb, rb,
+         CASE WHEN r % 2 = 0 THEN (xor((x // (1::HUGEINT << rb))::UBIGINT, f >> (64 - lb))::HUGEINT << rb) + x % (1::HUGEINT << rb)
+              ELSE x - x % (1::HUGEINT << rb) + xor((x % (1::HUGEINT << rb))::UBIGINT, f >> (64 - rb))::HUGEINT END, r + 1
+  FROM (SELECT *, (xor(y, y >> 32)::HUGEINT * {_B} % {whole})::UBIGINT AS f
+        FROM (SELECT *, (((CASE WHEN r % 2 = 0 THEN x % (1::HUGEINT << rb) ELSE x // (1::HUGEINT << rb) END) * {_A}::HUGEINT + {keys}[r % 8 + 1]) % {whole})::UBIGINT AS y FROM walk)
+        WHERE r = 0 OR r % 8 > 0 OR x >= n)),
+p AS (SELECT row_number, x AS place FROM walk WHERE r > 0 AND r % 8 = 0 AND x < n),
+b AS (SELECT DISTINCT text, list_transform(range(0, strlen(text)), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::UBIGINT) AS bytes FROM (SELECT text, hex(encode(text)) AS h FROM (SELECT DISTINCT text FROM d))),
+k AS (SELECT text, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255)::BIGINT + 1])), 4294967295::UBIGINT) AS crc FROM b, tab)
+SELECT d.doc_id, strlen(d.text) + 8 AS size, CAST(k.crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(p.place % {shards} AS INTEGER) AS shard,
+       CAST(p.place // {shards} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, d.row_number
+FROM d JOIN p ON d.row_number = p.row_number JOIN k ON d.text = k.text
+"""
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_table(spark, sf_dir, "embeddings")).drop("n_distances")
+
+
+def _op13_sql(k: int = 16, rounds: int = 3) -> str:
+    """Every round against all centroids, component by component."""
+    nearest = lambda c: f"SELECT vec_id, v, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT x.vec_id, x.v, c.j, list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x, {c} c) GROUP BY vec_id, v"
+    steps = []
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({nearest(f'c{r}')})")
+        steps.append(f"m{r} AS (SELECT j, i, CAST(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END AS BIGINT) AS y FROM (SELECT j, i, sum(y) AS s, count(*) AS n FROM (SELECT j, unnest(v) AS y, unnest(range(64)) AS i FROM a{r}) GROUP BY j, i))")
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT j, list(y ORDER BY i) AS v FROM m{r} GROUP BY j) m ON c.j = m.j)")
+    return f"""
+WITH x AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(64 * e::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS j, v FROM x QUALIFY j < {k}),
+{", ".join(steps)},
+last AS MATERIALIZED ({nearest(f"c{rounds}")})
+SELECT vec_id, CAST(l.j AS INTEGER) AS cluster, l.d AS distance, CAST(sum(l.d) OVER (PARTITION BY l.j) AS BIGINT) AS cluster_inertia, CAST(sum(l.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM last l JOIN c{rounds} c ON c.j = l.j
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -143,6 +235,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
     "op10_line_dedup": op10_line_dedup,
+    "op11_divergence": op11_divergence,
+    "op12_sharding": op12_sharding,
+    "op13_clustering": op13_clustering,
 }
 
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op7_url_filter": OP7_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op7_url_filter": OP7_SQL, "op10_line_dedup": OP10_SQL, "op11_divergence": OP11_SQL, "op12_sharding": _op12_sql(), "op13_clustering": _op13_sql()}
