@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelattice.llm.common import cut, row_key
@@ -181,21 +181,19 @@ def decontaminate(
     )
     known = bench.select("fp", "digest", "n").distinct()
     hits = cut(marked.select("row", F.inline("hits")).join(known, ["fp", "digest", "n"]).select("row", "start", "n", "digest"), "hits")
-    merged = F.aggregate(
-        F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e")))),
-        F.expr("cast(array() as array<struct<s: int, e: int>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    covered = hits.groupBy("row").agg(merged.alias("spans"))
+    # Spans that overlap or touch are one island: a span opens one if it starts after all ends before it.
+    ordered = Window.partitionBy("row").orderBy("start", "n")
+    before = F.max(F.col("start") + F.col("n")).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    islands = hits.select("row", "start", "n").distinct().withColumn("opens", F.coalesce(F.col("start") > before, F.lit(True)).cast("long"))
+    islands = islands.withColumn("island", F.sum("opens").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = islands.groupBy("row", "island").agg(F.min("start").alias("s"), F.max(F.col("start") + F.col("n")).alias("e"))
+    covered = islands.groupBy("row").agg(F.sum(F.col("e") - F.col("s")).alias("n_hit"), F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
     owners = bench.where("item is not null").select("digest", "item").distinct()
     owned = hits.select("row", "digest").distinct().join(owners, "digest").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     empty = F.array().cast("array<string>")
     return marked.drop("hits").join(covered, "row", "left").join(owned, "row", "left").select(
         F.col("id").alias(id_col), "n_words",
-        F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]), F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", empty).alias("items"), F.col("spans").isNotNull().alias("contaminated"), "spans", F.col("key").alias("row_key"),
     )

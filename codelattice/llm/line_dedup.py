@@ -12,7 +12,7 @@ WINDOW = 3
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The lines to remove from each document: (key, removed) with 0-based line numbers.
+    """The lines to remove from each document: (key, removed) with 0-based line numbers in ascending order.
 
     A text is cut at line feeds. Blank lines (nothing but white space) are skipped; ``window``
     consecutive other lines of one document make a window, known by the MD5 of its exact lines.
@@ -43,7 +43,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     )
     first = places.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "at")).alias("first")).where("n > 1").select("hash", "first")
     later = join_hot(places, first, "hash").where(~F.struct("id", "key", "at").eqNullSafe(F.col("first")))
-    return later.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("covers"))).alias("removed"))
+    return later.groupBy("key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("covers")))).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -55,10 +55,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     stay null, a text without a kept line becomes empty, line order never changes.
     """
     row, key, gone = (free_name(docs, x) for x in ("line_row", "line_key", "line_gone"))
-    found = repeated_lines(docs, id_col=id_col, text_col=text_col, window=window).select(
-        F.col("key").alias(key), F.map_from_entries(F.transform("removed", lambda i: F.struct(i, F.lit(True)))).alias(gone))
+    found = repeated_lines(docs, id_col=id_col, text_col=text_col, window=window).select(F.col("key").alias(key), F.col("removed").alias(gone))
     joined = docs.withColumn(row, row_key(id_col, text_col)).join(found, F.col(row) == F.col(key), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.map_contains_key(gone, i)), "\n")
+    # What stays are the runs between one removed line and the next, so the work grows with the lines. The lines are bound once.
+    runs = lambda lines: F.zip_with(F.array_prepend(gone, F.lit(-1)), F.array_append(gone, F.size(lines)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    kept = F.transform(
+        F.array(F.split(F.col(text_col), "\n")),
+        lambda lines: F.array_join(F.flatten(F.transform(runs(lines), lambda r: F.slice(lines, r["a"] + 2, r["b"] - r["a"] - 1))), "\n"),
+    )[0]
     return joined.select(
         *(F.when(F.col(gone).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "n_removed_lines"),
         F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed_lines"),

@@ -49,57 +49,34 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     )
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, cells: int = BUDGET_CELLS) -> np.ndarray:
-    """How many documents of each length to take so that their words come closest to ``budget``
-    from below.
-
-    Every length first gives its even share, rounded down. Of what is left over, long documents
-    fill the rest until it fits the table; a bounded-knapsack table over the remaining counts then
-    finds the largest sum that can be reached within it.
-    """
-    total = int((lengths * counts).sum())
+def _closest(lengths: np.ndarray, left: np.ndarray, rest: int, cells: int) -> np.ndarray:
+    """How many of ``left`` of each length come closest to ``rest`` together, by a bounded-knapsack table."""
     take = np.zeros(len(lengths), np.int64)
-    if budget <= 0 or total <= 0:
-        return take
-    if budget >= total:
-        return counts.astype(np.int64).copy()
-    take = np.array([int(c) * int(budget) // total for c in counts], np.int64)
-    take[lengths == 0] = 0
-    left = (counts - take).astype(np.int64)
-    left[lengths == 0] = 0
-    rest = budget - int((take * lengths).sum())
-    for i in np.argsort(-lengths, kind="stable"):
-        if rest < cells:
-            break
-        n = min(int(left[i]), (rest - cells // 2) // int(lengths[i])) if lengths[i] else 0
-        if n > 0:
-            take[i] += n
-            left[i] -= n
-            rest -= n * int(lengths[i])
     if rest <= 0:
         return take
-    rest_cells = min(rest, cells * 4)
+    wide = rest + min(rest, cells, int(lengths.max(initial=0)))
     # last[s]: the length whose documents complete the sum s first; used[s]: how many of them.
-    last = np.full(rest_cells + 1, -1, np.int64)
-    used = np.zeros(rest_cells + 1, np.int64)
-    reach = np.zeros(rest_cells + 1, bool)
+    last = np.full(wide + 1, -1, np.int64)
+    used = np.zeros(wide + 1, np.int64)
+    reach = np.zeros(wide + 1, bool)
     reach[0] = True
     for i in np.argsort(-lengths, kind="stable"):
         w, c = int(lengths[i]), int(left[i])
-        if not w or not c or w > rest_cells or reach[rest_cells]:
+        if reach[rest]:
+            break
+        if not w or not c or w > wide:
             continue
         old = reach.copy()
-        for k in range(1, min(c, rest_cells // w) + 1):
+        for k in range(1, min(c, wide // w) + 1):
             new = np.zeros_like(reach)
-            new[k * w :] = old[: rest_cells + 1 - k * w]
+            new[k * w :] = old[: wide + 1 - k * w]
             new &= ~reach
             if not new.any():
-                if k > 1:
-                    break
-                continue
+                break
             last[new], used[new] = i, k
             reach |= new
-    at = int(np.flatnonzero(reach).max())
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - rest))])  # of two equally near the smaller
     while at > 0:
         i, k = int(last[at]), int(used[at])
         take[i] += k
@@ -107,14 +84,49 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, cells: int
     return take
 
 
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, cells: int = BUDGET_CELLS, most: int = 1) -> np.ndarray:
+    """How many copies of documents of each length to take, ``most`` a document, so that their words come closest to ``budget``.
+
+    Every length first gives its even share of the budget, rounded down. Of what is left over, long documents
+    fill the rest until it fits the table; a bounded-knapsack table over the copies that remain then
+    finds the sum closest to it. Where that misses the budget, part of the even shares, at last as many words as the table has
+    cells, is traded back and fitted anew: up to that budget every choice of copies is looked at.
+    """
+    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
+    total = int((lengths * counts).sum())
+    if budget <= 0 or total <= 0:
+        return np.zeros(len(lengths), np.int64)
+    if budget >= total * most:
+        return counts * most
+    best, gap = None, None
+    for slack in (0, cells // 64, cells // 8, cells):
+        goal = max(0, budget - slack)
+        take = np.array([int(c) * goal // total for c in counts], np.int64)
+        left = np.where(lengths > 0, counts * most - take, 0)
+        rest = budget - int((take * lengths).sum())
+        for i in np.argsort(-lengths, kind="stable"):
+            if rest <= cells:
+                break
+            n = min(int(left[i]), (rest - cells // 2) // int(lengths[i])) if lengths[i] else 0
+            if n > 0:
+                take[i] += n
+                left[i] -= n
+                rest -= n * int(lengths[i])
+        take = take + _closest(lengths, left, min(rest, cells * 4), cells)
+        miss = abs(budget - int((take * lengths).sum()))
+        if gap is None or miss < gap:
+            best, gap = take, miss
+        if not gap or not goal:
+            break
+    return best
+
+
 def _fit(most: int, cells: int):
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("size", ignore_index=True)
-        target, words = float(rows["target"].iloc[0]), int(rows["source_size"].iloc[0])
-        whole = min(most, int(target // words)) if words else 0
-        rest = 0 if whole >= most else round(target - whole * words)
-        rows["whole"] = whole
-        rows["extra"] = fit_budget(rows["size"].to_numpy(np.int64), rows["docs"].to_numpy(np.int64), rest, cells)
+        docs = rows["docs"].to_numpy(np.int64)
+        copies = fit_budget(rows["size"].to_numpy(np.int64), docs, round(float(rows["target"].iloc[0])), cells, most)
+        rows["whole"], rows["extra"] = copies // docs, copies % docs
         return rows[["source", "size", "target", "source_size", "whole", "extra"]]
 
     return fit
@@ -127,9 +139,9 @@ def mix_sources(
     """Decide how often the mix takes each document.
 
     A document's size is its number of words (runs of characters other than space and U+0009 to
-    U+000D; null: 0). A source with a target of e whole passes and a rest takes every document e
-    times; the rest is fitted by ``fit_budget`` on the source's table of exact lengths, which has
-    a row per distinct length, never per document. Within a (source, length) class the seeded hash
+    U+000D; null: 0). A source's target is fitted by ``fit_budget``, with up to ``most`` copies of each
+    document, on the source's table of exact lengths, which has a row per distinct length, never per document. The copies
+    of a length are dealt evenly over its documents. Within a (source, length) class the seeded hash
     of the id, then the row's digest, orders documents; classes are dealt into ``PARTS`` by that
     hash, so that a class with a third of all rows is ranked by many tasks.
 

@@ -16,7 +16,7 @@ from codelattice.llm.decontamination import words_of
 #: The documented bound of what is learned from: about so many labelled rows, and as many without a label (those whose hash is under
 #: the bound's share of all).
 SAMPLE = 20_000
-#: Labelled rows are dealt into so many folds by hash; a document's stem voters come from the other folds' rows.
+#: Texts are dealt into so many folds by a hash of the text alone; a document's stem voters come from the other folds' rows.
 FOLDS = 5
 #: Each fold's lexicon keeps at most so many word stems.
 STEMS = 4_096
@@ -61,7 +61,7 @@ def _votes(text: str, words: list[bytes], hits: list[int]) -> int:
 
 
 def _reader(vocabulary: dict[bytes, int], voting: list[dict[int, int]]):
-    """Rows (id, key, fold, text) to (id, key, votes, at, value): votes, and counts of the known stems.
+    """Rows (id, key, text_key, fold, text) to (id, key, text_key, votes, at, value): votes, and counts of the known stems.
 
     All stems of all folds are features; only those of ``voting[fold]`` (stem: its voter), learned from other folds' labels, vote."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,7 +88,7 @@ def _reader(vocabulary: dict[bytes, int], voting: list[dict[int, int]]):
                 votes.append(_votes(text, words, hits))
                 ats.append(found)
                 values.append([float(np.log1p(counts[i])) for i in found])
-            out = {"id": rows["id"], "key": rows["key"], "votes": pd.Series(votes, dtype="int64", index=rows.index)}
+            out = {"id": rows["id"], "key": rows["key"], "text_key": rows["text_key"], "votes": pd.Series(votes, dtype="int64", index=rows.index)}
             yield pd.DataFrame(out | {"at": pd.Series(ats, dtype=object, index=rows.index), "value": pd.Series(values, dtype=object, index=rows.index)})
 
     return read
@@ -219,13 +219,14 @@ def score_toxicity(
 
     Voters are English lexicons, patterns (several insults, a dense share of them, insults aimed
     at somebody, exclamation marks) and word stems. Stems are learned from about ``sample`` labelled
-    rows in folds: a document's stem voters come from the folds it is not in, so no vote rests on
-    the document's own label. The label model is fitted on the vote patterns of all documents (at
+    rows in folds of texts: a document's stem voters come from the folds it is not in, so no vote rests on
+    the label of the document or of a copy. The label model is fitted on the vote patterns of all documents (at
     most 3 * 2 ** len(VOTERS) counts), with the label as one more voter whose accuracy is estimated.
     Its posterior is what the linear classifier learns, for the labelled rows of the sample and about
-    as many rows without a label. Labels count only for rows that are not held out; held-out rows
-    are in no sample; of several labels of an id the largest counts; null labels and ids are no
-    labels. Only the text is an input of a score. Null and empty texts get the score of a text
+    as many rows without a label, chosen by their text. Labels count only for rows that are not held out; rows with a held-out
+    label are in no sample; of several labels of an id the largest counts; null labels and ids are no
+    labels. Only the text is an input of a score, so equal
+    texts have equal scores and other ids of rows without a label change none. Null and empty texts get the score of a text
     without any stem; without labels the lexicons and patterns decide. One row per input row; rows
     equal in id and text count once in a sample; an empty table gives no rows.
     """
@@ -236,15 +237,15 @@ def score_toxicity(
         .where("label_id is not null and toxic in (0, 1)").where(~held_out("label_id"))
         .groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
-    texts = texts.withColumn("fold", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(FOLDS)).cast("int"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"), F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("text_key"))
+    texts = texts.withColumn("fold", F.pmod(F.xxhash64("text_key", F.lit(1)), F.lit(FOLDS)).cast("int"))
     chosen = known.where(_under(F.xxhash64("label_id"), sample, known.count()))  # about ``sample`` small rows
     labelled = texts.join(F.broadcast(chosen), texts["id"] == chosen["label_id"]).drop("label_id").dropDuplicates(["key"])
-    labelled = cut(labelled, "labelled")
+    labelled = cut(labelled.select("fold", "toxic", "text", "key"), "labelled")
     by_fold = learn_stems(labelled, FOLDS, stems)
     vocabulary = {s: i for i, s in enumerate(sorted(set().union(*by_fold)))}
     voting = [{vocabulary[s]: voter for s, voter in x.items()} for x in by_fold]
-    read = cut(texts.mapInPandas(_reader(vocabulary, voting), f"id {kind}, key binary, votes long, at array<int>, value array<double>"), "votes")
+    read = cut(texts.mapInPandas(_reader(vocabulary, voting), f"id {kind}, key binary, text_key binary, votes long, at array<int>, value array<double>"), "votes")
 
     voted = read.select("id", "key", "votes").join(known.withColumnRenamed("toxic", "said"), F.col("id") == F.col("label_id"), "left")
     patterns = voted.groupBy("votes").agg(
@@ -254,10 +255,11 @@ def score_toxicity(
     at = {x: i for i, x in enumerate(patterns["votes"].tolist())}
 
     n_free = int(patterns["none"].sum())
-    free = read.join(known.select("label_id"), F.col("id") == F.col("label_id"), "left_anti").where(~held_out("id")).where(_under(F.xxhash64("key", F.lit(2)), sample, n_free))
+    marked = labels.select(F.col(id_col).alias("label_id")).where(F.col("label_id").isNotNull()).distinct()
+    free = read.join(marked, F.col("id") == F.col("label_id"), "left_anti").where(_under(F.xxhash64("text_key", F.lit(2)), sample, n_free))
     said = labelled.select(F.col("key").alias("own"), F.col("toxic").alias("said"))
     learned = read.join(F.broadcast(said), F.col("key") == F.col("own")).drop("own").unionByName(free.withColumn("said", F.lit(None).cast("int")))
-    rows = learned.dropDuplicates(["key"]).orderBy("key").select("votes", "at", "value", "said").toPandas()  # votes and numbers of about 2 * ``sample`` rows
+    rows = learned.dropDuplicates(["key"]).orderBy("text_key", "said").select("votes", "at", "value", "said").toPandas()  # votes and numbers of about 2 * ``sample`` rows
     state = rows["said"].isna().map({True: 0, False: 1}).to_numpy(int) + rows["said"].fillna(0).to_numpy(int)
     target = _target(logits[[at[x] for x in rows["votes"]], state]) if len(rows) else np.zeros(0)
     w, bias = fit_classifier(list(rows["at"]), list(rows["value"]), _patterns(rows["votes"]).astype(float), target, len(vocabulary))
@@ -266,10 +268,12 @@ def score_toxicity(
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, bias = model.value
+        voted: dict[int, float] = {}
         for rows in batches:
-            z = bias + _patterns(rows["votes"]) @ w[n_stems:]
-            z += np.array([np.dot(w[np.asarray(a, np.int64)], v) if len(a) else 0.0 for a, v in zip(rows["at"], rows["value"], strict=True)])
-            yield pd.DataFrame({"id": rows["id"], "key": rows["key"], "votes": rows["votes"], "score": _target(z)})
+            for x in set(rows["votes"].tolist()) - voted.keys():
+                voted[x] = bias + float(np.dot(_patterns([x])[0], w[n_stems:]))
+            z = np.array([voted[x] + (float(np.dot(w[np.asarray(a, np.int64)], v)) if len(a) else 0.0) for x, a, v in zip(rows["votes"], rows["at"], rows["value"], strict=True)])
+            yield pd.DataFrame({"id": rows["id"], "key": rows["key"], "votes": rows["votes"], "score": _target(z).round(12)})
 
     scored = read.mapInPandas(score, f"id {kind}, key binary, votes long, score double")
     return scored.select(
