@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from codelattice.llm.common import cut
+from codelattice.llm.common import cut, row_key
 from codelattice.llm.toxicity import label_model, score_toxicity
 
 
@@ -50,6 +50,23 @@ def test_labels_of_held_out_rows_are_not_read(spark, folder):
     assert score(labels) == score(flipped)
 
 
+def test_ids_are_no_input_of_a_score(spark, folder):
+    """Equal texts have equal scores, and other ids for rows without a label change no score."""
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    copies = docs.where("doc_id between 1000 and 1040").withColumn("doc_id", F.col("doc_id") + 5000)
+    every = docs.union(copies).union(copies.withColumn("doc_id", F.col("doc_id") * 3)).repartition(5)
+    by_text = collections.defaultdict(set)
+    rows = score_toxicity(every, labels).join(every.select(row_key("doc_id", "text").alias("row_key"), "text").distinct(), "row_key").collect()
+    for r in rows:
+        by_text[r.text].add(r.score)
+    assert sum(len(x) for x in by_text.values()) == len(by_text) > 100
+    marked = {r.doc_id for r in labels.collect()}
+    every = every.where("doc_id is not null")
+    other = every.withColumn("doc_id", F.when(F.col("doc_id").isin([x for x in marked if x is not None]), F.col("doc_id")).otherwise(F.col("doc_id") * 11 + 100_003))
+    score = lambda d: collections.Counter(r.score for r in score_toxicity(d, labels).collect())
+    assert score(other) == score(every)
+
+
 def test_label_model_tells_good_voters_from_bad():
     import numpy as np
 
@@ -116,8 +133,7 @@ def test_scores_against_plain_python(spark, folder, monkeypatch):
     docs = docs.union(docs.where("doc_id in (5, 1003)")).union(spark.createDataFrame([(5000, "idiot! " * 30_000, "en", "t", 1, 7, 0.5, "own")], docs.schema))
     got = t.score_toxicity(docs, labels).collect()
     assert len(got) == docs.count()
-    folds = {(r.doc_id, r.text): r.fold for r in docs.withColumn("fold", F.expr(
-        f"pmod(xxhash64(unhex(md5(concat(coalesce(cast(doc_id as string), 'null'), '\n', cast(text is null as string), coalesce(text, '')))), 1), {t.FOLDS})")).collect()}
+    folds = {(r.doc_id, r.text): r.fold for r in docs.withColumn("fold", F.expr(f"pmod(xxhash64(unhex(md5(coalesce(text, ''))), 1), {t.FOLDS})")).collect()}
     order = sorted(set().union(*seen["stems"]))
     w, bias = seen["model"]
     lexicon = [{x.decode() for x in y} for y in (t.INSULTS, t.CONTEMPT, t.PROFANITY, t.THREATS)]

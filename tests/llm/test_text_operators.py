@@ -283,27 +283,67 @@ def test_mixing(docs, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
-def test_budget_is_met_where_a_subset_sum_exists():
+def test_budget_is_met_where_a_choice_of_copies_meets_it():
     import itertools
     import random
 
     import numpy as np
 
     rng = random.Random(2)
-    for _ in range(60):
-        lengths = sorted(rng.sample(range(0, 30), 4))
-        counts = [rng.randint(1, 3) for _ in lengths]
-        total = sum(a * b for a, b in zip(lengths, counts, strict=True))
-        budget = rng.randint(0, total)
-        take = mixing.fit_budget(np.array(lengths), np.array(counts), budget)
-        assert all(0 <= a <= b for a, b in zip(take, counts, strict=True))
-        got = int((take * np.array(lengths)).sum())
-        even = [b * budget // total if total else 0 for b in counts]
-        best = max(
-            s for x in itertools.product(*(range(a, b + 1) for a, b in zip(even, counts, strict=True)))
-            if (s := sum(a * b for a, b in zip(lengths, x, strict=True))) <= budget
-        )
-        assert got == best
+    for most in (1, 3):
+        for _ in range(40):
+            lengths = sorted(rng.sample(range(0, 30), 4))
+            counts = [rng.randint(1, 3 if most == 1 else 2) for _ in lengths]
+            total = sum(a * b for a, b in zip(lengths, counts, strict=True))
+            budget = rng.randint(0, total * most)
+            take = mixing.fit_budget(np.array(lengths), np.array(counts), budget, most=most)
+            assert all(0 <= a <= b * most for a, b in zip(take, counts, strict=True))
+            sums = {sum(a * b for a, b in zip(lengths, x, strict=True)) for x in itertools.product(*(range(b * most + 1) for b in counts))}
+            assert abs(budget - int((take * np.array(lengths)).sum())) == min(abs(budget - s) for s in sums)
+    lengths = np.array([rng.randint(50, 3000) for _ in range(400)])
+    counts = np.array([rng.randint(1, 50) for _ in lengths])
+    for share in (0.01, 0.4, 1.7, 2.99):
+        budget = int((lengths * counts).sum() * share)
+        assert int((mixing.fit_budget(lengths, counts, budget, most=3) * lengths).sum()) == budget
+
+
+def test_mix_of_a_small_source_is_exact(spark):
+    """A source of few documents meets its target wherever zero to three copies of each can."""
+    rows = [(i, " ".join(["w"] * n), "a") for i, n in enumerate((7, 11, 30, 64, 102))] + [(10 + i, " ".join(["w"] * 50), s) for i, s in enumerate("bbbbccccccccccc")]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    import itertools
+
+    sums = {sum(a * b for a, b in zip(x, (7, 11, 30, 64, 102), strict=True)) for x in itertools.product(range(4), repeat=5)}
+    goal = next(r.target for r in got if r.source_name == "a")
+    taken = sum(r.taken for r in got if r.source_name == "a")
+    assert abs(taken - round(goal)) == min(abs(x - round(goal)) for x in sums)
+
+
+def test_many_separate_hits(spark):
+    """100,000 separate hits in one text, in time that grows with their number."""
+    import time
+
+    passage = " ".join(f"p{i}" for i in range(10))
+    text = " ".join(f"{passage} x{i}" for i in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, passage + " " + passage), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, passage)], "item_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in decontamination.decontaminate(df, items).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1].n_hit == 1_000_000 and len(got[1].spans) == 100_000 and got[1].n_words == 1_100_000
+    assert [(s.s, s.e) for s in got[2].spans] == [(0, 20)] and got[2].n_hit == 20 and got[3].n_hit == 0
+
+
+def test_many_removed_lines(spark):
+    """100,000 removed lines in one text, in time that grows with their number."""
+    import time
+
+    text = "\n".join(f"line {i}" for i in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, text + "\nown"), (3, "a\n" + text)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1].text == text and got[2].text == "own" and got[2].n_removed_lines == 100_000 and got[3].text == "a"
 
 
 def test_licenses(spark, docs, empty):
