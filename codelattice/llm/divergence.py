@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,48 +25,48 @@ TOP = 50
 DEPTH = 4
 #: Cells of a sketch row: the power of two from 16 a document on, between these. The sketch has DEPTH bytes a cell, so 16 MB at most.
 WIDTH = (1 << 16, 1 << 22)
-#: A task hands on its counts when it holds so many terms, or terms of so many bytes.
-HELD, HELD_BYTES = 200_000, 32 << 20
+#: A task hands on its counts when it holds so many terms, or has read so many bytes of text since.
+HELD, HELD_BYTES = 400_000, 64 << 20
 #: Cells of a piece of the sketch while it is put together.
 PIECE = 1 << 13
 
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
-def terms_of(text: str | None) -> list[bytes]:
-    """Runs of ASCII letters (lower-cased) and all characters from U+0080 on."""
-    return text.encode().translate(_TABLE).split() if text else []
+def terms_of(text: bytes | None) -> list[bytes]:
+    """Runs of ASCII letters (lower-cased) and all characters from U+0080 on, of a text in UTF-8."""
+    return text.translate(_TABLE).split() if text else []
 
 
 def term_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, term, n, df): occurrences and documents of each term, summed up within each task as far as its memory
     allows, so a term can have several rows. Each group also has a row of the empty term, with n and df 0."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         held = size = 0
 
-        def emit() -> pd.DataFrame:
-            out = [(lang, source, term, k, seen[term]) for (lang, source), (n, seen) in groups.items() for term, k in n.items()]
-            return pd.DataFrame(out, columns=["lang", "source", "term", "n", "df"])
+        def emit() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, seen) in groups.items():
+                terms = list(n)
+                columns = ([lang] * len(terms), [source] * len(terms), terms, list(n.values()), [seen[t] for t in terms])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["lang", "source", "term", "n", "df"])
 
-        for rows in batches:
-            for lang, source, text in zip(rows["lang"], rows["source"], rows["text"], strict=True):
+        for batch in batches:
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n, seen = groups.get((lang, source)) or groups.setdefault((lang, source), (Counter({b"": 0}), Counter()))
-                terms = Counter(terms_of(text))
-                before = len(n)
-                new = terms.keys() - n.keys()
+                terms, before = terms_of(text), len(n)
                 n.update(terms)
-                seen.update(terms.keys())
+                seen.update(set(terms))
                 held += len(n) - before
-                size += sum(map(len, new))
+                size += len(text or b"")
                 if held > HELD or size > HELD_BYTES:
-                    yield emit()
+                    yield from emit()
                     groups, held, size = {}, 0, 0
-        yield emit()
+        yield from emit()
 
-    rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"))), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "lang string, source string, term binary, n long, df long").withColumn("term", F.col("term").cast("string"))
+    rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"))), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "lang string, source string, term binary, n long, df long").withColumn("term", F.col("term").cast("string"))
 
 
 def _cells(h: np.ndarray, width: int) -> np.ndarray:
