@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelattice.operators import intervals
+
 
 def link_first(left: DataFrame, right: DataFrame, on: str, kind: str) -> DataFrame:
     """Each left row to the first (smallest id) right row with the same ``on``, ignoring case."""
@@ -60,13 +62,9 @@ def includes(uses: DataFrame, files: DataFrame, weight: int = 4) -> DataFrame:
 
 
 def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """(id, owner): the smallest entity of the same file whose lines enclose an inner one's line.
-
-    The join is on the file, and lines within it: no pair crosses files.
-    """
-    o = outer.select("path", F.col("id").alias("owner"), "start_line", "end_line")
-    hit = inner.join(o, "path").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    return hit.groupBy("id").agg(F.min_by("owner", F.struct(F.col("end_line") - F.col("start_line"), F.col("owner"))).alias("owner"))
+    """(id, owner): the smallest entity of the same file whose lines enclose an inner one's line, by one sweep over each file's lines."""
+    spans = outer.select("path", F.col("id").alias("owner"), F.col("start_line").alias("first"), F.col("end_line").alias("last"))
+    return intervals.innermost(inner.select("path", "id", F.col("line").alias("at")), spans).select("id", "owner")
 
 
 def validation_chain(steps: DataFrame) -> DataFrame:

@@ -166,3 +166,27 @@ def untested_critical(nodes: DataFrame, edges: DataFrame, tests: DataFrame, leas
     """(id, name, callers): functions with at least ``least`` callers that no test reaches (tests: dst), most called first."""
     callers = of_type(edges, "CALLS").groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("callers")).where(F.col("callers") >= least)
     return nodes.where(F.col("kind").isin(*FUNCTIONS)).join(callers, "id").join(tests.select(F.col("dst").alias("id")), "id", "left_anti").select("id", "name", "callers").orderBy(F.desc("callers"), "id").limit(limit)
+
+
+def screen_fields(screens: DataFrame, fields: DataFrame) -> DataFrame:
+    """The fields (page, ...) of each screen's pages: a row for each screen and field; screens whose pages have none are left out."""
+    return screens.select("key", "screen", F.explode("pages").alias("page")).join(fields, "page").drop("page")
+
+
+def submenu_screens(entries: DataFrame, screens: DataFrame) -> DataFrame:
+    """Menu entries with how many screens their flow has (n_screens), and how many of those are for maintenance; entries without any stay."""
+    n = screens.groupBy("flow").agg(F.count("*").alias("n_screens"), F.count_if(F.col("mode") == "maintenance").alias("n_maintenance"))
+    zero = F.lit(0).cast("long")
+    return entries.join(n, "flow", "left").withColumns({c: F.coalesce(c, zero) for c in ("n_screens", "n_maintenance")})
+
+
+def screen_detail(screens: DataFrame, fields: DataFrame, tables: DataFrame, transitions: DataFrame) -> DataFrame:
+    """Each screen with the fields and tables of its pages, summed up before they meet, and the events that leave it."""
+    pages = screens.select("key", "screen", F.explode("pages").alias("page")).distinct()
+    per_field = fields.groupBy("page").agg(F.count("*").alias("n"), F.count_if("required").alias("r"))
+    per_table = tables.groupBy("page").agg(F.collect_set("name").alias("t"))
+    found = pages.join(per_field, "page", "left").join(per_table, "page", "left").groupBy("key", "screen").agg(
+        F.sum(F.coalesce("n", F.lit(0))).alias("n_fields"), F.sum(F.coalesce("r", F.lit(0))).alias("n_required"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("t")))).alias("tables"))
+    left = transitions.where("source <> 'global'").groupBy("key", F.col("source").alias("screen")).agg(F.array_sort(F.collect_set("event")).alias("actions"))
+    none = F.array().cast("array<string>")
+    return screens.join(found, ["key", "screen"], "left").join(left, ["key", "screen"], "left").withColumn("actions", F.coalesce("actions", none))
