@@ -24,22 +24,25 @@ def innermost(points: DataFrame, intervals: DataFrame, by: str = "path") -> Data
     events = opens.where("last >= pos").union(asks).where(F.col(by).isNotNull() & F.col("pos").isNotNull())
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, sizes, ends = None, [], []
+        group, sizes, ends, owners = None, [], [], []
         for rows in batches:
             out = []
             for key, pos, is_point, i, owner, last in zip(*(rows[c].tolist() for c in (by, "pos", "is_point", "id", "owner", "last")), strict=True):
                 if key != group:
-                    group, sizes, ends = key, [], []
+                    group, sizes, ends, owners = key, [], [], []
                 if not is_point:
-                    heapq.heappush(sizes, (last - pos, owner, last))
+                    # A struct is compared by its fields; the count tells equal ones apart.
+                    rank = tuple(owner.values()) if isinstance(owner, dict) else owner
+                    heapq.heappush(sizes, (last - pos, rank, len(owners), last))
+                    owners.append(owner)
                     heapq.heappush(ends, last)
                     continue
-                while sizes and sizes[0][2] < pos:
+                while sizes and sizes[0][3] < pos:
                     heapq.heappop(sizes)
                 while ends and ends[0] < pos:
                     heapq.heappop(ends)
                 if sizes:
-                    out.append((i, sizes[0][1], len(ends)))
+                    out.append((i, owners[sizes[0][2]], len(ends)))
             yield pd.DataFrame(out, columns=["id", "owner", "depth"])
 
     ordered = events.repartition(F.col(by)).sortWithinPartitions(by, "pos", "is_point")

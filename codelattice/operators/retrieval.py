@@ -190,3 +190,9 @@ def screen_detail(screens: DataFrame, fields: DataFrame, tables: DataFrame, tran
     left = transitions.where("source <> 'global'").groupBy("key", F.col("source").alias("screen")).agg(F.array_sort(F.collect_set("event")).alias("actions"))
     none = F.array().cast("array<string>")
     return screens.join(found, ["key", "screen"], "left").join(left, ["key", "screen"], "left").withColumn("actions", F.coalesce("actions", none))
+
+
+def rules_by_holder(found: DataFrame) -> DataFrame:
+    """(key, holder, n_rules, n_preconditions, best, kinds): the rules of each method, field or state summed up; those without a holder are left out."""
+    return found.where("holder is not null").groupBy("key", "holder").agg(
+        F.count("*").alias("n_rules"), F.count_if("precondition").alias("n_preconditions"), F.max("confidence").alias("best"), F.array_sort(F.collect_set("kind")).alias("kinds"))
