@@ -23,10 +23,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back. The driver deletes the folder when it ends."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder; the driver deletes the folder when it ends."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
-    df.write.parquet(path.toString())
-    return spark.read.schema(df.schema).parquet(path.toString())
+    return path.toString()
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back. The driver deletes the folder when it ends."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
