@@ -280,10 +280,10 @@ def _(n, e):
     return traversal.paths(e, hops.of_kind(n, "Order"), 2).select("seed", "id", F.array_join("nodes", ">").alias("nodes"), F.array_join("types", ">").alias("types"))
 
 
-@query("r9_flow_graph_edges", """, s AS (SELECT id FROM nodes WHERE id IN ('o:1', 'o:2', 'o:3')), a AS (SELECT DISTINCT e.dst AS id FROM s JOIN edges e ON e.src = s.id), b AS (SELECT DISTINCT e.dst AS id FROM a JOIN edges e ON e.src = a.id),
+@query("r9_flow_graph_edges", """, s AS (SELECT 'o:' || o_orderkey AS id FROM orders WHERE o_orderkey % 20 = 0), a AS (SELECT DISTINCT e.dst AS id FROM s JOIN edges e ON e.src = s.id), b AS (SELECT DISTINCT e.dst AS id FROM a JOIN edges e ON e.src = a.id),
 r AS (SELECT * FROM s UNION SELECT * FROM a UNION SELECT * FROM b) SELECT DISTINCT e.type, e.src, e.dst FROM edges e JOIN r ON e.src = r.id""")
 def _(n, e):
-    near = traversal.reach(e, n.where("id in ('o:1', 'o:2', 'o:3')"), 0, 2).select(F.col("id").alias("src")).distinct()
+    near = traversal.reach(e, n.where("kind = 'Order' and cast(substr(id, 3) as bigint) % 20 = 0"), 0, 2).select(F.col("id").alias("src")).distinct()
     return e.join(near, "src", "left_semi").distinct().select("type", "src", "dst")
 
 

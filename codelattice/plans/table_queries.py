@@ -304,14 +304,25 @@ def _(t):
     return t("pages").select("page_id", long(code_text.cyclomatic(F.regexp_replace("html", r"[^\x00-\x7F]", " "))).alias("complexity"))
 
 
-@query("f_loc_nonblank", r"""WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS x, generate_subscripts(string_split(html, chr(10)), 1) AS i FROM pages),
-t AS (SELECT page_id, i, regexp_replace(x, '^\s+|\s+$', '', 'g') AS t FROM l), m AS (SELECT *, regexp_matches(t, '^(/[*]|\"{3}|''{3})') AS o, regexp_matches(t, '[*]/|\"{3}|''{3}') AS e, regexp_matches(t, '^(//|#|--)') AS c FROM t)
-SELECT page_id, count(*) FILTER (t <> '' AND NOT c AND NOT o) AS loc FROM m WHERE page_id NOT IN (SELECT page_id FROM m WHERE o) GROUP BY page_id""")
-def _(t):
-    """Pages in which no line opens a block comment, so that SQL needs no state; ``f_cog_complexity`` has all pages."""
-    quotes = r"\"{3}|'{3}"
-    opens = F.exists(F.split("html", "\n"), lambda x: x.rlike(rf"^\s*(/\*|{quotes})"))
-    return t("pages").where(~opens).select("page_id", long(code_text.text_metrics(F.col("html"))["loc"]).alias("loc"))
+def _loc_sql(text: str) -> str:
+    """Lines of code by a walk over the lines that carries whether a block comment is open."""
+    return rf"""WITH RECURSIVE p AS (SELECT page_id, {text} AS html FROM pages), t AS (SELECT page_id, unnest(string_split(html, chr(10))) AS x, generate_subscripts(string_split(html, chr(10)), 1) AS i FROM p),
+m AS MATERIALIZED (SELECT page_id, i, t <> '' AND NOT cm AND NOT op AS code, op AND NOT cm AND NOT cl AS opens, en FROM (SELECT page_id, i, t, regexp_matches(t, '^(//|#|--)') AS cm, regexp_matches(t, '^(/[*]|\"{{3}}|''{{3}})') AS op,
+ regexp_matches(t, '[*]/$') OR (length(t) > 3 AND regexp_matches(t, '(\"{{3}}|''{{3}})$')) AS cl, regexp_matches(t, '[*]/|\"{{3}}|''{{3}}') AS en FROM (SELECT page_id, i, regexp_replace(x, '^\s+|\s+$', '', 'g') AS t FROM t))),
+r AS (SELECT page_id, 0 AS i, 0 AS loc, false AS block FROM p WHERE html IS NOT NULL UNION ALL SELECT r.page_id, r.i + 1, r.loc + (m.code AND NOT r.block)::INT, CASE WHEN r.block THEN NOT m.en ELSE m.opens END FROM r JOIN m ON m.page_id = r.page_id AND m.i = r.i + 1)
+SELECT page_id, CAST(arg_max(loc, i) AS BIGINT) AS loc FROM r GROUP BY page_id"""
+
+
+@query("f_loc_nonblank", _loc_sql("html"))
+def _(t):
+    return t("pages").select("page_id", long(code_text.text_metrics(F.col("html"))["loc"]).alias("loc"))
+
+
+@query("f_loc_block_comments", _loc_sql("replace(replace(replace(html, '<p>', chr(10) || '/* '), '</p>', ' */' || chr(10)), '<li>', chr(10) || '# ')"))
+def _(t):
+    """Pages whose paragraphs are made block comments, many of which never close, and whose items are line comments."""
+    text = F.replace(F.replace(F.replace("html", F.lit("<p>"), F.lit("\n/* ")), F.lit("</p>"), F.lit(" */\n")), F.lit("<li>"), F.lit("\n# "))
+    return t("pages").select("page_id", long(code_text.text_metrics(text)["loc"]).alias("loc"))
 
 
 @query("f_cog_complexity", r"""WITH RECURSIVE l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS x, generate_subscripts(string_split(html, chr(10)), 1) AS i FROM pages), t AS (SELECT page_id, i, x, regexp_replace(x, '^\s+|\s+$', '', 'g') AS t FROM l),
