@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelattice.operators.hops import of_type
-from codelattice.operators.lineage import cut
+from codelattice.operators.lineage import cut, new_folder
 
 #: Edge types that count for rank.
 RANK_TYPES = ("CALLS", "IMPORTS", "EXTENDS", "IMPLEMENTS", "DEPENDS_ON", "DEPENDS_ON_MODULE")
@@ -65,3 +65,32 @@ STRATEGIES = {"native": native_rank, "pagerank": pagerank}
 def rank(nodes: DataFrame, edges: DataFrame, strategy: str = "pagerank", fallback: str = "native") -> DataFrame:
     """The rank of a strategy or, where there is none of that name, of ``fallback``."""
     return STRATEGIES.get(strategy, STRATEGIES[fallback])(nodes, edges)
+
+
+class Projections:
+    """Named graphs of some edge types, stored in the shared folder: (name, src, dst) edges, each once, a folder a name."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, (path or new_folder(spark, "projections")).rstrip("/")
+
+    def _folder(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/name={name}" if name else self.path)
+        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def project(self, name: str, edges: DataFrame, types: Sequence[str] = ()) -> None:
+        """Store the edges of some types (all without any) under a name, in place of a graph of that name."""
+        of_type(edges, *types).select("src", "dst").distinct().write.mode("overwrite").parquet(f"{self.path}/name={name}")
+
+    def edges(self, name: str) -> DataFrame:
+        return self.spark.read.schema("src string, dst string").parquet(f"{self.path}/name={name}").withColumn("type", F.lit(name))
+
+    def drop(self, name: str) -> bool:
+        path, system = self._folder(name)
+        return bool(system.delete(path, True))
+
+    def listed(self) -> DataFrame:
+        """(name, n_edges) of the graphs that are there."""
+        path, system = self._folder("")
+        if not system.exists(path):
+            return self.spark.createDataFrame([], "name string, n_edges long")
+        return self.spark.read.schema("src string, dst string, name string").parquet(self.path).groupBy("name").agg(F.count("*").alias("n_edges"))

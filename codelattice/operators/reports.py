@@ -109,3 +109,41 @@ def architecture(stereotypes: DataFrame, modules: int) -> Column:
     one = lambda cond, name, c: F.when(cond, F.struct(F.lit(name).alias("pattern"), F.lit(c).alias("confidence")))
     return F.array_compact(F.array(
         one(has("Controller") & has("Service") & has("Repository"), "Layered", 0.85), one(has("Controller") & has("Entity"), "MVC", 0.75), one(F.lit(modules > 1), "Modular", 0.70)))
+
+
+def export(documents: DataFrame, children: DataFrame, fmt: str = "md") -> DataFrame:
+    """(id, body): each document (id, title) with its children (id, position, text) in order, as Markdown, HTML or JSON."""
+    if fmt not in ("md", "html", "json"):
+        raise ValueError(f"no such format: {fmt}")
+    listed = children.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]).alias("texts"))
+    rows = documents.join(listed, "id", "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = {
+        "md": F.concat(F.lit("# "), "title", F.lit("\n"), F.array_join(F.transform("texts", lambda x: F.concat(F.lit("- "), x)), "\n")),
+        "html": F.concat(F.lit("<h1>"), safe(F.col("title")), F.lit("</h1>\n<ul>"), F.array_join(F.transform("texts", lambda x: F.concat(F.lit("<li>"), safe(x), F.lit("</li>"))), ""), F.lit("</ul>")),
+        "json": F.to_json(F.struct("title", F.col("texts").alias("children"))),
+    }[fmt]
+    return rows.select("id", body.alias("body"))
+
+
+def overview(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
+    """(block, item, value): an overview of a repository in eleven blocks: summary, kinds, modules, hotspots, complexity (the mean of the hotspots only), documentation, entry points,
+    relations, most called, data and dead code. The lists of hotspots and most called parts end after ``top`` rows, ties by id."""
+    method = F.col("kind") == "JavaMethod"
+    row = lambda block, item, value: F.struct(F.lit(block).alias("block"), F.lit(item).alias("item"), value.cast("double").alias("value"))
+    n = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    scalars = nodes.agg(
+        n("File").alias("files"), n("JavaMethod").alias("functions"), n("JavaClass", "SpringController", "SpringService", "Entity").alias("classes"), F.coalesce(F.sum("size"), F.lit(0)).alias("loc"),
+        F.round(F.avg(F.when(method, F.coalesce("documented", F.lit(False)).cast("double"))), 6).alias("documented"), n("SQLTable").alias("tables"),
+    )
+    single = scalars.select(F.inline(F.array(*(row("summary", c, F.col(c)) for c in ("files", "functions", "classes", "loc")), row("documentation", "share", F.col("documented")), row("data", "tables", F.col("tables")))))
+    counted = lambda df, block, item: df.groupBy(F.col(item).alias("item")).agg(F.count("*").cast("double").alias("value")).select(F.lit(block).alias("block"), "item", "value")
+    hot = nodes.where(method & F.col("size").isNotNull()).orderBy(F.desc("size"), "id").limit(top).select(F.lit("hotspots").alias("block"), F.col("id").alias("item"), F.col("size").cast("double").alias("value"))
+    mean = hot.agg(F.round(F.avg("value"), 6).alias("value")).select(F.lit("complexity").alias("block"), F.lit("mean of hotspots").alias("item"), "value")
+    called = edges.where("type = 'CALLS'").groupBy("dst").agg(F.count("*").alias("c"))
+    most = called.orderBy(F.desc("c"), "dst").limit(top).select(F.lit("most called").alias("block"), F.col("dst").alias("item"), F.col("c").cast("double").alias("value"))
+    dead = nodes.where(method).join(called, F.col("id") == F.col("dst"), "left_anti").agg(F.count("*").cast("double").alias("value")).select(F.lit("dead code").alias("block"), F.lit("uncalled").alias("item"), "value")
+    out = single
+    for part in (counted(nodes, "kinds", "kind"), counted(nodes.where(method & F.col("file").isNotNull()), "modules", "file"), counted(nodes.where("kind = 'SpringController'"), "entry points", "kind"), counted(edges, "relations", "type"), hot, mean, most, dead):
+        out = out.unionByName(part)
+    return out

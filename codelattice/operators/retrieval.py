@@ -196,3 +196,32 @@ def rules_by_holder(found: DataFrame) -> DataFrame:
     """(key, holder, n_rules, n_preconditions, best, kinds): the rules of each method, field or state summed up; those without a holder are left out."""
     return found.where("holder is not null").groupBy("key", "holder").agg(
         F.count("*").alias("n_rules"), F.count_if("precondition").alias("n_preconditions"), F.max("confidence").alias("best"), F.array_sort(F.collect_set("kind")).alias("kinds"))
+
+
+def call_flow(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(holder, methods, incoming, outgoing): how many calls come into and leave each class; degrees are summed before methods meet their class."""
+    calls = edges.where("type = 'CALLS'")
+    into = calls.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers"))
+    out = calls.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("callees"))
+    m = nodes.where("kind = 'JavaMethod' and parent_id is not null").select("id", F.col("parent_id").alias("holder")).join(into, "id", "left").join(out, "id", "left")
+    return m.groupBy("holder").agg(F.count("*").alias("methods"), F.sum(F.coalesce("callers", F.lit(0))).alias("incoming"), F.sum(F.coalesce("callees", F.lit(0))).alias("outgoing"))
+
+
+def feature_list(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(feature, methods, classes, imports) of each file that holds anything, by the file's name."""
+    g = nodes.where("file is not null").groupBy(F.col("file").alias("own")).agg(F.count_if(F.col("kind") == "JavaMethod").alias("methods"), F.count_if(~F.col("kind").isin("JavaMethod", "File")).alias("classes"))
+    i = edges.where("type = 'IMPORTS'").groupBy("src").agg(F.count("*").alias("imports"))
+    out = g.join(nodes.select(F.col("id").alias("own"), F.col("name").alias("feature")), "own").join(i, F.col("own") == F.col("src"), "left")
+    return out.select("feature", "methods", "classes", F.coalesce("imports", F.lit(0).cast("long")).alias("imports"))
+
+
+def search_by_scope(nodes: DataFrame, scopes: dict[str, tuple[tuple[str, ...], str]]) -> DataFrame:
+    """(scope, id, name): for each scope the nodes of its kinds whose name contains its word, ignoring case, in one pass over the nodes."""
+    hit = lambda name, kinds, word: F.when(F.col("kind").isin(*kinds) & F.contains(F.lower("name"), F.lit(word.lower())), F.lit(name))
+    return nodes.select(F.explode(F.array_compact(F.array(*(hit(s, *x) for s, x in scopes.items())))).alias("scope"), "id", "name")
+
+
+def scoped_counts(features: DataFrame, parts: DataFrame) -> DataFrame:
+    """Features (feature, ...) with how many parts (feature) each has, 0 for none."""
+    n = parts.groupBy("feature").agg(F.count("*").alias("screens"))
+    return features.join(n, "feature", "left").withColumn("screens", F.coalesce("screens", F.lit(0).cast("long")))

@@ -24,7 +24,8 @@ LIMITS = {"complexity": 15, "cognitive": 20, "nesting": 4, "loc": 50, "class_loc
 
 
 def violations(kind: Column, limits: Mapping[str, float] = LIMITS) -> Column:
-    """The metrics over their limit, in order; a class has a limit of its own for lines."""
+    """The metrics over their limit, in order; a class has a limit of its own for lines. Limits that are not given keep their default."""
+    limits = {**LIMITS, **limits}
     loc_limit = F.when(kind.isin("Class", "JavaClass"), limits["class_loc"]).otherwise(limits["loc"])
     return F.array_compact(F.array(
         *(F.when(F.col(m) > limits[m], F.lit(m)) for m in ("complexity", "cognitive", "nesting")),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelattice.operators import hops, links, reports, search, smells, traversal
+from codelattice.operators import hops, links, reports, retrieval, search, smells, traversal
 from codelattice.plans import graph_queries, table_queries
 from codelattice.sources import parsers
 
@@ -133,9 +133,8 @@ def _(t):
 
 @on_tables("t15_scoped_counts", "SELECT c.c_custkey AS feature, count(o.o_orderkey) AS screens FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE contains(lower(c.c_name), '1') GROUP BY c.c_custkey")
 def _(t):
-    o = t("orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    f = t("customer").where(F.contains(F.lower("c_name"), F.lit("1")))
-    return f.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("feature"), F.coalesce("n", F.lit(0).cast("long")).alias("screens"))
+    features = t("customer").where(F.contains(F.lower("c_name"), F.lit("1"))).select(F.col("c_custkey").alias("feature"))
+    return retrieval.scoped_counts(features, t("orders").select(F.col("o_custkey").alias("feature")))
 
 
 @on_graph("d_cross_feature", """, l AS (SELECT DISTINCT b.parent_id AS feature, s.src AS component FROM edges s JOIN nodes b ON s.dst = b.id WHERE s.type = 'DEPENDS_ON')

@@ -109,12 +109,7 @@ def _(n, e):
 @query("t11_data_flow", """, c AS (SELECT dst AS id, count(*) AS callers FROM edges WHERE type = 'CALLS' GROUP BY dst), o AS (SELECT src AS id, count(*) AS callees FROM edges WHERE type = 'CALLS' GROUP BY src)
 SELECT p.id AS holder, count(*) AS methods, CAST(sum(coalesce(c.callers, 0)) AS BIGINT) AS incoming, CAST(sum(coalesce(o.callees, 0)) AS BIGINT) AS outgoing FROM nodes m JOIN nodes p ON m.parent_id = p.id AND m.kind = 'JavaMethod' LEFT JOIN c ON m.id = c.id LEFT JOIN o ON m.id = o.id GROUP BY p.id""")
 def _(n, e):
-    """Per class how many calls come in and go out: degrees are summed before methods meet their class."""
-    calls = hops.of_type(e, "CALLS")
-    into = calls.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers"))
-    out = calls.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("callees"))
-    m = n.where("kind = 'JavaMethod' and parent_id is not null").select("id", F.col("parent_id").alias("holder")).join(into, "id", "left").join(out, "id", "left")
-    return m.groupBy("holder").agg(F.count("*").alias("methods"), F.sum(F.coalesce("callers", F.lit(0))).alias("incoming"), F.sum(F.coalesce("callees", F.lit(0))).alias("outgoing"))
+    return retrieval.call_flow(n, e)
 
 
 @query("t13_entity_details", """, c AS (SELECT dst, count(*) AS c FROM edges WHERE type = 'CALLS' GROUP BY dst), m AS (SELECT h.src AS id, count(*) AS n, list_sort(list(DISTINCT x.name)) AS members, CAST(sum(coalesce(c.c, 0)) AS BIGINT) AS callers FROM edges h JOIN nodes x ON h.dst = x.id LEFT JOIN c ON c.dst = h.dst WHERE h.type = 'HAS_METHOD' GROUP BY h.src)
@@ -140,16 +135,12 @@ def _(n, e):
 @query("t15_feature_list", """, f AS (SELECT file AS feature, count(*) FILTER (kind = 'JavaMethod') AS methods, count(*) FILTER (kind NOT IN ('JavaMethod', 'File')) AS classes FROM nodes WHERE file IS NOT NULL GROUP BY file), i AS (SELECT src, count(*) AS imports FROM edges WHERE type = 'IMPORTS' GROUP BY src)
 SELECT n.name AS feature, f.methods, f.classes, coalesce(i.imports, 0) AS imports FROM f JOIN nodes n ON n.id = f.feature LEFT JOIN i ON i.src = f.feature""")
 def _(n, e):
-    g = n.where("file is not null").groupBy(F.col("file").alias("own")).agg(F.count_if(F.col("kind") == "JavaMethod").alias("methods"), F.count_if(~F.col("kind").isin("JavaMethod", "File")).alias("classes"))
-    i = hops.of_type(e, "IMPORTS").groupBy("src").agg(F.count("*").alias("imports"))
-    out = g.join(n.select(F.col("id").alias("own"), F.col("name").alias("feature")), "own").join(i, F.col("own") == F.col("src"), "left")
-    return out.select("feature", "methods", "classes", F.coalesce("imports", F.lit(0).cast("long")).alias("imports"))
+    return retrieval.feature_list(n, e)
 
 
 @query("t15_search_by_scope", "SELECT 'class' AS scope, id, name FROM nodes WHERE kind IN ('JavaClass', 'SpringController', 'SpringService', 'Entity') AND contains(lower(name), '1') UNION ALL SELECT 'method', id, name FROM nodes WHERE kind = 'JavaMethod' AND contains(lower(name), 'red') UNION ALL SELECT 'table', id, name FROM nodes WHERE kind = 'SQLTable' AND contains(lower(name), 'a')")
 def _(n, e):
-    scope = lambda name, kinds, word: n.where(F.col("kind").isin(*kinds) & F.contains(F.lower("name"), F.lit(word))).select(F.lit(name).alias("scope"), "id", "name")
-    return scope("class", retrieval.CLASSES, "1").unionByName(scope("method", retrieval.FUNCTIONS, "red")).unionByName(scope("table", ("SQLTable",), "a"))
+    return retrieval.search_by_scope(n, {"class": (retrieval.CLASSES, "1"), "method": (retrieval.FUNCTIONS, "red"), "table": (("SQLTable",), "a")})
 
 
 @query("a26_kind_histogram", "SELECT kind, count(*) AS n FROM nodes GROUP BY kind")

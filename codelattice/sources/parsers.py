@@ -10,7 +10,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelattice.functions.ids import entity_id
@@ -63,6 +63,11 @@ LANGUAGES = {"java": "java", "cs": "csharp", "go": "go", "c": "cpp", "h": "cpp",
 CONTAINERS = ("JavaClass", "JavaInterface", "JavaEnum", "CSharpClass", "CSharpInterface", "CSharpStruct", "Class", "Interface", "CppClass")
 
 
+def language_of(path: Column) -> Column:
+    """The language that a path is parsed as, by its extension in any case; null for others."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv)), F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)))
+
+
 def lines_of(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(path, language, line, code): numbered lines without those inside block comments or after ``//``.
 
@@ -83,7 +88,7 @@ def declarations(files: DataFrame, repo: str) -> DataFrame:
     """(entity_id, kind, name, path, language, line, edge, container): what the lines of (path, text)
     declare; the first pattern that fits a line counts. Members belong to the class above them."""
     spark = files.sparkSession
-    known = files.withColumn("language", F.element_at(F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv)), F.regexp_extract("path", r"\.([^.]+)$", 1)))
+    known = files.withColumn("language", language_of(F.col("path")))
     rules = spark.createDataFrame([(lang, k, e, p, n) for n, (lang, k, e, p) in enumerate(LINE_PATTERNS)], "language string, kind string, edge string, pattern string, ordinal int")
     hits = lines_of(known.where("language is not null and text is not null")).join(F.broadcast(rules), "language").where("code rlike pattern")
     best = hits.groupBy("path", "language", "line").agg(F.min_by(F.struct("kind", "edge", F.expr("regexp_extract(code, pattern, 1)").alias("name"), "code"), "ordinal").alias("d"))

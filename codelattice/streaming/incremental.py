@@ -55,6 +55,17 @@ def delete_files(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[
     return kept, left
 
 
+def deletion_counts(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, nodes_deleted, edges_deleted): what ``delete_files`` takes away for each path; an edge counts for each of its ends' paths once. Paths without nodes
+    have no row."""
+    gone = nodes.join(paths.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi").select(F.col("file_path").alias("path"), "entity_id")
+    names = edges.columns
+    by = lambda end: edges.join(gone.withColumnRenamed("entity_id", end), end).select("path", *names)
+    n = gone.groupBy("path").agg(F.count("*").alias("nodes_deleted"))
+    e = by("src").union(by("dst")).distinct().groupBy("path").agg(F.count("*").alias("edges_deleted"))
+    return n.join(e, "path", "left").select("path", "nodes_deleted", F.coalesce("edges_deleted", F.lit(0).cast("long")).alias("edges_deleted"))
+
+
 def unexpired(history: DataFrame, now: Column, expires: str = "expires_at") -> DataFrame:
     """Rows that retention keeps: those without an end, or with one that is not past."""
     return history.where(F.col(expires).isNull() | (F.col(expires) >= now))
