@@ -59,14 +59,26 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFra
         F.count("*").alias("n"), F.array_sort(F.collect_set("name")).alias("names"))
 
 
-def shared_dimension_pairs(links: DataFrame, owner: str, shared: str) -> DataFrame:
-    """Pairs of owners (a < b) that share something, with how much they share.
+#: Owners of one shared thing that a task pairs with all others of it.
+PAIRED = 1000
+
+
+def pairs_that_share(rows: DataFrame, item: str, *shared: str) -> DataFrame:
+    """(shared..., a, b) with a < b: the pairs of items that have the same ``shared``, from distinct rows.
 
-    Links are made distinct first; the join is on the shared key.
+    What n items share gives n^2 pairs, which are the result. Its items are dealt over a task for each PAIRED of them, by a hash, and meet all
+    others there, so that no one task makes the pairs of a thing that everybody uses.
     """
-    one = links.select(F.col(owner).alias("a"), F.col(shared).alias("k")).distinct()
-    two = one.select(F.col("a").alias("b"), "k")
-    return one.join(two, "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
+    one = rows.select(*shared, F.col(item).alias("a")).distinct()
+    parts = one.groupBy(*shared).agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("_parts"))
+    dealt = one.join(parts, list(shared)).withColumn("_part", F.pmod(F.xxhash64("a"), F.col("_parts")).cast("int"))
+    every = dealt.select(*shared, F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    return dealt.drop("_parts").join(every, [*shared, "_part"]).where("a < b").drop("_part")
+
+
+def shared_dimension_pairs(links: DataFrame, owner: str, shared: str) -> DataFrame:
+    """Pairs of owners (a < b) that share something, with how much they share."""
+    return pairs_that_share(links, owner, shared).groupBy("a", "b").agg(F.count("*").alias("n_shared"))
 
 
 def longest_prefix(items: DataFrame, places: DataFrame, *, item: str = "path", place: str = "root", fallback: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelattice.operators import intervals
+from codelattice.operators.hops import pairs_that_share
 
 
 def link_first(left: DataFrame, right: DataFrame, on: str, kind: str) -> DataFrame:
@@ -75,9 +76,7 @@ def validation_chain(steps: DataFrame) -> DataFrame:
 
 def cross_feature(links: DataFrame) -> DataFrame:
     """(a, b, kind, n_shared): pairs of features that share entities, services or screens, by kind."""
-    one = links.select("feature", "kind", "component").distinct()
-    two = one.select(F.col("feature").alias("b"), "kind", "component")
-    return one.withColumnRenamed("feature", "a").join(two, ["kind", "component"]).where("a < b").groupBy("a", "b", "kind").agg(F.count("*").alias("n_shared"))
+    return pairs_that_share(links, "feature", "kind", "component").groupBy("a", "b", "kind").agg(F.count("*").alias("n_shared"))
 
 
 def with_share(df: DataFrame, value: str, *by: str) -> DataFrame:

@@ -39,7 +39,9 @@ def method_chain(nodes: DataFrame, edges: DataFrame, entry: DataFrame, high: int
     for n in range(1, high + 1):
         last = F.min(F.struct(F.col("id").alias("via"), "line")).alias("last")
         step = step.select("seed", "id").join(e, F.col("id") == F.col("at")).groupBy("seed", F.col("to").alias("next")).agg(last).withColumnRenamed("next", "id")
-        step = step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "id", F.lit(n).alias("depth"), "last.via", "last.line")
+        step = cut(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "id", F.lit(n).alias("depth"), "last.via", "last.line"), "chain")
+        if found is not None and step.isEmpty():
+            break
         seen = seen.select("seed", "id").unionByName(step.select("seed", "id"))
         found = step if found is None else found.unionByName(step)
     holder = nodes.select(F.col("id").alias("holder"), F.col("name").alias("parent"))

@@ -19,6 +19,7 @@ def reach(edges: DataFrame, seeds: DataFrame, low: int, high: int, *, types: Seq
     found = [step] if low == 0 else []
     for n in range(1, high + 1):
         step = step.join(e, F.col("id") == F.col("at")).select("seed", F.col("to").alias("id")).distinct()
+        step = cut(step, "reach") if n > 3 else step  # long walks don't carry the plans of all steps
         if n >= low:
             found.append(step)
     out = found[0]
@@ -35,6 +36,7 @@ def count_walks(edges: DataFrame, seeds: DataFrame, low: int, high: int, *, type
     found = [step] if low == 0 else []
     for k in range(1, high + 1):
         step = step.join(e, F.col("id") == F.col("at")).groupBy("seed", F.col("to").alias("id")).agg(F.sum("n").alias("n"))
+        step = cut(step, "walks") if k > 3 else step
         if k >= low:
             found.append(step)
     out = found[0]

@@ -89,3 +89,12 @@ def test_cyclic_flow(spark):
     assert set(shown) == {"aInquiry", "c", "d", "never"}
     assert shown["aInquiry"].mode == "inquiry" and shown["aInquiry"].mode_source == "naming-pattern" and shown["aInquiry"].title == "A Inquiry"
     assert shown["c"].mode == "maintenance" and shown["c"].mode_source == "parent-inheritance" and shown["d"].pages == ["dEntry.jsp", "dResults.jsp"]
+
+
+def test_pairs_of_a_hot_thing(spark, monkeypatch):
+    from codelattice.operators import hops
+
+    monkeypatch.setattr(hops, "PAIRED", 7)
+    rows = [(i, "all") for i in range(60)] + [(i, f"k{i % 20}") for i in range(60)] + [(5, None), (1, "all")]
+    got = hops.shared_dimension_pairs(spark.createDataFrame(rows, "f int, c string"), "f", "c").collect()
+    assert {(r.a, r.b): r.n_shared for r in got} == {(a, b): 1 + (a % 20 == b % 20) for a in range(60) for b in range(a + 1, 60)}
