@@ -35,3 +35,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Cut tables that are deleted when a ``with`` block ends; nothing made in the block may read them later."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._paths = spark, []
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_folder(self.spark, name)
+        self._paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in self._paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

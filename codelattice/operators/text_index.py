@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelattice.operators.keep import keep_first
-from codelattice.operators.lineage import cut
+from codelattice.operators.lineage import Scratch, cut
 from codelattice.operators.search import K1, B, terms
 from codelattice.sources.buckets import BucketStore
 
@@ -48,31 +48,36 @@ class TextIndex:
         A document counts as changed if the hash of its text or its scope differs from what is stored. Null texts have no words; of rows with
         one id the largest by scope and text counts; null ids are left out.
         """
+        with Scratch(self.spark) as scratch:
+            return self._update(rows, gone, scratch)
+
+    def _update(self, rows: DataFrame, gone: DataFrame | None, scratch: Scratch) -> dict[str, int]:
         new = keep_first(rows.where("id is not null").select("id", "scope", "text"), ["id"], [F.col("scope").desc(), F.col("text").desc()])
         new = new.withColumn("hash", F.sha2(F.coalesce("text", F.lit("")), 256))
         old = self.documents.read()
+        version = (old.agg(F.max("version")).first()[0] or 0) + 1
         seen = old.select("id", F.col("hash").alias("_hash"), F.col("scope").alias("_scope"))
-        changed = cut(new.join(seen, "id", "left").where("_hash is null or _hash <> hash or not (scope <=> _scope)").drop("_hash", "_scope"), "changed")
-        drop = cut((gone.select("id") if gone is not None else changed.select("id").limit(0)).distinct().join(changed.select("id"), "id", "left_anti").join(old.select("id"), "id", "left_semi"), "dropped")
-        version = (self.documents.read().agg(F.max("version")).first()[0] or 0) + 1
-        replaced = cut(old.join(changed.select("id").union(drop.select("id")), "id", "left_semi"), "replaced")
-        cut_up = changed.select("id", "scope", "hash", terms(F.col("text")).alias("w")).withColumn("length", F.size("w")).withColumn("version", F.lit(version).cast("long"))
-        counted = cut_up.select("id", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").cast("int").alias("tf"))
-        counted = cut(counted, "words")
-        maps = counted.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("words"))
-        docs = cut(cut_up.drop("w").join(maps, "id", "left"), "documents")
+        changed = new.join(seen, "id", "left").where("_hash is null or _hash <> hash or not (scope <=> _scope)").select("id", "scope", "hash", terms(F.col("text")).alias("w"))
+        # One row a changed document, with its words counted: all that the postings and frequencies need.
+        head = F.first(F.struct("scope", "hash", "length")).alias("head")
+        counted = changed.select("id", "scope", "hash", F.size("w").alias("length"), F.explode_outer("w").alias("term")).groupBy("id", "term").agg(head, F.count("*").cast("int").alias("tf"))
+        word = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
+        docs = counted.groupBy("id").agg(F.first("head").alias("head"), F.map_from_entries(F.collect_list(word)).alias("words"))
+        docs = scratch.cut(docs.select("id", "head.*", F.lit(version).cast("long").alias("version"), "words"), "documents")
+        drop = scratch.cut((gone.select("id") if gone is not None else docs.select("id").limit(0)).distinct().join(docs.select("id"), "id", "left_anti").join(old.select("id"), "id", "left_semi"), "dropped")
+        replaced = scratch.cut(old.join(docs.select("id").union(drop.select("id")), "id", "left_semi").select("id", "version", "words"), "replaced")
         # Frequencies: words of replaced versions leave, those of new ones come.
         less = replaced.select(F.explode("words").alias("term", "tf")).select("term", F.lit(-1).alias("n"), F.lit(0).alias("tf"))
-        delta = less.union(counted.select("term", F.lit(1), "tf")).groupBy("term").agg(F.sum("n").alias("n"), F.max("tf").alias("tf"))
+        words = docs.select("id", "scope", "version", "length", F.explode("words").alias("term", "tf"))
+        delta = less.union(words.select("term", F.lit(1), "tf")).groupBy("term").agg(F.sum("n").alias("n"), F.max("tf").alias("tf"))
         known = self.terms.read().select("term", "df", "max_tf")
-        corrected = cut(delta.join(known, "term", "left").select("term", (F.coalesce("df", F.lit(0)) + F.col("n")).cast("long").alias("df"), F.greatest(F.coalesce("max_tf", F.lit(0)), "tf").cast("int").alias("max_tf")), "terms")
-        n_replaced = replaced.count()
-        if n_replaced:
+        corrected = scratch.cut(delta.join(known, "term", "left").select("term", (F.coalesce("df", F.lit(0)) + F.col("n")).cast("long").alias("df"), F.greatest(F.coalesce("max_tf", F.lit(0)), "tf").cast("int").alias("max_tf")), "terms")
+        if replaced.count():
             replaced.select("id", "version").write.mode("append").parquet(f"{self.path}/stale")
-        posted = counted.join(docs.select("id", "scope", "version", "length"), "id").select("term", "id", "scope", "version", "tf", "length", self._bucket().alias("bucket"))
+        posted = words.select("term", "id", "scope", "version", "tf", "length", self._bucket().alias("bucket"))
         posted.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        self.terms.merge(corrected, props=None)
-        self.documents.merge(docs, props=None)
+        self.terms.merge(corrected, props=None, unique=True)
+        self.documents.merge(docs, props=None, unique=True)
         n_dropped = self.documents.delete(drop)["deleted"] if not drop.isEmpty() else 0
         n = docs.count()
         return {"indexed": n, "unchanged": new.count() - n, "deleted": n_dropped}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice.operators.keep import keep_first
-from codelattice.operators.lineage import cut
+from codelattice.operators.lineage import Scratch, cut
 
 #: Columns of an edge that a match leaves as they were created.
 CREATED = ("type", "created_at", "weight")
@@ -46,24 +46,32 @@ class BucketStore:
         return self._stored().where(F.col("bucket").isin(at)).drop("bucket").join(F.broadcast(asked), self.key, "left_semi")
 
     def _replace(self, rows: DataFrame, buckets: list[int]) -> None:
-        rows = cut(rows, "merged")
-        empty = set(buckets) - {r.bucket for r in rows.select("bucket").distinct().collect()}
-        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        with Scratch(self.spark) as scratch:
+            rows = scratch.cut(rows, "merged")
+            empty = set(buckets) - {r.bucket for r in rows.select("bucket").distinct().collect()}
+            rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
         for b in empty:  # overwriting leaves partitions that have no rows any more
             folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket={b}")
             folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
-    def merge(self, new: DataFrame, *, keep: tuple[str, ...] = (), props: str | None = "props", order: str | None = None) -> dict[str, int]:
+    def merge(self, new: DataFrame, *, keep: tuple[str, ...] = (), props: str | None = "props", order: str | None = None, unique: bool = False) -> dict[str, int]:
         """Create rows with new keys and change those that match: {"created", "matched", "buckets"}.
 
         A match takes the new values, but for the columns ``keep``, which stay as created, and for nulls; of property maps both sides count, the newer
-        value where both have one. Of rows with the same key the last by ``order`` counts (without one, the largest hash); null keys are an error.
+        value where both have one. Of rows with the same key the last by ``order`` counts (without one, the largest hash); null keys are an error. Rows that are
+        known to be ``unique``, and written already, are not written once more.
         """
+        with Scratch(self.spark) as scratch:
+            return self._merge(new, keep, props, order, unique, scratch)
+
+    def _merge(self, new: DataFrame, keep: tuple[str, ...], props: str | None, order: str | None, unique: bool, scratch: Scratch) -> dict[str, int]:
         columns = self.read().columns
         bad = F.raise_error(F.lit("a row without a key")).cast(dict(self.read().dtypes)[self.key])
         new = new.withColumn(self.key, F.coalesce(F.col(self.key), bad))
         held = [c for c in new.columns if "map<" not in dict(new.dtypes)[c]]
-        new = cut(keep_first(new, [self.key], [F.col(order).desc() if order else F.xxhash64(*held).desc()]).select(*(F.col(c) if c in new.columns else F.lit(None).cast(t).alias(c) for c, t in self.read().dtypes), self._bucket()), "new-rows")
+        first = new if unique else keep_first(new, [self.key], [F.col(order).desc() if order else F.xxhash64(*held).desc()])
+        new = first.select(*(F.col(c) if c in new.columns else F.lit(None).cast(t).alias(c) for c, t in self.read().dtypes), self._bucket())
+        new = new if unique else scratch.cut(new, "new-rows")
         touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
         old = self._stored().where(F.col("bucket").isin(touched))
         a, b = old.select(*(F.col(c).alias(f"_a_{c}") for c in columns), F.col("bucket").alias("_a_bucket"), F.lit(True).alias("_had")), new.withColumn("_new", F.lit(True))
@@ -85,11 +93,12 @@ class BucketStore:
 
     def delete(self, keys: DataFrame) -> dict[str, int]:
         """Delete the rows of some keys (a column of the key's name): {"deleted", "buckets"}."""
-        gone = cut(keys.select(self.key, self._bucket()).where(F.col(self.key).isNotNull()).distinct(), "gone")
-        touched = [r.bucket for r in gone.select("bucket").distinct().collect()]
-        old = self._stored().where(F.col("bucket").isin(touched))
-        n = old.join(gone.select(self.key), self.key, "left_semi").count()
-        self._replace(old.join(gone.select(self.key), self.key, "left_anti"), touched)
+        with Scratch(self.spark) as scratch:
+            gone = scratch.cut(keys.select(self.key, self._bucket()).where(F.col(self.key).isNotNull()).distinct(), "gone")
+            touched = [r.bucket for r in gone.select("bucket").distinct().collect()]
+            old = self._stored().where(F.col("bucket").isin(touched))
+            n = old.join(gone.select(self.key), self.key, "left_semi").count()
+            self._replace(old.join(gone.select(self.key), self.key, "left_anti"), touched)
         return {"deleted": n, "buckets": len(touched)}
 
 
