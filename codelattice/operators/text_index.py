@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, MapType, StringType
 
 from codelattice.operators.keep import keep_first
 from codelattice.operators.lineage import Scratch, cut
@@ -14,18 +18,24 @@ from codelattice.sources.buckets import BucketStore
 SEEDS = 2
 
 
+@F.pandas_udf(MapType(StringType(), IntegerType()))
+def _counted(words: pd.Series) -> pd.Series:
+    """How often each word stands in a list."""
+    return words.map(lambda w: dict(Counter(w)))
+
+
 class TextIndex:
     """Tables under a path:
 
-    ``documents`` (id, scope, hash, length, version, words) and ``terms`` (term, df, max_tf) are bucket stores; ``postings`` (term, id, scope, version, tf, length), partitioned by
+    ``documents`` (id, scope, hash, length, version) and ``terms`` (term, df, max_tf) are bucket stores; ``postings`` (term, id, scope, version, tf, length), partitioned by
     a hash of the term, only grows; ``stale`` (id, version) names the versions that count no more. An update cuts only the texts that have changed, appends their
-    postings and corrects the frequencies of their words, old and new, so a search gives what an index made anew would. ``compact`` drops stale postings.
+    postings and corrects the frequencies of their words, old (found by a scan of the postings' ids) and new, so a search gives what an index made anew would. ``compact`` drops stale postings.
     One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, id_type: str = "string", buckets: int = 64):
         self.spark, self.path, self.id_type, self.buckets = spark, path.rstrip("/"), id_type, buckets
-        self.documents = BucketStore(spark, f"{self.path}/documents", f"id {id_type}, scope string, hash string, length int, version long, words map<string, int>", "id", buckets)
+        self.documents = BucketStore(spark, f"{self.path}/documents", f"id {id_type}, scope string, hash string, length int, version long", "id", buckets)
         self.terms = BucketStore(spark, f"{self.path}/terms", "term string, df long, max_tf int", "term", buckets)
 
     def _read(self, name: str, schema: str) -> DataFrame:
@@ -59,25 +69,25 @@ class TextIndex:
         seen = old.select("id", F.col("hash").alias("_hash"), F.col("scope").alias("_scope"))
         changed = new.join(seen, "id", "left").where("_hash is null or _hash <> hash or not (scope <=> _scope)").select("id", "scope", "hash", terms(F.col("text")).alias("w"))
         # One row a changed document, with its words counted: all that the postings and frequencies need.
-        head = F.first(F.struct("scope", "hash", "length")).alias("head")
-        counted = changed.select("id", "scope", "hash", F.size("w").alias("length"), F.explode_outer("w").alias("term")).groupBy("id", "term").agg(head, F.count("*").cast("int").alias("tf"))
-        word = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
-        docs = counted.groupBy("id").agg(F.first("head").alias("head"), F.map_from_entries(F.collect_list(word)).alias("words"))
-        docs = scratch.cut(docs.select("id", "head.*", F.lit(version).cast("long").alias("version"), "words"), "documents")
+        docs = scratch.cut(changed.select("id", "scope", "hash", F.size("w").alias("length"), F.lit(version).cast("long").alias("version"), _counted("w").alias("words")), "documents")
         drop = scratch.cut((gone.select("id") if gone is not None else docs.select("id").limit(0)).distinct().join(docs.select("id"), "id", "left_anti").join(old.select("id"), "id", "left_semi"), "dropped")
-        replaced = scratch.cut(old.join(docs.select("id").union(drop.select("id")), "id", "left_semi").select("id", "version", "words"), "replaced")
+        replaced = scratch.cut(old.join(docs.select("id").union(drop.select("id")), "id", "left_semi").select("id", "version"), "replaced")
+        n_replaced = replaced.count()
         # Frequencies: words of replaced versions leave, those of new ones come.
-        less = replaced.select(F.explode("words").alias("term", "tf")).select("term", F.lit(-1).alias("n"), F.lit(0).alias("tf"))
         words = docs.select("id", "scope", "version", "length", F.explode("words").alias("term", "tf"))
-        delta = less.union(words.select("term", F.lit(1), "tf")).groupBy("term").agg(F.sum("n").alias("n"), F.max("tf").alias("tf"))
+        delta = words.select("term", F.lit(1).alias("n"), "tf")
+        if n_replaced:
+            less = self.postings().select("term", "id", "version").join(replaced, ["id", "version"], "left_semi")
+            delta = delta.union(less.select("term", F.lit(-1), F.lit(0)))
+        delta = delta.groupBy("term").agg(F.sum("n").alias("n"), F.max("tf").alias("tf"))
         known = self.terms.read().select("term", "df", "max_tf")
         corrected = scratch.cut(delta.join(known, "term", "left").select("term", (F.coalesce("df", F.lit(0)) + F.col("n")).cast("long").alias("df"), F.greatest(F.coalesce("max_tf", F.lit(0)), "tf").cast("int").alias("max_tf")), "terms")
-        if replaced.count():
-            replaced.select("id", "version").write.mode("append").parquet(f"{self.path}/stale")
+        if n_replaced:
+            replaced.write.mode("append").parquet(f"{self.path}/stale")
         posted = words.select("term", "id", "scope", "version", "tf", "length", self._bucket().alias("bucket"))
         posted.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
         self.terms.merge(corrected, props=None, unique=True)
-        self.documents.merge(docs, props=None, unique=True)
+        self.documents.merge(docs.drop("words"), props=None, unique=True)
         n_dropped = self.documents.delete(drop)["deleted"] if not drop.isEmpty() else 0
         n = docs.count()
         return {"indexed": n, "unchanged": new.count() - n, "deleted": n_dropped}
