@@ -48,7 +48,7 @@ def java_files(t) -> DataFrame:
         "\n@Service(\"a{;}\")\n@Size(min = 1)\npublic class Unit", s, " extends Base", s % 3, " implements Role", s % 4, " {\n    private Unit", s % c("total") + 1, " other;\n    @NotBlank\n    private final String sql = \"x;{\", two = '{' + \"\";\n", F.coalesce("parts", F.lit("")),
         "\n    static class Inner", s, " {\n        class Deep {\n            void run", s, "() {\n            }\n        }\n        void in", s, "(int... xs) {}\n    }\n    void last", s, "(Role", s % 4, " r) { Deep d = new Deep(); d.run", s, "(); r.act(1, g(2, 3)); other.missing(); }\n",
         F.when(s % 2 == 0, "    public int act(int a, int b) { return 1; }\n").otherwise(""), "}\n")
-    rows = suppliers.join(F.broadcast(n)).join(parts, "s_suppkey" if False else s == c("s"), "left")
+    rows = suppliers.join(F.broadcast(n)).join(parts, s == c("s"), "left")
     files = _joined(rows, "s_nationkey", "s_suppkey", unit, "units").select(_written("n", c("s_nationkey"), ".java").alias("path"), _written("package p.n", c("s_nationkey"), ";\nimport java.util.List;\n/* class Ghost {\n } */\n", c("units")).alias("text"))
     common = F.lit(
         "interface Role0 { int act(int a, int b); }\ninterface Role1 extends Role0 { }\ninterface Role2 extends Role1, Role3 { }\ninterface Role3 extends Role2 { }\n"

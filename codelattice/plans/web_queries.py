@@ -17,15 +17,14 @@ from codelattice.sources import elements, flows
 
 QUERIES, ORACLES = {}, {}  # these register with the table queries
 
-text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c
 
 
 def _written(*parts) -> F.Column:
-    """Literals between double braces' worth of columns: strings are themselves, columns their text."""
+    """The parts joined: strings are themselves, columns their text."""
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
-def _joined(df: DataFrame, by: str, order: str, piece, name: str, empty: bool = True) -> DataFrame:
+def _joined(df: DataFrame, by: str, order: str, piece, name: str) -> DataFrame:
     g = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, piece.alias("piece")))).alias("x"))
     return g.select(by, F.array_join(F.transform("x", lambda r: r["piece"]), "\n").alias(name))
 
