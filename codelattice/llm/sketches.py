@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelattice.llm.common import cut
+
 #: Cells of each of the three subtables of a fingerprint.
 CELLS = 16
-#: On failure the paragraphs are dealt into groups of about so many, with larger subtables each time.
-GROUP = 16
+#: Digests that three subtables can hold for sure: beyond 0.81 of the cells peeling fails.
+HOLDS = 3 * CELLS * 4 // 5
+#: On failure the paragraphs are dealt into groups of about so many; a group's subtables start at as many cells and double with each try.
+GROUP = 8
 RETRIES = 6
 ROUNDS = 14
 #: Bytes of text to a range of ids.
@@ -48,15 +50,23 @@ def _runs(rows: Column, same: str) -> Column:
     return _let(starts, lambda at: F.transform(at, lambda i, j: F.slice(rows, i + 1, F.coalesce(F.get(at, j + 1), F.size(rows)) - i)))
 
 
+def _spread(keys: Column, cells: int) -> Column:
+    """Signed digests (k; n: 1 or -1) with their checks and the cells that they go to."""
+    return F.transform(keys, lambda x: F.struct(
+        x["k"].alias("k"), x["n"].alias("n"), _check(x["k"]).alias("h"), *(c.alias(f"c{t}") for t, c in enumerate(_cells_of(x["k"], cells)))))
+
+
+def _add(table: Column, keys: Column, cells: int, sign: int = 1) -> Column:
+    """The table with spread keys added to their cells, or taken away. A key is in one cell of each
+    subtable, so a cell looks for its keys by that subtable's number only."""
+    return F.concat(*(F.transform(F.slice(table, t * cells + 1, cells), lambda c, i: F.aggregate(
+        F.filter(keys, lambda p: p[f"c{t}"] == i + t * cells), c, lambda a, p: _merge(a, sign * p["n"], p["k"], p["h"]))) for t in range(3)))
+
+
 def _signed_sketch(keys: Column, cells: int) -> Column:
-    """The sketch of signed digests (k; n: 1 or -1). Each key goes to its three cells by one sort; an
-    empty entry for each cell makes every cell a run of its own."""
-    entry = lambda c, x, h: F.struct(c.alias("c"), x["k"].alias("k"), h.alias("h"), x["n"].alias("n"))
-    spread = F.flatten(F.transform(keys, lambda x: _let(_check(x["k"]), lambda h: F.array(*(entry(c, x, h) for c in _cells_of(x["k"], cells))))))
-    blank = F.transform(F.sequence(F.lit(0), F.lit(3 * cells - 1)), lambda c: F.struct(
-        c.alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("n")))
-    return _let(F.sort_array(F.concat(spread, blank)), lambda rows: F.transform(
-        _runs(rows, "c"), lambda run: F.aggregate(run, _empty(), lambda a, x: _merge(a, x["n"], x["k"], x["h"]))))
+    """The sketch of signed digests."""
+    blank = F.transform(F.sequence(F.lit(1), F.lit(3 * cells)), lambda _: _empty())
+    return _let(_spread(keys, cells), lambda x: _add(blank, x, cells))
 
 
 def sketch(keys: Column, cells: int = CELLS) -> Column:
@@ -75,10 +85,15 @@ def _let(value: Column, body) -> Column:
 
 
 def _pure(cells: Column, size: int) -> Column:
-    """The digests that are alone in a cell, with their checks and the cells that they are in."""
-    alone = F.filter(cells, lambda c: (F.abs(c["n"]) == 1) & (c["h"] == _check(c["k"])))
-    keys = F.array_distinct(F.transform(alone, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), c["h"].alias("h"))))
-    return F.transform(keys, lambda p: F.struct(p["k"].alias("k"), p["n"].alias("n"), p["h"].alias("h"), *(c.alias(f"c{t}") for t, c in enumerate(_cells_of(p["k"], size)))))
+    """The digests that are alone in one of their cells, with their checks and the cells that they are in."""
+    alone = F.filter(F.transform(cells, lambda c, i: F.when(
+        (F.abs(c["n"]) == 1) & (c["h"] == _check(c["k"])),
+        F.struct(c["k"].alias("k"), c["n"].alias("n"), c["h"].alias("h"), *(x.alias(f"c{t}") for t, x in enumerate(_cells_of(c["k"], size))), i.alias("at")),
+    )), lambda p: p.isNotNull())
+    there = lambda p, t: (F.get(cells, p[f"c{t}"])["k"] == p["k"]) & (F.get(cells, p[f"c{t}"])["n"] == p["n"])
+    # Alone in several of its cells, a digest counts in the first of them.
+    return F.filter(alone, lambda p: F.when(p["at"] == p["c0"], True).when(p["at"] == p["c1"], ~there(p, 0)).when(
+        p["at"] == p["c2"], ~there(p, 0) & ~there(p, 1)).otherwise(False))
 
 
 def peel(cells: Column, size: int = CELLS) -> Column:
@@ -86,13 +101,10 @@ def peel(cells: Column, size: int = CELLS) -> Column:
 
     ``plus`` and ``minus`` are the digests of the first and of the second set only.
     """
-    keys = "array<struct<k: bigint, n: int, h: bigint, c0: int, c1: int, c2: int>>"
+    keys = "array<struct<k: bigint, n: int, h: bigint, c0: int, c1: int, c2: int, at: int>>"
     state = lambda x, got: F.struct(x.alias("cells"), _pure(x, size).alias("pure"), got.alias("got"))
     step = lambda s: F.when(F.size(s["pure"]) == 0, s).otherwise(_let(
-        F.transform(s["cells"], lambda c, i: F.aggregate(
-            F.filter(s["pure"], lambda p: (p["c0"] == i) | (p["c1"] == i) | (p["c2"] == i)), c, lambda a, p: _merge(a, -p["n"], p["k"], p["h"]))),
-        lambda x: state(x, F.concat(s["got"], s["pure"])),
-    ))
+        _add(s["cells"], s["pure"], size, -1), lambda x: state(x, F.concat(s["got"], s["pure"]))))
     end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), _let(cells, lambda x: state(x, F.array().cast(keys))), lambda s, _: step(s))
     digests = lambda s, n: F.transform(F.filter(s["got"], lambda x: x["n"] == n), lambda x: x["k"])
     return _let(end, lambda s: F.struct(
@@ -103,34 +115,36 @@ def peel(cells: Column, size: int = CELLS) -> Column:
 def difference(a_keys: Column, a_cells: Column, b_keys: Column, b_cells: Column) -> Column:
     """How many paragraphs differ between two versions, by subtracting and peeling their sketches.
 
-    Where the fixed-size sketches do not peel, larger ones are made: the digests are hashed anew,
-    dealt into groups of about GROUP, and each group gets a sketch of its own whose subtables
-    double with every retry. An error is raised if all retries fail (under 1e-9 for thousands of
-    paragraphs).
+    Where the fixed-size sketches do not peel, or where the numbers of digests alone differ by more
+    than they hold, larger ones are made: the digests are dealt into groups of about GROUP, and each
+    group gets a sketch of its own. A group that does not peel is hashed anew into subtables of twice
+    the cells. An error is raised if all tries of a group fail (under 1e-9 for thousands of paragraphs).
     """
-    tries = [_let(peel(subtract(a_cells, b_cells)), _recovered)]
-    tries += [_retry(a_keys, b_keys, r) for r in range(1, RETRIES + 1)]
-    return F.coalesce(*tries, F.raise_error(F.lit("the sketches did not peel")).cast("int"))
+    fixed = F.when(F.abs(F.size(a_keys) - F.size(b_keys)) <= HOLDS, _let(peel(subtract(a_cells, b_cells)), _recovered))
+    return F.coalesce(fixed, _grouped(a_keys, b_keys))
 
 
 def _recovered(peeled: Column) -> Column:
     return F.when(peeled["ok"], F.size(peeled["plus"]) + F.size(peeled["minus"]))
 
 
-def _retry(a_keys: Column, b_keys: Column, r: int) -> Column:
-    """The number of differing digests from grouped sketches of retry ``r``; null if one does not peel.
-
-    One sort brings each group's digests together, so the work grows with their number, not with its square.
-    """
-    size = GROUP << (r - 1)
+def _grouped(a_keys: Column, b_keys: Column) -> Column:
+    """The number of differing digests from grouped sketches. One sort brings each group's digests
+    together, so the work grows with their number, not with its square."""
 
     def signed(keys: Column, sign: int, groups: Column) -> Column:
-        return F.transform(keys, lambda k: _let(F.xxhash64(k, F.lit(r)), lambda h: F.struct(
-            F.pmod(F.shiftrightunsigned(h, 20), groups).alias("g"), h.alias("k"), F.lit(sign).alias("n"))))
+        return F.transform(keys, lambda k: F.struct(
+            F.pmod(F.shiftrightunsigned(F.xxhash64(k, F.lit(0)), 20), groups).alias("g"), k.alias("k"), F.lit(sign).alias("n")))
+
+    def attempt(rows: Column, r: int) -> Column:
+        anew = F.transform(rows, lambda x: F.struct(F.xxhash64(x["k"], F.lit(r)).alias("k"), x["n"].alias("n")))
+        size = GROUP << (r - 1)
+        return _let(peel(_signed_sketch(anew, size), size), _recovered)
 
     groups = F.ceil((F.size(a_keys) + F.size(b_keys)) / F.lit(GROUP))
+    failed = F.raise_error(F.lit("the sketches did not peel")).cast("int")
     return _let(groups, lambda n: _let(F.sort_array(F.concat(signed(a_keys, 1, n), signed(b_keys, -1, n))), lambda rows: F.aggregate(
-        _runs(rows, "g"), F.lit(0), lambda acc, x: F.when(acc.isNotNull(), acc + _let(peel(_signed_sketch(x, size), size), _recovered)))))
+        _runs(rows, "g"), F.lit(0), lambda acc, x: acc + F.coalesce(*(attempt(x, r) for r in range(1, RETRIES + 1)), failed))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -147,16 +161,26 @@ def fingerprint_text(cells: Column) -> Column:
         F.hex(c["n"]), F.lit("."), F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(c["h"]), 8, "0"))))), "-")
 
 
-def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+def paragraph_sketch(text: Column) -> Column:
+    """The digests of a text's paragraphs and their sketch: a struct of keys and cells."""
+    return _let(paragraph_digests(text), lambda k: F.struct(k.alias("keys"), sketch(k).alias("cells")))
+
+
+def with_next(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, facts: dict[str, Column] | None = None
+) -> DataFrame:
     """(id, text, next_text): each document with the next one's text by descending id; after the
     last comes the first.
 
-    Rows are dealt into ``parts`` ranges (by default of about PART bytes of text) by the quantiles of
-    the ids, of which a number per range reaches the driver, and each range is ordered by itself. An
-    id that several quantiles fall on, and null ids, are dealt on by a hash of the text, so that no
-    id with many texts makes one range. A range also gets the first document of the range below as its
-    last row, so no range needs another one's rows. Equal ids are ordered by that hash and then by
-    text, null ids come last. Ids are numbers.
+    Rows are dealt into ``parts`` ranges (by default of about PART bytes of text) of the id and, so
+    that an id with many texts and missing ids make no range of their own, of a hash of the text.
+    Each range is ordered by itself and written, so that a lost executor cannot move its bounds. A
+    range also gets the first document of the range below as its last row, so no range needs another
+    one's rows; which range that is one task finds from the ranges' numbers. Equal ids are ordered by
+    that hash and then by text, null ids come last. Ids are of any type that has an order.
+
+    ``facts`` are expressions of the column ``text``: each is worked out once a row and returned under
+    its name, and as next_<name> for the next document.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -164,34 +188,19 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     if parts is None:
         n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART))
-    quantiles = [i / parts for i in range(1, parts)] or [0.5]
-    n, n_null, cuts = rows.agg(F.count("*"), F.count_if(F.col("id").isNull()), F.percentile_approx("id", quantiles, 20 * parts)).first()
-    cuts = sorted(cuts or []) if parts > 1 else []
-    nulls = max(1, -(-n_null * parts // n)) if n else 1  # ranges for rows without an id
-    share = lambda k: F.floor(F.col("spread") * (k / float(1 << 53))).cast("int")
-    if cuts:
-        step = max(1, int(len(cuts) ** 0.5))  # two short searches in place of one long one
-        every, coarse = F.array(*map(F.lit, cuts)), F.array(*map(F.lit, cuts[::step]))
-        block = F.greatest(F.size(F.filter(coarse, lambda c: c < F.col("id"))) - 1, F.lit(0)) * step
-        below = block + F.size(F.filter(F.slice(every, block + 1, step), lambda c: c < F.col("id")))
-        same = [x for c, k in Counter(cuts).items() if k > 1 for x in (F.lit(c).cast(dict(rows.dtypes)["id"]), F.lit(k))]
-        times = F.coalesce(F.try_element_at(F.create_map(*same), F.col("id")), F.lit(0)) if same else F.lit(0)
-        part = F.lit(nulls) + below + share(times + 1)
-    else:
-        part = F.lit(nulls)
-    rows = rows.withColumn("part", F.when(F.col("id").isNull(), share(F.lit(nulls))).otherwise(part))
-    first = F.struct(F.col("id").isNotNull().alias("named"), "id", "spread", "text")
-    w = Window.partitionBy("part").orderBy("borrowed", F.col("id").desc_nulls_last(), F.col("spread").desc(), F.col("text").desc())
-    top = lambda c: F.struct(F.col("id").isNotNull().alias("named"), "id", "spread").alias(c)
-    tops = {r.part: r.top for r in rows.groupBy("part").agg(F.max(top("t")).alias("top")).collect()}  # a row per range
-    order = sorted(tops, reverse=True)
-    follows = [(p, order[i - 1]) for i, p in enumerate(order)]  # the range that borrows the first row of p
-    heads = spark.createDataFrame(
-        [(p, q, tops[p]["id"], tops[p]["spread"]) for p, q in follows], f"part int, after int, top_id {dict(rows.dtypes)['id']}, top_spread long")
-    leading = rows.join(F.broadcast(heads), "part").where(F.col("id").eqNullSafe(F.col("top_id")) & (F.col("spread") == F.col("top_spread")))
-    borrowed = leading.groupBy("after").agg(F.max(first).alias("f")).select("f.id", "f.text", "f.spread", F.col("after").alias("part"), F.lit(1).alias("borrowed"))
-    every_row = rows.withColumn("borrowed", F.lit(0)).unionByName(borrowed)
-    return every_row.withColumn("next_text", F.lead("text").over(w)).where("borrowed = 0").select("id", "text", "next_text")
+    order = [F.col("id").desc_nulls_last(), F.col("spread").desc()]
+    ranged = cut(
+        rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, F.col("text").desc())
+        .select("id", "text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "ranges",
+    )
+    heads = ranged.where(F.col("at") == F.shiftleft(F.col("part").cast("long"), 33))  # rows of a partition are numbered from there
+    numbers = heads.select("part", F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy())).alias("after"))
+    borrowed = heads.join(numbers, "part").select("id", "text", F.col("after").alias("part"), F.lit((1 << 63) - 1).alias("at"), F.lit(True).alias("borrowed"))
+    made = facts or {}
+    every_row = ranged.withColumn("borrowed", F.lit(False)).unionByName(borrowed).repartition("part").select("*", *(c.alias(name) for name, c in made.items()))
+    w = Window.partitionBy("part").orderBy("at")
+    ahead = every_row.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in ("text", *made)))
+    return ahead.where("not borrowed").drop("part", "at", "borrowed")
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,19 +210,18 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     the next document (by descending id; after the last the first). Returns ``id_col``, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next: the likeness of the
     text's sketch to the edited text's and the next document's, from the paragraphs that peeling
-    recovers. One row per input row; null is empty; equal texts have equal fingerprints; a single
-    document is its own next.
+    recovers. Each text is sketched once and its sketch goes along with it to the document before.
+    One row per input row; null is empty; equal texts have equal fingerprints; a single document is
+    its own next.
     """
     half = F.floor(F.length("text") / 2).cast("int")
-    rows = with_next(docs, id_col=id_col, text_col=text_col).withColumn(
+    rows = with_next(docs, id_col=id_col, text_col=text_col, facts={"own": paragraph_sketch(F.col("text"))}).withColumn(
         "edited", F.concat(F.expr("left(text, length(text) - floor(length(text) / 2))"), F.substring("next_text", F.lit(1), half)))
-    keys = F.struct(*(paragraph_digests(F.col(c)).alias(c) for c in ("text", "edited", "next_text")))
     rows = rows.select(
-        "id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(keys)).alias("k"))
-    made = F.struct(*(F.struct(F.col(f"k.{c}").alias("keys"), sketch(F.col(f"k.{c}")).alias("cells")).alias(c) for c in ("text", "edited", "next_text")))
-    rows = rows.select("id", "n_chars", "edited_sha256", F.explode(F.array(made)).alias("v"))
+        "id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "own", "next_own",
+        F.explode(F.array(paragraph_sketch(F.col("edited")))).alias("other"))
     return rows.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256",
-        fingerprint_text(F.col("v.text.cells")).alias("fingerprint"), fingerprint_text(F.col("v.edited.cells")).alias("edited_fingerprint"),
-        likeness(F.col("v.text"), F.col("v.edited")).alias("near_edited"), likeness(F.col("v.text"), F.col("v.next_text")).alias("near_next"),
+        fingerprint_text(F.col("own.cells")).alias("fingerprint"), fingerprint_text(F.col("other.cells")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )

@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from codelattice.llm import decontamination, license_scan, line_dedup, mixing, simhash, sketches, suffix_dedup, token_counts
 
@@ -425,6 +426,30 @@ def test_sketches_of_many_paragraphs(spark):
     assert got[2].near_next == pytest.approx(8_000 / 16_000) and time.perf_counter() - began < 60
 
 
+def test_next_of_ids_that_are_texts(spark):
+    df = spark.createDataFrame([("b", "B"), (None, "none"), ("a", "A"), ("c", None), ("ä", "AE")], "doc_id string, text string")
+    got = {r.id: (r.text, r.next_text) for r in sketches.with_next(df, parts=3).collect()}
+    assert got == {"ä": ("AE", ""), "c": ("", "B"), "b": ("B", "A"), "a": ("A", "none"), None: ("none", "AE")}
+
+
+def test_facts_of_the_next_document(spark):
+    df = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(40)], "doc_id long, text string")
+    rows = sketches.with_next(df, parts=5, facts={"n": F.length("text")}).collect()
+    assert len(rows) == 40 and all((r.n, r.next_n) == (len(r.text), len(r.next_text)) for r in rows)
+    assert all(r.next_n == (r.id - 1) % 40 % 7 for r in rows)
+
+
+@pytest.mark.parametrize("shared", [0, 1, 20, 37, 60, 400])
+def test_differences_of_every_size_are_exact(spark, shared):
+    """From none to more than a fixed sketch holds, on either side, and groups that need larger tables."""
+    rows = [(n, "\n".join([f"Shared {shared} line {i}." for i in range(shared)] + [f"Own {n} line {i}." for i in range(n)])) for n in (0, 1, 5, 19, 38, 39, 41, 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.near_next for r in sketches.fingerprint_documents(df).collect()}
+    ids = sorted(got, reverse=True)
+    for n, m in zip(ids, ids[1:] + ids[:1], strict=True):
+        assert got[n] == pytest.approx(shared / (shared + n + m) if shared + n + m else 1.0)
+
+
 def test_half_of_a_short_line_stays_alike(spark):
     own = "One short line here. It has four sentences. The third stands here. And this is the last."
     df = spark.createDataFrame([(2, own), (1, "Another text altogether. Nothing is shared.")], "doc_id long, text string")
