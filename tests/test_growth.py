@@ -25,3 +25,34 @@ def test_walks_are_not_shuffled_one_by_one(spark):
     rows = {(r.seed, r.id): r.n for r in got.collect()}
     assert len(rows) == 3 + 2 * 3 + 2 * 2500
     assert rows["o1", "s2499"] == 3 and rows["o0", "p2"] == 1 and rows["none", "none"] == 1
+
+
+def test_traces_are_not_shuffled_pair_by_pair(spark, tmp_path, monkeypatch):
+    from codelattice.plans import graph_queries, link_queries, registry  # noqa: F401
+
+    e = fan(spark)
+    calls = spark.createDataFrame([("CALLS", "o0", "c0"), ("CALLS", "o1", "c0"), ("CALLS", "o9", "c1")], "type string, src string, dst string")
+    e = e.unionByName(calls).unionByName(spark.createDataFrame([("USES", "o2", "alone")], "type string, src string, dst string"))
+    n = spark.createDataFrame([(f"o{i}", "Order") for i in range(4)], "id string, kind string")
+    monkeypatch.setattr(graph_queries, "nodes", lambda *_: n)
+    monkeypatch.setattr(graph_queries, "edges", lambda *_: e)
+    got = registry.QUERIES["r13_feature_trace"](spark, "")
+    assert [tuple(r) for r in got.collect()] == [("c0", 2, 3, 2500)]
+    flow = registry.QUERIES["r14_flow_by_layer"](spark, "")
+    assert sorted(tuple(r) for r in flow.collect()) == [("o0", 3, 2500), ("o1", 3, 2500), ("o2", 1, 0), ("o3", 0, 0)]
+    for df, by, end in ((got, "customer", "s"), (flow, "o", "sup")):
+        assert not re.search(rf"hashpartitioning\({by}#\d+, {end}#\d+", plan(df))
+
+
+def test_owner_of_tied_lines_is_the_first_in_the_table(spark, tmp_path):
+    import duckdb
+
+    from codelattice.plans import code_graph
+
+    rows = ", ".join(f"({o}, {p}, {s}, 1)" for p in range(40) for o, s in ((2, 9), (1, 7 - p % 5), (1, p % 3), (1, 5)))
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    con.execute(f"copy (select * from (values {rows}) x(l_orderkey, l_partkey, l_suppkey, l_linenumber)) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    want = con.execute(f"select l_partkey, arg_min(l_suppkey, l_orderkey * 10 + l_linenumber) from '{tmp_path}/lineitem.parquet' group by 1 order by 1").fetchall()
+    got = code_graph._owners(spark.read.parquet(f"{tmp_path}/lineitem.parquet"), "k").orderBy("k").collect()
+    assert [tuple(r) for r in got] == want == [(p, 7 - p % 5) for p in range(40)]
