@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.operators.lineage import cut
@@ -37,17 +37,38 @@ def run_methods(closure: DataFrame, methods: DataFrame) -> DataFrame:
     return found.groupBy(F.col("sub").alias("type"), "name", "arity").agg(F.min_by("id", order).alias("target"))
 
 
-def resolve_invocations(calls: DataFrame, closure: DataFrame, methods: DataFrame) -> DataFrame:
-    """(call, src, target): each implementation that a call can reach: calls have call (an id), src, receiver_type, name and arity.
+def targets(calls: DataFrame, closure: DataFrame, methods: DataFrame) -> DataFrame:
+    """(receiver_type, name, arity, target): what calls with that receiver, name and number of arguments can reach; only names that are called are looked up.
 
     An object behind a receiver can be of the receiver's type or of any of its subtypes; what each of them runs is a target.
-    Calls of names that no such type has are left out.
     """
-    run = cut(run_methods(closure, methods), "run-methods")
+    called = calls.select("name", "arity").distinct()
+    run = cut(run_methods(closure, methods.join(called, ["name", "arity"], "left_semi")), "run-methods")
     below = closure.select(F.col("super").alias("receiver_type"), F.col("sub").alias("type"))
     bare = run.select("type").distinct().join(closure.select(F.col("sub").alias("type")), "type", "left_anti").select(F.col("type").alias("receiver_type"), "type")
-    reach = below.unionByName(bare).distinct().join(run, "type").select("receiver_type", "name", "arity", "target").distinct()
-    return calls.join(reach, ["receiver_type", "name", "arity"]).select("call", "src", "target").distinct()
+    return below.unionByName(bare).distinct().join(run, "type").select("receiver_type", "name", "arity", "target").distinct()
+
+
+def resolve_invocations(calls: DataFrame, closure: DataFrame, methods: DataFrame) -> DataFrame:
+    """(call, src, target): each implementation that a call can reach: calls have call (an id), src, receiver_type, name and arity.
+
+    Calls of names that no type behind the receiver has are left out. Calls through a type that everything extends give a row for each of them and
+    each override; ``summed_targets`` does without these rows.
+    """
+    return calls.join(targets(calls, closure, methods), ["receiver_type", "name", "arity"]).select("call", "src", "target").distinct()
+
+
+def summed_targets(calls: DataFrame, closure: DataFrame, methods: DataFrame, *sums: Column) -> DataFrame:
+    """(src, sums...): aggregates over the distinct targets that the calls of each src can reach; a src that reaches none is left out.
+
+    Calls of the same receiver, name and number of arguments reach the same. So the targets are summed up once for each set of such
+    calls that some src makes, not for each src, and no pair of call and target is made.
+    """
+    made = calls.where("receiver_type is not null").groupBy("src").agg(F.array_sort(F.collect_set(F.struct("receiver_type", "name", "arity"))).alias("made"))
+    made = cut(made.withColumn("made_id", F.sha2(F.to_json("made"), 256)), "made")
+    sets = made.dropDuplicates(["made_id"]).select("made_id", F.inline("made"))
+    reach = sets.join(targets(calls, closure, methods), ["receiver_type", "name", "arity"]).select("made_id", "target").distinct()
+    return made.select("src", "made_id").join(reach.groupBy("made_id").agg(*sums), "made_id").drop("made_id")
 
 
 def receiver_types(calls: DataFrame, variables: DataFrame) -> DataFrame:

@@ -56,3 +56,16 @@ def test_owner_of_tied_lines_is_the_first_in_the_table(spark, tmp_path):
     want = con.execute(f"select l_partkey, arg_min(l_suppkey, l_orderkey * 10 + l_linenumber) from '{tmp_path}/lineitem.parquet' group by 1 order by 1").fetchall()
     got = code_graph._owners(spark.read.parquet(f"{tmp_path}/lineitem.parquet"), "k").orderBy("k").collect()
     assert [tuple(r) for r in got] == want == [(p, 7 - p % 5) for p in range(40)]
+
+
+def test_calls_through_a_common_type_are_summed_once(spark):
+    from codelattice.operators import types
+
+    n = 3000
+    closure = types.supertype_closure(spark.range(n).select(F.concat(F.lit("T"), F.col("id").cast("string")).alias("sub"), F.lit("Base").alias("super")))
+    methods = spark.range(n).select(F.concat(F.lit("T"), F.col("id").cast("string"), F.lit(".act/0")).alias("id"), F.concat(F.lit("T"), F.col("id").cast("string")).alias("type"), F.lit("act").alias("name"), F.lit(0).alias("arity"), F.lit(True).alias("has_body"))
+    calls = spark.range(n).select(F.col("id").alias("call"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("src"), F.lit("Base").alias("receiver_type"), F.lit("act").alias("name"), F.lit(0).alias("arity"))
+    more = spark.createDataFrame([(-1, "m0", "T7", "act", 0), (-2, "two", "T7", "act", 0), (-3, "two", "T8", "act", 0), (-4, "lost", "Base", "never", 0)], calls.schema)
+    got = types.summed_targets(calls.union(more), closure, methods, F.count("target").alias("n"), F.min("target").alias("least"))
+    rows = {r.src: (r.n, r.least) for r in got.collect()}
+    assert len(rows) == n + 1 and rows["m5"] == rows["m0"] == (n, "T0.act/0") and rows["two"] == (2, "T7.act/0")
