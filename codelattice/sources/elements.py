@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +42,10 @@ def _attributes(c: Column) -> Column:
 
 
 def tags(files: DataFrame, key: str = "path", text: str = "text", *, clean: Column | None = None) -> DataFrame:
-    """(key, at, closing, tag, raw, empty, text): every tag in document order, numbered from 1, with the text that follows it."""
+    """(key, at, closing, tag, raw, empty, text): every tag in document order, numbered from 1, with the text that follows it.
+
+    Texts are far larger than what they are written from and hold far more work, so they are dealt over as many tasks as a shuffle has, which are not merged by size."""
+    files = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     body = F.coalesce(clean if clean is not None else without_code(F.col(text)), F.lit(""))
     rows = files.select(F.col(key).alias("key"), F.posexplode(F.regexp_extract_all(body, F.lit(f"({_TAG})"), F.lit(1))).alias("at", "token"))
     part = lambda n: F.regexp_extract("token", f"(?s)^{_TAG}$", n)
@@ -47,45 +53,77 @@ def tags(files: DataFrame, key: str = "path", text: str = "text", *, clean: Colu
     return rows.withColumn("empty", ~F.col("closing") & F.col("raw").rlike(r"/\s*$"))
 
 
-def _nested(found: DataFrame) -> DataFrame:
-    """Open tags with ``last``, the number of the tag that closes each: the next closing one at the same depth of its own name.
+def _nested(closing: list[bool], empty: list[bool], names: list[int], within: array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The end, parent and depth of each open tag of a file, and how many names are open around it; ``within`` gets (name, at, n) of each.
 
-    The depth is a running sum over the file's tags of a name, from its running minimum, so that a closing tag without an open one
-    counts for nothing. A tag that nothing closes holds only itself, as an empty one does.
+    A closing tag closes the last open one of its name, and one without an open one counts for nothing. A tag that nothing closes holds only itself, as an
+    empty one does.
     """
-    by_name = Window.partitionBy("key", "tag").orderBy("at")
-    pairs = found.where(~F.col("empty")).withColumn("sum", F.sum(F.when(F.col("closing"), -1).otherwise(1)).over(by_name))
-    low = F.least(F.lit(0), F.coalesce(F.min("sum").over(by_name.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    pairs = pairs.withColumn("level", F.col("sum") + F.col("closing").cast("int") - low).where("level > 0")
-    by_level = Window.partitionBy("key", "tag", "level").orderBy("at")
-    closes = F.lead(F.when(F.col("closing"), F.col("at"))).over(by_level)
-    pairs = pairs.withColumn("last", F.coalesce(closes, F.col("at"))).where(~F.col("closing"))
-    return pairs.select("key", "at", "last", "tag", "raw", "text").union(found.where("empty").select("key", "at", F.col("at").alias("last"), "tag", "raw", "text"))
-
-
-def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Parents, depths and the innermost open element of each name, from elements sorted by file and place."""
-    group, open_, named = None, [], {}
-    for rows in batches:
-        parents, depths, within = [], [], []
-        for key, at, last, tag in zip(rows["key"].tolist(), rows["at"].tolist(), rows["last"].tolist(), rows["tag"].tolist(), strict=True):
-            if key != group:
-                group, open_, named = key, [], {}
-            while open_ and open_[-1][1] < at:
-                open_.pop()
+    last, stacks = np.arange(1, len(names) + 1, dtype="int32"), {}
+    for i, name in enumerate(names):
+        if closing[i]:
+            if stacks.get(name):
+                last[stacks[name].pop()] = i + 1
+        elif not empty[i]:
+            stacks.setdefault(name, []).append(i)
+    opens = np.flatnonzero(~np.asarray(closing, dtype=bool))
+    parent, depth, sizes = (np.zeros(len(opens), dtype="int32") for _ in range(3))
+    open_, named, flat, soonest = [], {}, [], 0
+    for k, (at, end) in enumerate(zip((opens + 1).tolist(), last[opens].tolist(), strict=True)):
+        while open_ and open_[-1][1] < at:
+            open_.pop()
+        if named and soonest < at:
             for name in [n for n, stack in named.items() if stack[-1][1] < at]:
                 stack = named[name]
                 while stack and stack[-1][1] < at:
                     stack.pop()
                 if not stack:
                     del named[name]
-            parents.append(open_[-1][0] if open_ else 0)
-            depths.append(open_[-1][2] + 1 if open_ else 0)
-            within.append({n: {"at": s[-1][0], "n": len(s)} for n, s in named.items()})
-            if last > at:
-                open_.append((at, last, depths[-1]))
-                named.setdefault(tag, []).append((at, last))
-        yield pd.DataFrame({"key": rows["key"], "at": rows["at"], "last": rows["last"], "tag": rows["tag"], "raw": rows["raw"], "text": rows["text"], "parent": parents, "depth": depths, "within": within})
+            flat, soonest = [x for n, stack in named.items() for x in (n, stack[-1][0], len(stack))], min((stack[-1][1] for stack in named.values()), default=0)
+        if open_:
+            parent[k], depth[k] = open_[-1][0], open_[-1][2] + 1
+        within.extend(flat)
+        sizes[k] = len(named)
+        if end > at:
+            open_.append((at, end, depth[k]))
+            named.setdefault(names[at - 1], []).append((at, end))
+            flat, soonest = [x for n, stack in named.items() for x in (n, stack[-1][0], len(stack))], min(stack[-1][1] for stack in named.values())
+    return last[opens], parent, depth, sizes
+
+
+def _swept(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The elements of whole files from their tags in order."""
+    codes = pc.dictionary_encode(rows["tag"].combine_chunks())
+    codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+    first = np.append(np.flatnonzero(rows["at"].to_numpy() == 1), len(rows))
+    closing, empty, names = rows["closing"].to_pylist(), rows["empty"].to_pylist(), codes.indices.to_pylist()
+    within, found = array("i"), []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        found.append(_nested(closing[a:b], empty[a:b], names[a:b], within))
+    last, parent, depth, sizes = (pa.array(np.concatenate(c)) for c in zip(*found, strict=True))
+    flat = np.frombuffer(within, dtype="int32").reshape(-1, 3) if within else np.zeros((0, 3), dtype="int32")
+    around = pa.StructArray.from_arrays([pa.array(flat[:, 1]), pa.array(flat[:, 2])], ["at", "n"])
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes.to_numpy())]).astype("int32"))
+    maps = pa.MapArray.from_arrays(offsets, codes.dictionary.take(pa.array(flat[:, 0])), around)
+    kept = rows.filter(pc.invert(rows["closing"]))
+    columns = {"key": kept["key"], "at": kept["at"], "last": last, "tag": kept["tag"], "raw": kept["raw"], "text": kept["text"], "parent": parent, "depth": depth, "within": maps}
+    yield from pa.table(columns).to_batches(max_chunksize=10_000)
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Elements from tags; those of a file come together and in order. A file is held until its last tag is there."""
+    held = []
+    for rows in batches:
+        begins = np.flatnonzero(rows["at"].to_numpy() == 1)
+        cut_at = int(begins[-1]) if len(begins) else 0
+        if len(begins) and (held or cut_at):
+            done = pa.Table.from_batches([*held, rows.slice(0, cut_at)])
+            held = []
+            if len(done):
+                yield from _swept(done)
+        held.append(rows.slice(cut_at))
+    if held:
+        yield from _swept(pa.Table.from_batches(held))
 
 
 def elements(files: DataFrame, key: str = "path", text: str = "text", *, clean: Column | None = None) -> DataFrame:
@@ -95,12 +133,12 @@ def elements(files: DataFrame, key: str = "path", text: str = "text", *, clean:
     ``parent`` is the number of the enclosing element (0: none), ``depth`` how many enclose it, ``within`` for each name the innermost
     enclosing element of that name (at) and how many of it enclose (n). ``text`` is what follows the tag directly. Tags need not
     nest: a closing tag closes the last open one of its name, and an element that nothing closes holds only itself; where two
-    overlap, the later begun is the parent as long as it is last. Nulls and texts without tags have no rows. Each file is sorted
-    and swept once; memory holds the elements open at a time.
+    overlap, the later begun is the parent as long as it is last. Nulls and texts without tags have no rows. A file's tags come out of
+    its text together and in order, so they are swept where they are, without a shuffle or sort; memory holds the tags of one file.
     """
-    found = _nested(tags(files, key, text, clean=clean))
+    found = tags(files, key, text, clean=clean)
     kind = dict(found.dtypes)["key"]
-    swept = found.repartition("key").sortWithinPartitions("key", "at").mapInPandas(
+    swept = found.mapInArrow(
         _sweep, f"key {kind}, at int, last int, tag string, raw string, text string, parent int, depth int, within map<string, struct<at: int, n: int>>")
     return swept.withColumn("attributes", _attributes(F.col("raw"))).select("key", "at", "last", "tag", "attributes", "text", "parent", "depth", "within")
 
