@@ -69,19 +69,18 @@ def flow_files(t) -> DataFrame:
     """(path, text): a flow for each customer with orders; open orders are screens, finished ones actions and others decisions."""
     c, k = F.col, F.col("o_orderkey")
     by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    first = F.min("o_orderkey").over(Window.partitionBy("o_custkey"))
-    rows = t("orders").withColumn("next", F.coalesce(F.lead("o_orderkey").over(by), first)).withColumn("first", first)
+    every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    name = F.concat(F.lit("s"), k.cast("string"), F.when((c("o_orderstatus") == "O") & (k % 4 == 2), "Wizard").otherwise(""))
+    rows = t("orders").withColumn("to_first", F.first(name).over(every)).withColumn("to_next", F.coalesce(F.lead(name).over(by), "to_first"))
     mode = F.when(k % 4 == 0, '<set name="flowScope.maintenanceMode" value="true"/>').when(k % 4 == 1, '<set name="viewScope.editMode" value="false"/>').otherwise("")
     view = _written('<view-state id="s', k, F.when(k % 4 == 2, "Wizard").otherwise(""), '"', F.when(k % 3 == 0, _written(' view="page', c("o_custkey"), '.jsp"')).otherwise(""), '><on-entry><evaluate expression="orderAction.load(x)"/><set name="viewScope.entryTitle" value="\'Order ', c("o_orderpriority"), "'\"/>", mode,
                     '</on-entry>', F.when(k % 2 == 0, "<secured attributes='A'/>").otherwise(""), '<transition on="next" to="', c("to_next"), '" condition="flowScope.total &gt;= ', k % 1000, '"/><transition on="back" to="', c("to_first"), '"><evaluate expression="undoAction.run()"/></transition></view-state>')
     action = _written('<action-state id="s', k, '"><evaluate expression="payAction.save(flowScope.x)"/><transition to="', c("to_next"), '"/><transition on="error"/></action-state>')
     decision = _written('<decision-state id="s', k, '"><if test="order.count == ', k % 7, '" then="', c("to_next"), '" else="done"/></decision-state>')
-    status = t("orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string"), F.when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 4 == 2), "Wizard").otherwise("")).alias("name"))
-    rows = rows.join(status.select(F.col("k").alias("next"), F.col("name").alias("to_next")), "next").join(status.select(F.col("k").alias("first"), F.col("name").alias("to_first")), "first")
     state = F.when(c("o_orderstatus") == "O", view).when(c("o_orderstatus") == "F", action).otherwise(decision)
-    bodies = _joined(rows, "o_custkey", "o_orderkey", state, "states")
-    starts = rows.where("o_orderkey = first").select("o_custkey", F.col("to_first").alias("start"))
-    return bodies.join(starts, "o_custkey").select(c("o_custkey").alias("path"), _written('<?xml version="1.0"?>\n<flow start-state="', c("start"), '">\n<!-- <view-state id="ghost"/> -->', F.when(c("o_custkey") % 2 == 0, '<var name="wizardStep" class="S"/>').otherwise('<var name="x"/>'),
+    g = rows.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", state.alias("piece")))).alias("x"), F.first("to_first").alias("start"))
+    flows_ = g.select("o_custkey", "start", F.array_join(F.transform("x", lambda r: r["piece"]), "\n").alias("states"))
+    return flows_.select(c("o_custkey").alias("path"), _written('<?xml version="1.0"?>\n<flow start-state="', c("start"), '">\n<!-- <view-state id="ghost"/> -->', F.when(c("o_custkey") % 2 == 0, '<var name="wizardStep" class="S"/>').otherwise('<var name="x"/>'),
                                                                                  "\n", c("states"), '\n<end-state id="done" view="bye"/><transition on="cancel" to="done"/></flow>').alias("text"))
 
 
