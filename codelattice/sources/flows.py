@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.functions.ladders import first_match, screen_type
@@ -153,23 +156,56 @@ def screens(found: DataFrame, states: DataFrame, transitions: DataFrame, flows:
                        some("targets").alias("targets"), "parent", F.coalesce("set_mode", from_parent, by_name).alias("mode"), source.alias("mode_source"), supported.alias("supported_modes"), variable.alias("mode_variable"))
 
 
+def _walked(starts: list[str], moves: list[tuple], most: int) -> Iterator[tuple]:
+    """(state, steps, via, conditions) of the states of a flow that its start leads to; moves are (state, target, event, at, condition)."""
+    leaving = {}
+    for move in moves:
+        leaving.setdefault(move[0], []).append(move)
+    frontier = dict.fromkeys(starts, ())
+    seen = set(frontier)
+    yield from ((state, 0, None, []) for state in frontier)
+    for steps in range(1, most + 1):
+        best = {}
+        for state, met in frontier.items():
+            for _, target, event, at, condition in leaving.get(state, ()):
+                order = (state, event, at)
+                if target not in seen and (target not in best or order < best[target][0]):
+                    best[target] = (order, met if condition is None else (*met, condition))
+        if not best:
+            return
+        frontier = {target: met for target, (_, met) in best.items()}
+        seen.update(frontier)
+        yield from ((target, steps, order[0], list(met)) for target, (order, met) in best.items())
+    raise RuntimeError(f"flows did not end in {most} steps")
+
+
 def screen_conditions(flows: DataFrame, transitions: DataFrame, most: int = 1000) -> DataFrame:
     """(key, state, steps, via, conditions): every state that the start state leads to, by the fewest steps, with the conditions met on the way.
 
-    All flows walk at once, a step a round; a state is entered once, so cycles end the walk. Of equally short ways the one by the
-    smaller previous state, then event, then place in the file counts. Each round's frontier is written out, and only states not yet entered stay.
-    A walk of over ``most`` steps is an error.
+    A state is entered once, so cycles end the walk. Of equally short ways the one by the smaller previous state, then event, then place in
+    the file counts. All moves of a flow, which one file holds, are brought together by one shuffle and walked there, so the steps of the longest flow
+    cost nothing more. A walk of over ``most`` steps is an error.
     """
-    moves = cut(transitions.where("source <> 'global'").select("key", F.col("source").alias("state"), "target", "event", "at", "condition"), "moves")
-    frontier = cut(flows.select("key", F.col("start_state").alias("state"), F.lit(0).alias("steps"), F.lit(None).cast("string").alias("via"), F.array().cast("array<string>").alias("conditions")), "frontier")
-    seen = frontier
-    for _ in range(most):
-        step = frontier.join(moves, ["key", "state"]).select(
-            "key", F.col("target").alias("state"), F.struct(F.col("state").alias("via"), "event", "at").alias("order"), (F.col("steps") + 1).alias("steps"),
-            F.concat("conditions", F.when(F.col("condition").isNotNull(), F.array("condition")).otherwise(F.array().cast("array<string>"))).alias("conditions"))
-        best = step.groupBy("key", "state").agg(F.min_by(F.struct("steps", "order.via", "conditions"), "order").alias("s")).select("key", "state", "s.*")
-        frontier = cut(best.join(seen, ["key", "state"], "left_anti"), "frontier")
-        if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier), "seen")
-    raise RuntimeError(f"flows did not end in {most} steps")
+    none = F.lit(None).cast("string")
+    starts = flows.select("key", F.lit(0).alias("is_move"), F.col("start_state").alias("state"), none.alias("target"), none.alias("event"), F.lit(0).alias("at"), none.alias("condition"))
+    moves = transitions.where("source <> 'global'").select("key", F.lit(1).alias("is_move"), F.col("source").alias("state"), "target", "event", "at", "condition")
+    kind = dict(flows.dtypes)["key"]
+    names = ["key", "state", "steps", "via", "conditions"]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, begun, held = None, [], []
+        for rows in batches:
+            out = []
+            for k, is_move, *move in zip(*(rows[c].tolist() for c in ("key", "is_move", "state", "target", "event", "at", "condition")), strict=True):
+                if k != key:
+                    out += [(key, *r) for r in _walked(begun, held, most)]
+                    key, begun, held = k, [], []
+                if is_move:
+                    held.append(move)
+                else:
+                    begun.append(move[0])
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame([(key, *r) for r in _walked(begun, held, most)], columns=names)
+
+    ordered = starts.unionByName(moves).where("key is not null").repartition("key").sortWithinPartitions("key", "is_move")
+    return ordered.mapInPandas(walk, f"key {kind}, state string, steps int, via string, conditions array<string>")

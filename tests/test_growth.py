@@ -69,3 +69,27 @@ def test_calls_through_a_common_type_are_summed_once(spark):
     got = types.summed_targets(calls.union(more), closure, methods, F.count("target").alias("n"), F.min("target").alias("least"))
     rows = {r.src: (r.n, r.least) for r in got.collect()}
     assert len(rows) == n + 1 and rows["m5"] == rows["m0"] == (n, "T0.act/0") and rows["two"] == (2, "T7.act/0")
+
+
+def test_elements_are_not_sorted(spark):
+    from codelattice.sources import elements
+
+    files = spark.createDataFrame([(f"p{i}", "<ul>" + f"<li><a x={i}>t</a></li></b><br/>" * (20 * i) + "</ul>") for i in range(80)], "path string, text string")
+    found = elements.elements(files)
+    assert "Sort" not in plan(found) and "Window" not in plan(found) and plan(found).count("Exchange") == 1
+    got = {(r["key"], r["tag"]): (r.n, r.d, r.w) for r in found.groupBy("key", "tag").agg(F.count("*").alias("n"), F.max("depth").alias("d"), F.max(elements.inside("ul")).alias("w")).collect()}
+    assert got["p79", "a"] == (1580, 2, 1) and got["p79", "br"] == (1580, 1, 1) and got["p3", "li"] == (60, 1, 1) and got["p0", "ul"] == (1, 0, None)
+    assert len(got) == 79 * 4 + 1
+
+
+def test_a_long_flow_is_walked_in_one_shuffle(spark):
+    from codelattice.sources import flows
+
+    moves = spark.createDataFrame([("f", f"s{i}", f"s{i + 1}", "next", i, f"c{i}" if i % 2 else None) for i in range(300)] + [("f", "s300", "s0", "back", 300, None), ("f", "global", "s5", "x", 301, None), ("g", "a", "b", "e", 1, "later"), ("g", "a", "b", "d", 2, "first")],
+                                  "key string, source string, target string, event string, at int, condition string")
+    defined = spark.createDataFrame([("f", "s0"), ("g", "a"), ("h", "lone")], "key string, start_state string")
+    met = flows.screen_conditions(defined, moves)
+    assert plan(met).count("Exchange") == 1
+    rows = {(r["key"], r.state): (r.steps, r.via, r.conditions) for r in met.collect()}
+    assert len(rows) == 301 + 2 + 1 and rows["f", "s4"] == (4, "s3", ["c1", "c3"]) and rows["f", "s300"][0] == 300
+    assert rows["g", "b"] == (1, "a", ["first"]) and rows["h", "lone"] == (0, None, [])
