@@ -31,22 +31,28 @@ def native_rank(nodes: DataFrame, edges: DataFrame, types: Sequence[str] = RANK_
     return raw.join(F.broadcast(top)).select("id", "in_degree", rank.alias("rank"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, *, types: Sequence[str] = RANK_TYPES, damping: float = 0.85, rounds: int = 20, every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, *, types: Sequence[str] = RANK_TYPES, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """(id, rank) after at most ``rounds`` rounds of rank = 1 - damping + damping * received share.
 
-    Shares are summed per target before they are joined to the nodes; lineage is cut every few
-    rounds. Ranks of nodes without outgoing edges are not passed on.
+    A round passes on what the round before changed, so only nodes that a walk of that many edges reaches take part, and the rounds
+    end once nothing changed; the sum of all changes is the rank. Each round's changes are written out. Ranks of nodes without outgoing edges are not passed on.
     """
     e = of_type(edges, *types).select("src", "dst").distinct()
-    e = cut(e.join(e.groupBy("src").agg(F.count("*").alias("out")), "src"), "rank-edges")
-    ranks = nodes.select("id", F.lit(1.0 - damping).alias("rank"))
-    for n in range(1, rounds + 1):
-        got = e.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        ranks = nodes.select("id").join(got, F.col("id") == F.col("dst"), "left").select(
-            "id", (F.lit(1.0 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if n % every == 0:
-            ranks = cut(ranks, "ranks")
-    return ranks
+    known = nodes.select("id").distinct()
+    e = e.join(e.groupBy("src").agg(F.count("*").alias("out")), "src").join(known.select(F.col("id").alias("src")), "src", "left_semi").join(known.select(F.col("id").alias("dst")), "dst", "left_semi")
+    e = cut(e.select("src", "dst", "out"), "rank-edges")
+    base = F.lit(1.0 - damping)
+    change, changes = known.select("id", base.alias("change")), None
+    for _ in range(rounds):
+        sent = e.join(change, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg((F.sum(F.col("change") / F.col("out")) * damping).alias("change"))
+        change = cut(sent, "rank-change")
+        if change.isEmpty():
+            break
+        changes = change if changes is None else changes.unionByName(change)
+    if changes is None:
+        return nodes.select("id", base.alias("rank"))
+    got = changes.groupBy("id").agg(F.sum("change").alias("change"))
+    return nodes.select("id").join(got, "id", "left").select("id", (base + F.coalesce("change", F.lit(0.0))).alias("rank"))
 
 
 def top_ranked(ranks: DataFrame, n: int = 10, key: str = "id") -> DataFrame:

@@ -93,3 +93,20 @@ def test_a_long_flow_is_walked_in_one_shuffle(spark):
     rows = {(r["key"], r.state): (r.steps, r.via, r.conditions) for r in met.collect()}
     assert len(rows) == 301 + 2 + 1 and rows["f", "s4"] == (4, "s3", ["c1", "c3"]) and rows["f", "s300"][0] == 300
     assert rows["g", "b"] == (1, "a", ["first"]) and rows["h", "lone"] == (0, None, [])
+
+
+def test_rank_ends_once_nothing_changes(spark, monkeypatch):
+    from codelattice.operators import ranking
+
+    written = []
+    monkeypatch.setattr(ranking, "cut", lambda df, name, real=ranking.cut: (written.append(name), real(df, name))[1])
+    nodes = spark.createDataFrame([(x,) for x in "abcd"], "id string")
+    chain = spark.createDataFrame([("CALLS", "a", "b"), ("CALLS", "a", "c"), ("CALLS", "b", "c"), ("CALLS", "c", "out"), ("CALLS", "in", "d")], "type string, src string, dst string")
+    got = {r.id: round(r.rank, 9) for r in ranking.pagerank(nodes, chain).collect()}
+    assert got == {"a": 0.15, "b": 0.21375, "c": round(0.15 + 0.85 * (0.075 + 0.21375), 9), "d": 0.15}
+    assert written.count("rank-change") == 3
+    ring = spark.createDataFrame([("CALLS", "a", "b"), ("CALLS", "b", "a")], chain.schema)
+    rank = 0.15
+    for _ in range(4):
+        rank = 0.15 + 0.85 * rank
+    assert {r.id: round(r.rank, 9) for r in ranking.pagerank(nodes, ring, rounds=4).collect()} == {"a": round(rank, 9), "b": round(rank, 9), "c": 0.15, "d": 0.15}
