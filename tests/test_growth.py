@@ -110,3 +110,16 @@ def test_rank_ends_once_nothing_changes(spark, monkeypatch):
     for _ in range(4):
         rank = 0.15 + 0.85 * rank
     assert {r.id: round(r.rank, 9) for r in ranking.pagerank(nodes, ring, rounds=4).collect()} == {"a": round(rank, 9), "b": round(rank, 9), "c": 0.15, "d": 0.15}
+
+
+def test_reached_nodes_are_counted_without_their_pairs(spark):
+    back = fan(spark).select("type", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    more = spark.createDataFrame([("USES", "p0", "o9"), ("USES", "o9", "p0"), ("X", "s0", "s0")], "type string, src string, dst string")
+    e = back.unionByName(more)
+    seeds = e.select(F.col("src").alias("id")).unionByName(spark.createDataFrame([("none",), ("s1",)], "id string"))
+    for high, types in ((1, ()), (2, ()), (3, ()), (3, ("USES", "DEPENDS_ON"))):
+        got = traversal.count_reached(e, seeds, high, types=types)
+        assert not re.search(r"hashpartitioning\(seed#", plan(got))
+        want = traversal.reach(e, seeds, 1, high, types=types).groupBy("seed").count().collect()
+        assert len(want) > 64 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    assert traversal.count_reached(e.where("false"), seeds, 3).collect() == []
