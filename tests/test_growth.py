@@ -123,3 +123,18 @@ def test_reached_nodes_are_counted_without_their_pairs(spark):
         want = traversal.reach(e, seeds, 1, high, types=types).groupBy("seed").count().collect()
         assert len(want) > 64 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
     assert traversal.count_reached(e.where("false"), seeds, 3).collect() == []
+
+
+def test_tasks_of_the_distinct_pairs_hold_so_many_lines(spark, monkeypatch):
+    from codelattice.plans import sample_graph
+
+    folder = "/root/testdata/sf0.001"
+    e = sample_graph.edges(spark, folder)
+    before = sorted(map(tuple, e.collect()))
+    lines = sample_graph.table(spark, folder, "lineitem")
+    monkeypatch.setattr(sample_graph, "PAIRED", 500)
+    e = sample_graph.edges(spark, folder)
+    for a, b in (("l_orderkey", "l_partkey"), ("l_partkey", "l_suppkey")):
+        assert re.search(rf"hashpartitioning\({a}#\d+L, {b}#\d+L, {lines.count() // 500 + 1}\), REPARTITION_BY_NUM", plan(e))
+    assert sorted(map(tuple, e.collect())) == before
+    assert len(before) == len(set(before)) and sum(r[0] == "USES" for r in before) == lines.select("l_orderkey", "l_partkey").distinct().count()
