@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,15 +121,11 @@ STEREOTYPES = (
 )
 
 
-def _words(words: Sequence[str]) -> Column:
-    """The words in lower case; an annotation without its ``@``, for it is looked for inside others."""
-    return F.array(*(F.lit(w.lower().replace("@", "")) for w in words)) if words else F.array().cast("array<string>")
-
-
-def _has(values: Column, wanted: Column, exact: bool = False) -> Column:
-    """Whether any value contains (or is) one of the wanted lower-case words."""
-    test = (lambda v, w: F.lower(v) == w) if exact else (lambda v, w: F.contains(F.lower(v), w))
-    return F.exists(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.exists(wanted, lambda w: test(v, w)))
+def _has(values: Column, wanted: Sequence[str], exact: bool = False) -> Column:
+    """Whether any of the lower-case values contains (or is) one of the words; an annotation is looked for without its ``@``."""
+    words = [w.lower().replace("@", "") for w in wanted]
+    test = (lambda v, w: v == w) if exact else (lambda v, w: F.contains(v, F.lit(w)))
+    return F.exists(values, lambda v: reduce(or_, (test(v, w) for w in words))) if words else F.lit(False)
 
 
 def stereotype_of(
@@ -136,32 +134,27 @@ def stereotype_of(
     """struct(stereotype, confidence): the best stereotype with at least ``least``, else Unknown.
 
     The confidences of the kinds of evidence that match are averaged and raised by a tenth for each
-    kind beyond the first, to 1 at most; the first of equals wins. The rule table is one literal that
-    a single expression runs over.
+    kind beyond the first, to 1 at most; the first of equals wins. Words and patterns of the rule table are literals, so that no pattern
+    is compiled for a row; values are lower-cased and the best stereotype is found once a row.
     """
-    rules = F.array(*(
-        F.struct(
-            F.lit(-n).alias("order"), F.lit(s.name).alias("stereotype"), _words(s.annotations).alias("annotations"), F.lit(s.annotation_confidence).alias("by_annotation"),
-            F.lit("|".join([f"({x})$" for x in s.suffixes] + [f"({x})" for x in s.patterns])).alias("names"), F.lit(s.suffix_confidence).alias("by_name"),
-            _words(s.interfaces).alias("interfaces"), _words(s.methods).alias("methods"), _words(s.fields).alias("fields"), F.lit(s.structure_confidence).alias("by_structure"),
-        ) for n, s in enumerate(table)
-    ))
-
-    def evidence(s: Column) -> Column:
-        shape = _has(interfaces, s["interfaces"]) | _has(methods, s["methods"]) | _has(fields, s["fields"], exact=True)
-        return F.filter(F.array(
-            F.when(_has(annotations, s["annotations"]), s["by_annotation"]), F.when(F.rlike(name, s["names"]), s["by_name"]), F.when(shape, s["by_structure"]),
-        ), lambda x: x.isNotNull())
-
-    scored = F.transform(rules, lambda s: F.struct(evidence(s).alias("found"), s["order"].alias("order"), s["stereotype"].alias("stereotype")))
+    none = F.array().cast("array<string>")
+    low = F.struct(name.alias("name"), *(F.transform(F.coalesce(c, none), F.lower).alias(n) for c, n in ((annotations, "annotations"), (interfaces, "interfaces"), (methods, "methods"), (fields, "fields"))))
+
+    def evidence(s: Stereotype, x: Column) -> Column:
+        names = "|".join([f"({p})$" for p in s.suffixes] + [f"({p})" for p in s.patterns])
+        shape = _has(x["interfaces"], s.interfaces) | _has(x["methods"], s.methods) | _has(x["fields"], s.fields, exact=True)
+        return F.array_compact(F.array(
+            F.when(_has(x["annotations"], s.annotations), s.annotation_confidence), F.when(x["name"].rlike(names), s.suffix_confidence), F.when(shape, s.structure_confidence)))
+
     mean = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b) / F.size(x) * (1 + (F.size(x) - 1) * 0.1)
+    scored = F.transform(F.array(low), lambda x: F.array(*(
+        F.struct(evidence(s, x).alias("found"), F.lit(-n).alias("order"), F.lit(s.name).alias("stereotype")) for n, s in enumerate(table))))[0]
     ranked = F.transform(scored, lambda r: F.struct(
         F.when(F.size(r["found"]) > 0, F.least(F.lit(1.0), mean(r["found"]))).otherwise(0.0).alias("confidence"), r["order"].alias("order"), r["stereotype"].alias("stereotype")))
-    best = F.array_max(ranked)
-    return F.struct(
+    return F.transform(F.array(F.array_max(ranked)), lambda best: F.struct(
         F.when(best["confidence"] >= least, best["stereotype"]).otherwise("Unknown").alias("stereotype"),
         F.when(best["confidence"] >= least, best["confidence"]).otherwise(0.0).alias("confidence"),
-    )
+    ))[0]
 
 
 # Descriptions that a tool wrote.

@@ -384,7 +384,9 @@ _CLASS_ROWS = (
 def _classes(t):
     listed = lambda i: F.filter(F.split(pick([r[i] for r in _CLASS_ROWS]), ","), lambda x: x != "")
     s = classify.stereotype_of(pick([r[0] for r in _CLASS_ROWS]), listed(1), listed(2), listed(3), listed(4))
-    return t("part").select("p_partkey", s.alias("s")).select("p_partkey", "s.stereotype", F.round("s.confidence", 6).alias("confidence"))
+    part = t("part").select("p_partkey")
+    part = part.repartition(int(part.sparkSession.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # the file is small for the work in it
+    return part.select("p_partkey", s.alias("s")).select("p_partkey", "s.stereotype", F.round("s.confidence", 6).alias("confidence"))
 
 
 @query("d_stereotypes", f"SELECT p_partkey, {sql_pick([r[5] for r in _CLASS_ROWS])} AS stereotype, CAST({sql_pick([r[6] for r in _CLASS_ROWS])} AS DOUBLE) AS confidence FROM part")

@@ -138,3 +138,15 @@ def test_tasks_of_the_distinct_pairs_hold_so_many_lines(spark, monkeypatch):
         assert re.search(rf"hashpartitioning\({a}#\d+L, {b}#\d+L, {lines.count() // 500 + 1}\), REPARTITION_BY_NUM", plan(e))
     assert sorted(map(tuple, e.collect())) == before
     assert len(before) == len(set(before)) and sum(r[0] == "USES" for r in before) == lines.select("l_orderkey", "l_partkey").distinct().count()
+
+
+def test_stereotypes_are_spread_and_compile_no_pattern_a_row(spark):
+    from codelattice.operators import classify
+    from codelattice.plans import code_queries, registry  # noqa: F401
+
+    shown = plan(registry.QUERIES["d_stereotypes"](spark, "/root/testdata/sf0.001"))
+    assert "REPARTITION_BY_NUM" in shown and re.search(r"RLIKE\([^,]*, \(Controller\)\$", shown)
+    rows = [("A", None, None, None, None), (None, ["@Service"], None, None, None), ("XService", [None], [], ["GETAll", None], None), ("x", [], ["MyController"], None, ["ID"]), ("UserDTO", ["x@DataX", None], None, ["", None], [None])]
+    df = spark.createDataFrame(rows, "name string, a array<string>, i array<string>, m array<string>, f array<string>")
+    got = df.select(classify.stereotype_of(*(F.col(c) for c in ("name", "a", "i", "m", "f"))).alias("s")).select("s.*").collect()
+    assert [(r[0], round(r[1], 6)) for r in got] == [("Unknown", 0.0), ("Service", 0.9), ("Service", 0.8), ("Controller", 0.6), ("DTO", 0.88)]
