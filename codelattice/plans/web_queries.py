@@ -192,8 +192,17 @@ _STATES = """st AS (SELECT o_custkey AS flow, o_orderkey AS k, 's' || o_orderkey
 mv AS (SELECT a.*, b.state AS nxt, f.state AS fst FROM st a JOIN st b ON a.flow = b.flow AND b.n = a.n % a.total + 1 JOIN st f ON a.flow = f.flow AND f.n = 1)"""
 
 
+def _flow_elements(t):
+    return flows.flow_elements(cut(flow_files(t), "flows"))
+
+
+def _moves(t):
+    found = _flow_elements(t)
+    return flows.flow_transitions(found, flows.state_names(found))
+
+
 def _flow(t):
-    found = flows.flow_elements(cut(flow_files(t), "flows"))
+    found = _flow_elements(t)
     states = cut(flows.flow_states(found), "states")
     return found, states, cut(flows.flow_transitions(found, states), "transitions"), flows.flow_definitions(found)
 
@@ -201,7 +210,7 @@ def _flow(t):
 @query("s16_states", f"""WITH {_STATES} SELECT flow, state, CASE status WHEN 'O' THEN 'view-state' WHEN 'F' THEN 'action-state' ELSE 'decision-state' END AS kind, CASE WHEN status = 'O' THEN CASE WHEN k % 3 = 0 THEN 'page' || flow || '.jsp' ELSE state END END AS view, status = 'O' AND k % 2 = 0 AS secured,
   CASE WHEN status = 'O' THEN CASE k % 4 WHEN 0 THEN 3 WHEN 1 THEN 3 ELSE 2 END ELSE 0 END AS n_entry FROM st UNION ALL SELECT DISTINCT flow, 'done', 'end-state', 'bye', false, 0 FROM st""")
 def _(t):
-    _, states, _, _ = _flow(t)
+    states = flows.flow_states(_flow_elements(t))
     return states.select(F.col("key").alias("flow"), "state", "kind", "view", "secured", F.size("on_entry").alias("n_entry"))
 
 
@@ -211,15 +220,13 @@ UNION ALL SELECT flow, state, 'then', nxt, 'order.count == ' || k % 7, 'equals',
 UNION ALL SELECT flow, state, 'else', 'done', '!(order.count == ' || k % 7 || ')', 'equals', '!(order.count', k % 7 || ')', 'order,count', 'When !(order.count equals ' || k % 7 || ')' FROM mv WHERE status NOT IN ('O', 'F')
 UNION ALL SELECT DISTINCT flow, 'global', 'cancel', 'done', NULL, NULL, NULL, NULL, NULL, NULL FROM st""")
 def _(t):
-    _, _, moves, _ = _flow(t)
-    return moves.select(F.col("key").alias("flow"), "source", "event", "target", "condition", "parts.operator", "parts.left", "parts.right", F.array_join("parts.variables", ",").alias("variables"), "parts.description")
+    return _moves(t).select(F.col("key").alias("flow"), "source", "event", "target", "condition", "parts.operator", "parts.left", "parts.right", F.array_join("parts.variables", ",").alias("variables"), "parts.description")
 
 
 @query("s16_state_graph", f"""WITH {_STATES}, e AS (SELECT flow, state AS source, nxt AS target, CASE status WHEN 'O' THEN 'next' WHEN 'F' THEN 'default' ELSE 'then' END AS event FROM mv UNION ALL SELECT flow, state, fst, 'back' FROM mv WHERE status = 'O' UNION ALL SELECT flow, state, 'done', 'else' FROM mv WHERE status NOT IN ('O', 'F'))
 SELECT flow, source, target, string_agg(DISTINCT event, ',' ORDER BY event) AS events FROM e GROUP BY flow, source, target""")
 def _(t):
-    _, _, moves, _ = _flow(t)
-    return flows.state_graph(moves).select(F.col("key").alias("flow"), "source", "target", F.array_join("events", ",").alias("events"))
+    return flows.state_graph(_moves(t)).select(F.col("key").alias("flow"), "source", "target", F.array_join("events", ",").alias("events"))
 
 
 _SCREENS = f"""{_STATES}, sc AS (SELECT flow, state AS screen, k, 'Order ' || pri AS title, CASE WHEN k % 4 = 2 THEN 'wizard' WHEN k % 3 = 0 THEN 'unknown' ELSE 'results' END AS kind, CASE WHEN k % 3 = 0 THEN 'page' || flow || '.jsp' ELSE state || 'Entry.jsp,' || state || 'Results.jsp' END AS pages, nxt || ',' || fst AS targets,
@@ -234,7 +241,9 @@ def _screens(t):
 
 @query("s16_screens", f"WITH {_SCREENS} SELECT flow, screen, title, kind, pages, targets, mode, mode_source, supported, 'orderAction' AS action_class, 'load,run' AS methods FROM sc")
 def _(t):
-    found, _, _ = _screens(t)
+    every = _flow_elements(t)
+    moves = flows.flow_transitions(every, flows.state_names(every))
+    found = flows.screens(every, flows.flow_states(every), moves, flows.flow_definitions(every))
     return found.select(F.col("key").alias("flow"), "screen", "title", "kind", F.array_join("pages", ",").alias("pages"), F.array_join("targets", ",").alias("targets"), "mode", "mode_source", F.array_join("supported_modes", ",").alias("supported"),
                         "action_class", F.array_join("action_methods", ",").alias("methods"))
 

@@ -35,7 +35,8 @@ def unescaped(c: Column) -> Column:
 def _attributes(c: Column) -> Column:
     """Name (lower-cased) to value; a name without a value has the empty one, of a repeated name the first counts."""
     names = F.transform(F.regexp_extract_all(c, F.lit(_ATTRIBUTE), F.lit(1)), F.lower)
-    values = F.transform(F.regexp_extract_all(c, F.lit(_ATTRIBUTE), F.lit(2)), lambda v: unescaped(F.regexp_replace(v, "^[\"']|[\"']$", "")))
+    values = F.transform(F.regexp_extract_all(c, F.lit(_ATTRIBUTE), F.lit(2)), lambda v: F.when(F.left(v, F.lit(1)).isin('"', "'"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v))
+    values = F.transform(values, lambda v: F.when(F.contains(v, F.lit("&")), unescaped(v)).otherwise(v))
     bound = F.transform(F.array(F.struct(names.alias("n"), values.alias("v"))), lambda x: F.transform(
         F.array_distinct(x["n"]), lambda n: F.struct(n.alias("key"), F.element_at(x["v"], F.array_position(x["n"], n).cast("int")).alias("value"))))
     return F.map_from_entries(bound[0])
@@ -48,8 +49,11 @@ def tags(files: DataFrame, key: str = "path", text: str = "text", *, clean: Colu
     files = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     body = F.coalesce(clean if clean is not None else without_code(F.col(text)), F.lit(""))
     rows = files.select(F.col(key).alias("key"), F.posexplode(F.regexp_extract_all(body, F.lit(f"({_TAG})"), F.lit(1))).alias("at", "token"))
-    part = lambda n: F.regexp_extract("token", f"(?s)^{_TAG}$", n)
-    rows = rows.select("key", (F.col("at") + 1).alias("at"), (part(1) == "/").alias("closing"), F.lower(part(2)).alias("tag"), part(3).alias("raw"), part(4).alias("text"))
+    # A token begins like a tag, so its parts follow each other: what the whole pattern must tell is only where the attributes end.
+    name, closing = F.regexp_extract("token", r"^</?([A-Za-z][\w:.-]*+)", 1), F.startswith("token", F.lit("</"))
+    rows = rows.select("key", (F.col("at") + 1).alias("at"), closing.alias("closing"), name.alias("name"), F.regexp_extract("token", f"(?s)^{_TAG}$", 3).alias("raw"), "token")
+    text = F.substring("token", F.length("name") + F.length("raw") + F.when(F.col("closing"), 4).otherwise(3), F.lit(1 << 30))
+    rows = rows.select("key", "at", "closing", F.lower("name").alias("tag"), "raw", text.alias("text"))
     return rows.withColumn("empty", ~F.col("closing") & F.col("raw").rlike(r"/\s*$"))
 
 

@@ -72,6 +72,11 @@ def flow_definitions(found: DataFrame) -> DataFrame:
         "key", F.coalesce("said", "view-state", "action-state", F.lit("unknown")).alias("start_state"), F.coalesce("end_states", none).alias("end_states"), F.coalesce("variables", none).alias("variables"))
 
 
+def state_names(found: DataFrame) -> DataFrame:
+    """(key, at, state, kind, v, s, parent): the states of flows by what their own tags say."""
+    return found.where(F.col("tag").isin(*STATES)).select("key", "at", F.coalesce(attribute("id"), F.lit("unknown")).alias("state"), F.col("tag").alias("kind"), attribute("view").alias("v"), attribute("subflow").alias("s"), attribute("parent").alias("parent"))
+
+
 def flow_states(found: DataFrame) -> DataFrame:
     """(key, at, state, kind, view, secured, on_entry, on_exit, variables): a view state without a view shows its id; a subflow state's view is its flow; actions are
     evaluated expressions and "name = value", in order."""
@@ -83,7 +88,7 @@ def flow_states(found: DataFrame) -> DataFrame:
     acts = acts.groupBy("key", "at").agg(listed("entry"), listed("exit"))
     marks = found.where(F.col("tag").isin("secured", "var") & F.col("state_at").isNotNull()).groupBy("key", F.col("state_at").alias("at")).agg(
         F.bool_or(F.col("tag") == "secured").alias("secured"), F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == "var", F.struct("at", attribute("name").alias("name"))))), lambda x: x["name"]).alias("variables"))
-    rows = found.where(F.col("tag").isin(*STATES)).select("key", "at", F.coalesce(attribute("id"), F.lit("unknown")).alias("state"), F.col("tag").alias("kind"), attribute("view").alias("v"), attribute("subflow").alias("s"), attribute("parent").alias("parent"))
+    rows = state_names(found)
     none = F.array().cast("array<string>")
     view = F.when(F.col("kind") == "view-state", F.coalesce("v", "state")).when(F.col("kind") == "end-state", F.col("v")).when(F.col("kind") == "subflow-state", F.col("s"))
     return rows.join(acts, ["key", "at"], "left").join(marks, ["key", "at"], "left").select(

@@ -150,3 +150,26 @@ def test_stereotypes_are_spread_and_compile_no_pattern_a_row(spark):
     df = spark.createDataFrame(rows, "name string, a array<string>, i array<string>, m array<string>, f array<string>")
     got = df.select(classify.stereotype_of(*(F.col(c) for c in ("name", "a", "i", "m", "f"))).alias("s")).select("s.*").collect()
     assert [(r[0], round(r[1], 6)) for r in got] == [("Unknown", 0.0), ("Service", 0.9), ("Service", 0.8), ("Controller", 0.6), ("DTO", 0.88)]
+
+
+def test_flow_queries_write_only_what_they_read_again(spark, monkeypatch):
+    from codelattice.plans import registry, web_queries
+
+    written, cut = [], web_queries.cut
+    monkeypatch.setattr(web_queries, "cut", lambda df, name: written.append(name) or cut(df, name))
+    for name in ("s16_states", "s16_transitions", "s16_screens", "d_flow_rules"):
+        written.clear()
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert written == ["flows"], name
+
+
+def test_tags_are_matched_whole_once(spark):
+    from codelattice.sources import elements
+
+    text = "<a:B-c x=\"1 > 2\" y='&lt;\"' z=\"\" w=p&amp;q v Z='2'>é\U0001F600 > t\n</A:b-C >\n<i/>"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "no <1 tag")], "path long, text string")
+    got = elements.tags(df)
+    assert plan(got).count("(?s)^<(/?)") <= 1
+    rows = [tuple(r)[1:] for r in got.orderBy("at").collect()]
+    assert rows == [(1, False, "a:b-c", " x=\"1 > 2\" y='&lt;\"' z=\"\" w=p&amp;q v Z='2'", "é\U0001F600 > t\n", False), (2, True, "a:b-c", " ", "\n", False), (3, False, "i", "/", "", True)]
+    assert elements.elements(df).where("at = 1").first().attributes == {"x": "1 > 2", "y": '<"', "z": "", "w": "p&q", "v": ""}
