@@ -173,3 +173,14 @@ def test_tags_are_matched_whole_once(spark):
     rows = [tuple(r)[1:] for r in got.orderBy("at").collect()]
     assert rows == [(1, False, "a:b-c", " x=\"1 > 2\" y='&lt;\"' z=\"\" w=p&amp;q v Z='2'", "é\U0001F600 > t\n", False), (2, True, "a:b-c", " ", "\n", False), (3, False, "i", "/", "", True)]
     assert elements.elements(df).where("at = 1").first().attributes == {"x": "1 > 2", "y": '<"', "z": "", "w": "p&q", "v": ""}
+
+
+def test_paths_in_words_need_no_lists_of_the_longest(spark):
+    e = spark.createDataFrame([("T", "a", "b"), (None, "b", "c"), ("U", "c", "a"), ("", "c", "d"), ("V", "a", None), (None, "a", "c")], "type string, src string, dst string")
+    seeds = spark.createDataFrame([("a",), ("b",)], "id string")
+    for high in (1, 2, 3):
+        got = traversal.paths(e, seeds, high)
+        rows = got.collect()
+        assert len(rows) == (3, 7, 8)[high - 1]
+        assert all(r.node_text == ">".join(r.nodes) and r.type_text == ">".join(t for t in r.types if t is not None) for r in rows)
+    assert "array_append" not in plan(got.where(F.col("depth") == 3).select("seed", "node_text", "type_text"))
