@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from codelattice.functions import code_text
 from codelattice.functions.ladders import first_match
 from codelattice.sources import java_blocks
-from codelattice.sources.elements import attribute, has
+from codelattice.sources.elements import attribute, has, inside
 
 #: A guard that begins within so many lines of its method is a precondition.
 PRECONDITION_LINES = 5
@@ -184,23 +184,24 @@ def page_rules(raw: DataFrame, files: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (html, errors, conditions, empties))
 
 
-def flow_rules(found: DataFrame, states: DataFrame, transitions: DataFrame) -> DataFrame:
-    """Rules of flows: decisions, conditions of transitions, evaluated checks and business expressions, secured states, and bindings."""
-    ifs = found.where("tag = 'if'").join(states.where("kind = 'decision-state'").select("key", F.col("at").alias("state_at"), "state"), ["key", "state_at"])
+def flow_rules(found: DataFrame, states: DataFrame | None, transitions: DataFrame) -> DataFrame:
+    """Rules of flows: decisions, conditions of transitions, evaluated checks and business expressions, secured states, and bindings.
+
+    Elements hold the name of their state, so nothing is joined; ``states`` are no longer needed."""
+    ifs = found.where("tag = 'if' and state is not null").where(F.col("state_at") == inside("decision-state"))
     then, other = attribute("then"), attribute("else")
     text = F.concat(F.lit("If "), attribute("test"), F.lit(" then go to "), then, F.coalesce(F.concat(F.lit(", else go to "), other), F.lit("")))
     decided = ifs.where(attribute("test").isNotNull() & then.isNotNull()).select(*_row(F.col("key"), None, "ConditionalBusinessLogic", F.concat(F.lit("Decision_"), "state"), text, attribute("test"), 0.9, F.col("state")))
     guarded = transitions.where("condition is not null and event not in ('then', 'else')")
     text = F.concat(F.lit("Transition on '"), "event", F.lit("' to '"), "target", F.lit("' requires: "), "condition")
     guards = guarded.select(*_row(F.col("key"), None, "GuardClause", F.concat(F.lit("Guard_"), "event"), text, F.col("condition"), 0.9, F.col("source"), F.lit(True)))
-    names = states.select("key", F.col("at").alias("state_at"), "state")
-    said = found.where("tag = 'evaluate'").join(names, ["key", "state_at"], "left").withColumn("e", attribute("expression")).where("e is not null")
+    said = found.where("tag = 'evaluate'").withColumn("e", attribute("expression")).where("e is not null")
     checks = F.col("e").rlike("(?i)validate|valid|check|verify|assert")
     worth = reduce(lambda a, w: a | F.contains(F.lower("e"), F.lit(w)), code_text.BUSINESS_WORDS, F.lit(False))
     evaluated = said.where(checks | worth).select(*_row(F.col("key"), None, "BusinessRule", F.lit("Rule_evaluate_expression"), F.col("e"), F.col("e"), F.when(checks, 0.9).otherwise(0.75), F.col("state")))
-    secured = found.where((F.col("tag") == "secured") & attribute("attributes").isNotNull()).join(names, ["key", "state_at"], "left").withColumn("a", attribute("attributes"))
+    secured = found.where((F.col("tag") == "secured") & attribute("attributes").isNotNull()).withColumn("a", attribute("attributes"))
     locked = secured.select(*_row(F.col("key"), None, "BusinessRule", F.lit("Rule_security_constraint"), F.concat(F.lit("Access to "), F.coalesce("state", F.lit("flow")), F.lit(" requires: "), "a"), F.concat(F.lit("secured: "), "a"), 0.95, F.col("state")))
-    bound = found.where((F.col("tag") == "binding") & attribute("property").isNotNull()).join(names, ["key", "state_at"], "left").withColumn("p", attribute("property"))
+    bound = found.where((F.col("tag") == "binding") & attribute("property").isNotNull()).withColumn("p", attribute("property"))
     listed = F.array_compact(F.array(
         F.when(attribute("required") == "true", F.struct(F.lit("Required").alias("rule"), F.concat("p", F.lit(" is required in form binding")).alias("text"))),
         F.when(attribute("converter").isNotNull(), F.struct(F.lit("TypeConversion").alias("rule"), F.concat("p", F.lit(" uses converter: "), attribute("converter")).alias("text")))))

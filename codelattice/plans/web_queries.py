@@ -7,7 +7,7 @@ to the first; every region is a menu file of its nations and their customers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.operators import retrieval
@@ -67,19 +67,23 @@ def menu_files(t) -> DataFrame:
 
 def flow_files(t) -> DataFrame:
     """(path, text): a flow for each customer with orders; open orders are screens, finished ones actions and others decisions."""
-    c, k = F.col, F.col("o_orderkey")
-    by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    name = F.concat(F.lit("s"), k.cast("string"), F.when((c("o_orderstatus") == "O") & (k % 4 == 2), "Wizard").otherwise(""))
-    rows = t("orders").withColumn("to_first", F.first(name).over(every)).withColumn("to_next", F.coalesce(F.lead(name).over(by), "to_first"))
-    mode = F.when(k % 4 == 0, '<set name="flowScope.maintenanceMode" value="true"/>').when(k % 4 == 1, '<set name="viewScope.editMode" value="false"/>').otherwise("")
-    view = _written('<view-state id="s', k, F.when(k % 4 == 2, "Wizard").otherwise(""), '"', F.when(k % 3 == 0, _written(' view="page', c("o_custkey"), '.jsp"')).otherwise(""), '><on-entry><evaluate expression="orderAction.load(x)"/><set name="viewScope.entryTitle" value="\'Order ', c("o_orderpriority"), "'\"/>", mode,
-                    '</on-entry>', F.when(k % 2 == 0, "<secured attributes='A'/>").otherwise(""), '<transition on="next" to="', c("to_next"), '" condition="flowScope.total &gt;= ', k % 1000, '"/><transition on="back" to="', c("to_first"), '"><evaluate expression="undoAction.run()"/></transition></view-state>')
-    action = _written('<action-state id="s', k, '"><evaluate expression="payAction.save(flowScope.x)"/><transition to="', c("to_next"), '"/><transition on="error"/></action-state>')
-    decision = _written('<decision-state id="s', k, '"><if test="order.count == ', k % 7, '" then="', c("to_next"), '" else="done"/></decision-state>')
-    state = F.when(c("o_orderstatus") == "O", view).when(c("o_orderstatus") == "F", action).otherwise(decision)
-    g = rows.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", state.alias("piece")))).alias("x"), F.first("to_first").alias("start"))
-    flows_ = g.select("o_custkey", "start", F.array_join(F.transform("x", lambda r: r["piece"]), "\n").alias("states"))
+    c = F.col
+    # Orders meet before they are written out as states, so that keys are shuffled and sorted, not texts.
+    g = t("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("x"))
+    name = lambda r: F.concat(F.lit("s"), r["o_orderkey"].cast("string"), F.when((r["o_orderstatus"] == "O") & (r["o_orderkey"] % 4 == 2), "Wizard").otherwise(""))
+    g = g.select("o_custkey", "x", F.transform("x", name).alias("names"))
+
+    def state(r, at):
+        k, to_first = r["o_orderkey"], c("names")[0]
+        to_next = F.coalesce(F.get("names", at + 1), to_first)
+        mode = F.when(k % 4 == 0, '<set name="flowScope.maintenanceMode" value="true"/>').when(k % 4 == 1, '<set name="viewScope.editMode" value="false"/>').otherwise("")
+        view = _written('<view-state id="s', k, F.when(k % 4 == 2, "Wizard").otherwise(""), '"', F.when(k % 3 == 0, _written(' view="page', c("o_custkey"), '.jsp"')).otherwise(""), '><on-entry><evaluate expression="orderAction.load(x)"/><set name="viewScope.entryTitle" value="\'Order ', r["o_orderpriority"], "'\"/>", mode,
+                        '</on-entry>', F.when(k % 2 == 0, "<secured attributes='A'/>").otherwise(""), '<transition on="next" to="', to_next, '" condition="flowScope.total &gt;= ', k % 1000, '"/><transition on="back" to="', to_first, '"><evaluate expression="undoAction.run()"/></transition></view-state>')
+        action = _written('<action-state id="s', k, '"><evaluate expression="payAction.save(flowScope.x)"/><transition to="', to_next, '"/><transition on="error"/></action-state>')
+        decision = _written('<decision-state id="s', k, '"><if test="order.count == ', k % 7, '" then="', to_next, '" else="done"/></decision-state>')
+        return F.when(r["o_orderstatus"] == "O", view).when(r["o_orderstatus"] == "F", action).otherwise(decision)
+
+    flows_ = g.select("o_custkey", c("names")[0].alias("start"), F.array_join(F.transform("x", state), "\n").alias("states"))
     return flows_.select(c("o_custkey").alias("path"), _written('<?xml version="1.0"?>\n<flow start-state="', c("start"), '">\n<!-- <view-state id="ghost"/> -->', F.when(c("o_custkey") % 2 == 0, '<var name="wizardStep" class="S"/>').otherwise('<var name="x"/>'),
                                                                                  "\n", c("states"), '\n<end-state id="done" view="bye"/><transition on="cancel" to="done"/></flow>').alias("text"))
 
@@ -192,19 +196,18 @@ _STATES = """st AS (SELECT o_custkey AS flow, o_orderkey AS k, 's' || o_orderkey
 mv AS (SELECT a.*, b.state AS nxt, f.state AS fst FROM st a JOIN st b ON a.flow = b.flow AND b.n = a.n % a.total + 1 JOIN st f ON a.flow = f.flow AND f.n = 1)"""
 
 
-def _flow_elements(t):
-    return flows.flow_elements(cut(flow_files(t), "flows"))
+def _flow_elements(t, **how):
+    return flows.flow_elements(cut(flow_files(t), "flows"), **how)
 
 
 def _moves(t):
-    found = _flow_elements(t)
-    return flows.flow_transitions(found, flows.state_names(found))
+    return flows.flow_transitions(_flow_elements(t, only=flows.MOVES, once=True))
 
 
 def _flow(t):
     found = _flow_elements(t)
     states = cut(flows.flow_states(found), "states")
-    return found, states, cut(flows.flow_transitions(found, states), "transitions"), flows.flow_definitions(found)
+    return found, states, cut(flows.flow_transitions(found), "transitions"), flows.flow_definitions(found)
 
 
 @query("s16_states", f"""WITH {_STATES} SELECT flow, state, CASE status WHEN 'O' THEN 'view-state' WHEN 'F' THEN 'action-state' ELSE 'decision-state' END AS kind, CASE WHEN status = 'O' THEN CASE WHEN k % 3 = 0 THEN 'page' || flow || '.jsp' ELSE state END END AS view, status = 'O' AND k % 2 = 0 AS secured,
@@ -242,7 +245,7 @@ def _screens(t):
 @query("s16_screens", f"WITH {_SCREENS} SELECT flow, screen, title, kind, pages, targets, mode, mode_source, supported, 'orderAction' AS action_class, 'load,run' AS methods FROM sc")
 def _(t):
     every = _flow_elements(t)
-    moves = flows.flow_transitions(every, flows.state_names(every))
+    moves = flows.flow_transitions(every)
     found = flows.screens(every, flows.flow_states(every), moves, flows.flow_definitions(every))
     return found.select(F.col("key").alias("flow"), "screen", "title", "kind", F.array_join("pages", ",").alias("pages"), F.array_join("targets", ",").alias("targets"), "mode", "mode_source", F.array_join("supported_modes", ",").alias("supported"),
                         "action_class", F.array_join("action_methods", ",").alias("methods"))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A tag with its attributes, and the text up to the next one. Possessive, so that long tags need no stack.
-_TAG = r"<(/?)([A-Za-z][\w:.-]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>([^<]*+)"
+_TAG = r"<(/?)([A-Za-z][\w:.-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>([^<]*+)"
 _ATTRIBUTE = r"([A-Za-z_:][\w:.-]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+"
 
 
@@ -32,23 +32,18 @@ def unescaped(c: Column) -> Column:
     return c
 
 
-def _attributes(c: Column) -> Column:
-    """Name (lower-cased) to value; a name without a value has the empty one, of a repeated name the first counts."""
-    names = F.transform(F.regexp_extract_all(c, F.lit(_ATTRIBUTE), F.lit(1)), F.lower)
-    values = F.transform(F.regexp_extract_all(c, F.lit(_ATTRIBUTE), F.lit(2)), lambda v: F.when(F.left(v, F.lit(1)).isin('"', "'"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v))
-    values = F.transform(values, lambda v: F.when(F.contains(v, F.lit("&")), unescaped(v)).otherwise(v))
-    bound = F.transform(F.array(F.struct(names.alias("n"), values.alias("v"))), lambda x: F.transform(
-        F.array_distinct(x["n"]), lambda n: F.struct(n.alias("key"), F.element_at(x["v"], F.array_position(x["n"], n).cast("int")).alias("value"))))
-    return F.map_from_entries(bound[0])
+def _dealt(files: DataFrame, key: str) -> DataFrame:
+    """Texts are far larger than what they are written from and hold far more work, so they are dealt over as many tasks as a shuffle has, which are not merged by size."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def tags(files: DataFrame, key: str = "path", text: str = "text", *, clean: Column | None = None) -> DataFrame:
-    """(key, at, closing, tag, raw, empty, text): every tag in document order, numbered from 1, with the text that follows it.
+def _body(text: str, clean: Column | None) -> Column:
+    return F.coalesce(clean if clean is not None else without_code(F.col(text)), F.lit(""))
+
 
-    Texts are far larger than what they are written from and hold far more work, so they are dealt over as many tasks as a shuffle has, which are not merged by size."""
-    files = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-    body = F.coalesce(clean if clean is not None else without_code(F.col(text)), F.lit(""))
-    rows = files.select(F.col(key).alias("key"), F.posexplode(F.regexp_extract_all(body, F.lit(f"({_TAG})"), F.lit(1))).alias("at", "token"))
+def tags(files: DataFrame, key: str = "path", text: str = "text", *, clean: Column | None = None) -> DataFrame:
+    """(key, at, closing, tag, raw, empty, text): every tag in document order, numbered from 1, with the text that follows it."""
+    rows = _dealt(files, key).select(F.col(key).alias("key"), F.posexplode(F.regexp_extract_all(_body(text, clean), F.lit(f"({_TAG})"), F.lit(1))).alias("at", "token"))
     # A token begins like a tag, so its parts follow each other: what the whole pattern must tell is only where the attributes end.
     name, closing = F.regexp_extract("token", r"^</?([A-Za-z][\w:.-]*+)", 1), F.startswith("token", F.lit("</"))
     rows = rows.select("key", (F.col("at") + 1).alias("at"), closing.alias("closing"), name.alias("name"), F.regexp_extract("token", f"(?s)^{_TAG}$", 3).alias("raw"), "token")
@@ -57,94 +52,158 @@ def tags(files: DataFrame, key: str = "path", text: str = "text", *, clean: Colu
     return rows.withColumn("empty", ~F.col("closing") & F.col("raw").rlike(r"/\s*$"))
 
 
-def _nested(closing: list[bool], empty: list[bool], names: list[int], within: array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The end, parent and depth of each open tag of a file, and how many names are open around it; ``within`` gets (name, at, n) of each.
+#: So many elements are handed on together.
+_ROWS = 10_000
+_WHITE = " \t\n\x0b\f\r"
+_MARKS = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&"))
+# The same patterns for the sweep, which takes a closing tag's slash with its name and finds the text behind by itself; names, digits and white space are those of ASCII in both.
+_TAGS, _ATTRIBUTES = re.compile(_TAG.replace("(/?)(", "(/?").removesuffix("([^<]*+)"), re.ASCII), re.compile(_ATTRIBUTE, re.ASCII)
+
+
+class _Codes(dict):
+    """Twice a number for each name as it comes, and one more for a closing tag's; capitals don't count."""
+
+    def __init__(self):
+        super().__init__()
+        self.names: list[str] = []
+
+    def __missing__(self, name: str) -> int:
+        low = name.lower()
+        if low != name:
+            self[name] = self[low]
+        elif name[0] == "/":
+            self[name] = self[name[1:]] + 1
+        else:
+            self[name] = 2 * len(self.names)
+            self.names.append(name)
+        return self[name]
+
+
+def _read(raw: str) -> dict[str, str]:
+    """The attributes of a tag: name (lower-cased) to value; a name without a value has the empty one, of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for name, value in _ATTRIBUTES.findall(raw):
+        name = name.lower()
+        if name not in out:
+            value = value[1:-1] if value[:1] in ('"', "'") else value
+            if "&" in value:
+                for said, mark in _MARKS:
+                    value = value.replace(said, mark)
+            out[name] = value
+    return out
+
+
+def _nested(codes: array, empty: bytearray, only: frozenset[int], owners: frozenset[int], within: array) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(at, last, parent, depth, n, owner) of each open tag of a file, or of those named in ``only``: its end, the element around it, how many are, how many names
+    are open around it, of which ``within`` gets (name, at, n), and the innermost element around it that is named in ``owners``.
 
     A closing tag closes the last open one of its name, and one without an open one counts for nothing. A tag that nothing closes holds only itself, as an
     empty one does.
     """
-    last, stacks = np.arange(1, len(names) + 1, dtype="int32"), {}
-    for i, name in enumerate(names):
-        if closing[i]:
-            if stacks.get(name):
-                last[stacks[name].pop()] = i + 1
+    last, stacks = array("i", range(1, len(codes) + 1)), {}
+    for i, code in enumerate(codes):
+        if code & 1:
+            if stacks.get(code - 1):
+                last[stacks[code - 1].pop()] = i + 1
         elif not empty[i]:
-            stacks.setdefault(name, []).append(i)
-    opens = np.flatnonzero(~np.asarray(closing, dtype=bool))
-    parent, depth, sizes = (np.zeros(len(opens), dtype="int32") for _ in range(3))
-    open_, named, flat, soonest = [], {}, [], 0
-    for k, (at, end) in enumerate(zip((opens + 1).tolist(), last[opens].tolist(), strict=True)):
+            stacks.setdefault(code, []).append(i)
+    open_, named, flat, soonest, owner = [], {}, [], 0, 0
+    for i, code in enumerate(codes):
+        at, end, wanted = i + 1, last[i], not only or code in only
+        if code & 1 or end == at and not wanted:
+            continue
         while open_ and open_[-1][1] < at:
             open_.pop()
         if named and soonest < at:
-            for name in [n for n, stack in named.items() if stack[-1][1] < at]:
-                stack = named[name]
+            for over in [n for n, stack in named.items() if stack[-1][1] < at]:
+                stack = named[over]
                 while stack and stack[-1][1] < at:
                     stack.pop()
                 if not stack:
-                    del named[name]
-            flat, soonest = [x for n, stack in named.items() for x in (n, stack[-1][0], len(stack))], min((stack[-1][1] for stack in named.values()), default=0)
-        if open_:
-            parent[k], depth[k] = open_[-1][0], open_[-1][2] + 1
-        within.extend(flat)
-        sizes[k] = len(named)
+                    del named[over]
+            flat, soonest = None, min((stack[-1][1] for stack in named.values()), default=0)
+            owner = max((stack[-1][0] for n, stack in named.items() if n in owners), default=0) if owners else 0
+        depth = open_[-1][2] + 1 if open_ else 0
+        if wanted:
+            if flat is None:
+                flat = [x for n, stack in named.items() for x in (n >> 1, stack[-1][0], len(stack))]
+            within.extend(flat)
+            yield at, end, open_[-1][0] if open_ else 0, depth, len(named), owner
         if end > at:
-            open_.append((at, end, depth[k]))
-            named.setdefault(names[at - 1], []).append((at, end))
-            flat, soonest = [x for n, stack in named.items() for x in (n, stack[-1][0], len(stack))], min(stack[-1][1] for stack in named.values())
-    return last[opens], parent, depth, sizes
-
-
-def _swept(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """The elements of whole files from their tags in order."""
-    codes = pc.dictionary_encode(rows["tag"].combine_chunks())
-    codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
-    first = np.append(np.flatnonzero(rows["at"].to_numpy() == 1), len(rows))
-    closing, empty, names = rows["closing"].to_pylist(), rows["empty"].to_pylist(), codes.indices.to_pylist()
-    within, found = array("i"), []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        found.append(_nested(closing[a:b], empty[a:b], names[a:b], within))
-    last, parent, depth, sizes = (pa.array(np.concatenate(c)) for c in zip(*found, strict=True))
-    flat = np.frombuffer(within, dtype="int32").reshape(-1, 3) if within else np.zeros((0, 3), dtype="int32")
-    around = pa.StructArray.from_arrays([pa.array(flat[:, 1]), pa.array(flat[:, 2])], ["at", "n"])
-    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes.to_numpy())]).astype("int32"))
-    maps = pa.MapArray.from_arrays(offsets, codes.dictionary.take(pa.array(flat[:, 0])), around)
-    kept = rows.filter(pc.invert(rows["closing"]))
-    columns = {"key": kept["key"], "at": kept["at"], "last": last, "tag": kept["tag"], "raw": kept["raw"], "text": kept["text"], "parent": parent, "depth": depth, "within": maps}
-    yield from pa.table(columns).to_batches(max_chunksize=10_000)
-
-
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Elements from tags; those of a file come together and in order. A file is held until its last tag is there."""
-    held = []
-    for rows in batches:
-        begins = np.flatnonzero(rows["at"].to_numpy() == 1)
-        cut_at = int(begins[-1]) if len(begins) else 0
-        if len(begins) and (held or cut_at):
-            done = pa.Table.from_batches([*held, rows.slice(0, cut_at)])
-            held = []
-            if len(done):
-                yield from _swept(done)
-        held.append(rows.slice(cut_at))
-    if held:
-        yield from _swept(pa.Table.from_batches(held))
-
-
-def elements(files: DataFrame, key: str = "path", text: str = "text", *, clean: Column | None = None) -> DataFrame:
+            open_.append((at, end, depth))
+            flat, soonest = None, min(soonest, end) if named else end
+            named.setdefault(code, []).append((at, end))
+            owner = at if code in owners else owner
+
+
+def _sweep(batches: Iterator[pa.RecordBatch], only: Sequence[str], owners: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The elements of files (key, body), each file by itself."""
+    codes, within = _Codes(), array("i")
+    kept, holders = frozenset(codes[x] for x in only), frozenset(codes[x] for x in owners)
+    rows, words, values, said = [], [], [], []
+
+    def made(keys: pa.Array) -> Iterator[pa.RecordBatch]:
+        file, tag, at, last, parent, depth, sizes, n_words = (pa.array(x, "int32") for x in zip(*rows, strict=True))
+        flat = np.array(within, dtype="int32").reshape(-1, 3)
+        around = pa.StructArray.from_arrays([pa.array(flat[:, 1]), pa.array(flat[:, 2])], ["at", "n"])
+        begins = lambda n: pa.array(np.concatenate([[0], np.cumsum(n.to_numpy())]).astype("int32"))
+        names = pa.array(codes.names, "string")
+        columns = {
+            "key": keys.take(file), "at": at, "last": last, "tag": names.take(tag), "attributes": pa.MapArray.from_arrays(begins(n_words), pa.array(words, "string"), pa.array(values, "string")),
+            "text": pa.array([x[0] for x in said], "string"), "parent": parent, "depth": depth, "within": pa.MapArray.from_arrays(begins(sizes), names.take(pa.array(flat[:, 0])), around),
+        }
+        if owners:
+            columns |= {"owner": pa.array([x[1] or None for x in said], "int32"), "owner_name": pa.array([x[2] for x in said], "string")}
+        yield pa.RecordBatch.from_pydict(columns)
+        for held in (rows, words, values, said, within):
+            del held[:]
+
+    for batch in batches:
+        keys = batch["key"]
+        for file, body in enumerate(batch["body"].to_pylist()):
+            # Tags are held as numbers, since a file may have many: where attributes begin and end.
+            empty, numbers, starts, stops = bytearray(), array("i"), array("i"), array("i")
+            for tag in _TAGS.finditer(body):
+                begins, ends = tag.span(2)
+                numbers.append(codes[tag[1]])
+                starts.append(begins)
+                stops.append(ends)
+                end = body[ends - 1]
+                empty.append(end == "/" or end in _WHITE and body[begins:ends].rstrip(_WHITE).endswith("/"))
+            holder, named = 0, None
+            for at, last, parent, depth, n, owner in _nested(numbers, empty, kept, holders, within):
+                ends = stops[at - 1]
+                read = _read(body[starts[at - 1]:ends])
+                if owner != holder:
+                    holder, named = owner, _read(body[starts[owner - 1]:stops[owner - 1]]).get("id") if owner else None
+                rows.append((file, numbers[at - 1] >> 1, at, last, parent, depth, n, len(read)))
+                words.extend(read)
+                values.extend(read.values())
+                behind = body.find("<", ends)
+                said.append((body[ends + 1:behind] if behind >= 0 else body[ends + 1:], owner, named))
+                if len(rows) >= _ROWS:
+                    yield from made(keys)
+        if rows:
+            yield from made(keys)
+
+
+def elements(files: DataFrame, key: str = "path", text: str = "text", *, clean: Column | None = None, only: Sequence[str] = (), owners: Sequence[str] = ()) -> DataFrame:
     """(key, at, last, tag, attributes, text, parent, depth, within): the elements of markup in document order.
 
     ``at`` numbers an element's tag and ``last`` the tag that closes it, so one lies inside another if its ``at`` is between those two.
     ``parent`` is the number of the enclosing element (0: none), ``depth`` how many enclose it, ``within`` for each name the innermost
     enclosing element of that name (at) and how many of it enclose (n). ``text`` is what follows the tag directly. Tags need not
     nest: a closing tag closes the last open one of its name, and an element that nothing closes holds only itself; where two
-    overlap, the later begun is the parent as long as it is last. Nulls and texts without tags have no rows. A file's tags come out of
-    its text together and in order, so they are swept where they are, without a shuffle or sort; memory holds the tags of one file.
+    overlap, the later begun is the parent as long as it is last. Nulls and texts without tags have no rows. A file is cut into its tags
+    and swept where its text is, without a shuffle or sort of tags; memory holds the tags of one file. Numbers are those of ``tags``.
+
+    Where a reader needs the elements of some names ``only``, all tags are swept still, but attributes are read and rows made for those alone. With ``owners``,
+    ``owner`` is the innermost element of any of these names around an element and ``owner_name`` its id, so that no join must find them.
     """
-    found = tags(files, key, text, clean=clean)
-    kind = dict(found.dtypes)["key"]
-    swept = found.mapInArrow(
-        _sweep, f"key {kind}, at int, last int, tag string, raw string, text string, parent int, depth int, within map<string, struct<at: int, n: int>>")
-    return swept.withColumn("attributes", _attributes(F.col("raw"))).select("key", "at", "last", "tag", "attributes", "text", "parent", "depth", "within")
+    only, owners = tuple(only), tuple(owners)
+    bodies = _dealt(files, key).select(F.col(key).alias("key"), _body(text, clean).alias("body"))
+    schema = f"key {dict(bodies.dtypes)['key']}, at int, last int, tag string, attributes map<string, string>, text string, parent int, depth int, within map<string, struct<at: int, n: int>>"
+    return bodies.mapInArrow(lambda batches: _sweep(batches, only, owners), schema + (", owner int, owner_name string" if owners else ""))
 
 
 def attribute(name: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,8 @@ from codelattice.operators.lineage import cut
 from codelattice.sources.elements import attribute, elements, has, inside
 
 STATES = ("view-state", "action-state", "decision-state", "end-state", "subflow-state")
+#: The elements that transitions are read from.
+MOVES = ("transition", "if")
 
 # The operator of a condition by the first sign in it, with the sign that parts its operands.
 OPERATORS = (("==", "equals", "=="), ("!=", "notEquals", "!="), (">=", "greaterThanOrEquals", ">="), ("<=", "lessThanOrEquals", "<="), (">", "greaterThan", ">"), ("<", "lessThan", "<"))
@@ -27,35 +29,44 @@ def condition_parts(test: Column) -> Column:
     Variables are those of a flow, view, request, conversation or flash scope, then plain names before an operator or a dot; methods
     are name.method calls.
     """
-    kind, left, right = None, None, None
+    kind, sides = None, None
     for sign, name, by in OPERATORS:
         hit, parts = F.contains(test, F.lit(sign)), F.transform(F.split(test, "[" + by[0] + "]=" if len(by) == 2 else by), lambda x: F.trim(x))
         kind = F.when(hit, name) if kind is None else kind.when(hit, name)
-        left = F.when(hit, parts[0]) if left is None else left.when(hit, parts[0])
-        right = F.when(hit, F.get(parts, F.lit(1))) if right is None else right.when(hit, F.get(parts, F.lit(1)))
+        sides = F.when(hit, parts) if sides is None else sides.when(hit, parts)
     kind = kind.otherwise(first_match(test, OTHER_OPERATORS, "custom"))
     scoped = F.regexp_extract_all(test, F.lit(r"(?:flowScope|viewScope|requestScope|conversationScope|flashScope)\.(\w+)"), F.lit(1))
     plain = F.regexp_extract_all(test, F.lit(r"\b([a-z]\w*)\b(?=\s*[!=<>]|\s*\.(?!class))"), F.lit(1))
     variables = F.array_distinct(F.concat(scoped, F.filter(plain, lambda v: ~v.isin("null", "true", "false"))))
     methods = F.array_distinct(F.regexp_extract_all(test, F.lit(r"(\w+\.\w+)\s*\("), F.lit(1)))
     short = F.concat(F.left(test, F.lit(50)), F.when(F.length(test) > 50, "...").otherwise(""))
-    both = left.isNotNull() & (left != "") & (F.coalesce(right, F.lit("")) != "")
-    said = lambda words: F.concat(F.lit("When "), left, F.lit(words), right)
-    text = (
-        F.when((kind == "equals") & both, said(" equals ")).when((kind == "notEquals") & both, said(" is not equal to ")).when((kind == "greaterThan") & both, said(" is greater than "))
-        .when((kind == "lessThan") & both, said(" is less than ")).when(kind == "not", F.concat(F.lit("When condition is false: "), F.left(test, F.lit(50))))
-        .when(F.size(methods) > 0, F.concat(F.lit("When "), F.array_join(methods, " and "), F.lit(" returns true"))).when(F.size(variables) > 0, F.concat(F.lit("Condition based on: "), F.array_join(variables, ", ")))
-        .otherwise(F.concat(F.lit("Custom condition: "), short))
-    )
-    return F.when(test.isNotNull(), F.struct(
-        kind.alias("operator"), left.alias("left"), right.alias("right"), variables.alias("variables"), methods.alias("methods"),
-        (F.contains(test, F.lit("#")) | F.contains(test, F.lit("T("))).alias("is_expression"), text.alias("description")))
 
+    def told(x: Column) -> Column:
+        kind, left, right, variables, methods = x["kind"], F.get(x["sides"], F.lit(0)), F.get(x["sides"], F.lit(1)), x["variables"], x["methods"]
+        both = left.isNotNull() & (left != "") & (F.coalesce(right, F.lit("")) != "")
+        said = lambda words: F.concat(F.lit("When "), left, F.lit(words), right)
+        text = (
+            F.when((kind == "equals") & both, said(" equals ")).when((kind == "notEquals") & both, said(" is not equal to ")).when((kind == "greaterThan") & both, said(" is greater than "))
+            .when((kind == "lessThan") & both, said(" is less than ")).when(kind == "not", F.concat(F.lit("When condition is false: "), F.left(test, F.lit(50))))
+            .when(F.size(methods) > 0, F.concat(F.lit("When "), F.array_join(methods, " and "), F.lit(" returns true"))).when(F.size(variables) > 0, F.concat(F.lit("Condition based on: "), F.array_join(variables, ", ")))
+            .otherwise(F.concat(F.lit("Custom condition: "), short))
+        )
+        return F.struct(kind.alias("operator"), left.alias("left"), right.alias("right"), variables.alias("variables"), methods.alias("methods"),
+                        (F.contains(test, F.lit("#")) | F.contains(test, F.lit("T("))).alias("is_expression"), text.alias("description"))
 
-def flow_elements(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """The elements of flow files, each with the number of the state around it (``state_at``)."""
-    found = elements(files, key, text, clean=F.regexp_replace(F.col(text), r"(?s)<!--.*?-->", " "))
-    return cut(found.withColumn("state_at", F.greatest(*(inside(s) for s in STATES))), "flow-elements")
+    # What several parts are told from is found once, as the element of an array.
+    found = F.array(F.struct(kind.alias("kind"), sides.alias("sides"), variables.alias("variables"), methods.alias("methods")))
+    return F.when(test.isNotNull(), F.transform(found, told)[0])
+
+
+def flow_elements(files: DataFrame, key: str = "path", text: str = "text", *, only: Sequence[str] = (), once: bool = False) -> DataFrame:
+    """The elements of flow files (those of some names ``only``), each with the number and the name of the state around it (``state_at``, ``state``).
+
+    They are written out, since most readers read them more than once; not for one that reads them ``once``."""
+    found = elements(files, key, text, clean=F.regexp_replace(F.col(text), r"(?s)<!--.*?-->", " "), only=only, owners=STATES)
+    state = F.when(F.col("key").isNotNull() & F.col("owner").isNotNull(), F.coalesce(F.nullif("owner_name", F.lit("")), F.lit("unknown")))
+    found = found.withColumns({"state_at": F.col("owner"), "state": state}).drop("owner", "owner_name")
+    return found if once else cut(found, "flow-elements")
 
 
 def _first(found: DataFrame, tag: str) -> DataFrame:
@@ -95,20 +106,18 @@ def flow_states(found: DataFrame) -> DataFrame:
         "key", "at", "state", "kind", view.alias("view"), "parent", F.coalesce("secured", F.lit(False)).alias("secured"), *(F.coalesce(c, none).alias(c) for c in ("on_entry", "on_exit", "variables")))
 
 
-def flow_transitions(found: DataFrame, states: DataFrame) -> DataFrame:
+def flow_transitions(found: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """(key, at, source, event, target, condition, parts): transitions of states ("global" for those of the flow itself), and of decisions, whose branches are
-    the events "then" and "else" with the test, or its negation, as condition. Those without a target go nowhere and are left out."""
-    names = states.select("key", F.col("at").alias("state_at"), "state")
-    flows = found.where("tag = 'flow'").select("key", F.col("at").alias("flow_at"))
-    moves = found.where("tag = 'transition'").join(names, ["key", "state_at"], "left").join(flows, "key", "left")
-    source = F.coalesce("state", F.when(F.col("parent") == F.col("flow_at"), "global"))
-    plain = moves.select("key", "at", source.alias("source"), F.coalesce(attribute("on"), F.lit("default")).alias("event"), attribute("to").alias("target"), attribute("condition").alias("condition"))
-    ifs = found.where("tag = 'if'").join(names, ["key", "state_at"])
+    the events "then" and "else" with the test, or its negation, as condition. Those without a target go nowhere and are left out.
+
+    Elements hold the name of their state, so they are read once and nothing is joined; ``states`` are no longer needed."""
+    source = F.coalesce("state", F.when(F.col("parent") == inside("flow"), "global"))
     test = attribute("test")
-    branch = lambda event, target, condition: F.struct(F.lit(event).alias("event"), attribute(target).alias("target"), condition.alias("condition"))
-    decided = ifs.select("key", "at", F.col("state").alias("source"), F.inline(F.array(branch("then", "then", test), branch("else", "else", F.concat(F.lit("!("), test, F.lit(")"))))))
-    rows = plain.union(decided).where("target is not null and source is not null")
-    return rows.withColumn("parts", condition_parts(F.col("condition")))
+    move = lambda source, event, target, condition: F.struct(source.alias("source"), event.alias("event"), attribute(target).alias("target"), condition.alias("condition"))
+    plain = F.array(move(source, F.coalesce(attribute("on"), F.lit("default")), "to", attribute("condition")))
+    branches = F.array(move(F.col("state"), F.lit("then"), "then", test), move(F.col("state"), F.lit("else"), "else", F.concat(F.lit("!("), test, F.lit(")"))))
+    rows = found.where("tag in ('transition', 'if')").select("key", "at", F.inline(F.when(F.col("tag") == "if", branches).otherwise(plain)))
+    return rows.where("target is not null and source is not null").withColumn("parts", condition_parts(F.col("condition")))
 
 
 def state_graph(transitions: DataFrame) -> DataFrame:

@@ -184,3 +184,32 @@ def test_paths_in_words_need_no_lists_of_the_longest(spark):
         assert len(rows) == (3, 7, 8)[high - 1]
         assert all(r.node_text == ">".join(r.nodes) and r.type_text == ">".join(t for t in r.types if t is not None) for r in rows)
     assert "array_append" not in plan(got.where(F.col("depth") == 3).select("seed", "node_text", "type_text"))
+
+
+def test_elements_of_some_names_are_those_of_all(spark):
+    from codelattice.sources import elements
+
+    text = "<A ID='&lt;1&amp;lt;'><b/ ><c id=x>t<b>u</A>v<a><c></C ></b><d/>w</c><b id><e></a></e><c>\n</d><b x='>' y=\"</a>\" x=2 / >"
+    files = spark.createDataFrame([("p", text), ("q", None), ("r", "no <1 tag"), ("s", text * 3), (None, text)], "path string, text string")
+    every = elements.elements(files)
+    holder = F.greatest(elements.inside("a"), elements.inside("c"))
+    rows = every.select("key", "at", "last", "tag", "parent", "depth", F.array_sort(F.map_entries("attributes")).alias("x"), "text", F.array_sort(F.map_entries("within")).alias("w"), holder.alias("owner"))
+    whole = {(r["key"], r["at"]): r for r in rows.collect()}
+    assert [(r["at"], r.tag, r.text) for r in every.where("key = 'p'").orderBy("at").collect()] == [(r["at"], r.tag, r.text) for r in elements.tags(files).where("key = 'p' and not closing").orderBy("at").collect()]
+    some = elements.elements(files, only=("b", "e"), owners=("a", "c"))
+    got = some.select("key", "at", "last", "tag", "parent", "depth", F.array_sort(F.map_entries("attributes")).alias("x"), "text", F.array_sort(F.map_entries("within")).alias("w"), "owner").collect()
+    assert sorted(got, key=str) == sorted((r for r in whole.values() if r.tag in ("b", "e")), key=str)
+    ids = {(r["key"], r["at"]): r.attributes.get("id") for r in every.collect()}
+    assert all(r["owner_name"] == (None if r.owner is None else ids[r["key"], r.owner]) for r in some.collect())
+    assert ids["p", 1] == "<1&lt;" and whole["p", 2].tag == "b" and len(got) == 5 * 4 + 1 * 5
+
+
+def test_transitions_are_read_in_one_pass(spark, monkeypatch):
+    from codelattice.plans import registry, web_queries  # noqa: F401
+    from codelattice.sources import flows
+
+    written = []
+    monkeypatch.setattr(flows, "cut", lambda df, name, real=flows.cut: written.append(name) or real(df, name))
+    got = registry.QUERIES["s16_transitions"](spark, "/root/testdata/sf0.001")
+    assert not written and "Join" not in plan(got) and plan(got).count("MapInArrow") == 1
+    assert registry.QUERIES["s16_state_graph"](spark, "/root/testdata/sf0.001").count() and not written
