@@ -6,6 +6,7 @@ state, precondition tells whether a guard stands at its method's beginning, and
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -184,6 +185,10 @@ def page_rules(raw: DataFrame, files: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (html, errors, conditions, empties))
 
 
+#: The elements that rules of flows are read from, besides those of their transitions.
+FLOW_TAGS = ("evaluate", "secured", "binding")
+
+
 def flow_rules(found: DataFrame, states: DataFrame | None, transitions: DataFrame) -> DataFrame:
     """Rules of flows: decisions, conditions of transitions, evaluated checks and business expressions, secured states, and bindings.
 
@@ -197,7 +202,8 @@ def flow_rules(found: DataFrame, states: DataFrame | None, transitions: DataFram
     guards = guarded.select(*_row(F.col("key"), None, "GuardClause", F.concat(F.lit("Guard_"), "event"), text, F.col("condition"), 0.9, F.col("source"), F.lit(True)))
     said = found.where("tag = 'evaluate'").withColumn("e", attribute("expression")).where("e is not null")
     checks = F.col("e").rlike("(?i)validate|valid|check|verify|assert")
-    worth = reduce(lambda a, w: a | F.contains(F.lower("e"), F.lit(w)), code_text.BUSINESS_WORDS, F.lit(False))
+    # One pattern, as the expression is looked up anew for each of the conditions of a filter.
+    worth = F.lower("e").rlike("|".join(map(re.escape, code_text.BUSINESS_WORDS)))
     evaluated = said.where(checks | worth).select(*_row(F.col("key"), None, "BusinessRule", F.lit("Rule_evaluate_expression"), F.col("e"), F.col("e"), F.when(checks, 0.9).otherwise(0.75), F.col("state")))
     secured = found.where((F.col("tag") == "secured") & attribute("attributes").isNotNull()).withColumn("a", attribute("attributes"))
     locked = secured.select(*_row(F.col("key"), None, "BusinessRule", F.lit("Rule_security_constraint"), F.concat(F.lit("Access to "), F.coalesce("state", F.lit("flow")), F.lit(" requires: "), "a"), F.concat(F.lit("secured: "), "a"), 0.95, F.col("state")))

@@ -213,3 +213,19 @@ def test_transitions_are_read_in_one_pass(spark, monkeypatch):
     got = registry.QUERIES["s16_transitions"](spark, "/root/testdata/sf0.001")
     assert not written and "Join" not in plan(got) and plan(got).count("MapInArrow") == 1
     assert registry.QUERIES["s16_state_graph"](spark, "/root/testdata/sf0.001").count() and not written
+
+
+def test_flow_rules_join_nothing_and_look_an_expression_up_twice(spark):
+    from codelattice.operators import rules
+    from codelattice.plans import java_queries, registry  # noqa: F401
+    from codelattice.sources import flows
+
+    shown = plan(registry.QUERIES["d_flow_rules"](spark, "/root/testdata/sf0.001"))
+    assert "Join" not in shown and "Contains(lower" not in shown
+    said = ("Price.up()", "a.isVALID(b)", "zzz", "", "TAX")
+    flow = '<flow><decision-state id="d"><if test="t" then="v"/></decision-state><view-state><if test="u" then="w"/>' + "".join(f'<evaluate expression="{x}"/>' for x in said) + "</view-state><if test='x' then='y'/></flow>"
+    found = flows.flow_elements(spark.createDataFrame([("f", flow)], "path string, text string"), only=(*flows.MOVES, *rules.FLOW_TAGS))
+    got = rules.flow_rules(found, None, flows.flow_transitions(found))
+    assert "Join" not in plan(got) and plan(got).count("amount|price") <= 2
+    assert sorted((r.kind, r.rule, r.confidence, r.holder) for r in got.collect()) == [
+        ("BusinessRule", "Price.up()", 0.75, "unknown"), ("BusinessRule", "TAX", 0.75, "unknown"), ("BusinessRule", "a.isVALID(b)", 0.9, "unknown"), ("ConditionalBusinessLogic", "If t then go to v", 0.9, "d")]
