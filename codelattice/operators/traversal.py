@@ -78,11 +78,12 @@ def depths(edges: DataFrame, seeds: DataFrame, limit: int, *, types: Sequence[st
     """(id, depth): the fewest edges from any seed, up to ``limit``; seeds have depth 0.
 
     A frontier loop: the edges are written once, each round extends only the newly found nodes and
-    drops known ones, its frontier is written, and the loop ends once that is empty.
+    drops known ones, its frontier is written, and the loop ends once that is empty. Only the ends of a round are made
+    distinct, so edges may repeat and no task holds its share of all of them.
     """
     e = of_type(edges, *types).select(F.col("src").alias("at"), F.col("dst").alias("to"))
     e = e.select(F.col("to").alias("at"), F.col("at").alias("to")) if reverse else e
-    e = cut(e.distinct(), "edges")
+    e = cut(e, "edges")
     found = frontier = cut(seeds.select("id", F.lit(0).alias("depth")).distinct(), "frontier")
     for n in range(1, limit + 1):
         new = frontier.join(e, F.col("id") == F.col("at")).select(F.col("to").alias("id")).distinct().join(found, "id", "left_anti")

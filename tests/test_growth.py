@@ -229,3 +229,14 @@ def test_flow_rules_join_nothing_and_look_an_expression_up_twice(spark):
     assert "Join" not in plan(got) and plan(got).count("amount|price") <= 2
     assert sorted((r.kind, r.rule, r.confidence, r.holder) for r in got.collect()) == [
         ("BusinessRule", "Price.up()", 0.75, "unknown"), ("BusinessRule", "TAX", 0.75, "unknown"), ("BusinessRule", "a.isVALID(b)", 0.9, "unknown"), ("ConditionalBusinessLogic", "If t then go to v", 0.9, "d")]
+
+
+def test_depths_hold_no_share_of_all_edges(spark, monkeypatch):
+    shown = []
+    monkeypatch.setattr(traversal, "cut", lambda df, name, real=traversal.cut: (shown.append((name, plan(df))), real(df, name))[1])
+    e = fan(spark).unionByName(fan(spark))
+    seeds = spark.createDataFrame([("s7",), ("s7",), ("none",)], "id string")
+    got = traversal.depths(e, seeds, 5, reverse=True)
+    assert sorted(map(tuple, got.collect())) == [("none", 0), ("o0", 2), ("o1", 2), ("p0", 1), ("p1", 1), ("p2", 1), ("s7", 0)]
+    edges = [p for name, p in shown if name == "edges"]
+    assert len(edges) == 1 and "Aggregate" not in edges[0] and "Exchange" not in edges[0]
