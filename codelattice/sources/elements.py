@@ -160,7 +160,8 @@ def _sweep(batches: Iterator[pa.RecordBatch], only: Sequence[str], owners: Seque
 
     for batch in batches:
         keys = batch["key"]
-        for file, body in enumerate(batch["body"].to_pylist()):
+        for file, body in enumerate(batch["body"]):
+            body = body.as_py()
             # Tags are held as numbers, since a file may have many: where attributes begin and end.
             empty, numbers, starts, stops = bytearray(), array("i"), array("i"), array("i")
             for tag in _TAGS.finditer(body):
