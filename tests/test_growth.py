@@ -58,6 +58,20 @@ def test_owner_of_tied_lines_is_the_first_in_the_table(spark, tmp_path):
     assert [tuple(r) for r in got] == want == [(p, 7 - p % 5) for p in range(40)]
 
 
+def test_lines_without_a_supplier_or_key_own_nothing(spark, tmp_path):
+    import duckdb
+
+    from codelattice.plans import code_graph
+
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    rows = "(1, 1, NULL, 1), (2, 1, 8, 1), (3, 1, 9, 1), (NULL, 2, 4, 1), (5, 2, 6, NULL), (9, 2, 7, 2), (1, 3, NULL, 1), (NULL, 4, 3, 1), (1, NULL, 5, 1)"
+    con.execute(f"copy (select * from (values {rows}) x(l_orderkey, l_partkey, l_suppkey, l_linenumber)) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    want = con.execute(f"select l_partkey, arg_min(l_suppkey, l_orderkey * 10 + l_linenumber) from '{tmp_path}/lineitem.parquet' group by 1").fetchall()
+    got = code_graph._owners(spark.read.parquet(f"{tmp_path}/lineitem.parquet"), "k").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) == [(1, 8), (2, 7), (3, None), (4, None), (None, 5)]
+
+
 def test_calls_through_a_common_type_are_summed_once(spark):
     from codelattice.operators import types
 
