@@ -104,6 +104,24 @@ def test_reached_values_make_no_row_for_each_target_of_each_call(spark):
     assert not any(re.search(rf"hashpartitioning\({by}#\d+, target#", p) for by in ("src", "made_id") for p in (plan(got), shown))
 
 
+def test_lists_of_numbers_hold_two_bytes_an_end(spark, monkeypatch):
+    from codelattice.operators import hops
+    from codelattice.plans import registry  # noqa: F401
+
+    monkeypatch.setattr(hops, "LISTED", 400)
+    few = spark.range(1500).select(F.concat(F.lit("p"), (F.col("id") % 2).cast("string")).alias("src"), F.concat(F.lit("s"), F.floor(F.col("id") / 2).cast("string")).alias("dst"))
+    far = spark.range(40000).select(F.lit("all").alias("src"), F.concat(F.lit("z"), F.col("id").cast("string")).alias("dst"))
+    more = spark.createDataFrame([("p0", "s1"), ("p0", None), ("none", None), ("two", "s0"), ("two", "z9999")], "src string, dst string")
+    lists = hops.number_lists(few.union(far).union(more))
+    rows = lists.collect()
+    assert max(r.n_ends for r in rows) == 400 and sum(r.n_ends for r in rows) == 1500 + 40000 + 2
+    assert [(r.near, r.far, r.n_ends) for r in rows if r["at"] == "none"] == [(None, None, 0)]
+    assert [(r.near is None, r.far) for r in rows if r["at"] == "two"] == [(True, [0, 750 + 39999])]
+    assert dict(lists.dtypes)["near"] == "array<smallint>" and all(r.far is None for r in rows if r["at"] not in ("two", "none"))
+    got = hops.dealt_numbers(lists, "at", "n").groupBy("at").agg(F.count("*").alias("c"), F.count_distinct("n").alias("d"), F.min("n").alias("least"), F.max("n").alias("most")).collect()
+    assert {r["at"]: tuple(r)[1:] for r in got} == {"p0": (750, 750, 0, 749), "p1": (750, 750, 0, 749), "all": (40000, 40000, 750, 40749), "two": (2, 2, 0, 40749)}
+
+
 def test_a_file_of_many_classes_is_read_in_parts(spark):
     from codelattice.plans import java_queries
     from codelattice.plans.sample_graph import table
