@@ -51,11 +51,11 @@ def _(t):
 @on_graph("r14_flow_by_layer", """, s AS (SELECT src AS o, dst AS part FROM edges WHERE type = 'USES'), d AS (SELECT src AS part, dst AS sup FROM edges WHERE type = 'DEPENDS_ON')
 SELECT n.id, count(DISTINCT s.part) AS parts, count(DISTINCT d.sup) AS suppliers FROM nodes n LEFT JOIN s ON n.id = s.o LEFT JOIN d ON s.part = d.part WHERE n.kind = 'Order' GROUP BY n.id""")
 def _(n, e):
-    """Suppliers travel as one list a part to where all parts of an order are."""
+    """Suppliers travel as one list of numbers a part to where all parts of an order are."""
     used = cut(hops.of_type(e, "USES").select(F.col("src").alias("o"), F.col("dst").alias("part")), "used")
-    lists = hops.end_lists(hops.of_type(e, "DEPENDS_ON"))
-    wide = used.join(lists, F.col("part") == F.col("at")).select("o", "ends", "n_ends")
-    found = hops.dealt_out(wide, "o", "sup").groupBy("o", "sup").agg(F.lit(1).alias("_one")).groupBy("o").agg(F.count("sup").alias("suppliers"))
+    lists = hops.number_lists(hops.of_type(e, "DEPENDS_ON"))
+    wide = used.join(lists, F.col("part") == F.col("at")).select("o", "first", "near", "far", "n_ends")
+    found = hops.dealt_numbers(wide, "o", "sup").groupBy("o", "sup").agg(F.lit(1).alias("_one")).groupBy("o").agg(F.count("sup").alias("suppliers"))
     g = used.groupBy("o").agg(F.count("part").alias("parts")).join(found, "o", "left")
     zero = F.lit(0).cast("long")
     return hops.of_kind(n, "Order").join(g, F.col("id") == F.col("o"), "left").select("id", F.coalesce("parts", zero).alias("parts"), F.coalesce("suppliers", zero).alias("suppliers"))

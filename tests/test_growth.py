@@ -122,6 +122,21 @@ def test_lists_of_numbers_hold_two_bytes_an_end(spark, monkeypatch):
     assert {r["at"]: tuple(r)[1:] for r in got} == {"p0": (750, 750, 0, 749), "p1": (750, 750, 0, 749), "all": (40000, 40000, 750, 40749), "two": (2, 2, 0, 40749)}
 
 
+def test_traces_and_flows_shuffle_numbers_and_count_parts_without_suppliers(spark, monkeypatch):
+    from codelattice.operators import hops
+    from codelattice.plans import graph_queries, link_queries, registry  # noqa: F401
+
+    calls = spark.createDataFrame([("CALLS", "o0", "c0"), ("CALLS", "o1", "c1"), ("USES", "o2", "p0"), ("USES", "o1", "p1"), ("DEPENDS_ON", "p1", None)], "type string, src string, dst string")
+    e = fan(spark).where("src <> 'o1'").unionByName(calls)
+    monkeypatch.setattr(graph_queries, "edges", lambda *_: e)
+    monkeypatch.setattr(graph_queries, "nodes", lambda *_: spark.createDataFrame([("o0", "Order"), ("o1", "Order")], "id string, kind string"))
+    monkeypatch.setattr(hops, "end_lists", None)  # names of suppliers are in no list
+    assert sorted(map(tuple, registry.QUERIES["r13_feature_trace"](spark, "").collect())) == [("c0", 1, 3, 2500), ("c1", 1, 1, 2500)]
+    assert sorted(map(tuple, registry.QUERIES["r14_flow_by_layer"](spark, "").collect())) == [("o0", 3, 2500), ("o1", 1, 2500)]
+    e = e.where("not (src = 'p1' and dst is not null)")
+    assert sorted(map(tuple, registry.QUERIES["r13_feature_trace"](spark, "").collect())) == [("c0", 1, 3, 2500), ("c1", 1, 1, 0)]
+
+
 def test_a_file_of_many_classes_is_read_in_parts(spark):
     from codelattice.plans import java_queries
     from codelattice.plans.sample_graph import table
