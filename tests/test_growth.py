@@ -137,6 +137,14 @@ def test_traces_and_flows_shuffle_numbers_and_count_parts_without_suppliers(spar
     assert sorted(map(tuple, registry.QUERIES["r13_feature_trace"](spark, "").collect())) == [("c0", 1, 3, 2500), ("c1", 1, 1, 0)]
 
 
+def test_a_path_is_written_without_its_text(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(traversal, "cut", lambda df, name, real=traversal.cut: written.setdefault(name, df.columns) and real(df, name))
+    seeds = spark.createDataFrame([("o0",)], "id string")
+    got = traversal.paths(fan(spark), seeds, 2).select("seed", "id", "node_text", "type_text")
+    assert written["paths"] == ["nodes", "types", "said"] and got.count() == 3 + 3 * 2500
+
+
 def test_a_file_of_many_classes_is_read_in_parts(spark):
     from codelattice.plans import java_queries
     from codelattice.plans.sample_graph import table
