@@ -145,6 +145,15 @@ def test_a_path_is_written_without_its_text(spark, monkeypatch):
     assert written["paths"] == ["nodes", "types", "said"] and got.count() == 3 + 3 * 2500
 
 
+def test_lists_of_ends_are_dealt_out_once(spark, monkeypatch):
+    from codelattice.operators import hops
+
+    shown = []
+    monkeypatch.setattr(hops, "cut", lambda df, name, real=hops.cut: (shown.append(plan(df)), real(df, name))[1])
+    assert hops.end_lists(fan(spark)).agg(F.sum("n_ends")).first()[0] == 6 + 7500
+    assert shown[0].count("Exchange") == 1
+
+
 def test_a_file_of_many_classes_is_read_in_parts(spark):
     from codelattice.plans import java_queries
     from codelattice.plans.sample_graph import table
