@@ -237,19 +237,25 @@ def inner_texts(found: DataFrame, all_tags: DataFrame, names: tuple[str, ...]) -
 def forms(found: DataFrame) -> DataFrame:
     """(key, form, at, name, action, method, enctype): a page's forms, numbered and named from 0."""
     number = F.row_number().over(Window.partitionBy("key").orderBy("at")) - 1
-    rows = found.where("tag = 'form'").withColumn("form", number)
-    return rows.select("key", "form", "at", F.concat(F.lit("form"), F.col("form").cast("string")).alias("name"), F.coalesce(attribute("action"), F.lit("")).alias("action"),
-                       F.upper(F.coalesce(attribute("method"), F.lit("GET"))).alias("method"), attribute("enctype").alias("enctype"))
+    rows = found.where("tag = 'form'").select("key", "at", F.coalesce(attribute("action"), F.lit("")).alias("action"), F.upper(F.coalesce(attribute("method"), F.lit("GET"))).alias("method"), attribute("enctype").alias("enctype"))
+    return rows.withColumn("form", number).select("key", "form", "at", F.concat(F.lit("form"), F.col("form").cast("string")).alias("name"), "action", "method", "enctype")
+
+
+def _option_rows(found: DataFrame, all_tags: DataFrame) -> DataFrame:
+    """(key, select_at, option): the options of selects, each with its place, value, label and is_default."""
+    own = found.where("tag = 'option'").select("key", "at", inside("select").alias("select_at"), attribute("value").alias("said"), F.trim(unescaped(F.col("text"))).alias("behind"), has("selected").alias("is_default")).where("select_at is not null")
+    rows = own.join(inner_texts(found, all_tags, ("option",)), ["key", "at"], "left").withColumn("inner", F.coalesce("inner", "behind"))
+    value = F.coalesce("said", "inner", F.lit(""))
+    return rows.select("key", "select_at", F.struct("at", value.alias("value"), F.coalesce(F.nullif("inner", F.lit("")), value).alias("label"), "is_default").alias("option"))
+
+
+def _in_order(options: Column) -> Column:
+    return F.transform(F.array_sort(options), lambda x: F.struct(x["value"].alias("value"), x["label"].alias("label"), x["is_default"].alias("is_default")))
 
 
 def options(found: DataFrame, all_tags: DataFrame) -> DataFrame:
     """(key, select_at, options): the options of each select element in order: value, label, is_default."""
-    rows = found.where("tag = 'option'").join(inner_texts(found, all_tags, ("option",)), ["key", "at"], "left").withColumn("inner", F.coalesce("inner", F.trim(unescaped(F.col("text")))))
-    value = F.coalesce(attribute("value"), "inner", F.lit(""))
-    row = F.struct("at", value.alias("value"), F.coalesce(F.nullif("inner", F.lit("")), value).alias("label"), has("selected").alias("is_default"))
-    rows = rows.select("key", inside("select").alias("select_at"), row.alias("option")).where("select_at is not null")
-    g = rows.groupBy("key", "select_at").agg(F.array_sort(F.collect_list("option")).alias("options"))
-    return g.withColumn("options", F.transform("options", lambda x: F.struct(x["value"].alias("value"), x["label"].alias("label"), x["is_default"].alias("is_default"))))
+    return _option_rows(found, all_tags).groupBy("key", "select_at").agg(_in_order(F.collect_list("option")).alias("options"))
 
 
 def fields(found: DataFrame, all_tags: DataFrame) -> DataFrame:
@@ -258,27 +264,37 @@ def fields(found: DataFrame, all_tags: DataFrame) -> DataFrame:
 
     The label is the first of: the text of the form's first ``label`` for the element's id (else name), that of a label around it, its
     ``aria-label``, the text of the element before it if that is a label or its class says so, and of the table cell before its own with such a class.
+
+    Where a label stands is found by places alone, which meet the texts once; the fields themselves meet their neighbours, and then what was found.
     """
-    texts = inner_texts(found, all_tags, ("label", "td", "th", "span", "div", "option", "textarea", "button", "a"))
-    siblings = Window.partitionBy("key", "parent").orderBy("at")
-    labelish = F.coalesce(F.contains(attribute("class"), F.lit("label")), F.lit(False))
-    before = lambda c: F.lag(c).over(siblings)
-    placed = found.withColumn("before_at", before(F.when((F.col("tag") == "label") | labelish, F.col("at"))))
-    cells = found.where("tag = 'td'").withColumn("cell_before", F.lag(F.when(labelish, F.col("at"))).over(siblings)).select("key", F.col("at").alias("cell"), "cell_before")
-    rows = placed.where(F.col("tag").isin("input", "select", "textarea")).withColumn("name", attribute("name")).withColumn("form_at", inside("form")).where("name is not null and form_at is not null")
-    rows = rows.withColumn("cell", inside("td")).withColumn("around", inside("label")).join(cells, ["key", "cell"], "left")
-    named = found.where("tag = 'label'").select("key", inside("form").alias("form_at"), attribute("for").alias("for_id"), "at").groupBy("key", "form_at", "for_id").agg(F.min("at").alias("for_at"))
-    rows = rows.withColumn("for_id", F.coalesce(attribute("id"), "name")).join(named, ["key", "form_at", "for_id"], "left")
-    for column in ("for_at", "around", "before_at", "cell_before"):
-        rows = rows.join(texts.select("key", F.col("at").alias(column), F.nullif("inner", F.lit("")).alias(f"{column}_text")), ["key", column], "left")
     number = lambda name: attribute(name).try_cast("int")
-    rows = rows.join(options(found, all_tags).withColumnRenamed("select_at", "at"), ["key", "at"], "left")
+    name, form_at = attribute("name"), inside("form")
+    field = F.struct(
+        form_at.alias("form_at"), name.alias("name"), F.coalesce(attribute("type"), "tag").alias("type"), has("required").alias("required"), has("readonly").alias("read_only"), has("disabled").alias("disabled"),
+        attribute("value").alias("default_value"), attribute("aria-label").alias("aria"), attribute("placeholder").alias("placeholder"), attribute("title").alias("help_text"), attribute("pattern").alias("pattern"),
+        attribute("min").alias("min"), attribute("max").alias("max"), number("minlength").alias("min_length"), number("maxlength").alias("max_length"))
+    places = F.struct(form_at.alias("form_at"), F.coalesce(attribute("id"), name).alias("for_id"), inside("td").alias("cell"), inside("label").alias("around"))
+    is_field = F.col("tag").isin("input", "select", "textarea") & name.isNotNull() & form_at.isNotNull()
+    labelish = F.coalesce(F.contains(attribute("class"), F.lit("label")), F.lit(False))
+    siblings = Window.partitionBy("key", "parent").orderBy("at")
+    placed = found.select("key", "parent", "at", F.when((F.col("tag") == "label") | labelish, F.col("at")).alias("mark"), F.when(is_field, places).alias("p"))
+    placed = placed.withColumn("before_at", F.lag("mark").over(siblings)).where("p is not null").select("key", "at", "p.*", "before_at")
+    marked = found.where("tag = 'td'").select("key", "parent", F.col("at").alias("cell"), F.when(labelish, F.col("at")).alias("mark"))
+    cells = marked.withColumn("ref", F.lag("mark").over(Window.partitionBy("key", "parent").orderBy("cell"))).where("ref is not null").select("key", "cell", "ref")
+    named = found.where("tag = 'label'").select("key", form_at.alias("form_at"), attribute("for").alias("for_id"), "at").where("form_at is not null and for_id is not null")
+    named = named.groupBy("key", "form_at", "for_id").agg(F.min("at").alias("ref"))
+    at = lambda df, rank, ref: df.select("key", "at", F.lit(rank).alias("rank"), F.col(ref).alias("ref"))
+    refs = at(placed.join(named, ["key", "form_at", "for_id"]), 0, "ref").union(at(placed.where("around is not null"), 1, "around")).union(
+        at(placed.where("before_at is not null"), 3, "before_at")).union(at(placed.where("cell is not null").join(cells, ["key", "cell"]), 4, "ref"))
+    texts = inner_texts(found, all_tags, ("label", "td", "th", "span", "div", "option", "textarea", "button", "a")).where("inner <> ''").withColumnRenamed("at", "ref")
+    said = refs.join(texts, ["key", "ref"]).select("key", "at", F.struct("rank", "inner").alias("said"))
+    listed = _option_rows(found, all_tags).withColumnRenamed("select_at", "at")
+    facts = said.unionByName(listed, allowMissingColumns=True).groupBy("key", "at").agg(F.min("said").alias("said"), _in_order(F.collect_list("option")).alias("options"))
+    rows = found.where(is_field).select("key", "at", field.alias("f")).select("key", "at", "f.*").join(facts, ["key", "at"], "left")
+    label = F.when(F.col("said.rank") < 2, F.col("said.inner")).otherwise(F.coalesce("aria", "said.inner"))
     return rows.select(
-        "key", "form_at", "at", "name", F.coalesce(attribute("type"), "tag").alias("type"), has("required").alias("required"), has("readonly").alias("read_only"), has("disabled").alias("disabled"),
-        attribute("value").alias("default_value"), F.coalesce("for_at_text", "around_text", attribute("aria-label"), "before_at_text", "cell_before_text").alias("label"),
-        attribute("placeholder").alias("placeholder"), attribute("title").alias("help_text"), attribute("pattern").alias("pattern"), attribute("min").alias("min"), attribute("max").alias("max"),
-        number("minlength").alias("min_length"), number("maxlength").alias("max_length"), "options",
-    )
+        "key", "form_at", "at", "name", "type", "required", "read_only", "disabled", "default_value", label.alias("label"), "placeholder", "help_text", "pattern", "min", "max", "min_length", "max_length",
+        F.when(F.size("options") > 0, F.col("options")).alias("options"))
 
 
 def submits(found: DataFrame, all_tags: DataFrame) -> DataFrame:

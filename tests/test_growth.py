@@ -154,6 +154,26 @@ def test_lists_of_ends_are_dealt_out_once(spark, monkeypatch):
     assert shown[0].count("Exchange") == 1
 
 
+def test_labels_meet_the_texts_once(spark):
+    from codelattice.sources import elements
+
+    text = (
+        "<label for=a>out</label><form><label for=a> For <b>a</b></label><label for=a>second</label><label for=b></label><label>Around <input id=b name=b aria-label=x></label>"
+        "<label for=b></label><input name=c aria-label=Aria><span class='a label'>Before</span><input name=d><i>no</i><input name=e><input id=a name=f>"
+        "<table><tr><td class=label>Cell</td><td><select name=g><option value=1>One<option selected> Two </option></select></td><td><textarea name=h></textarea></td></tr></table>"
+        "<span class=label></span><input name=i><input></form><input name=lost>"
+    )
+    files = spark.createDataFrame([("p", text), ("q", text), ("r", None)], "path string, text string")
+    found, tags = elements.elements(files), elements.tags(files)
+    got = elements.fields(found, tags)
+    assert plan(got).count("MapInPandas") == 2
+    rows = {r.name: (r.label, r.type) for r in got.where("key = 'q'").collect()}
+    assert rows == {"b": ("Around", "input"), "c": ("Aria", "input"), "d": ("Before", "input"), "e": (None, "input"), "f": ("For a", "input"), "g": ("Cell", "select"), "h": (None, "textarea"), "i": (None, "input")}
+    chosen = [r.options for r in got.where("name = 'g'").collect()]
+    assert len(chosen) == 2 and [tuple(x) for x in chosen[0]] == [("1", "One", False), ("Two", "Two", True)]
+    assert got.where("options is not null").count() == 2 and got.count() == 16
+
+
 def test_a_file_of_many_classes_is_read_in_parts(spark):
     from codelattice.plans import java_queries
     from codelattice.plans.sample_graph import table
